@@ -15,7 +15,10 @@ IGNORE = -100
 
 
 def softmax(logits: Column) -> Column:
-    """F7, stable form: exp(x - max) / sum(exp(x - max))."""
+    """F7, stable form: exp(x - max) / sum(exp(x - max)).
+
+    Meant for class arrays (k <= 8): max and sum sit inside the lambda and
+    are re-evaluated per element, which is negligible at that width."""
     m = F.array_max(logits)
     ex = F.transform(logits, lambda x: F.exp(x - m))
     total = F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x)
@@ -62,9 +65,20 @@ def gather_last(values: Column, labels: Column, shift: int = 1, ignore: int = IG
 
 
 def mask_all_but_last(labels: Column, ignore: int = IGNORE) -> Column:
-    """keep only the last valid label, every other position -> ignore."""
+    """keep only the last valid label, every other position -> ignore.
+
+    Built as ignore* ++ [label] ++ ignore* so the last position is computed
+    once per row; a lambda referring to it would be re-evaluated for every
+    element (Catalyst inlines it), which is quadratic on long sequences."""
     last = last_valid(labels, ignore)
-    return F.transform(labels, lambda x, i: F.when(i == last, x).otherwise(F.lit(ignore)))
+    n = F.size(labels)
+    fill = F.lit(ignore)
+    built = F.concat(
+        F.array_repeat(fill, last),
+        F.array(F.try_element_at(labels, (last + 1).cast("int"))),
+        F.array_repeat(fill, F.greatest(n - last - 1, F.lit(0))),
+    )
+    return F.when(n <= 0, labels).otherwise(built)
 
 
 def keep_last(values: Column, n: int) -> Column:
