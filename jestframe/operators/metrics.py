@@ -174,7 +174,7 @@ def parameter_diff(params: Column, defaults: dict[str, str], prefix: str = "trai
     """F16: entries of a MAP<STRING,STRING> that differ from the defaults
     (null-safe), keys prefixed.  Keys absent from the defaults always differ."""
     d = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(v))])
-    kept = F.map_filter(params, lambda k, v: ~v.eqNullSafe(F.try_element_at(d, k)))
+    kept = F.map_filter(params, lambda k, v: ~F.map_contains_key(d, k) | ~v.eqNullSafe(F.try_element_at(d, k)))
     return F.transform_keys(kept, lambda k, v: F.concat(F.lit(prefix), k))
 
 
