@@ -15,13 +15,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _grouping(df: DataFrame, keys: list[str]) -> list[Column]:
+    """Group keys led by a 64-bit hash of a string key.
+
+    Grouping on (hash(key), key) gives exactly the groups of ``key`` (the
+    hash is a function of it), but the sort-based aggregation that string
+    buffers require now compares 8-byte prefixes instead of long texts."""
+    strings = {f.name for f in df.schema.fields if f.dataType.typeName() == "string"}
+    lead = [F.xxhash64(*[F.col(k) for k in keys]).alias("_h")] if strings & set(keys) else []
+    return lead + [F.col(k) for k in keys]
+
+
 def drop_all_duplicates(df: DataFrame, subset: str | list[str] = "text") -> DataFrame:
     """D1 (pandas ``keep=False``); null keys group together."""
     keys = [subset] if isinstance(subset, str) else list(subset)
     rest = [c for c in df.columns if c not in keys]
     if not rest:
-        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").drop("_n")
-    g = df.groupBy(*keys).agg(
+        g = df.groupBy(*_grouping(df, keys)).agg(F.count(F.lit(1)).alias("_n"))
+        return g.where("_n = 1").select(*keys)
+    g = df.groupBy(*_grouping(df, keys)).agg(
         F.count(F.lit(1)).alias("_n"), F.min(F.struct(*[F.col(c) for c in rest])).alias("_r")
     )
     return g.where(F.col("_n") == 1).select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
@@ -56,7 +68,7 @@ def keep_first(df: DataFrame, subset: str | list[str] = "text", order: str | Col
     if order is None:
         return df.dropDuplicates(keys)
     o = F.col(order) if isinstance(order, str) else order
-    g = df.groupBy(*keys).agg(F.min(F.struct(o.alias("_o"), *[F.col(c) for c in rest])).alias("_r"))
+    g = df.groupBy(*_grouping(df, keys)).agg(F.min(F.struct(o.alias("_o"), *[F.col(c) for c in rest])).alias("_r"))
     return g.select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 

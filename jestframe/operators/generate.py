@@ -58,7 +58,8 @@ def repetition_rows(seeds: DataFrame, repetition_tokens: list[str], exclusive_hu
     k = random_count(g, "k", 1, max_tokens)
     out = gen.select("gen", random_join(choices(vocab, k, g), g).alias("text"), F.lit(0).alias("score"))
     unique = drop_all_duplicates(out, "text")
-    return exact_split(unique, "gen", 0.5, tag=tag + "_split", names=("train", "test"), held_out="floor")
+    return exact_split(unique, "gen", 0.5, tag=tag + "_split", names=("train", "test"), held_out="floor",
+                       materialise=True)
 
 
 def token_shuffle_join(df: DataFrame, vocabulary: list[str], key: str = "doc_id", text: str = "text",

@@ -100,7 +100,7 @@ def rated_items(df: DataFrame, max_length: int = 512, id_col: str = "id") -> Dat
     kept (D2).  The length filter runs before the shuffle."""
     body = F.col("body")
     kept = df.where((body != "") & (F.length(body) <= max_length))
-    g = kept.groupBy("body").agg(
+    g = kept.groupBy(F.xxhash64("body").alias("_h"), "body").agg(
         F.min(id_col).alias(id_col),
         F.min("rating").alias("_lo"),
         F.max("rating").alias("_hi"),

@@ -15,6 +15,7 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rand import draw
 
@@ -80,16 +81,57 @@ def with_draw(df: DataFrame, key: str, tag: str, name: str = "_u") -> DataFrame:
     return df.withColumn(name, draw(F.col(key), tag))
 
 
+class BucketCounts:
+    """Row counts per (group, bucket of the random key), collected once.
+
+    The table has at most groups x 2^bits rows (a proven bound: callers pass
+    low-cardinality groups such as class labels), so it is safe to bring to
+    the driver.  It yields the group sizes and, as a broadcast table, the
+    offset of every bucket -- one scan instead of a count plus a ranking pass.
+    """
+
+    def __init__(self, x: DataFrame, u: str, by: list[str], bits: int = 12, materialise: bool = False):
+        self.by, self.bits, self.u = list(by), bits, u
+        if materialise:
+            # the input holds a shuffle: write it once (shared checkpoint
+            # folder) so the count pass and the ranking pass read the same rows
+            x = x.checkpoint()
+        self.x = x.withColumn("_b", F.shiftright(F.col(u), 32 - bits))
+        rows = self.x.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c")).collect()
+        if len(rows) > BROADCAST_ROWS:
+            raise ValueError("too many (group, bucket) cells to collect; use exact_rank")
+        self.sizes: dict[tuple, int] = {}
+        offsets = []
+        for r in sorted(rows, key=lambda r: (tuple(repr(r[c]) for c in self.by), r["_b"])):
+            g = tuple(r[c] for c in self.by)
+            offsets.append((*g, r["_b"], self.sizes.get(g, 0)))
+            self.sizes[g] = self.sizes.get(g, 0) + r["_c"]
+        fields = [f for f in self.x.schema.fields if f.name in self.by]
+        fields = [next(f for f in fields if f.name == c) for c in self.by]
+        schema = T.StructType(fields + [T.StructField("_b", T.LongType()), T.StructField("_off", T.LongType())])
+        self.offsets = x.sparkSession.createDataFrame(offsets, schema)
+
+    @property
+    def total(self) -> int:
+        return sum(self.sizes.values())
+
+    def ranked(self, tiebreak: str, rank_col: str = "rank") -> DataFrame:
+        """Rank 1..n within each group by (u, tiebreak), exact."""
+        joined = self.x.join(F.broadcast(self.offsets), [*self.by, "_b"])
+        rn = F.row_number().over(Window.partitionBy(*self.by, "_b").orderBy(F.col(self.u), F.col(tiebreak)))
+        return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
+
+
 def exact_split(df: DataFrame, key: str, fraction: float, tag: str = "split", names=("train", "valid"),
-                held_out: str = "ceil") -> DataFrame:
+                held_out: str = "ceil", materialise: bool = False) -> DataFrame:
     """Exactly ceil(f*n) (or floor) rows go to the held-out part.
 
     Rows are ranked by a keyed draw; the first ``m`` ranks are held out.
     Adds column ``part``."""
-    x = with_draw(df, key, tag)
-    n = x.count()
+    bc = BucketCounts(with_draw(df, key, tag), "_u", [], materialise=materialise)
+    n = bc.total
     m = math.ceil(fraction * n) if held_out == "ceil" else math.floor(fraction * n)
-    r = exact_rank(x, "_u", key, n_rows=n, rank_col="_rank", n_groups=1)
+    r = bc.ranked(key, rank_col="_rank")
     return r.withColumn("part", F.when(F.col("_rank") <= m, F.lit(names[1])).otherwise(F.lit(names[0]))).drop(
         "_u", "_rank"
     )
@@ -101,29 +143,27 @@ def class_counts(df: DataFrame, label: str = "score") -> DataFrame:
 
 
 def under_sample(df: DataFrame, key: str, label: str = "score", tag: str = "under") -> DataFrame:
-    """Every class cut to the size of the smallest, without replacement."""
-    x = with_draw(df.where(F.col(label).isNotNull()), key, tag)
-    counts = class_counts(df, label)
-    sizes = [r["n"] for r in counts.collect()]  # one row per class
-    m = min(sizes) if sizes else 0
-    r = exact_rank(x, "_u", key, by=[label], rank_col="_rank", n_rows=sum(sizes), n_groups=len(sizes))
-    return r.where(F.col("_rank") <= m).drop("_u", "_rank")
+    """Every class cut to the size of the smallest (A6), without
+    replacement: the first ``min_n`` rows of each class by a keyed draw."""
+    bc = BucketCounts(with_draw(df.where(F.col(label).isNotNull()), key, tag), "_u", [label])
+    if not bc.sizes:
+        return df.limit(0)
+    m = min(bc.sizes.values())
+    return bc.ranked(key, rank_col="_rank").where(F.col("_rank") <= m).drop("_u", "_rank")
 
 
 def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over") -> DataFrame:
     """Every class drawn with replacement up to the size of the largest
-    (the largest class is bootstrapped too).  Draw i of class c picks the row
-    of rank ``draw(c, tag||i) % n_c``; draws are equi-joined to ranked rows on
-    (class, rank) -- no cross product, no per-class collect."""
-    base = df.where(F.col(label).isNotNull())
-    counts = class_counts(base, label).collect()  # one row per class
-    if not counts:
-        return base.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
-    classes = [r[label] for r in counts]
-    sizes = [r["n"] for r in counts]
+    (A6; the largest class is bootstrapped too).  Draw i of class c picks the
+    row of rank ``draw(c, tag||i) % n_c``; draws are equi-joined to ranked
+    rows on (class, rank): no cross product, no per-class collect."""
+    bc = BucketCounts(with_draw(df.where(F.col(label).isNotNull()), key, tag + "_rank"), "_u", [label])
+    if not bc.sizes:
+        return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
+    classes = [g[0] for g in bc.sizes]
+    sizes = [bc.sizes[g] for g in bc.sizes]
     top = max(sizes)
-    x = with_draw(base, key, tag + "_rank")
-    ranked = exact_rank(x, "_u", key, by=[label], rank_col="_rank", n_rows=sum(sizes), n_groups=len(classes)).drop("_u")
+    ranked = bc.ranked(key, rank_col="_rank").drop("_u")
     spark = df.sparkSession
     k = len(classes)
     draws = spark.range(0, k * top, numPartitions=max(1, min(k * top // 1_000_000 + 1, 100_000)))
@@ -140,14 +180,15 @@ def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over"
 
 
 def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sample") -> DataFrame:
-    """R1 + J3: ``rows`` draws with replacement, each a uniformly random row
-    (by position in a keyed random order).  Adds ``draw``."""
-    x = with_draw(df, key, "pos")
-    n = x.count()
+    """R1 + J3: ``rows`` draws with replacement (default: as many as rows),
+    each a uniformly random row, by position in a keyed random order.
+    Adds ``draw``."""
+    bc = BucketCounts(with_draw(df, key, "pos"), "_u", [])
+    n = bc.total
     rows = n if rows is None else rows
     if n == 0 or rows == 0:
         return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
-    ranked = exact_rank(x, "_u", key, rank_col="_pos", n_rows=n, n_groups=1).drop("_u")
+    ranked = bc.ranked(key, rank_col="_pos").drop("_u")
     spark = df.sparkSession
     draws = spark.range(0, rows, numPartitions=max(1, min(rows // 1_000_000 + 1, 100_000))).select(
         F.col("id").alias("draw")
