@@ -38,19 +38,24 @@ def ratio(num: Column, den: Column) -> Column:
 def random_join(tokens: Column, key: Column, p_newline: float = 0.1, seed: int = DEFAULT_SEED,
                 tag: str = "s") -> Column:
     """Each token followed by a newline with probability p, else a blank;
-    concatenated, then stripped.  The draw for token i is keyed by (key, tag||i)."""
+    concatenated, then stripped.
+
+    The draw for token j (1-based) is the ((j-1) % 4)-th 32-bit word of
+    md5("seed:key:tag||((j-1) // 4 + 1)"): one md5 serves four tokens.  The
+    separators are built as their own array and zipped with the tokens, so
+    each hash is computed once per row (a lambda that referred to a shared
+    expression would re-evaluate it per element)."""
     t = probability_threshold(p_newline)
-    joined = F.array_join(
-        F.transform(
-            tokens,
-            lambda tok, i: F.concat(
-                tok,
-                F.when(_draw_indexed(key, tag, i, seed) < F.lit(t), F.lit("\n")).otherwise(F.lit(" ")),
-            ),
-        ),
-        "",
+    n = F.size(tokens)
+    blocks = F.greatest(((n + 3) / 4).cast("int"), F.lit(1))
+    hexes = F.transform(
+        F.sequence(F.lit(1), blocks),
+        lambda b: F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.concat(F.lit(tag), b.cast("string")))),
     )
-    return strip(joined)
+    words = F.flatten(F.transform(hexes, lambda h: F.array(
+        *[F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("bigint") for i in range(4)])))
+    seps = F.transform(F.slice(words, 1, n), lambda u: F.when(u < F.lit(t), F.lit("\n")).otherwise(F.lit(" ")))
+    return strip(F.array_join(F.zip_with(tokens, seps, lambda a, b: F.concat(a, b)), ""))
 
 
 def _draw_indexed(key: Column, tag: str, i: Column, seed: int) -> Column:

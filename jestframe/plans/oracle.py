@@ -26,7 +26,11 @@ STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
 def _sep(g: str, j: str) -> str:
-    return f"CASE WHEN {u_sql(g, chr(39) + 's' + chr(39) + ' || CAST(' + j + ' AS VARCHAR)')} < {NL_T} THEN chr(10) ELSE ' ' END"
+    """Separator after token j: word ((j-1) % 4) of md5(seed:g:s||((j-1)//4+1))."""
+    blk = f"'s' || CAST(({j} - 1) // 4 + 1 AS VARCHAR)"
+    word = (f"CAST('0x' || substr(md5(concat_ws(':', '79', CAST({g} AS VARCHAR), {blk})), "
+            f"1 + 8 * (({j} - 1) % 4), 8) AS BIGINT)")
+    return f"CASE WHEN {word} < {NL_T} THEN chr(10) ELSE ' ' END"
 
 
 def _u_tag(g: str, prefix: str, i: str) -> str:
