@@ -115,10 +115,13 @@ class BucketCounts:
     def total(self) -> int:
         return sum(self.sizes.values())
 
-    def ranked(self, tiebreak: str, rank_col: str = "rank") -> DataFrame:
-        """Rank 1..n within each group by (u, tiebreak), exact."""
+    def ranked(self, tiebreak: str | list[str], rank_col: str = "rank") -> DataFrame:
+        """Rank 1..n within each group by (u, tiebreak...), exact; the
+        tiebreak columns must make the order total for retries to agree."""
+        ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
         joined = self.x.join(F.broadcast(self.offsets), [*self.by, "_b"])
-        rn = F.row_number().over(Window.partitionBy(*self.by, "_b").orderBy(F.col(self.u), F.col(tiebreak)))
+        rn = F.row_number().over(
+            Window.partitionBy(*self.by, "_b").orderBy(F.col(self.u), *[F.col(c) for c in ties]))
         return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
 
 
@@ -179,7 +182,8 @@ def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over"
     return d.join(ranked, [label, "_rank"]).drop("_rank", "_n")
 
 
-def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sample") -> DataFrame:
+def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sample",
+                tiebreak: list[str] | None = None) -> DataFrame:
     """R1 + J3: ``rows`` draws with replacement (default: as many as rows),
     each a uniformly random row, by position in a keyed random order.
     Adds ``draw``."""
@@ -188,7 +192,7 @@ def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sa
     rows = n if rows is None else rows
     if n == 0 or rows == 0:
         return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
-    ranked = bc.ranked(key, rank_col="_pos").drop("_u")
+    ranked = bc.ranked([key, *(tiebreak or [])], rank_col="_pos").drop("_u")
     spark = df.sparkSession
     draws = spark.range(0, rows, numPartitions=max(1, min(rows // 1_000_000 + 1, 100_000))).select(
         F.col("id").alias("draw")
