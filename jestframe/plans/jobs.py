@@ -63,6 +63,55 @@ def job_train_multilingual(train: DataFrame, rated: DataFrame) -> DataFrame:
     return dedup.union_unique(train.select("text", "score"), rated.select("text", "score"))
 
 
+def train_families(base: DataFrame, repetition_train: DataFrame, exclusive_train: DataFrame,
+                   rated: DataFrame) -> DataFrame:
+    """C9 + C10 in one shuffle: (family, text, score) for ``train`` and
+    ``train_multilingual``.
+
+    With ``na`` = copies of a text among base/repetition/exclusive rows and
+    ``nb`` = copies among rated items, a text is in train iff na = 1, and in
+    the multilingual set (train U rated, made unique) iff [na = 1] + nb = 1.
+    Both follow from one ``groupBy(text)`` over all four sources, so the train
+    set is neither written nor recomputed to build the second family."""
+    side_a = dedup.union_all(*(d.select("text", "score") for d in (base, repetition_train, exclusive_train)))
+    both = side_a.withColumn("_b", F.lit(False)).unionByName(rated.select("text", "score").withColumn("_b", F.lit(True)))
+    g = both.groupBy(F.xxhash64("text").alias("_h"), "text").agg(
+        F.count_if(~F.col("_b")).alias("na"),
+        F.count_if(F.col("_b")).alias("nb"),
+        F.min(F.when(~F.col("_b"), F.col("score"))).alias("sa"),
+        F.min(F.when(F.col("_b"), F.col("score"))).alias("sb"),
+    )
+    in_train = F.col("na") == 1
+    multi_score = F.when(in_train, F.col("sa")).otherwise(F.col("sb"))
+    in_multi = (in_train.cast("int") + F.col("nb")) == 1
+    rows = F.filter(
+        F.array(
+            F.struct(F.lit("train").alias("family"), F.col("sa").alias("score"), in_train.alias("keep")),
+            F.struct(F.lit("train_multilingual").alias("family"), multi_score.alias("score"), in_multi.alias("keep")),
+        ),
+        lambda r: r["keep"],
+    )
+    return g.select("text", F.inline(rows)).select("family", "text", "score")
+
+
+def view_counts(families: DataFrame) -> DataFrame:
+    """Rows per (family, view, score) for the base, classification (P5) and
+    detection (P4) views, from one pass over the family rows."""
+    s = F.col("score")
+    views = F.filter(
+        F.array(
+            F.struct(F.lit("base").alias("view"), s.alias("score"), F.lit(True).alias("keep")),
+            F.struct(F.lit("classification").alias("view"), (s - 1).alias("score"), (s > 0).alias("keep")),
+            F.struct(F.lit("detection").alias("view"), (~s.eqNullSafe(0)).cast("int").alias("score"),
+                     F.lit(True).alias("keep")),
+        ),
+        lambda r: F.coalesce(r["keep"], F.lit(False)),
+    )
+    return families.select("family", F.inline(views)).groupBy("family", "view", "score").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
 # ---- C7, C8: human annotations -> labels -------------------------------------------
 
 def job_annotations(annotations: DataFrame, min_annotations: int = 4) -> dict[str, DataFrame]:

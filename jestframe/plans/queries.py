@@ -175,25 +175,18 @@ def t19_over_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t12_train_family(spark: SparkSession, d: str) -> DataFrame:
-    """C9 + C10 + S5: train = base U repetition(train half) U exclusive rows,
-    unique; multilingual = train U rated items, unique; each with its base,
-    classification and detection views; counted per score."""
+    """C9 + C10 (+ S5 views): train = base U repetition (train half) U
+    contradiction rows, unique; multilingual = train U rated items, unique;
+    rows per score of each family's base, classification and detection view.
+    Both families come from one shuffle (``jobs.train_families``)."""
+    from . import jobs
+
     base = X.x_scored(spark, d).select("text", "score")
     rep = _repetitions(spark, d).where(F.col("part") == "train").select("text", "score")
     exc = _contradictions(spark, d).select("text", "score")
-    train = dedup.union_unique(base, rep, exc).checkpoint()  # S5: the written table is what views read
     rated = labels.rated_items(X.x_rated(spark, d)).select("text", "score")
-    multi = dedup.union_unique(train, rated).checkpoint()
-    parts = []
-    for family, frame in (("train", train), ("train_multilingual", multi)):
-        for view, v in (("base", frame), ("classification", labels.to_classification(frame)),
-                        ("detection", labels.to_detection(frame))):
-            parts.append(
-                v.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-                .select(F.lit(family).alias("family"), F.lit(view).alias("view"),
-                        _big(F.col("score")).alias("score"), "n")
-            )
-    return dedup.union_all(*parts)
+    counts = jobs.view_counts(jobs.train_families(base, rep, exc, rated))
+    return counts.select("family", "view", _big(F.col("score")).alias("score"), "n")
 
 
 # ---- logits, reports ------------------------------------------------------------

@@ -45,9 +45,38 @@ TABLES = (
 )
 
 
+# Row keys of the driver tables, used to spread a scan that arrives in too
+# few splits (hash partitioning on a key is deterministic under retries).
+TABLE_KEYS = {
+    "documents": "doc_id", "labels": "doc_id", "conversations": "conv_id", "benchmark": "item_id",
+    "embeddings": "vec_id", "events": "event_id", "pages": "page_id", "lineitem": "l_orderkey",
+    "orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey", "supplier": "s_suppkey",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """One of the driver's parquet tables, spread over the cluster's task
+    slots when the scan alone would use fewer (see ``spread``)."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(df, TABLE_KEYS.get(name))
+
+
+def spread(df: DataFrame, key: str | None) -> DataFrame:
+    """Hash-repartition a scan on ``key`` when it has fewer partitions than
+    the cluster has task slots.
+
+    Per-row work here is CPU-heavy (keyed md5 draws, whole-text token
+    arrays), and a file written as one row group is read by one task however
+    many cores wait.  Large inputs arrive in far more splits than slots, so
+    this adds no exchange at scale; planning the scan to count its splits
+    runs no job.  Disable with ``jestframe.spread=false``."""
+    spark = df.sparkSession
+    if key is None or spark.conf.get("jestframe.spread", "true") != "true":
+        return df
+    slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, key)
 
 
 def register_tables(spark: SparkSession, sf_dir: str) -> None:
