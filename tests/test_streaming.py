@@ -14,9 +14,9 @@ def test_stream_matches_batch_running_best(spark):
     logs = X.x_log(spark, SF_SMALL)
     mid = logs.approxQuantile("step", [0.5], 0.0)[0]
     src = scratch_path(spark, "stream_src")
-    # two drops of log files, each run's steps arrive in order
-    logs.where(F.col("step") < mid).write.parquet(os.path.join(src, "part=1"))
-    logs.where(F.col("step") >= mid).write.parquet(os.path.join(src, "part=2"))
+    # two drops of one log file each: every run's steps arrive in order
+    logs.where(F.col("step") < mid).coalesce(1).write.parquet(os.path.join(src, "part=1"))
+    logs.where(F.col("step") >= mid).coalesce(1).write.parquet(os.path.join(src, "part=2"))
     stream = (spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1)
               .option("recursiveFileLookup", "true").parquet(src))
     out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
