@@ -50,11 +50,14 @@ def x_annot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x_rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rated items: the whole text is the body, so exact copies of a text are
+    the same item; copies whose length is a multiple of 3 agree on the
+    rating, the others usually conflict."""
     d = table(spark, sf_dir, "documents")
     n = F.length("text")
     return d.select(
         F.col("doc_id").alias("id"),
-        F.expr("substring(text, 1, CASE WHEN length(text) % 2 = 0 THEN 200 ELSE 600 END)").alias("body"),
+        F.col("text").alias("body"),
         (F.when(n % 3 == 0, n % 11).otherwise(F.col("doc_id") % 11).cast("double") / 2).alias("rating"),
     )
 
@@ -117,7 +120,7 @@ SQL = {
     ),
     "x_annot": "SELECT l_orderkey AS id, concat('order ', CAST(l_orderkey AS VARCHAR)) AS text, "
     "CAST(floor(l_quantity) AS INTEGER) % 6 AS sentiment FROM lineitem",
-    "x_rated": "SELECT doc_id AS id, substr(text, 1, CASE WHEN length(text) % 2 = 0 THEN 200 ELSE 600 END) AS body, "
+    "x_rated": "SELECT doc_id AS id, text AS body, "
     "CAST(CASE WHEN length(text) % 3 = 0 THEN length(text) % 11 ELSE doc_id % 11 END AS DOUBLE) / 2 AS rating "
     "FROM documents",
     "x_scored": "SELECT d.doc_id AS id, d.text, CAST(CASE WHEN l.quality = 0 THEN 0 ELSE 1 + least({a} % 5, {b} % 5) "
