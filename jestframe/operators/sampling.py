@@ -22,6 +22,20 @@ from ..functions.rand import draw
 # Offsets table = (groups x buckets) rows; it is broadcast only below this.
 BROADCAST_ROWS = 1 << 20
 TARGET_BUCKET_ROWS = 1 << 21
+# Draws with replacement: expected draws per picked row above which the
+# picked rows are replicated (salted), so no join key gets more than about
+# this many draws however small a class is next to the largest.
+DRAWS_PER_KEY = 1 << 16
+
+
+def salt_factor(draws_per_row: float, limit: int | None = None) -> int:
+    """Copies of each picked row needed to keep ~``DRAWS_PER_KEY`` draws per key."""
+    return max(1, math.ceil(draws_per_row / (limit or DRAWS_PER_KEY)))
+
+
+def _salted(ranked: DataFrame, copies: F.Column) -> DataFrame:
+    """Each ranked row once per salt value 0..copies-1 (a no-op for 1)."""
+    return ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
 
 
 def _bits_for(n_rows: int | None) -> int:
@@ -173,13 +187,21 @@ def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over"
     cls_arr = F.array(*[F.lit(c) for c in classes])
     size_arr = F.array(*[F.lit(s) for s in sizes])
     idx = (F.col("id") / F.lit(top)).cast("int") + 1
+    # class c is drawn ``top`` times over n_c rows: salt its rows when top/n_c is large
+    salts = [salt_factor(top / n) for n in sizes]
     d = draws.select(
         F.element_at(cls_arr, idx).alias(label),
         (F.col("id") % F.lit(top)).alias("draw"),
         F.element_at(size_arr, idx).alias("_n"),
+        F.element_at(F.array(*[F.lit(f) for f in salts]), idx).alias("_s"),
     )
     d = d.withColumn("_rank", draw(F.col(label), F.concat(F.lit(tag), F.col("draw").cast("string"))) % F.col("_n") + 1)
-    return d.join(ranked, [label, "_rank"]).drop("_rank", "_n")
+    if max(salts) == 1:
+        return d.join(ranked, [label, "_rank"]).drop("_rank", "_n", "_s")
+    salt_of = F.create_map(*[x for c, f in zip(classes, salts) for x in (F.lit(c), F.lit(f))])
+    d = d.withColumn("_salt", F.col("draw") % F.col("_s"))
+    return d.join(_salted(ranked, F.element_at(salt_of, F.col(label))), [label, "_rank", "_salt"]).drop(
+        "_rank", "_n", "_s", "_salt")
 
 
 def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sample",
@@ -198,7 +220,13 @@ def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sa
         F.col("id").alias("draw")
     )
     draws = draws.withColumn("_pos", draw(F.lit(tag), F.col("draw")) % F.lit(n) + 1)
-    return draws.join(ranked, "_pos").drop("_pos")
+    salt = salt_factor(rows / n)
+    if salt == 1:
+        return draws.join(ranked, "_pos").drop("_pos")
+    # many more draws than rows: each row is picked ~rows/n times, so its
+    # join key is split over ``salt`` copies
+    draws = draws.withColumn("_salt", F.col("draw") % F.lit(salt))
+    return draws.join(_salted(ranked, F.lit(salt)), ["_pos", "_salt"]).drop("_pos", "_salt")
 
 
 def length_slice(df: DataFrame, text: str = "text", q: float = 0.9, side: str = "long") -> DataFrame:

@@ -57,3 +57,24 @@ def test_length_slices(spark):
     df = spark.createDataFrame([("a",), ("bb",), ("ccc",), ("d" * 10,)], "text string")
     assert [r.text for r in sampling.length_slice(df, q=0.1, side="short").collect()] == ["a"]
     assert [r.text for r in sampling.length_slice(df, q=0.9, side="long").collect()] == ["d" * 10]
+
+
+def test_salted_draws_pick_the_same_rows(spark, monkeypatch):
+    """Salting hot picked rows (R1, R8) changes the plan, never the result."""
+    scored = X.x_scored(spark, SF_MID).select("id", "score")
+    docs = spark.range(40).select(F.col("id").alias("doc_id"))
+
+    def run():
+        over = sorted(tuple(r) for r in sampling.over_sample(scored, "id").select("score", "draw", "id").collect())
+        rows = sorted(tuple(r) for r in sampling.sample_rows(docs, "doc_id", rows=3000).select("draw", "doc_id")
+                      .collect())
+        return over, rows
+
+    plain = run()
+    monkeypatch.setattr(sampling, "DRAWS_PER_KEY", 2)
+    assert sampling.salt_factor(3000 / 40) == 38
+    salted = run()
+    assert "_salt" in sampling.sample_rows(docs, "doc_id", rows=3000).drop("draw")._jdf.queryExecution() \
+        .analyzed().toString()
+    assert plain == salted
+    assert len(plain[1]) == 3000
