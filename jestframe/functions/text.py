@@ -27,6 +27,7 @@ def half_even(col: Column) -> Column:
 
 
 def clip(col: Column, lo, hi) -> Column:
+    """Clip to [lo, hi]."""
     return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))
 
 
@@ -37,7 +38,7 @@ def ratio(num: Column, den: Column) -> Column:
 
 def random_join(tokens: Column, key: Column, p_newline: float = 0.1, seed: int = DEFAULT_SEED,
                 tag: str = "s") -> Column:
-    """Each token followed by a newline with probability p, else a blank;
+    """F2 + R3: each token followed by a newline with probability p, else a blank;
     concatenated, then stripped.
 
     The draw for token j (1-based) is the ((j-1) % 4)-th 32-bit word of

@@ -73,7 +73,7 @@ def keep_first(df: DataFrame, subset: str | list[str] = "text", order: str | Col
 
 
 def vocabulary_union(a: list[str], b: list[str]) -> Column:
-    """D3: sorted distinct union of two vocabularies, as an array literal."""
+    """D3 + O2: sorted distinct union of two vocabularies, as an array literal."""
     return F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))))
 
 

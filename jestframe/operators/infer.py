@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,7 +25,9 @@ from pyspark.sql import types as T
 
 from ..functions.arrays import answer_index, label_from_logits, softmax, wide
 from ..functions.text import apply_template
+from .dedup import union_all
 from .labels import detection_message
+from .metrics import classification_report
 from .sampling import exact_rank_by_order
 
 Scorer = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
@@ -37,6 +40,19 @@ def md5_scorer(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda s: None if s is None else hashlib.md5(s.encode("utf-8")).hexdigest()[:1])
 
 
+def keyword_scorer(words: list[str]) -> Scorer:
+    """Offline rule scorer: answers '1' when the prompt contains any of
+    ``words``, else '0' (vectorised per Arrow batch)."""
+    pattern = "|".join(re.escape(w) for w in words)
+
+    def score(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in prompts:
+            hit = batch.str.contains(pattern, regex=True)
+            yield hit.map(lambda h: None if pd.isna(h) else ("1" if h else "0"))
+
+    return score
+
+
 def _apply_scorer(df: DataFrame, prompt_col: str, scorer: Scorer, out_col: str) -> DataFrame:
     """One scorer call per partition; it sees the partition's Arrow batches as
     a stream of prompt series and answers each in order."""
@@ -75,6 +91,22 @@ def label_with(df: DataFrame, scorer: Scorer, classes: list[str], text: str = "t
     )
 
 
+def suites(**frames: DataFrame) -> DataFrame:
+    """K4: named evaluation suites (test, exclusive, long_lengths, ...) as
+    one (suite, text, score) table, so they are scored in a single pass."""
+    return union_all(*[df.select(F.lit(name).alias("suite"), "text", "score") for name, df in frames.items()])
+
+
+def evaluate(suite_rows: DataFrame, scorer: Scorer, classes: list[str], text: str = "text",
+             template: str | None = None, label: str = "score", by: str = "suite") -> DataFrame:
+    """K4: one scorer pass over every suite (I2), then the classification
+    report (A8) grouped by suite: the reference runs one evaluation per
+    suite; here the suites share a scan, a scorer call and one shuffle of
+    the (suite, label, prediction) counts."""
+    scored = label_with(suite_rows, scorer, classes, text=text, template=template)
+    return classification_report(scored, label, "labels", by=[by])
+
+
 def score_logits(df: DataFrame, logits: str = "logits", k: int = 2, threshold: float | None = None) -> DataFrame:
     """Logits -> softmax columns score_0..score_{k-1} and ``labels``."""
     p = softmax(F.col(logits))
@@ -110,7 +142,8 @@ def any_missing(col: str) -> F.Column:
 
 
 def class_probabilities(df: DataFrame, key: str = "id", prefix: str = "score_") -> DataFrame:
-    """F19 + P12: unpivot the ``score_*`` columns to (class = i + 1, p)."""
+    """F19 + P12 + F4 (split and cast): unpivot the ``score_*`` columns to
+    (class = i + 1, p)."""
     cols = [c for c in df.columns if c.startswith(prefix)]
     long = df.unpivot([key], cols, "_name", "p")
     return long.select(key, (F.split_part(F.col("_name"), F.lit("_"), F.lit(2)).cast("int") + 1).alias("class"), "p")

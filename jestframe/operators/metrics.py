@@ -179,7 +179,7 @@ def parameter_diff(params: Column, defaults: dict[str, str], prefix: str = "trai
 
 
 def metrics_sink(long: DataFrame, metric: str = "metric") -> DataFrame:
-    """Keep metrics named ``*accuracy|*f1-score|*loss|*precision|*recall``
+    """S10 + F4 (suffix test, replace): keep metrics named ``*accuracy|*f1-score|*loss|*precision|*recall``
     and drop an ``eval_`` prefix."""
     m = F.col(metric)
     return long.where(m.rlike("(accuracy|f1-score|loss|precision|recall)$")).withColumn(

@@ -452,6 +452,24 @@ SELECT family, view, CAST(score AS BIGINT) AS score, count(*) AS n FROM views GR
 Q["t12_train_family"] = _train_family_sql()
 
 
+# K4: five suites, keyword scorer, report per suite
+_KW = "|".join(EXCLUSIVE_HUMOR)
+Q["t42_evaluation_suites"] = _ctes("x_scored") + _contradiction_sql() + ",\n" + _repetition_sql() + f"""
+, test AS (SELECT text, CASE WHEN score IS DISTINCT FROM 0 THEN 1 ELSE 0 END AS score FROM x_scored),
+suites AS (
+  SELECT 'test' AS suite, text, score FROM test
+  UNION ALL SELECT 'exclusive', text, CASE WHEN score IS DISTINCT FROM 0 THEN 1 ELSE 0 END FROM exc
+  UNION ALL SELECT 'long_lengths', text, score FROM test
+    WHERE length(text) >= (SELECT quantile_cont(length(text), 0.9) FROM test)
+  UNION ALL SELECT 'short_lengths', text, score FROM test
+    WHERE length(text) <= (SELECT quantile_cont(length(text), 0.1) FROM test)
+  UNION ALL SELECT 'repetition', text, score FROM rep WHERE part = 'test'),
+x_pred AS (SELECT suite, score AS label,
+             CASE WHEN text IS NULL THEN -1 WHEN regexp_matches(text, '{_KW}') THEN 1 ELSE 0 END AS pred FROM suites)
+""" + _report_sql("suite") + """
+SELECT suite, metric, round(CAST(value AS DOUBLE), 6) AS value FROM longs"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(Q)
     out["t28_prompts"] = _prompts()

@@ -1,6 +1,10 @@
 """The registered queries: one function per key, each
 ``(spark, sf_dir) -> DataFrame`` over the driver's tables.
 
+P1-P3 (projection, constant columns, comparison filters) are plain
+``select`` / ``lit`` / ``where`` throughout, so Catalyst prunes and pushes
+them into the scans.
+
 Output conventions shared with the DuckDB oracle (``plans.oracle``):
 integers BIGINT, fractions DOUBLE rounded to 6 digits, arrays rendered as
 blank-joined text.
@@ -383,6 +387,23 @@ def t39_registry_join(spark: SparkSession, d: str) -> DataFrame:
                          *[_r(F.col(c)).alias(c) for c in sorted(score_cols)], label.alias("labels"))
 
 
+def t42_evaluation_suites(spark: SparkSession, d: str) -> DataFrame:
+    """K4 + I2 + A8: the reference's five test suites built from the driver
+    tables (detection test set, contradiction rows, long and short slices,
+    test half of the repetition rows), scored in one pass by a keyword
+    scorer through the scorer hook, reported per suite."""
+    test = labels.to_detection(X.x_scored(spark, d)).select("text", "score")
+    rows = infer.suites(
+        test=test,
+        exclusive=labels.to_detection(_contradictions(spark, d)).select("text", "score"),
+        long_lengths=sampling.length_slice(test, "text", 0.9, "long"),
+        short_lengths=sampling.length_slice(test, "text", 0.1, "short"),
+        repetition=_repetitions(spark, d).where(F.col("part") == "test").select("text", "score"),
+    )
+    rep = infer.evaluate(rows, infer.keyword_scorer(X.EXCLUSIVE_HUMOR), ["0", "1"])
+    return rep.select("suite", "metric", _r(F.col("value")).alias("value"))
+
+
 def t40_csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     docs = io.table(spark, d, "documents")
     path = scratch_path(spark, "csv_roundtrip")

@@ -96,9 +96,15 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens: li
     return df
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def _ordered(df: DataFrame, order_by: list[str] | None) -> DataFrame:
+    """O1: key order is applied at the sink only (a range-partitioned sort
+    whose part files are in key order), never inside a job."""
+    return df.orderBy(*order_by) if order_by else df
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[str] | None = None) -> None:
     """Header, no index, blanks and quotes preserved."""
-    df.write.mode(mode).options(**CSV_WRITE).csv(path)
+    _ordered(df, order_by).write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = RATED) -> DataFrame:
@@ -115,8 +121,46 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).parquet(path)
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[str] | None = None) -> None:
+    _ordered(df, order_by).write.mode(mode).parquet(path)
+
+
+def from_prompts(spark: SparkSession, prompts: list[str], score: int = 0) -> DataFrame:
+    """A literal list of prompts (e.g. the sanity prompts, I5) as a
+    (text, score) table with a constant score.  For driver-side literals
+    only; data of any size comes in as a DataFrame with a ``text`` column."""
+    return spark.createDataFrame([(p,) for p in prompts], UNLABELLED).withColumn("score", F.lit(score).cast("int"))
+
+
+# --- S9: training logs ----------------------------------------------------------
+LOG_NAME = r"^(.+)_(classification|detection)\.csv$"
+
+
+def write_train_logs(df: DataFrame, root: str, mode: str = "overwrite") -> None:
+    """S9 sink: one CSV data set per (model, task) under ``root``
+    (``model=<m>/task=<t>/``), written in one pass by every task."""
+    df.write.mode(mode).partitionBy("model", "task").options(**CSV_WRITE).csv(root)
+
+
+def read_train_logs(spark: SparkSession, root: str) -> DataFrame:
+    """S9 scan of logs written by ``write_train_logs``: model and task come
+    from the partition folders, so a filter on them prunes whole folders."""
+    schema = T.StructType(TRAIN_LOG.fields + [T.StructField("model", T.StringType()),
+                                              T.StructField("task", T.StringType())])
+    return spark.read.schema(schema).options(**CSV_READ).csv(root)
+
+
+def read_named_logs(spark: SparkSession, pattern: str) -> DataFrame:
+    """S9 scan of loose ``{model}_{task}.csv`` files (the reference's layout):
+    every file matching ``pattern`` in one read, with model and task taken
+    from the file name (``_metadata.file_name``) instead of a driver loop."""
+    df = spark.read.schema(TRAIN_LOG).options(**CSV_READ).csv(pattern)
+    name = F.col("_metadata.file_name")
+    return df.select(
+        *TRAIN_LOG.fieldNames(),
+        F.regexp_extract(name, LOG_NAME, 1).alias("model"),
+        F.regexp_extract(name, LOG_NAME, 2).alias("task"),
+    )
 
 
 # --- S2: dataset registry ------------------------------------------------------

@@ -11,3 +11,41 @@ def test_csv_round_trip(spark):
     back = {r.id: r.text for r in io.read_csv(spark, path, df.schema).collect()}
     assert [back[i] for i in range(4)] == texts[:4]
     assert back[4] is None  # '' comes back null (documented)
+
+
+def test_prompts_source(spark):
+    df = io.from_prompts(spark, ["jaja", "hola"], score=1)
+    assert sorted(tuple(r) for r in df.collect()) == [("hola", 1), ("jaja", 1)]
+
+
+def test_train_log_sink_and_scans(spark, tmp_path):
+    logs = spark.createDataFrame(
+        [(500, 0.9, 0.8, 0.5, 0.4, 0.45, "bloom", "detection"),
+         (1000, 0.7, 0.6, 0.6, 0.5, 0.55, "bloom", "detection"),
+         (500, 1.5, 1.4, 0.3, 0.2, 0.25, "canine", "classification")],
+        "step int, train_loss double, loss double, accuracy double, macro_f1 double, weighted_f1 double, "
+        "model string, task string",
+    )
+    root = scratch_path(spark, "logs")
+    io.write_train_logs(logs, root)
+    back = io.read_train_logs(spark, root)
+    assert sorted(tuple(r) for r in back.select(*logs.columns).collect()) == sorted(tuple(r) for r in logs.collect())
+    assert back.where("model = 'bloom'").count() == 2
+
+    # the reference's layout: loose {model}_{task}.csv files
+    import os
+    flat = str(tmp_path)
+    for (model, task), rows in {("bloom", "detection"): "500,0.9,0.8,0.5,0.4,0.45\n1000,0.7,0.6,0.6,0.5,0.55\n",
+                                ("canine_c", "classification"): "500,1.5,1.4,0.3,0.2,0.25\n"}.items():
+        with open(os.path.join(flat, f"{model}_{task}.csv"), "w") as fh:
+            fh.write("step,train_loss,loss,accuracy,macro_f1,weighted_f1\n" + rows)
+    named = io.read_named_logs(spark, os.path.join(flat, "*.csv"))
+    got = sorted((r.model, r.task, r.step) for r in named.collect())
+    assert got == [("bloom", "detection", 500), ("bloom", "detection", 1000), ("canine_c", "classification", 500)]
+
+
+def test_sorted_sink(spark):
+    df = spark.range(200).selectExpr("CAST((id * 7919) % 200 AS BIGINT) AS id").repartition(4)
+    path = scratch_path(spark, "sorted")
+    io.write_table(df, path, order_by=["id"])
+    assert [r.id for r in spark.read.parquet(path).collect()] == list(range(200))
