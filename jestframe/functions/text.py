@@ -45,7 +45,9 @@ def random_join(tokens: Column, key: Column, p_newline: float = 0.1, seed: int =
     md5("seed:key:tag||((j-1) // 4 + 1)"): one md5 serves four tokens.  The
     separators are built as their own array and zipped with the tokens, so
     each hash is computed once per row (a lambda that referred to a shared
-    expression would re-evaluate it per element)."""
+    expression would re-evaluate it per element).  ``tokens`` is read three
+    times: pass a column reference, not a costly expression (see
+    ``operators.generate``)."""
     t = probability_threshold(p_newline)
     n = F.size(tokens)
     blocks = F.greatest(((n + 3) / 4).cast("int"), F.lit(1))

@@ -4,6 +4,13 @@ Every random choice is a keyed draw (``functions.rand``): the i-th generated
 row and its j-th token get their own key, so the rows are the same on any
 cluster shape and after any retry.  Generation is row-local (no shuffle);
 the only shuffle is the final drop-all-duplicates.
+
+Token arrays are projected into their own column before ``random_join``
+reads them.  ``random_join`` refers to its tokens three times, and Catalyst
+does not share common subexpressions across higher-order functions, so an
+inlined array of keyed draws (or a split of a whole text) would be computed
+three times per row.  CollapseProject keeps the separate projection because
+merging it would duplicate a costly expression.
 """
 
 from __future__ import annotations
@@ -34,7 +41,8 @@ def contradiction_rows(original: DataFrame, exclusive_humor: list[str], exclusiv
     other = choices(exclusive_non_humor, k, g) if exclusive_non_humor else F.array().cast("array<string>")
     phrases = F.when(is_zero, humor).otherwise(other)
     tokens = F.concat(F.array(F.col(text)), phrases)
-    out = sampled.select("draw", F.col(key).alias("id"), random_join(tokens, g).alias("text"), F.col(score).alias("score"))
+    staged = sampled.select("draw", F.col(key).alias("id"), F.col(score).alias("score"), tokens.alias("_tok"))
+    out = staged.select("draw", "id", random_join(F.col("_tok"), g).alias("text"), "score")
     return drop_all_duplicates(out, "text")
 
 
@@ -56,7 +64,8 @@ def repetition_rows(seeds: DataFrame, repetition_tokens: list[str], exclusive_hu
     )
     g = F.concat(F.lit(tag + ":"), F.col("gen").cast("string"))
     k = random_count(g, "k", 1, max_tokens)
-    out = gen.select("gen", random_join(choices(vocab, k, g), g).alias("text"), F.lit(0).alias("score"))
+    staged = gen.select("gen", choices(vocab, k, g).alias("_tok"))
+    out = staged.select("gen", random_join(F.col("_tok"), g).alias("text"), F.lit(0).alias("score"))
     unique = drop_all_duplicates(out, "text")
     return exact_split(unique, "gen", 0.5, tag=tag + "_split", names=("train", "test"), held_out="floor",
                        materialise=True)
@@ -69,7 +78,8 @@ def token_shuffle_join(df: DataFrame, vocabulary: list[str], key: str = "doc_id"
     g = F.concat(F.lit(tag + ":"), F.col(key).cast("string"))
     k = random_count(g, "k", 1, min(3, len(vocabulary)))
     tokens = F.concat(F.split(F.col(text), " "), choices(vocabulary, k, g))
-    return df.select(F.col(key), random_join(tokens, g).alias("text"))
+    staged = df.select(F.col(key), tokens.alias("_tok"))
+    return staged.select(F.col(key), random_join(F.col("_tok"), g).alias("text"))
 
 
 __all__ = ["contradiction_rows", "repetition_rows", "token_shuffle_join", "vocabulary_union"]

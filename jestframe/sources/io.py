@@ -54,14 +54,27 @@ TABLE_KEYS = {
 }
 
 
+# (application, path, split size) -> (schema, scan partitions): what a
+# metastore would hold.  Without it every read infers the schema again (a
+# footer-reading job) and plans the scan again to count its splits.
+_CATALOG: dict[tuple[str, str, str], tuple[T.StructType, int]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables, spread over the cluster's task
     slots when the scan alone would use fewer (see ``spread``)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df, TABLE_KEYS.get(name))
-
-
-def spread(df: DataFrame, key: str | None) -> DataFrame:
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    entry = (spark.sparkContext.applicationId, path, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    known = _CATALOG.get(entry)
+    if known is None:
+        df = spark.read.parquet(path)
+        known = _CATALOG[entry] = (df.schema, df.rdd.getNumPartitions())
+    else:
+        df = spark.read.schema(known[0]).parquet(path)
+    return spread(df, TABLE_KEYS.get(name), known[1])
+
+
+def spread(df: DataFrame, key: str | None, partitions: int | None = None) -> DataFrame:
     """Hash-repartition a scan on ``key`` when it has fewer partitions than
     the cluster has task slots.
 
@@ -74,7 +87,7 @@ def spread(df: DataFrame, key: str | None) -> DataFrame:
     if key is None or spark.conf.get("jestframe.spread", "true") != "true":
         return df
     slots = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    if (partitions if partitions is not None else df.rdd.getNumPartitions()) >= slots:
         return df
     return df.repartition(slots, key)
 
