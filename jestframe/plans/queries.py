@@ -365,7 +365,9 @@ def t38_fit_predict(spark: SparkSession, d: str) -> DataFrame:
 
     docs = io.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     lab = io.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("score"))
-    data = sampling.exact_split(docs.join(lab, "id"), "id", 0.2, tag="fit")
+    # the split feeds the IDF fit, the regression fit and the prediction:
+    # written once to the shared checkpoint folder instead of recomputed
+    data = sampling.exact_split(docs.join(lab, "id"), "id", 0.2, tag="fit").checkpoint()
     train = data.where(F.col("part") == "train").drop("part")
     valid = data.where(F.col("part") == "valid").drop("part")
     fitted = M.fit(train, 2, class_weights=DETECTION_WEIGHTS)
