@@ -13,7 +13,7 @@ def test_every_query_has_oracle_or_is_documented(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"t38_fit_predict"}
-    assert len(q) == 41
+    assert len(q) == 42
 
 
 def test_queries_run_on_smallest_scale(spark):
