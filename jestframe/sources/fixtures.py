@@ -20,6 +20,16 @@ from .io import table
 EXCLUSIVE_HUMOR = ["jaja", "jeje", "lol"]
 EXCLUSIVE_NON_HUMOR = ["report", "table", "index"]
 REPETITION_TOKENS = ["jaja", "meh", "ok"]
+# Our own sanity prompts (I5): a joke, plain prose, laughter, noise, an
+# English line and an empty-ish line.
+SANITY_PROMPTS = [
+    "¿Por qué el libro de matemáticas estaba triste? Porque tenía muchos problemas.",
+    "El informe trimestral se entrega el lunes.",
+    "jajajaja",
+    "asdf qwer zxcv",
+    "Why did the chicken cross the road?",
+    "...",
+]
 CLASS_TOKENS = [6, 7, 8, 9, 10]
 END_TOKEN = 9
 MAX_LENGTH = 512

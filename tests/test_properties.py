@@ -140,3 +140,30 @@ def test_pack_and_mask_rules(spark, cases):
         last = valid[-1] if valid else 0
         mask = [x if j == last else -100 for j, x in enumerate(labels_)]
         assert got[i] == (_pack(ids[-4:], lab, 9, 4), mask)
+
+
+def test_fit_best_keeps_first_best_step(spark):
+    """K3: candidates by training length, the first best by macro F1 wins."""
+    from jestframe.operators import model as M
+    from jestframe.operators.sampling import exact_split
+    from jestframe.sources import io
+    from conftest import SF_MID
+
+    docs = io.table(spark, SF_MID, "documents").select(F.col("doc_id").alias("id"), "text")
+    lab = io.table(spark, SF_MID, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("score"))
+    data = exact_split(docs.join(lab, "id"), "id", 0.2, tag="k3").checkpoint()
+    train = data.where("part = 'train'").drop("part")
+    valid = data.where("part = 'valid'").drop("part")
+    model, log = M.fit_best(train, valid, 2, class_weights=[1.05, 1.0], steps=(2, 5, 10), num_features=1 << 12)
+    rows = sorted(log.collect(), key=lambda r: r.step)
+    assert [r.step for r in rows] == [2, 5, 10]
+    top = max(r.macro_f1 for r in rows)
+    first = min(r.step for r in rows if r.macro_f1 == top)
+    assert [r.step for r in rows if r.is_best] == [first]
+    assert model.stages[-1].getMaxIter() == first
+    pred = M.predict(model, valid, 2)
+    assert pred.count() == valid.count()
+    # The sanity prompts through the chosen model
+    from jestframe.sources.fixtures import SANITY_PROMPTS
+    sanity = M.predict(model, io.from_prompts(spark, SANITY_PROMPTS), 2).collect()
+    assert len(sanity) == 6 and all(r.labels in (0, 1) and abs(r.score_0 + r.score_1 - 1) < 1e-9 for r in sanity)
