@@ -90,7 +90,7 @@ def fit_best(train: DataFrame, valid: DataFrame, num_classes: int = 2, class_wei
         "score", F.col("score").cast("double"))
     features = Pipeline(stages=_feature_stages(num_features)).fit(prepared)
     train_x = features.transform(prepared).select("features", "score", "weight").checkpoint()
-    valid_x = features.transform(valid.where(F.col("text").isNotNull())).checkpoint()
+    valid_x = features.transform(valid.where(F.col("text").isNotNull())).select("features", "score").checkpoint()
     models, reports = {}, []
     for s in steps:  # a short list of parameter values; each fit is a distributed job
         lr = _regression(num_classes, threshold, weighted, s).fit(train_x)
