@@ -173,10 +173,10 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
     ok = first.where(F.col("finish") == "ok").select(F.explode(F.from_json("response", ITEM)).alias("it"))
     accepted = ok.select(F.col("it.id").alias("id"), F.col("it.body").alias("body"), F.col("it.rating").alias("rating"),
                          F.lit("ok").alias("status"))
-    refused = first.where(F.col("finish") != "ok").select("batch")
-    singles = batched.join(refused, "batch", "left_semi").select(
-        "id", F.to_json(F.array(F.struct("body", "id", "rating"))).alias("payload")
-    )
+    # the items of a refused batch are read back from its (written) payload:
+    # no second ranking pass and no join over all items
+    refused = first.where(F.col("finish") != "ok").select(F.explode(F.from_json("payload", ITEM)).alias("it"))
+    singles = refused.select(F.col("it.id").alias("id"), F.to_json(F.array(F.col("it"))).alias("payload"))
     second = _call_json(singles, "payload", batch_scorer)
     retried = second.select(
         "id",
