@@ -8,7 +8,6 @@ per group, combined map-side), the loss is one global sum.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,20 +131,20 @@ def best_rows(df: DataFrame, by: list[str], step: str = "step", metric: str = "m
 
 
 def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str = "macro_f1",
-                 blocks: int = 64) -> DataFrame:
+                 blocks: int | None = None) -> DataFrame:
     """``is_best`` = metric strictly above every earlier metric of the
     group (the first evaluation is always best).
 
-    Skew-safe: steps are cut into ``blocks`` ranges (global approximate
-    quantiles, a bounded list), each (group, block) gets the max of all
-    earlier blocks from a small aggregated table, and the ordered window runs
-    per (group, block).  A group with a third of all rows is split ``blocks``
-    ways instead of landing in one task."""
-    probs = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(df.approxQuantile(step, probs, 0.001))) if blocks > 1 else []
-    splits = [float("-inf")] + [float(b) for b in bounds] + [float("inf")]
-    x = df.withColumn("_sd", F.col(step).cast("double"))
-    x = Bucketizer(splits=splits, inputCol="_sd", outputCol="_blk", handleInvalid="keep").transform(x).drop("_sd")
+    Skew-safe: range partitioning on (group, step) cuts the rows into
+    ``blocks`` contiguous ranges (default: the shuffle partitions), balanced
+    by Spark's sampled boundaries and written once.  Each (range, group) gets
+    the max of the group's earlier ranges from a small aggregated table, and
+    the ordered window runs per (group, range).  A group with a third of all
+    rows is spread over a third of the ranges instead of one task."""
+    n = blocks or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(c) for c in by] + [F.col(step)]
+    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_blk", F.spark_partition_id()).checkpoint())
     bmax = x.groupBy(*by, "_blk").agg(F.max(metric).alias("_bm"))
     w1 = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     prior = bmax.select(*by, "_blk", F.max("_bm").over(w1).alias("_prior"))

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,26 +68,30 @@ def exact_rank(df: DataFrame, u: str, tiebreak: str, by: list[str] | None = None
 
 
 def exact_rank_by_order(df: DataFrame, order: str, by: list[str] | None = None, rank_col: str = "rank",
-                        blocks: int = 256) -> DataFrame:
-    """1-based rank by any numeric ``order`` column (unique within ``by``).
-
-    Like ``exact_rank`` but the buckets are ranges between approximate
-    quantiles of ``order`` (a bounded list on the driver), so skewed keys
-    still spread over ``blocks`` window tasks."""
+                        blocks: int | None = None) -> DataFrame:
+    """1-based rank by an ``order`` column that is unique within ``by``:
+    ``row_number() OVER (PARTITION BY by ORDER BY order)``.
+
+    Range partitioning on (by, order) cuts the rows into ``blocks`` (default:
+    the shuffle partitions) contiguous ranges, balanced by Spark's sampled
+    boundaries as in a global sort.  Each range is sorted and written once
+    (``checkpoint``), which fixes every row's position in its range.  Counts
+    per (range, group) give each range the number of the group's rows before
+    it.  Every task holds one range, whatever the skew of ``by``."""
     by = list(by or [])
-    probs = [i / blocks for i in range(1, blocks)]
-    bounds = sorted(set(float(b) for b in df.approxQuantile(order, probs, 0.001)))
-    splits = [float("-inf")] + bounds + [float("inf")]
-    x = df.withColumn("_sd", F.col(order).cast("double"))
-    x = Bucketizer(splits=splits, inputCol="_sd", outputCol="_b", handleInvalid="keep").transform(x).drop("_sd")
-    counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+    n = blocks or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = [F.col(c) for c in by] + [F.col(order)]
+    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+         .withColumn("_pos", F.monotonically_increasing_id()).checkpoint())
+    x = x.withColumn("_blk", F.shiftright(F.col("_pos"), 33))
+    starts = x.groupBy("_blk", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_first"))
+    w = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = starts.select("_blk", *by, "_first", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     if not by:
-        offsets = F.broadcast(offsets)  # at most ``blocks`` rows
-    joined = x.join(offsets, [*by, "_b"])
-    rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.col(order)))
-    return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
+        offsets = F.broadcast(offsets)  # one row per range: at most ``n`` rows
+    joined = x.join(offsets, ["_blk", *by])
+    rank = F.col("_off") + (F.col("_pos") - F.col("_first")) + 1
+    return joined.withColumn(rank_col, rank.cast("bigint")).drop("_pos", "_blk", "_first", "_off")
 
 
 def with_draw(df: DataFrame, key: str, tag: str, name: str = "_u") -> DataFrame:
