@@ -105,9 +105,17 @@ class BucketCounts:
     low-cardinality groups such as class labels), so it is safe to bring to
     the driver.  It yields the group sizes and, as a broadcast table, the
     offset of every bucket -- one scan instead of a count plus a ranking pass.
+
+    When a cell holds more than ``TARGET_BUCKET_ROWS`` rows (a class of
+    billions), the buckets are refined to more bits so that no window task
+    gets more than about that many rows; the finer offsets then stay a
+    DataFrame (counts + prefix-sum window), broadcast only while
+    groups x 2^bits is under ``BROADCAST_ROWS``.
     """
 
-    def __init__(self, x: DataFrame, u: str, by: list[str], bits: int = 12, materialise: bool = False):
+    def __init__(self, x: DataFrame, u: str, by: list[str], bits: int = 12, materialise: bool = False,
+                 target_rows: int | None = None):
+        target_rows = target_rows or TARGET_BUCKET_ROWS
         self.by, self.bits, self.u = list(by), bits, u
         if materialise:
             # the input holds a shuffle: write it once (shared checkpoint
@@ -123,6 +131,17 @@ class BucketCounts:
             g = tuple(r[c] for c in self.by)
             offsets.append((*g, r["_b"], self.sizes.get(g, 0)))
             self.sizes[g] = self.sizes.get(g, 0) + r["_c"]
+        self.broadcast = True
+        biggest = max((r["_c"] for r in rows), default=0)
+        if biggest > target_rows:
+            fine = min(32, bits + math.ceil(math.log2(biggest / target_rows)))
+            self.bits = fine
+            self.x = x.withColumn("_b", F.shiftright(F.col(u), 32 - fine))
+            counts = self.x.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+            w = Window.partitionBy(*self.by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+            self.offsets = counts.select(*self.by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+            self.broadcast = len(self.sizes) * (1 << fine) <= BROADCAST_ROWS
+            return
         fields = [f for f in self.x.schema.fields if f.name in self.by]
         fields = [next(f for f in fields if f.name == c) for c in self.by]
         schema = T.StructType(fields + [T.StructField("_b", T.LongType()), T.StructField("_off", T.LongType())])
@@ -136,7 +155,8 @@ class BucketCounts:
         """Rank 1..n within each group by (u, tiebreak...), exact; the
         tiebreak columns must make the order total for retries to agree."""
         ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-        joined = self.x.join(F.broadcast(self.offsets), [*self.by, "_b"])
+        offsets = F.broadcast(self.offsets) if self.broadcast else self.offsets
+        joined = self.x.join(offsets, [*self.by, "_b"])
         rn = F.row_number().over(
             Window.partitionBy(*self.by, "_b").orderBy(F.col(self.u), *[F.col(c) for c in ties]))
         return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")

@@ -78,3 +78,15 @@ def test_salted_draws_pick_the_same_rows(spark, monkeypatch):
         .analyzed().toString()
     assert plain == salted
     assert len(plain[1]) == 3000
+
+
+def test_bucket_counts_refine_big_cells(spark):
+    """Cells above the target are refined to more bits; ranks stay exact."""
+    df = spark.range(6000).withColumn("g", (F.col("id") % 2).cast("int")).withColumn("u", draw(F.col("id"), "bc"))
+    coarse = sampling.BucketCounts(df, "u", ["g"], bits=2)
+    fine = sampling.BucketCounts(df, "u", ["g"], bits=2, target_rows=50)
+    assert coarse.bits == 2 and fine.bits > 2 and fine.sizes == coarse.sizes == {(0,): 3000, (1,): 3000}
+    ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("u", "id")))
+    for bc in (coarse, fine):
+        got = bc.ranked("id").select("id", "rank")
+        assert got.exceptAll(ref.select("id", "rank")).count() == 0 and got.count() == 6000
