@@ -40,20 +40,21 @@ def drop_all_duplicates(df: DataFrame, subset: str | list[str] = "text") -> Data
 
 
 def drop_all_duplicates_hashed(df: DataFrame, subset: str = "text") -> DataFrame:
-    """D1 for very long keys: group on a 64-bit hash and carry min/max of the
-    key.  A hash seen once is surely unique; a hash seen more than once with
-    equal min and max key is a true duplicate; only colliding hashes (min !=
-    max, vanishingly rare) are regrouped on the full key.  Exact."""
+    """D1 grouped on a 64-bit hash of the key alone, as a cross-check of
+    ``drop_all_duplicates`` (which groups on (hash, key) and is the cheaper
+    form: it shuffles each key once).  A hash seen once is surely unique; a
+    hash seen more than once whose smallest row key equals its largest key is
+    a true duplicate; only colliding hashes (vanishingly rare) are regrouped
+    on the full key.  Exact."""
     rest = [c for c in df.columns if c != subset]
     h = F.xxhash64(F.col(subset))
     g = df.withColumn("_h", h).groupBy("_h").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min(F.col(subset)).alias("_lo"),
         F.max(F.col(subset)).alias("_hi"),
         F.min(F.struct(*[F.col(c) for c in [subset] + rest])).alias("_r"),
     )
     unique = g.where(F.col("_n") == 1).select(*[F.col(f"_r.{c}").alias(c) for c in df.columns])
-    collided = g.where((F.col("_n") > 1) & ~F.col("_lo").eqNullSafe(F.col("_hi"))).select("_h")
+    collided = g.where((F.col("_n") > 1) & ~F.col(f"_r.{subset}").eqNullSafe(F.col("_hi"))).select("_h")
     again = drop_all_duplicates(
         df.withColumn("_h", h).join(collided, "_h", "left_semi").drop("_h"), subset
     )
