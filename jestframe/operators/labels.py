@@ -21,14 +21,15 @@ def resolve_votes(df: DataFrame, votes: list[str] | None = None) -> DataFrame:
     first category with more than half of the votes; else the highest category
     with at least a quarter; else 0.  Zero votes -> 0 (N13, documented)."""
     votes = votes or [f"votes_{i}" for i in range(1, 6)]
-    v = F.array(*[F.col(c).cast("bigint") for c in votes])
-    total = F.aggregate(v, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    majority = F.array_position(F.transform(v, lambda x: x * 2 > total), True)
-    quarter = F.array_max(F.transform(v, lambda x, i: F.when(x * 4 >= total, i + 1).otherwise(F.lit(0))))
+    v = [F.col(c).cast("bigint") for c in votes]
+    # plain column arithmetic and CASE chains: stays in whole-stage codegen
+    total = sum(v[1:], v[0])
+    majority = F.coalesce(*[F.when(x * 2 > total, F.lit(i)) for i, x in enumerate(v, 1)], F.lit(0))
+    quarter = F.coalesce(*[F.when(x * 4 >= total, F.lit(i)) for i, x in reversed(list(enumerate(v, 1)))], F.lit(0))
     score = (
         F.when(F.col("is_humor").eqNullSafe(0), F.lit(0))
         .when(total.isNull() | (total == 0), F.lit(0))
-        .when(majority > 0, majority.cast("int"))
+        .when(majority > 0, majority)
         .otherwise(quarter)
     )
     keep = [c for c in df.columns if c not in votes and c != "is_humor"]
