@@ -111,11 +111,13 @@ def x_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids = word lengths of every blank-separated word of the whole text;
     labels = the same, -100 where the length is 5 or less; score for P10."""
     d = table(spark, sf_dir, "documents")
-    tokens = F.transform(F.split(F.col("text"), " "), lambda w: F.length(w).cast("int"))
-    return d.select(
+    # tokens get their own projection: the labels read them, and an inlined
+    # split of the whole text would run twice per row
+    t = d.select("doc_id", F.transform(F.split(F.col("text"), " "), lambda w: F.length(w).cast("int")).alias("tokens"))
+    return t.select(
         F.col("doc_id").alias("id"),
-        tokens.alias("tokens"),
-        F.transform(tokens, lambda t: F.when(t <= 5, F.lit(-100)).otherwise(t)).alias("labels"),
+        "tokens",
+        F.transform("tokens", lambda x: F.when(x <= 5, F.lit(-100)).otherwise(x)).alias("labels"),
         F.when(F.col("doc_id") % 6 == 5, F.lit(None).cast("int"))
         .otherwise((F.col("doc_id") % 5).cast("int"))
         .alias("score"),
