@@ -65,3 +65,22 @@ def test_best_steps_of_published_logs(spark):
     logs = io.read_named_logs(spark, os.path.join(folder, "*.csv"))
     best = M.best_rows(logs, ["model", "task"], "step", "macro_f1").collect()
     assert {(r.model, r.task): r.step for r in best} == PUBLISHED_BEST_STEPS
+
+
+def test_ranges_do_not_change_answers(spark):
+    """Running best (W1) and exact ranks by order use as many ranges as
+    shuffle partitions; the answers must not depend on that number."""
+    from jestframe.operators.sampling import exact_rank_by_order
+    from jestframe.sources import fixtures as X
+    from conftest import SF_SMALL
+
+    logs = X.x_log(spark, SF_SMALL)
+    results = []
+    for parts in (1, 4, 64):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        rb = sorted((r.model, r.step, r.is_best) for r in M.running_best(logs, ["model"], "step", "macro_f1").collect())
+        rk = sorted((r.step, r.rank) for r in exact_rank_by_order(logs, "step", rank_col="rank").collect())
+        results.append((rb, rk))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert results[0] == results[1] == results[2]
+    assert [r for _, r in results[0][1]] == list(range(1, logs.count() + 1))
