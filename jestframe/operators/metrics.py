@@ -131,7 +131,7 @@ def best_rows(df: DataFrame, by: list[str], step: str = "step", metric: str = "m
 
 
 def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str = "macro_f1",
-                 blocks: int | None = None) -> DataFrame:
+                 blocks: int | None = None, start: DataFrame | None = None) -> DataFrame:
     """``is_best`` = metric strictly above every earlier metric of the
     group (the first evaluation is always best).
 
@@ -140,7 +140,10 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
     by Spark's sampled boundaries and written once.  Each (range, group) gets
     the max of the group's earlier ranges from a small aggregated table, and
     the ordered window runs per (group, range).  A group with a third of all
-    rows is spread over a third of the ranges instead of one task."""
+    rows is spread over a third of the ranges instead of one task.
+
+    ``start`` (columns ``by`` + ``_start``) is each group's best before these
+    rows, e.g. from earlier micro-batches of a stream; a row must beat it too."""
     n = blocks or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in by] + [F.col(step)]
     x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
@@ -148,6 +151,10 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
     bmax = x.groupBy(*by, "_blk").agg(F.max(metric).alias("_bm"))
     w1 = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     prior = bmax.select(*by, "_blk", F.max("_bm").over(w1).alias("_prior"))
+    if start is not None:
+        prior = prior.join(start.select(*by, "_start"), by, "left").select(
+            *by, "_blk", F.greatest(F.col("_prior"), F.col("_start").cast(prior.schema["_prior"].dataType))
+            .alias("_prior"))
     joined = x.join(prior, [*by, "_blk"])
     w2 = Window.partitionBy(*by, "_blk").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.greatest(F.col("_prior"), F.max(metric).over(w2))

@@ -21,8 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.metrics import best_rows, running_best
+
 
 def track_best(stream: DataFrame, by: str = "model", step: str = "step", metric: str = "macro_f1") -> DataFrame:
     """Stream of (by, step, metric, is_best, best_step) from a stream of logs."""
@@ -67,3 +71,37 @@ def current_best(stream: DataFrame, by: str = "model", step: str = "step", metri
         F.max_by(F.col(step), F.struct(F.col(metric), -F.col(step))).alias("best_step"),
         F.max(metric).alias("best_" + metric),
     )
+
+
+def track_best_batches(stream: DataFrame, out: str, state: str, by: str = "model", step: str = "step",
+                       metric: str = "macro_f1") -> DataStreamWriter:
+    """The same flags as ``track_best``, skew-safe: each micro-batch runs the
+    batch ``running_best`` (range-partitioned, so a run holding a third of a
+    batch is spread over many tasks), seeded with every run's best so far.
+
+    The best so far is a small table (one row per run) in the shared folder
+    ``state``, one version per batch id (``v=<id>``).  Batch ``i`` reads the
+    latest version below ``i`` and overwrites ``out/batch_id=<i>`` and
+    ``state/v=<i>``, so a replayed batch writes the same rows again.  Add
+    ``checkpointLocation`` and a trigger to the returned writer and start it.
+    Flags equal the batch ones when each run's logs arrive in step order."""
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(by, step, F.col(metric).cast("double").alias(metric))
+        prior = None
+        try:
+            versions = spark.read.parquet(state).where(F.col("v") < batch_id)
+            last = versions.agg(F.max("v")).first()[0]
+            if last is not None:
+                prior = versions.where(F.col("v") == last).select(by, step, metric)
+        except AnalysisException:  # no state written yet
+            prior = None
+        start = prior.select(by, F.col(metric).alias("_start")) if prior is not None else None
+        flagged = running_best(rows, [by], step, metric, start=start).select(by, step, metric, "is_best")
+        flagged.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # new best per run: the earlier best, else the first maximum of this batch
+        candidates = rows if prior is None else prior.unionByName(rows)
+        best_rows(candidates, [by], step, metric).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
+
+    return stream.writeStream.foreachBatch(process)
