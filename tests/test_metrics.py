@@ -84,3 +84,18 @@ def test_ranges_do_not_change_answers(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1] == results[2]
     assert [r for _, r in results[0][1]] == list(range(1, logs.count() + 1))
+
+
+def test_experiment_table_and_changed_arguments(spark):
+    """K6 + F16: the parameter table and the arguments that differ from the
+    trainer defaults."""
+    from jestframe.sources.experiments import changed_arguments, experiments_frame
+
+    exp = experiments_frame(spark)
+    assert exp.count() == 14 and exp.select("model").distinct().count() == 7
+    got = {(r.model, r.task, r.param): r.value for r in changed_arguments(exp).collect()}
+    assert got[("bloom", "classification", "trainer_max_steps")] == "6500"
+    assert got[("bloom", "detection", "trainer_per_device_train_batch_size")] == "5"
+    assert len(got) == 28  # both arguments differ from the defaults everywhere
+    dcc = exp.where("model = 'dccuchile' AND task = 'detection'").first()
+    assert dcc.threshold == 0.65 and dcc.class_weights == [1.05, 1.0]
