@@ -35,8 +35,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
     A cluster names it in ``spark.checkpoint.dir``; that value is used as is.
-    Only when nothing is configured (unit tests, a laptop) a private folder is
-    created, so local runs work without setup.
+    Only a local master (unit tests, a laptop) without that setting gets a
+    private temporary folder; on a cluster a machine-local folder would be
+    wrong (executors could not read it), so the setting is required there.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -46,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if not configured:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         configured = tempfile.mkdtemp(prefix="jestframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
