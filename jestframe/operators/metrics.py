@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import log_softmax_at
+from .sampling import join_null_safe
 
 _METRICS = ("precision", "recall", "f1-score", "support")
 
@@ -152,10 +153,10 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
     w1 = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     prior = bmax.select(*by, "_blk", F.max("_bm").over(w1).alias("_prior"))
     if start is not None:
-        prior = prior.join(start.select(*by, "_start"), by, "left").select(
+        prior = join_null_safe(prior, start.select(*by, "_start"), by, "left").select(
             *by, "_blk", F.greatest(F.col("_prior"), F.col("_start").cast(prior.schema["_prior"].dataType))
             .alias("_prior"))
-    joined = x.join(prior, [*by, "_blk"])
+    joined = join_null_safe(x, prior, [*by, "_blk"])
     w2 = Window.partitionBy(*by, "_blk").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
     prev = F.greatest(F.col("_prior"), F.max(metric).over(w2))
     m = F.col(metric)

@@ -37,6 +37,14 @@ def _salted(ranked: DataFrame, copies: F.Column) -> DataFrame:
     return ranked.withColumn("_salt", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int"))))
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` where a null key matches a null key, as groups
+    do (a plain join would drop the rows of a null group)."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in keys]
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def _bits_for(n_rows: int | None) -> int:
     """Bucket bits: at least 16 buckets, about TARGET_BUCKET_ROWS rows each."""
     if not n_rows:
@@ -89,7 +97,7 @@ def exact_rank_by_order(df: DataFrame, order: str, by: list[str] | None = None,
     offsets = starts.select("_blk", *by, "_first", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     if not by:
         offsets = F.broadcast(offsets)  # one row per range: at most ``n`` rows
-    joined = x.join(offsets, ["_blk", *by])
+    joined = join_null_safe(x, offsets, ["_blk", *by])
     rank = F.col("_off") + (F.col("_pos") - F.col("_first")) + 1
     return joined.withColumn(rank_col, rank.cast("bigint")).drop("_pos", "_blk", "_first", "_off")
 

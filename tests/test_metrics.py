@@ -99,3 +99,15 @@ def test_experiment_table_and_changed_arguments(spark):
     assert len(got) == 28  # both arguments differ from the defaults everywhere
     dcc = exp.where("model = 'dccuchile' AND task = 'detection'").first()
     assert dcc.threshold == 0.65 and dcc.class_weights == [1.05, 1.0]
+
+
+def test_null_group_keeps_its_rows(spark):
+    """A null group is a group (as in groupBy and windows); no row is lost."""
+    from jestframe.operators.sampling import exact_rank_by_order
+
+    df = spark.createDataFrame([(None, 1, 0.5), (None, 2, 0.7), (None, 3, 0.6), (1, 1, 0.2), (1, 2, 0.1)],
+                               "model int, step int, m double")
+    rb = sorted((r.model or -1, r.step, r.is_best) for r in M.running_best(df, ["model"], "step", "m").collect())
+    assert rb == [(-1, 1, True), (-1, 2, True), (-1, 3, False), (1, 1, True), (1, 2, False)]
+    rk = sorted((r.model or -1, r.step, r.rank) for r in exact_rank_by_order(df, "step", by=["model"]).collect())
+    assert rk == [(-1, 1, 1), (-1, 2, 2), (-1, 3, 3), (1, 1, 1), (1, 2, 2)]
