@@ -86,22 +86,32 @@ def track_best_batches(stream: DataFrame, out: str, state: str, by: str = "model
     ``checkpointLocation`` and a trigger to the returned writer and start it.
     Flags equal the batch ones when each run's logs arrive in step order."""
 
-    def process(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(by, step, F.col(metric).cast("double").alias(metric))
-        prior = None
+    def read_prior(spark, batch_id: int) -> DataFrame | None:
+        # batch ids are consecutive: the previous version is read directly;
+        # only when it is missing (first batch) are the versions listed
+        try:
+            return spark.read.parquet(f"{state}/v={batch_id - 1}").select(by, step, metric)
+        except AnalysisException:
+            pass
         try:
             versions = spark.read.parquet(state).where(F.col("v") < batch_id)
-            last = versions.agg(F.max("v")).first()[0]
-            if last is not None:
-                prior = versions.where(F.col("v") == last).select(by, step, metric)
         except AnalysisException:  # no state written yet
-            prior = None
+            return None
+        last = versions.agg(F.max("v")).first()[0]
+        return None if last is None else versions.where(F.col("v") == last).select(by, step, metric)
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(by, step, F.col(metric).cast("double").alias(metric))
+        prior = read_prior(spark, batch_id)
         start = prior.select(by, F.col(metric).alias("_start")) if prior is not None else None
         flagged = running_best(rows, [by], step, metric, start=start).select(by, step, metric, "is_best")
-        flagged.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        # new best per run: the earlier best, else the first maximum of this batch
-        candidates = rows if prior is None else prior.unionByName(rows)
+        path = f"{out}/batch_id={batch_id}"
+        flagged.write.mode("overwrite").parquet(path)
+        # new best per run: the earlier best, else the first maximum of this
+        # batch; read from the flags just written (the is_best rows only)
+        news = spark.read.parquet(path).where("is_best").select(by, step, metric)
+        candidates = news if prior is None else prior.unionByName(news)
         best_rows(candidates, [by], step, metric).write.mode("overwrite").parquet(f"{state}/v={batch_id}")
 
     return stream.writeStream.foreachBatch(process)
