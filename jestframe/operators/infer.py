@@ -177,7 +177,7 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
     # no second ranking pass and no join over all items
     refused = first.where(F.col("finish") != "ok").select(F.explode(F.from_json("payload", ITEM)).alias("it"))
     singles = refused.select(F.col("it.id").alias("id"), F.to_json(F.array(F.col("it"))).alias("payload"))
-    second = _call_json(singles, "payload", batch_scorer)
+    second = _call_json(singles, "payload", batch_scorer).checkpoint()  # each request once, however often read
     retried = second.select(
         "id",
         F.when(F.col("finish") == "ok", F.element_at(F.from_json("response", ITEM), 1)["body"]).alias("body"),
