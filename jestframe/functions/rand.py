@@ -25,9 +25,13 @@ def _as_col(x) -> Column:
 
 
 def draw(key, tag, seed: int = DEFAULT_SEED) -> Column:
-    """Uniform integer in [0, 2^32) for (seed, key, tag); BIGINT."""
+    """Uniform integer in [0, 2^32) for (seed, key, tag); BIGINT.
+
+    Never null (``concat_ws`` skips nulls, md5 always answers); the coalesce
+    only tells Catalyst so, which stops it from inferring ``IS NOT NULL``
+    filters on joins over draws and evaluating the md5 a second time there."""
     text = F.concat_ws(":", F.lit(str(seed)), _as_col(key).cast("string"), _as_col(tag).cast("string"))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.coalesce(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def draw_below(key, tag, n, seed: int = DEFAULT_SEED) -> Column:
