@@ -40,6 +40,13 @@ def draw_below(key, tag, n, seed: int = DEFAULT_SEED) -> Column:
     return draw(key, tag, seed) % n_col
 
 
+def position(key, tag, n, seed: int = DEFAULT_SEED) -> Column:
+    """1-based position in [1, n]: ``draw % n + 1``, declared non-null like
+    ``draw`` so that a join on it infers no filter that recomputes the md5."""
+    n_col = n if isinstance(n, Column) else F.lit(int(n))
+    return F.coalesce(draw(key, tag, seed) % n_col, F.lit(0).cast("bigint")) + 1
+
+
 def probability_threshold(p: float) -> int:
     """Integer t with ``draw < t`` true with probability p exactly."""
     return int(math.ceil(p * U_RANGE))

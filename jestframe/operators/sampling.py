@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.rand import draw
+from ..functions.rand import draw, position
 
 # Offsets table = (groups x buckets) rows; it is broadcast only below this.
 BROADCAST_ROWS = 1 << 20
@@ -226,7 +226,7 @@ def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over"
         F.element_at(size_arr, idx).alias("_n"),
         F.element_at(F.array(*[F.lit(f) for f in salts]), idx).alias("_s"),
     )
-    d = d.withColumn("_rank", draw(F.col(label), F.concat(F.lit(tag), F.col("draw").cast("string"))) % F.col("_n") + 1)
+    d = d.withColumn("_rank", position(F.col(label), F.concat(F.lit(tag), F.col("draw").cast("string")), F.col("_n")))
     if max(salts) == 1:
         return d.join(ranked, [label, "_rank"]).drop("_rank", "_n", "_s")
     salt_of = F.create_map(*[x for c, f in zip(classes, salts) for x in (F.lit(c), F.lit(f))])
@@ -250,7 +250,7 @@ def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sa
     draws = spark.range(0, rows, numPartitions=max(1, min(rows // 1_000_000 + 1, 100_000))).select(
         F.col("id").alias("draw")
     )
-    draws = draws.withColumn("_pos", draw(F.lit(tag), F.col("draw")) % F.lit(n) + 1)
+    draws = draws.withColumn("_pos", position(F.lit(tag), F.col("draw"), n))
     salt = salt_factor(rows / n)
     if salt == 1:
         return draws.join(ranked, "_pos").drop("_pos")
