@@ -167,3 +167,21 @@ def test_fit_best_keeps_first_best_step(spark):
     from jestframe.sources.fixtures import SANITY_PROMPTS
     sanity = M.predict(model, io.from_prompts(spark, SANITY_PROMPTS), 2).collect()
     assert len(sanity) == 6 and all(r.labels in (0, 1) and abs(r.score_0 + r.score_1 - 1) < 1e-9 for r in sanity)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([0, 1, None]), st.one_of(st.none(), st.integers(0, 3))),
+                min_size=1, max_size=60))
+def test_running_best_rule(spark, cases):
+    """W1 against the callback rule: per run in step order, a row is best iff
+    its metric is strictly above every earlier metric of the run."""
+    rows = [(run, step, m) for step, (run, m) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "run int, step long, m int")
+    got = {(r.run, r.step): r.is_best for r in metrics.running_best(df, ["run"], "step", "m", blocks=3).collect()}
+    want, best = {}, {}
+    for run, step, m in rows:
+        ok = m is not None and (best.get(run) is None or m > best[run])
+        if ok:
+            best[run] = m
+        want[(run, step)] = ok
+    assert got == want
