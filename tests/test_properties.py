@@ -185,3 +185,26 @@ def test_running_best_rule(spark, cases):
             best[run] = m
         want[(run, step)] = ok
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["", "a", "ab", "abc", "abcd", "b"]), st.sampled_from([0.5, 1.5, 2.5, 3.0])),
+                min_size=1, max_size=40))
+def test_rated_items_rule(spark, items):
+    """C4 against the loop rule: a body whose rating ever changes is dropped,
+    as are empty and over-long bodies; the first item of a body is kept and
+    its rating rounded half to even."""
+    rows = [(i, body, rating) for i, (body, rating) in enumerate(items)]
+    df = spark.createDataFrame(rows, "id long, body string, rating double")
+    got = sorted(tuple(r) for r in labels.rated_items(df, max_length=3).select("id", "text", "score").collect())
+    last, removed = {}, {""}
+    for _, body, rating in rows:
+        if body in last and last[body] != rating:
+            removed.add(body)
+        last[body] = rating
+    want, seen = [], set()
+    for i, body, rating in rows:
+        if body not in removed and len(body) <= 3 and body not in seen:
+            seen.add(body)
+            want.append((i, body, round(rating)))
+    assert got == sorted(want)
