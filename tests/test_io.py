@@ -49,3 +49,25 @@ def test_sorted_sink(spark):
     path = scratch_path(spark, "sorted")
     io.write_table(df, path, order_by=["id"])
     assert [r.id for r in spark.read.parquet(path).collect()] == list(range(200))
+
+
+def test_json_array_scan_and_registry(spark, tmp_path):
+    """S3: a file holding one JSON array of objects (pretty-printed over many
+    lines); S2: datasets loaded by registered name or by path."""
+    import json
+    import os
+
+    items = [{"id": 1, "body": "uno\n\"dos\"", "rating": 2.5}, {"id": 2, "body": "tres, ñ", "rating": 3.0}]
+    path = os.path.join(str(tmp_path), "rated.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        json.dump(items, fh, indent=2, ensure_ascii=False)
+    got = sorted(tuple(r) for r in io.read_json_array(spark, path).collect())
+    assert got == [(1, "uno\n\"dos\"", 2.5), (2, "tres, ñ", 3.0)]
+
+    df = spark.createDataFrame([("a b", 1), ("c", 0)], io.LABELLED)
+    io.write_csv(df, os.path.join(str(tmp_path), "base"))
+    reg = io.Registry(spark, str(tmp_path))
+    reg.register("base", "base")
+    by_name = sorted(tuple(r) for r in reg.load("base").collect())
+    by_path = sorted(tuple(r) for r in reg.load(os.path.join(str(tmp_path), "base")).collect())
+    assert by_name == by_path == [("a b", 1), ("c", 0)]

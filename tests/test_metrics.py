@@ -111,3 +111,19 @@ def test_null_group_keeps_its_rows(spark):
     assert rb == [(-1, 1, True), (-1, 2, True), (-1, 3, False), (1, 1, True), (1, 2, False)]
     rk = sorted((r.model or -1, r.step, r.rank) for r in exact_rank_by_order(df, "step", by=["model"]).collect())
     assert rk == [(-1, 1, 1), (-1, 2, 2), (-1, 3, 3), (1, 1, 1), (1, 2, 2)]
+
+
+def test_probability_view_missing_gate_and_top_values(spark):
+    """F19 unpivot of score_* columns, P11 any-missing gate, top-k values."""
+    import math
+
+    from jestframe.operators.infer import any_missing, class_probabilities
+    from jestframe.operators.profile import top_values
+
+    df = spark.createDataFrame([(1, 0.2, 0.8), (2, float("nan"), None)], "id int, score_0 double, score_1 double")
+    long = {(r.id, r["class"]): r.p for r in class_probabilities(df).collect()}
+    assert long[(1, 1)] == 0.2 and long[(1, 2)] == 0.8 and math.isnan(long[(2, 1)]) and long[(2, 2)] is None
+    assert df.agg(any_missing("score_0").alias("x")).first().x is True
+    assert df.where("id = 1").agg(any_missing("score_0").alias("x")).first().x is False
+    words = spark.createDataFrame([(w,) for w in "b a b c a b".split()], "w string")
+    assert [(r.w, r.n) for r in top_values(words, "w", 2).collect()] == [("b", 3), ("a", 2)]
