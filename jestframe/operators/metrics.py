@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import log_softmax_at
-from .sampling import join_null_safe
+from .sampling import join_null_safe, ranged
 
 _METRICS = ("precision", "recall", "f1-score", "support")
 
@@ -137,7 +137,8 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
     group (the first evaluation is always best).
 
     Skew-safe: range partitioning on (group, step) cuts the rows into
-    ``blocks`` contiguous ranges (default: the shuffle partitions), balanced
+    ``blocks`` contiguous ranges (default: the shuffle partitions, merged by
+    AQE when small), balanced
     by Spark's sampled boundaries and written once.  Each (range, group) gets
     the max of the group's earlier ranges from a small aggregated table, and
     the ordered window runs per (group, range).  A group with a third of all
@@ -145,9 +146,8 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
 
     ``start`` (columns ``by`` + ``_start``) is each group's best before these
     rows, e.g. from earlier micro-batches of a stream; a row must beat it too."""
-    n = blocks or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in by] + [F.col(step)]
-    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    x = (ranged(df, keys, blocks).sortWithinPartitions(*keys)
          .withColumn("_blk", F.spark_partition_id()).checkpoint())
     bmax = x.groupBy(*by, "_blk").agg(F.max(metric).alias("_bm"))
     w1 = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

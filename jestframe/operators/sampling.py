@@ -75,28 +75,34 @@ def exact_rank(df: DataFrame, u: str, tiebreak: str, by: list[str] | None = None
     return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
 
 
+def ranged(df: DataFrame, keys: list, blocks: int | None = None) -> DataFrame:
+    """Range partitioning on ``keys``: ``blocks`` ranges if given, else the
+    shuffle partitions, which AQE may merge when the input is small (an
+    explicit count is never coalesced)."""
+    return df.repartitionByRange(blocks, *keys) if blocks else df.repartitionByRange(*keys)
+
+
 def exact_rank_by_order(df: DataFrame, order: str, by: list[str] | None = None, rank_col: str = "rank",
                         blocks: int | None = None) -> DataFrame:
     """1-based rank by an ``order`` column that is unique within ``by``:
     ``row_number() OVER (PARTITION BY by ORDER BY order)``.
 
     Range partitioning on (by, order) cuts the rows into ``blocks`` (default:
-    the shuffle partitions) contiguous ranges, balanced by Spark's sampled
+    the shuffle partitions, merged by AQE when small) contiguous ranges, balanced by Spark's sampled
     boundaries as in a global sort.  Each range is sorted and written once
     (``checkpoint``), which fixes every row's position in its range.  Counts
     per (range, group) give each range the number of the group's rows before
     it.  Every task holds one range, whatever the skew of ``by``."""
     by = list(by or [])
-    n = blocks or max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = [F.col(c) for c in by] + [F.col(order)]
-    x = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    x = (ranged(df, keys, blocks).sortWithinPartitions(*keys)
          .withColumn("_pos", F.monotonically_increasing_id()).checkpoint())
     x = x.withColumn("_blk", F.shiftright(F.col("_pos"), 33))
     starts = x.groupBy("_blk", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = starts.select("_blk", *by, "_first", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
     if not by:
-        offsets = F.broadcast(offsets)  # one row per range: at most ``n`` rows
+        offsets = F.broadcast(offsets)  # one row per range: at most the shuffle partitions
     joined = join_null_safe(x, offsets, ["_blk", *by])
     rank = F.col("_off") + (F.col("_pos") - F.col("_first")) + 1
     return joined.withColumn(rank_col, rank.cast("bigint")).drop("_pos", "_blk", "_first", "_off")
