@@ -1,7 +1,9 @@
 """A dataset profile as one long table (column, stat, value).
 
 All scalar statistics of all columns come from one aggregation pass; exact
-distinct counts are optional (``approx_count_distinct`` otherwise).  The
+distinct counts are optional (``approx_count_distinct`` otherwise).  Exact
+quartiles of numeric columns come from ranks (``exact_quantiles``), not from
+a value->count map that would hold a unique column whole in one task.  The
 duplicate-row count is one more ``groupBy`` over all columns.
 """
 
@@ -11,12 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import exact_quantiles
+
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     aggs: list = []
     names: list[tuple[str, str]] = []
+    quantile_tables: list[DataFrame] = []
 
     def add(col: str, stat: str, expr):
         names.append((col, stat))
@@ -34,8 +39,11 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
             add(f.name, "max", F.max(c))
             add(f.name, "mean", F.avg(c))
             add(f.name, "std", F.stddev_samp(c))
-            for q in quantiles:
-                add(f.name, f"p{int(q * 100)}", F.percentile(c, F.lit(q)))
+            # exact quantiles by ranks (bounded memory for any number of distinct values)
+            label = F.create_map(*[x for q in quantiles for x in (F.lit(float(q)), F.lit(f"p{int(q * 100)}"))])
+            quantile_tables.append(exact_quantiles(df, f.name, quantiles).select(
+                F.lit(f.name).alias("column"), F.element_at(label, F.col("q")).alias("stat"),
+                F.col("value").cast("double").alias("value")))
         elif isinstance(f.dataType, T.StringType):
             n = F.length(c)
             add(f.name, "min_length", F.min(n))
@@ -53,7 +61,10 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
         .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("double").alias("value"))
         .select(F.lit("*").alias("column"), F.lit("duplicate_rows").alias("stat"), "value")
     )
-    return stats.unionByName(dup)
+    out = stats.unionByName(dup)
+    for t in quantile_tables:
+        out = out.unionByName(t)
+    return out
 
 
 def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:

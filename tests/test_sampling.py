@@ -90,3 +90,19 @@ def test_bucket_counts_refine_big_cells(spark):
     for bc in (coarse, fine):
         got = bc.ranked("id").select("id", "rank")
         assert got.exceptAll(ref.select("id", "rank")).count() == 0 and got.count() == 6000
+
+
+def test_exact_quantiles_match_linear_interpolation(spark):
+    import math
+
+    import numpy as np
+
+    qs = (0.1, 0.25, 0.5, 0.75, 0.9)
+    cases = [[5.0, 1.0, 3.0, 3.0, 3.0, 10.0, 2.0], [7.0], list(map(float, range(100)))]
+    for values in cases:
+        df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "x double")
+        got = {r.q: r.value for r in sampling.exact_quantiles(df, "x", qs).collect()}
+        for q in qs:
+            assert math.isclose(got[q], float(np.quantile(values, q)), rel_tol=1e-12, abs_tol=1e-12)
+    empty = spark.createDataFrame([(None,)], "x double")
+    assert all(r.value is None for r in sampling.exact_quantiles(empty, "x", qs).collect())
