@@ -78,7 +78,11 @@ def x_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.when(F.col("quality") == 0, F.lit(0)).otherwise(
         1 + F.least(draw(F.col("doc_id"), "9") % 5, draw(F.col("doc_id"), "10") % 5)
     )
-    return d.join(lab, "doc_id").select(F.col("doc_id").alias("id"), "text", score.cast("int").alias("score"))
+    # never null (a null quality takes the second branch); the coalesce only
+    # says so, so filters on a non-null score are dropped, not pushed into the
+    # scan where they would evaluate both draws again
+    score = F.coalesce(score.cast("int"), F.lit(0))
+    return d.join(lab, "doc_id").select(F.col("doc_id").alias("id"), "text", score.alias("score"))
 
 
 def x_log(spark: SparkSession, sf_dir: str, with_loss: bool = False) -> DataFrame:
