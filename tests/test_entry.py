@@ -35,3 +35,36 @@ def test_no_single_partition_exchange_in_core_jobs(spark):
                Q.t03_annotation_classification, Q.t07_union_unique):
         plan = _plan(fn(spark, SF_SMALL))
         assert "SinglePartition" not in plan, fn.__name__
+
+
+def _read_schemas(df):
+    import re
+
+    plan = _plan(df)
+    found = []
+    for line in plan.splitlines():
+        m = re.search(r"ReadSchema: struct<(.*)>\s*$", line)
+        if m:
+            fields = re.findall(r"(?:^|,)([A-Za-z_][A-Za-z0-9_]*):", m.group(1))
+            found.append(frozenset(fields))
+    return set(found)
+
+
+def test_scans_read_only_the_columns_they_need(spark):
+    """Column pruning reaches the parquet scans (through stand-ins, spread
+    repartitions and generators)."""
+    from jestframe.plans import queries as Q
+
+    expect = {
+        Q.t02_annotation_detection: {frozenset({"l_orderkey", "l_quantity"})},
+        Q.t04_rated_items: {frozenset({"doc_id", "text"})},
+        Q.t13_sample_rows: {frozenset({"doc_id"})},
+        Q.t25_best_step: {frozenset({"event_id", "user_id", "value"})},
+        Q.t22_classification_report: {frozenset({"vec_id", "embedding", "label"})},
+        Q.t07_union_unique: {frozenset({"doc_id", "text"}), frozenset({"conv_id", "turn", "text"}),
+                             frozenset({"item_id", "text"})},
+    }
+    for fn, schemas in expect.items():
+        assert _read_schemas(fn(spark, SF_SMALL)) == schemas, fn.__name__
+    # the text predicates of C4 reach the scan
+    assert "PushedFilters: [IsNotNull(text), Not(EqualTo(text,))]" in _plan(Q.t04_rated_items(spark, SF_SMALL))
