@@ -21,7 +21,7 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     aggs: list = []
     names: list[tuple[str, str]] = []
-    quantile_tables: list[DataFrame] = []
+    numeric: list[str] = []
 
     def add(col: str, stat: str, expr):
         names.append((col, stat))
@@ -39,11 +39,7 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
             add(f.name, "max", F.max(c))
             add(f.name, "mean", F.avg(c))
             add(f.name, "std", F.stddev_samp(c))
-            # exact quantiles by ranks (bounded memory for any number of distinct values)
-            label = F.create_map(*[x for q in quantiles for x in (F.lit(float(q)), F.lit(f"p{int(q * 100)}"))])
-            quantile_tables.append(exact_quantiles(df, f.name, quantiles).select(
-                F.lit(f.name).alias("column"), F.element_at(label, F.col("q")).alias("stat"),
-                F.col("value").cast("double").alias("value")))
+            numeric.append(f.name)
         elif isinstance(f.dataType, T.StringType):
             n = F.length(c)
             add(f.name, "min_length", F.min(n))
@@ -62,8 +58,11 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
         .select(F.lit("*").alias("column"), F.lit("duplicate_rows").alias("stat"), "value")
     )
     out = stats.unionByName(dup)
-    for t in quantile_tables:
-        out = out.unionByName(t)
+    if numeric and quantiles:
+        # exact quartiles of every numeric column from one ranking pass
+        label = F.create_map(*[x for q in quantiles for x in (F.lit(float(q)), F.lit(f"p{int(q * 100)}"))])
+        out = out.unionByName(exact_quantiles(df, numeric, quantiles).select(
+            "column", F.element_at(label, F.col("q")).alias("stat"), F.col("value").cast("double").alias("value")))
     return out
 
 

@@ -266,32 +266,39 @@ def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sa
     return draws.join(_salted(ranked, F.lit(salt)), ["_pos", "_salt"]).drop("_pos", "_salt")
 
 
-def exact_quantiles(df: DataFrame, col: str, qs: tuple[float, ...] | list[float]) -> DataFrame:
-    """A5 for any column: exact linear-interpolation quantiles (SQL
-    ``percentile_cont``) as rows (q, value), without a value->count map
-    (whose size grows with the number of distinct values).
-
-    The values are ranked by range partitioning (``exact_rank_by_order``; a
-    tie between equal values does not change the value at a rank), and only
-    the two ranks around each q * (n - 1) are read back through a broadcast
-    of at most 2 * len(qs) target ranks."""
-    v = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = exact_rank_by_order(v, "_v", rank_col="_r")
-    n = ranked.agg(F.count(F.lit(1)).alias("_n"))
-    targets = n.select(F.inline(F.array(*[
+def exact_quantiles(df: DataFrame, cols: str | list[str], qs: tuple[float, ...] | list[float]) -> DataFrame:
+    """A5 for any columns: exact linear-interpolation quantiles (SQL
+    ``percentile_cont``) as rows (column, q, value), without a value->count
+    map (whose size grows with the number of distinct values).
+
+    The columns are stacked as (column, value) and ranked within each column
+    by range partitioning (``exact_rank_by_order``, one shuffle for all
+    columns; a tie between equal values does not change the value at a rank).
+    Only the two ranks around each q * (n - 1) are read back, through a
+    broadcast of at most 2 * columns * len(qs) target ranks.  Nulls and NaN
+    are skipped; a column without values gets null quantiles."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    spark = df.sparkSession
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
+    ])))
+    v = stacked.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    ranked = exact_rank_by_order(v, "_v", by=["_col"], rank_col="_r")
+    counts = spark.createDataFrame([(c,) for c in cols], "_col string").join(
+        ranked.groupBy("_col").agg(F.count(F.lit(1)).alias("_n")), "_col", "left")
+    targets = counts.select("_col", F.inline(F.array(*[
         F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos")) for q in qs
     ])))
-    targets = targets.select("q", "_pos", (F.floor("_pos") + 1).alias("_lo"), (F.ceil("_pos") + 1).alias("_hi"))
-    need = targets.select("q", "_pos", "_lo", "_hi", F.explode(F.array("_lo", "_hi")).alias("_r"))
-    picked = ranked.join(F.broadcast(need), "_r")  # at most 2 * len(qs) target rows
-    ends = picked.groupBy("q", "_pos").agg(
+    targets = targets.select("_col", "q", "_pos", (F.floor("_pos") + 1).alias("_lo"), (F.ceil("_pos") + 1).alias("_hi"))
+    need = targets.select("_col", "q", "_pos", "_lo", "_hi", F.explode(F.array("_lo", "_hi")).alias("_r"))
+    picked = ranked.join(F.broadcast(need), ["_col", "_r"])  # at most 2 * columns * len(qs) target rows
+    ends = picked.groupBy("_col", "q", "_pos").agg(
         F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_vhi"),
     )
     value = F.col("_vlo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_vhi") - F.col("_vlo"))
-    found = ends.select("q", value.alias("value"))
-    # empty input: every quantile is null
-    return targets.select("q").join(found, "q", "left")
+    found = ends.select("_col", "q", value.alias("value"))
+    return targets.select("_col", "q").join(found, ["_col", "q"], "left").withColumnRenamed("_col", "column")
 
 
 def length_slice(df: DataFrame, text: str = "text", q: float = 0.9, side: str = "long") -> DataFrame:
