@@ -39,15 +39,16 @@ def drop_all_duplicates(df: DataFrame, subset: str | list[str] = "text") -> Data
     return g.where(F.col("_n") == 1).select(*[F.col(f"_r.{c}").alias(c) if c in rest else F.col(c) for c in df.columns])
 
 
-def drop_all_duplicates_hashed(df: DataFrame, subset: str = "text") -> DataFrame:
+def drop_all_duplicates_hashed(df: DataFrame, subset: str = "text", hash_fn=F.xxhash64) -> DataFrame:
     """D1 grouped on a 64-bit hash of the key alone, as a cross-check of
     ``drop_all_duplicates`` (which groups on (hash, key) and is the cheaper
     form: it shuffles each key once).  A hash seen once is surely unique; a
     hash seen more than once whose smallest row key equals its largest key is
     a true duplicate; only colliding hashes (vanishingly rare) are regrouped
-    on the full key.  Exact."""
+    on the full key.  Exact.  ``hash_fn`` (Column -> Column) lets tests force
+    collisions."""
     rest = [c for c in df.columns if c != subset]
-    h = F.xxhash64(F.col(subset))
+    h = hash_fn(F.col(subset))
     g = df.withColumn("_h", h).groupBy("_h").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.col(subset)).alias("_hi"),

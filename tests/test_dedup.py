@@ -39,3 +39,15 @@ def test_keep_first_and_union(spark):
 def test_vocabulary_union(spark):
     row = spark.range(1).select(dedup.vocabulary_union(["ok", "jaja"], ["jaja", "meh"]).alias("v")).first()
     assert row.v == ["jaja", "meh", "ok"]
+
+
+def test_hashed_collision_path(spark):
+    """Every text in one hash group (and in two groups): the collision branch
+    regroups by the full text and still equals the plain D1."""
+    rows = [(1, "a"), (2, "a"), (3, "b"), (4, "c"), (5, None), (6, None), (7, "d"), (8, "c")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    want = sorted(r.id for r in dedup.drop_all_duplicates(df).collect())
+    assert want == [3, 7]
+    for fn in (lambda c: F.lit(1).cast("bigint"), lambda c: F.length(c).cast("bigint") % 2):
+        got = sorted(r.id for r in dedup.drop_all_duplicates_hashed(df, hash_fn=fn).collect())
+        assert got == want
