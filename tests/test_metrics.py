@@ -127,3 +127,23 @@ def test_probability_view_missing_gate_and_top_values(spark):
     assert df.where("id = 1").agg(any_missing("score_0").alias("x")).first().x is False
     words = spark.createDataFrame([(w,) for w in "b a b c a b".split()], "w string")
     assert [(r.w, r.n) for r in top_values(words, "w", 2).collect()] == [("b", 3), ("a", 2)]
+
+
+def test_label_with_template_and_parallelism(spark):
+    """The prompt template wraps each text before the scorer sees it; the
+    answer per row does not depend on how many scorer tasks run."""
+    import hashlib
+
+    from jestframe.operators.infer import label_with, md5_scorer
+
+    texts = [(i, f"chiste {i}") for i in range(40)] + [(99, None)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    template = "Texto: {input}\\nRespuesta:"
+    one = {r.id: (r.response, r.labels) for r in label_with(df, md5_scorer, ["0", "1"], template=template).collect()}
+    many = {r.id: (r.response, r.labels)
+            for r in label_with(df, md5_scorer, ["0", "1"], template=template, parallelism=3).collect()}
+    assert one == many
+    for i, text in texts[:40]:
+        ans = hashlib.md5(template.replace("{input}", text).encode("utf-8")).hexdigest()[:1]
+        assert one[i] == (ans, {"0": 0, "1": 1}.get(ans, -1))
+    assert one[99] == (None, -1)  # a null text gets a null prompt: no answer, label -1
