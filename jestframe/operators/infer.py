@@ -135,6 +135,23 @@ def cascade(df: DataFrame, detect_logits: str, rate_logits: str, threshold: floa
     )
 
 
+def cascade_with(df: DataFrame, detector: Scorer, rater: Scorer, key: str = "id", text: str = "text",
+                 detect_template: str | None = None, rate_template: str | None = None,
+                 rate_classes: tuple[str, ...] = ("1", "2", "3", "4", "5")) -> DataFrame:
+    """I4 + P8 with scorers (remote models): every row is sent to the
+    detector; only rows detected as humour (label 1) are sent to the rater, so
+    the others cost no request; -1 (no valid answer) stays an error.  Both
+    answers are written once (``label_with``); the ratings are left-joined
+    back on ``key``.  Output: key, detection, rating, message."""
+    det = label_with(df.select(key, text), detector, ["0", "1"], text=text, template=detect_template)
+    hits = det.where(F.col("labels") == 1).select(key, text)
+    rated = label_with(hits, rater, list(rate_classes), text=text, template=rate_template).select(
+        key, F.col("labels").alias("_rating"))
+    out = det.select(key, F.col("labels").alias("detection")).join(rated, key, "left")
+    return out.select(key, "detection", F.col("_rating").alias("rating"),
+                      detection_message(F.col("detection"), F.col("_rating")).alias("message"))
+
+
 def any_missing(col: str) -> F.Column:
     """True when any value is null or NaN (an aggregate)."""
     c = F.col(col)

@@ -147,3 +147,28 @@ def test_label_with_template_and_parallelism(spark):
         ans = hashlib.md5(template.replace("{input}", text).encode("utf-8")).hexdigest()[:1]
         assert one[i] == (ans, {"0": 0, "1": 1}.get(ans, -1))
     assert one[99] == (None, -1)  # a null text gets a null prompt: no answer, label -1
+
+
+def test_cascade_with_scorers(spark):
+    """I4 with scorers: no request to the rater for rows not detected as
+    humour; an invalid detection answer stays an error."""
+    import pandas as pd
+
+    from jestframe.operators.infer import cascade_with
+
+    def detector(prompts):
+        for batch in prompts:
+            yield batch.map(lambda s: "x" if "??" in s else ("1" if "jaja" in s else "0"))
+
+    def rater(prompts):
+        for batch in prompts:
+            # the rater only ever sees rows detected as humour
+            if any("jaja" not in s or "??" in s for s in batch):
+                raise ValueError("rater called for a row not detected as humour")
+            yield pd.Series(["4" if "mucho" in s else "9" for s in batch])
+
+    rows = [(1, "jaja mucho"), (2, "jaja"), (3, "informe"), (4, "?? jaja")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = {r.id: (r.detection, r.rating, r.message) for r in cascade_with(df, detector, rater).collect()}
+    assert got == {1: (1, 3, "humor_4"), 2: (1, -1, "humor_unrated"), 3: (0, None, "no_humor"),
+                   4: (-1, None, "error")}
