@@ -55,10 +55,16 @@ def with_class_weights(df: DataFrame, weights: list[float] | None, label: str =
 
 def fit(df: DataFrame, num_classes: int = 2, class_weights: list[float] | None = None,
         threshold: float | None = None) -> PipelineModel:
+    """K1: feature stages fitted once and their output written once (shared
+    checkpoint folder), then the regression fitted on it -- the same model
+    as ``text_classifier(...).fit``, without tokenising the texts twice."""
     data = with_class_weights(df.where(F.col("text").isNotNull()), class_weights).withColumn(
         "score", F.col("score").cast("double")
     )
-    return text_classifier(num_classes, threshold=threshold, weighted=class_weights is not None).fit(data)
+    features = Pipeline(stages=_feature_stages(1 << 18)).fit(data)
+    train_x = features.transform(data).select("features", "score", "weight").checkpoint()
+    lr = _regression(num_classes, threshold, class_weights is not None, 20).fit(train_x)
+    return PipelineModel(stages=list(features.stages) + [lr])
 
 
 def predict(model: PipelineModel, df: DataFrame, num_classes: int = 2) -> DataFrame:
