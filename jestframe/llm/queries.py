@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jestframe.llm import decontaminate, langid, minhash, mixing, token_count
+from jestframe.llm import decontaminate, langid, line_dedup, minhash, mixing, token_count
 from jestframe.llm.common import crc_mod, read_table
 
 
@@ -29,6 +29,36 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("text_md5")))
+
+
+OP5_SQL = r"""
+WITH l AS (
+  SELECT doc_id, pos, line, regexp_extract_all(lower(line), '\S+') AS w
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)),
+c AS (
+  SELECT array_to_string(w, ' ') AS k, any_value(w) AS w, min(doc_id * 1000000000 + pos) AS f FROM l WHERE len(w) >= 3 GROUP BY 1),
+v AS (
+  SELECT k, f, n, i, array_to_string(list_concat(w[1:i-1], w[i+1:n]), ' ') AS d
+  FROM (SELECT k, f, w, len(w) AS n, unnest(range(1, len(w) + 1)) AS i FROM c WHERE len(w) >= 8)),
+near AS (
+  SELECT k FROM (SELECT k, f, min(f) OVER (PARTITION BY d, i, n) AS m FROM v) WHERE m < f
+  UNION SELECT v.k FROM v JOIN c ON c.k = v.d WHERE c.f < v.f
+  UNION SELECT c.k FROM v JOIN c ON c.k = v.d WHERE v.f < c.f),
+gone AS (
+  SELECT l.doc_id, l.pos FROM l JOIN c ON array_to_string(l.w, ' ') = c.k
+  WHERE l.doc_id * 1000000000 + l.pos > c.f OR c.k IN (SELECT k FROM near)),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped,
+         coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text
+  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY 1)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_dropped, 0) AS n_dropped, md5(k.text) AS text_md5
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
@@ -42,8 +72,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
+    "op5_line_dedup": op5_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_decontamination": op9_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_line_dedup": OP5_SQL}
