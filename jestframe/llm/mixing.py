@@ -31,7 +31,7 @@ from jestframe.llm.common import written
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK = 256
 SHARD_SLOTS = 4096
-BUCKET_ROWS = 1 << 12
+BUCKET_ROWS = 1 << 10
 CHUNK = 1 << 12
 SEED = 23
 WEIGHTS = (3, 1, 2)
@@ -163,7 +163,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     n_rows, n_slots = rows.count(), quota.agg(F.sum("slots")).first()[0] or 0
     slots = draw_slots(quota, F.lit(max(1, -(-n_slots // shard_slots))), block)
     taken = F.greatest(F.lit(0), F.least(F.col("at") + F.col("words"), F.col("take")) - F.col("at"))
-    mixed = (pack(rows, n_rows, block).join(slots, ["key", "block_no"], "left")
+    # the planner can't see how many rows the slots explode to, and would broadcast them
+    mixed = (pack(rows, n_rows, block).join(slots.hint("merge"), ["key", "block_no"], "left")
              .withColumn("words", F.when(F.col("slot").isNull(), F.lit(0)).otherwise(taken).cast("long"))
              .join(sources.select(source_key(F.col("source")).alias("key"), "source_size", "target"), "key"))
     out = ["shard", "slot", "key", "bucket", "row_no", "doc_id", "source", "size", "source_size", "target", "block_no", "first_word", "words"]
