@@ -118,17 +118,18 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
     share = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample_bytes / max(n, 1)))) for lang, n in sizes.items()])
     keyed = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_003)) < share * 1_000_003
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, own in batch.groupby("lang"):
-                texts = [lower_bytes(t) for t in own["text"]]
+            by_lang: dict[str, list[bytes]] = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(lower_bytes(text))
+            for lang, texts in by_lang.items():
                 data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
-                if len(data):
-                    codes, keys = pd.factorize(grams(data, np.cumsum(size) - size))
-                    yield pd.DataFrame({"lang": lang, "gram": keys, "n": np.bincount(codes)})
+                codes, keys = pd.factorize(grams(data, np.cumsum(size) - size))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(np.bincount(codes, minlength=len(keys)), pa.int64())], names=["lang", "gram", "n"])
 
     counts = (rows.where(keyed).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-              .mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
+              .mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     return ContextTrees(counts) if len(counts) else None
 
 

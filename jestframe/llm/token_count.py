@@ -23,7 +23,6 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,17 +91,17 @@ def frequent_pieces(texts: DataFrame, kind: str, model, size: int) -> list[str]:
     """The ``size`` most frequent pre-tokens over all texts, from summaries of
     at most ``size`` entries per task."""
 
-    def summary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counting, seen = Counting(kind, model.value), Counter()
         for batch in batches:
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 seen.update(counting.pieces(text or "") or ())
             if len(seen) > 16 * size:
                 seen = Counter(dict(seen.most_common(8 * size)))
         top = seen.most_common(size)
-        yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top]})
+        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    rows = (texts.mapInPandas(summary, "piece string, n long")
+    rows = (texts.mapInArrow(summary, "piece string, n long")
             .groupBy("piece").agg(F.sum("n").alias("n"))
             .orderBy(F.desc("n"), "piece").limit(size).collect())
     return [r["piece"] for r in rows]
