@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jestframe.llm import decontaminate, langid, line_dedup, minhash, mixing, token_count, toxicity
+from jestframe.llm import ann, decontaminate, langid, line_dedup, minhash, mixing, token_count, toxicity
 from jestframe.llm.common import crc_mod, read_table
 
 
@@ -63,6 +63,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
 }
