@@ -21,9 +21,10 @@ always stay.
 4. Each candidate's edit distance to that earliest line is verified on the words.
 
 Defined results: null and empty texts have no lines that count and stay as they
-are; a document whose lines all go becomes an empty text; a null id comes last,
-and rows that repeat an id are ordered by their text; an empty table gives an
-empty result; the other columns are handed through.  A neighbourhood's cost is
+are; a document whose lines all go becomes an empty text; a null id comes last;
+rows that repeat an id are ordered by a hash of their text, and rows that repeat
+id and text are one document (each keeps the same lines); an empty table gives
+an empty result; the other columns are handed through.  A neighbourhood's cost is
 square in the words of its line (8 bytes each), with no limit on its length.
 """
 
@@ -31,7 +32,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from jestframe.llm.common import written
 
@@ -43,25 +43,17 @@ def words_col(line: Column) -> Column:
     return F.regexp_extract_all(F.lower(line), F.lit(r"\S+"), F.lit(0))
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row key for every row: (id, number among the rows of that id)."""
-    own = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), *[c for c, t in docs.dtypes if c not in (id_col, text_col) and not t.startswith(("map", "array", "struct"))])
-    return docs.withColumn("_row", F.row_number().over(own))
-
-
-def lines_of(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """doc_id, _row, pos and words of every line that counts."""
-    return (docs.select(F.col(id_col).alias("doc_id"), "_row", F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
-            .select("doc_id", "_row", "pos", words_col(F.col("line")).alias("words")).where(F.size("words") >= least_words))
-
-
 def place(doc: str = "doc_id", row: str = "_row", pos: str = "pos") -> Column:
     """Order of lines: document id (null last), row, position."""
     return F.struct(F.col(doc).isNull().alias("last"), F.coalesce(F.col(doc), F.lit(0)).cast("long").alias("doc"), F.col(row).alias("row"), F.col(pos).alias("pos"))
 
 
-def hash_pair(words: Column) -> tuple[Column, Column]:
-    return F.xxhash64(words), F.xxhash64(F.lit(1), words)
+def lines_of(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
+    """place, line (its words joined by blanks) and words of every line that counts."""
+    return (docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
+            .select(place().alias("place"), words_col(F.col("raw")).alias("words")).where(F.size("words") >= least_words)
+            .select("place", "words", F.array_join("words", " ").alias("line"))
+            .select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
 
 
 def halves(words: Column) -> Column:
@@ -97,21 +89,19 @@ def within_one_edit(a: Column, b: Column, at: Column) -> Column:
             .when(F.size(b) == F.size(a) + 1, without(b) == a).otherwise(False))
 
 
-def near_classes(lines: DataFrame, near_words: int) -> DataFrame:
+def near_classes(classes: DataFrame, lines: DataFrame, near_words: int) -> DataFrame:
     """h1, h2 of the classes that an earlier line lies within one edit of."""
-    near = lines.where(F.size("words") >= near_words - 1)
-    h1, h2 = hash_pair(F.col("words"))
-    classes = (near.select(h1.alias("h1"), h2.alias("h2"), place().alias("first"), "words").groupBy("h1", "h2")
-               .agg(F.min("first").alias("first"), F.first("words").alias("words")))
-    classes = written(classes, "lines")
-    keys = classes.select("h1", "h2", F.explode(F.array_distinct(halves(F.col("words")))).alias("half"))
+    keys = classes.where(F.size("halves") > 0).select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    some = keys.join(shared, "half", "left_semi").select("h1", "h2").distinct()
-    some = (written(classes.join(some, ["h1", "h2"], "left_semi"), "sharing")
-            .repartition("h1").withColumn("before", chained(F.col("words"))).withColumn("after", chained(F.reverse("words"))))
-    emitted = (some.select("h1", "h2", "first", F.explode(neighbourhood(F.col("words"), F.col("before"), F.col("after"))).alias("v"))
+    some = keys.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
+    # the words of these classes only, from the place of their first occurrence
+    own = lines.select("h1", "h2", "place.*", "line").join(some.select("h1", "h2", "first.*"), ["h1", "h2", "last", "doc", "row", "pos"])
+    some = written(own.select("h1", "h2", F.struct("last", "doc", "row", "pos").alias("first"), "line").dropDuplicates(["h1", "h2"]), "sharing")
+    some = some.withColumn("words", F.split("line", " "))
+    arranged = some.repartition("h1").withColumn("before", chained(F.col("words"))).withColumn("after", chained(F.reverse("words")))
+    emitted = (arranged.select("h1", "h2", "first", F.explode(neighbourhood(F.col("words"), F.col("before"), F.col("after"))).alias("v"))
                .select("h1", "h2", "first", "v.*"))
-    # 1 of equal (key, at): deletions differ in that word; a deletion and a gap differ by it
+    # of equal (key, at), deletions differ in that word; a deletion and a gap differ by it
     earliest = emitted.groupBy("key", "at").agg(F.min(F.when(F.col("deleted"), F.struct("first", "h1", "h2"))).alias("del"),
                                                 F.min(F.when(~F.col("deleted"), F.struct("first", "h1", "h2"))).alias("gap"))
     earliest = earliest.withColumn("best", F.least("del", "gap"))
@@ -127,23 +117,22 @@ def near_classes(lines: DataFrame, near_words: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, _row, pos of every line that goes; ``docs`` has row keys."""
+    """place of every line that goes: last, doc, row, pos."""
     lines = lines_of(docs, id_col, text_col, least_words)
-    h1, h2 = hash_pair(F.col("words"))
-    placed = written(lines.select("doc_id", "_row", "pos", h1.alias("h1"), h2.alias("h2")), "placed")
-    first = placed.groupBy("h1", "h2").agg(F.min(place()).alias("first"), F.count(F.lit(1)).alias("n"))
-    near = near_classes(lines, near_words).withColumn("near", F.lit(True))
-    judged = first.join(near, ["h1", "h2"], "left").where("n > 1 OR near")
-    return (placed.join(judged, ["h1", "h2"]).where(F.coalesce(F.col("near"), F.lit(False)) | (place() > F.col("first"))).select("doc_id", "_row", "pos"))
+    own = F.when(F.size("words") >= near_words - 1, F.array_distinct(halves(F.col("words"))))
+    placed = written(lines.select("place", "h1", "h2", own.alias("halves")), "placed")
+    classes = written(placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves", ignorenulls=True).alias("halves")), "classes")
+    near = near_classes(classes, lines, near_words).withColumn("near", F.lit(True))
+    judged = classes.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
+    return (placed.select("place", "h1", "h2").join(judged, ["h1", "h2"])
+            .where(F.coalesce(F.col("near"), F.lit(False)) | (F.col("place") > F.col("first"))).select("place.*"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` less the lines that go, and n_lines, n_dropped."""
-    keyed = written(numbered(docs, id_col, text_col), "numbered")
-    gone = (dropped_lines(keyed, near_words, least_words, id_col, text_col).groupBy("doc_id", "_row").agg(F.collect_set("pos").alias("_gone"))
-            .withColumnRenamed("doc_id", "_id"))
-    out = keyed.join(gone.withColumnRenamed("_row", "_r"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_r")), "left")
+    gone = dropped_lines(docs, near_words, least_words, id_col, text_col).groupBy("last", "doc", "row").agg(F.collect_set("pos").alias("_gone"))
+    same = (F.col(id_col).isNull() == F.col("last")) & (F.coalesce(F.col(id_col), F.lit(0)).cast("long") == F.col("doc")) & (F.xxhash64(text_col) == F.col("row"))
     lines = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return out.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-                      F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return docs.join(gone, same, "left").select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns],
+                                                F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))

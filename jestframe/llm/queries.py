@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jestframe.llm import ann, decontaminate, langid, line_dedup, minhash, mixing, token_count, toxicity
+from jestframe.llm import ann, decontaminate, langid, license_scan, line_dedup, minhash, mixing, secrets, token_count, toxicity
 from jestframe.llm.common import crc_mod, read_table
 
 
@@ -18,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.per_document(mixing.mix(read_table(spark, sf_dir, "documents"), with_text=False))
 
@@ -63,6 +67,11 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (secrets.scan(read_table(spark, sf_dir, "documents"))
+            .select("doc_id", "word_no", F.length("value").cast("long").alias("n_chars"), F.sha2("value", 256).alias("fingerprint"), "score", "is_secret"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -81,10 +90,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_mixing": op3_mixing,
     "op4_language_id": op4_language_id,
     "op5_line_dedup": op5_line_dedup,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_secret_scan": op7_secret_scan,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jestframe.llm.common import written
+
 # Fixed value: the byte-level pre-tokenizer's split pattern.
 BYTE_LEVEL_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Characters on whose class (letter, number, space) all regex engines agree.
@@ -101,10 +103,8 @@ def frequent_pieces(texts: DataFrame, kind: str, model, size: int) -> list[str]:
         top = seen.most_common(size)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
 
-    rows = (texts.mapInArrow(summary, "piece string, n long")
-            .groupBy("piece").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "piece").limit(size).collect())
-    return [r["piece"] for r in rows]
+    top = texts.mapInArrow(summary, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
+    return [r["piece"] for r in written(top, "pieces").collect()]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
