@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rand import DEFAULT_SEED, probability_threshold
+from .rand import DEFAULT_SEED, U_BITS
 
 # Python's str.strip() removes every whitespace character at both ends
 # (newlines included); plain TRIM only removes blanks.
@@ -31,11 +33,6 @@ def clip(col: Column, lo, hi) -> Column:
     return F.least(F.greatest(col, F.lit(lo)), F.lit(hi))
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """Division that yields null instead of raising on a zero denominator."""
-    return F.try_divide(num, den)
-
-
 def random_join(tokens: Column, key: Column, p_newline: float = 0.1, seed: int = DEFAULT_SEED,
                 tag: str = "s") -> Column:
     """F2 + R3: each token followed by a newline with probability p, else a blank;
@@ -48,7 +45,7 @@ def random_join(tokens: Column, key: Column, p_newline: float = 0.1, seed: int =
     expression would re-evaluate it per element).  ``tokens`` is read three
     times: pass a column reference, not a costly expression (see
     ``operators.generate``)."""
-    t = probability_threshold(p_newline)
+    t = math.ceil(p_newline * (1 << 32))
     n = F.size(tokens)
     blocks = F.greatest(((n + 3) / 4).cast("int"), F.lit(1))
     hexes = F.transform(
@@ -64,7 +61,7 @@ def random_join(tokens: Column, key: Column, p_newline: float = 0.1, seed: int =
 def _draw_indexed(key: Column, tag: str, i: Column, seed: int) -> Column:
     """Draw for the element at 0-based index i; the tag carries i + 1."""
     text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.concat(F.lit(tag), (i + 1).cast("string")))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return F.conv(F.substring(F.md5(text), 1, U_BITS // 4), 16, 10).cast("bigint")
 
 
 def choices(vocabulary: list[str], k: Column, key: Column, seed: int = DEFAULT_SEED,
@@ -82,7 +79,7 @@ def choices(vocabulary: list[str], k: Column, key: Column, seed: int = DEFAULT_S
 def random_count(key: Column, tag: str, lo: int, hi: int, seed: int = DEFAULT_SEED) -> Column:
     """``random.randint(lo, hi)`` keyed by (key, tag)."""
     text = F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(tag))
-    u = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    u = F.conv(F.substring(F.md5(text), 1, U_BITS // 4), 16, 10).cast("bigint")
     return (F.lit(lo) + u % F.lit(hi - lo + 1)).cast("int")
 
 
@@ -93,6 +90,6 @@ def apply_template(template: str, col: Column, placeholder: str = "{input}") ->
 
 
 __all__ = [
-    "strip", "text_length", "half_even", "clip", "ratio", "random_join", "choices",
+    "strip", "text_length", "half_even", "clip", "random_join", "choices",
     "random_count", "apply_template",
 ]

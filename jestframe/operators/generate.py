@@ -26,13 +26,14 @@ from .sampling import exact_split, sample_rows
 
 def contradiction_rows(original: DataFrame, exclusive_humor: list[str], exclusive_non_humor: list[str],
                        rows: int | None = None, key: str = "id", score: str = "score", text: str = "text",
-                       tag: str = "exclusive", tiebreak: list[str] | None = None) -> DataFrame:
+                       tag: str = "exclusive", tiebreak: list[str] | None = None, unique_key: bool = False) -> DataFrame:
     """``rows`` random rows (with replacement) of ``original``, each text
     followed by 1..3 phrases of the *opposite* class (score 0 -> humour
     phrases, otherwise non-humour phrases), randomly joined; score kept; then
     every text that occurs twice is dropped.  ``rows`` defaults to the size of
     ``original``.  Output: draw, id, text, score."""
-    sampled = sample_rows(original.select(key, text, score), key, rows=rows, tag=tag, tiebreak=tiebreak)
+    sampled = sample_rows(original.select(key, text, score), key, rows=rows, tag=tag, tiebreak=tiebreak,
+                          unique_key=unique_key)
     g = F.concat(F.lit(tag + ":"), F.col("draw").cast("string"))
     is_zero = F.col(score).eqNullSafe(0)
     hi = F.when(is_zero, F.lit(min(3, len(exclusive_humor)))).otherwise(F.lit(min(3, len(exclusive_non_humor))))

@@ -3,9 +3,10 @@
 All random choices use the keyed draws of ``functions.rand``, so results do
 not depend on partitioning or retries.  Ranks are exact without a
 single-task window: rows are spread over ``2^bits`` buckets by the high bits
-of their (uniform) random key, a tiny table of per-bucket counts gives each
-bucket its offset, and ``row_number`` runs per (group, bucket).  A class that
-holds a third of all rows is therefore split into thousands of window tasks.
+of their (uniform) random key, counts per (group, bucket) give each bucket its
+offset, and ``row_number`` runs per (group, bucket).  A class that holds a
+third of all rows is therefore split into thousands of window tasks.  Only
+single numbers (row counts, smallest and largest class) reach the driver.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.rand import draw, position
+from ..functions.rand import U_BITS, draw, position
 
-# Offsets table = (groups x buckets) rows; it is broadcast only below this.
-BROADCAST_ROWS = 1 << 20
-TARGET_BUCKET_ROWS = 1 << 21
+# A class table is broadcast only after its rows were counted, up to this many.
+BROADCAST_ROWS = 1 << 16
+TARGET_BUCKET_ROWS = 1 << 19
+DRAW_CHUNK = 1 << 16
 # Draws with replacement: expected draws per picked row above which the
 # picked rows are replicated (salted), so no join key gets more than about
 # this many draws however small a class is next to the largest.
@@ -45,34 +46,10 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
 
 
-def _bits_for(n_rows: int | None) -> int:
-    """Bucket bits: at least 16 buckets, about TARGET_BUCKET_ROWS rows each."""
-    if not n_rows:
-        return 10
-    return max(4, min(20, math.ceil(math.log2(n_rows / TARGET_BUCKET_ROWS + 1)) + 4))
-
-
-def exact_rank(df: DataFrame, u: str, tiebreak: str, by: list[str] | None = None, bits: int | None = None,
-               rank_col: str = "rank", n_rows: int | None = None, n_groups: int | None = None) -> DataFrame:
-    """1-based rank of each row within ``by`` ordered by (u, tiebreak).
-
-    ``u`` must be uniform over [0, 2^32) (a ``draw``); equal to
-    ``row_number() OVER (PARTITION BY by ORDER BY u, tiebreak)``."""
-    by = list(by or [])
-    bits = bits or _bits_for(n_rows)
-    x = df.withColumn("_b", F.shiftright(F.col(u), 32 - bits))
-    counts = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-    if n_groups is not None and n_groups * (1 << bits) <= BROADCAST_ROWS:
-        # proven bound: at most n_groups x 2^bits rows of three numbers
-        offsets = F.broadcast(offsets)
-    # otherwise AQE measures the offsets at run time and broadcasts them
-    # only if they are small; the shuffle on (by, _b) is then shared with
-    # the window below.
-    joined = x.join(offsets, [*by, "_b"])
-    rn = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(F.col(u), F.col(tiebreak)))
-    return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
+def _bits_for(n_rows: int, target_rows: int) -> int:
+    """Bucket bits: at least 16 buckets, about ``target_rows`` rows each at most
+    (the draw is uniform, so no group's bucket holds more)."""
+    return max(4, min(U_BITS, math.ceil(math.log2(n_rows / target_rows + 1)) + 4))
 
 
 def ranged(df: DataFrame, keys: list, blocks: int | None = None) -> DataFrame:
@@ -113,64 +90,32 @@ def with_draw(df: DataFrame, key: str, tag: str, name: str = "_u") -> DataFrame:
 
 
 class BucketCounts:
-    """Row counts per (group, bucket of the random key), collected once.
-
-    The table has at most groups x 2^bits rows (a proven bound: callers pass
-    low-cardinality groups such as class labels), so it is safe to bring to
-    the driver.  It yields the group sizes and, as a broadcast table, the
-    offset of every bucket -- one scan instead of a count plus a ranking pass.
+    """Row counts per (group, bucket of the random key) and exact ranks from them.
 
-    When a cell holds more than ``TARGET_BUCKET_ROWS`` rows (a class of
-    billions), the buckets are refined to more bits so that no window task
-    gets more than about that many rows; the finer offsets then stay a
-    DataFrame (counts + prefix-sum window), broadcast only while
-    groups x 2^bits is under ``BROADCAST_ROWS``.
-    """
+    ``sizes`` (group, n) and ``offsets`` (group, bucket, rows before it) stay
+    DataFrames whatever the number of groups; the driver only sees ``total``.
+    A null group is a group like any other."""
 
-    def __init__(self, x: DataFrame, u: str, by: list[str], bits: int = 12, materialise: bool = False,
+    def __init__(self, x: DataFrame, u: str, by: list[str], bits: int | None = None, materialise: bool = False,
                  target_rows: int | None = None):
-        target_rows = target_rows or TARGET_BUCKET_ROWS
-        self.by, self.bits, self.u = list(by), bits, u
+        self.by, self.u = list(by), u
         if materialise:
             # the input holds a shuffle: write it once (shared checkpoint
             # folder) so the count pass and the ranking pass read the same rows
             x = x.checkpoint()
-        self.x = x.withColumn("_b", F.shiftright(F.col(u), 32 - bits))
-        rows = self.x.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c")).collect()
-        if len(rows) > BROADCAST_ROWS:
-            raise ValueError("too many (group, bucket) cells to collect; use exact_rank")
-        self.sizes: dict[tuple, int] = {}
-        offsets = []
-        for r in sorted(rows, key=lambda r: (tuple(repr(r[c]) for c in self.by), r["_b"])):
-            g = tuple(r[c] for c in self.by)
-            offsets.append((*g, r["_b"], self.sizes.get(g, 0)))
-            self.sizes[g] = self.sizes.get(g, 0) + r["_c"]
-        self.broadcast = True
-        biggest = max((r["_c"] for r in rows), default=0)
-        if biggest > target_rows:
-            fine = min(32, bits + math.ceil(math.log2(biggest / target_rows)))
-            self.bits = fine
-            self.x = x.withColumn("_b", F.shiftright(F.col(u), 32 - fine))
-            counts = self.x.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-            w = Window.partitionBy(*self.by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-            self.offsets = counts.select(*self.by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
-            self.broadcast = len(self.sizes) * (1 << fine) <= BROADCAST_ROWS
-            return
-        fields = [f for f in self.x.schema.fields if f.name in self.by]
-        fields = [next(f for f in fields if f.name == c) for c in self.by]
-        schema = T.StructType(fields + [T.StructField("_b", T.LongType()), T.StructField("_off", T.LongType())])
-        self.offsets = x.sparkSession.createDataFrame(offsets, schema)
-
-    @property
-    def total(self) -> int:
-        return sum(self.sizes.values())
+        self.total = x.count()
+        self.bits = bits or _bits_for(self.total, target_rows or TARGET_BUCKET_ROWS)
+        self.x = x.withColumn("_b", F.shiftright(F.col(u), U_BITS - self.bits))
+        counts = self.x.groupBy(*self.by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+        w = Window.partitionBy(*self.by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        self.offsets = counts.select(*self.by, "_b", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_off"))
+        self.sizes = self.x.groupBy(*self.by).agg(F.count(F.lit(1)).alias("n"))
 
     def ranked(self, tiebreak: str | list[str], rank_col: str = "rank") -> DataFrame:
         """Rank 1..n within each group by (u, tiebreak...), exact; the
         tiebreak columns must make the order total for retries to agree."""
         ties = [tiebreak] if isinstance(tiebreak, str) else list(tiebreak)
-        offsets = F.broadcast(self.offsets) if self.broadcast else self.offsets
-        joined = self.x.join(offsets, [*self.by, "_b"])
+        joined = join_null_safe(self.x, self.offsets, [*self.by, "_b"])
         rn = F.row_number().over(
             Window.partitionBy(*self.by, "_b").orderBy(F.col(self.u), *[F.col(c) for c in ties]))
         return joined.withColumn(rank_col, (F.col("_off") + rn).cast("bigint")).drop("_b", "_off")
@@ -191,18 +136,13 @@ def exact_split(df: DataFrame, key: str, fraction: float, tag: str = "split", na
     )
 
 
-def class_counts(df: DataFrame, label: str = "score") -> DataFrame:
-    """A1 (null labels dropped, N12)."""
-    return df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-
-
 def under_sample(df: DataFrame, key: str, label: str = "score", tag: str = "under") -> DataFrame:
     """Every class cut to the size of the smallest (A6), without
     replacement: the first ``min_n`` rows of each class by a keyed draw."""
     bc = BucketCounts(with_draw(df.where(F.col(label).isNotNull()), key, tag), "_u", [label])
-    if not bc.sizes:
+    m = bc.sizes.agg(F.min("n")).first()[0]
+    if m is None:
         return df.limit(0)
-    m = min(bc.sizes.values())
     return bc.ranked(key, rank_col="_rank").where(F.col("_rank") <= m).drop("_u", "_rank")
 
 
@@ -210,43 +150,38 @@ def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over"
     """Every class drawn with replacement up to the size of the largest
     (A6; the largest class is bootstrapped too).  Draw i of class c picks the
     row of rank ``draw(c, tag||i) % n_c``; draws are equi-joined to ranked
-    rows on (class, rank): no cross product, no per-class collect."""
+    rows on (class, rank): no cross product, no per-class collect.
+
+    The classes are a table (class, n, copies): a class drawn far more often
+    than it has rows gets salted copies of its rows (``salt_factor``)."""
     bc = BucketCounts(with_draw(df.where(F.col(label).isNotNull()), key, tag + "_rank"), "_u", [label])
-    if not bc.sizes:
+    sizes = bc.sizes.checkpoint()
+    top, k = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
+    if top is None:
         return df.limit(0).withColumn("draw", F.lit(0).cast("bigint"))
-    classes = [g[0] for g in bc.sizes]
-    sizes = [bc.sizes[g] for g in bc.sizes]
-    top = max(sizes)
-    ranked = bc.ranked(key, rank_col="_rank").drop("_u")
-    spark = df.sparkSession
-    k = len(classes)
-    draws = spark.range(0, k * top, numPartitions=max(1, min(k * top // 1_000_000 + 1, 100_000)))
-    cls_arr = F.array(*[F.lit(c) for c in classes])
-    size_arr = F.array(*[F.lit(s) for s in sizes])
-    idx = (F.col("id") / F.lit(top)).cast("int") + 1
-    # class c is drawn ``top`` times over n_c rows: salt its rows when top/n_c is large
-    salts = [salt_factor(top / n) for n in sizes]
-    d = draws.select(
-        F.element_at(cls_arr, idx).alias(label),
-        (F.col("id") % F.lit(top)).alias("draw"),
-        F.element_at(size_arr, idx).alias("_n"),
-        F.element_at(F.array(*[F.lit(f) for f in salts]), idx).alias("_s"),
-    )
-    d = d.withColumn("_rank", position(F.col(label), F.concat(F.lit(tag), F.col("draw").cast("string")), F.col("_n")))
-    if max(salts) == 1:
-        return d.join(ranked, [label, "_rank"]).drop("_rank", "_n", "_s")
-    salt_of = F.create_map(*[x for c, f in zip(classes, salts) for x in (F.lit(c), F.lit(f))])
-    d = d.withColumn("_salt", F.col("draw") % F.col("_s"))
-    return d.join(_salted(ranked, F.element_at(salt_of, F.col(label))), [label, "_rank", "_salt"]).drop(
-        "_rank", "_n", "_s", "_salt")
+    classes = sizes.select(label, F.col("n").alias("_n"), F.greatest(F.lit(1), F.ceil(F.lit(top) / F.col("n") / DRAWS_PER_KEY)).alias("_s"))
+    last = F.lit((top - 1) // DRAW_CHUNK).cast("bigint")
+    draws = (classes.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).repartition(label, "_chunk")
+             .withColumn("draw", F.explode(F.sequence(F.col("_chunk") * DRAW_CHUNK, F.least(F.lit(top), (F.col("_chunk") + 1) * DRAW_CHUNK) - 1))))
+    tagged = F.concat(F.lit(tag), F.col("draw").cast("string"))
+    draws = draws.select(label, "draw", position(F.col(label), tagged, F.col("_n")).alias("_rank"), (F.col("draw") % F.col("_s")).alias("_salt"))
+    copies = classes.select(label, "_s")
+    ranked = bc.ranked(key, rank_col="_rank").drop("_u").join(F.broadcast(copies) if k <= BROADCAST_ROWS else copies, label)
+    ranked = _salted(ranked, F.col("_s")).drop("_s")
+    # the planner can't see how many draws a class table explodes to
+    return draws.join(ranked.hint("merge"), [label, "_rank", "_salt"]).drop("_rank", "_salt")
 
 
 def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sample",
-                tiebreak: list[str] | None = None) -> DataFrame:
+                tiebreak: list[str] | None = None, unique_key: bool = False) -> DataFrame:
     """R1 + J3: ``rows`` draws with replacement (default: as many as rows),
     each a uniformly random row, by position in a keyed random order.
-    Adds ``draw``."""
-    bc = BucketCounts(with_draw(df, key, "pos"), "_u", [])
+    Adds ``draw``.
+
+    With ``unique_key`` (no two rows share ``key``) only keys are ranked and
+    drawn, and the other columns join last."""
+    keys = df.select(key) if unique_key else df
+    bc = BucketCounts(with_draw(keys, key, "pos"), "_u", [])
     n = bc.total
     rows = n if rows is None else rows
     if n == 0 or rows == 0:
@@ -259,11 +194,13 @@ def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sa
     draws = draws.withColumn("_pos", position(F.lit(tag), F.col("draw"), n))
     salt = salt_factor(rows / n)
     if salt == 1:
-        return draws.join(ranked, "_pos").drop("_pos")
-    # many more draws than rows: each row is picked ~rows/n times, so its
-    # join key is split over ``salt`` copies
-    draws = draws.withColumn("_salt", F.col("draw") % F.lit(salt))
-    return draws.join(_salted(ranked, F.lit(salt)), ["_pos", "_salt"]).drop("_pos", "_salt")
+        picked = draws.join(ranked, "_pos").drop("_pos")
+    else:
+        # many more draws than rows: each row is picked ~rows/n times, so its
+        # join key is split over ``salt`` copies
+        draws = draws.withColumn("_salt", F.col("draw") % F.lit(salt))
+        picked = draws.join(_salted(ranked, F.lit(salt)), ["_pos", "_salt"]).drop("_pos", "_salt")
+    return picked.join(df, key) if unique_key and len(df.columns) > 1 else picked
 
 
 def exact_quantiles(df: DataFrame, cols: str | list[str], qs: tuple[float, ...] | list[float]) -> DataFrame:

@@ -144,12 +144,18 @@ def t14_random_join(spark: SparkSession, d: str) -> DataFrame:
     return generate.token_shuffle_join(docs, X.EXCLUSIVE_HUMOR, key="doc_id", tag="join")
 
 
-def _contradictions(spark, d):
-    return generate.contradiction_rows(X.x_scored(spark, d), X.EXCLUSIVE_HUMOR, X.EXCLUSIVE_NON_HUMOR, tag="exclusive")
+def _scored_once(spark, d):
+    """The documents-labels join written once, for queries that read it several times."""
+    return X.x_scored(spark, d).checkpoint()
+
+
+def _contradictions(scored):
+    return generate.contradiction_rows(scored, X.EXCLUSIVE_HUMOR, X.EXCLUSIVE_NON_HUMOR, tag="exclusive",
+                                       unique_key=True)
 
 
 def t15_contradiction_rows(spark: SparkSession, d: str) -> DataFrame:
-    out = _contradictions(spark, d)
+    out = _contradictions(_scored_once(spark, d))
     return out.select(_big(F.col("draw")).alias("draw"), "id", "text", _big(F.col("score")).alias("score"))
 
 
@@ -185,9 +191,10 @@ def t12_train_family(spark: SparkSession, d: str) -> DataFrame:
     Both families come from one shuffle (``jobs.train_families``)."""
     from . import jobs
 
-    base = X.x_scored(spark, d).select("text", "score")
+    scored = _scored_once(spark, d)
+    base = scored.select("text", "score")
     rep = _repetitions(spark, d).where(F.col("part") == "train").select("text", "score")
-    exc = _contradictions(spark, d).select("text", "score")
+    exc = _contradictions(scored).select("text", "score")
     rated = labels.rated_items(X.x_rated(spark, d)).select("text", "score")
     counts = jobs.view_counts(jobs.train_families(base, rep, exc, rated))
     return counts.select("family", "view", _big(F.col("score")).alias("score"), "n")
@@ -394,10 +401,11 @@ def t42_evaluation_suites(spark: SparkSession, d: str) -> DataFrame:
     tables (detection test set, contradiction rows, long and short slices,
     test half of the repetition rows), scored in one pass by a keyword
     scorer through the scorer hook, reported per suite."""
-    test = labels.to_detection(X.x_scored(spark, d)).select("text", "score")
+    scored = _scored_once(spark, d)
+    test = labels.to_detection(scored).select("text", "score")
     rows = infer.suites(
         test=test,
-        exclusive=labels.to_detection(_contradictions(spark, d)).select("text", "score"),
+        exclusive=labels.to_detection(_contradictions(scored)).select("text", "score"),
         long_lengths=sampling.length_slice(test, "text", 0.9, "long"),
         short_lengths=sampling.length_slice(test, "text", 0.1, "short"),
         repetition=_repetitions(spark, d).where(F.col("part") == "test").select("text", "score"),

@@ -37,7 +37,7 @@ MAX_LENGTH = 512
 
 def u_sql(key: str, tag: str) -> str:
     """R0 draw in DuckDB SQL."""
-    return f"CAST('0x' || substr(md5(concat_ws(':', '79', CAST({key} AS VARCHAR), {tag})), 1, 8) AS BIGINT)"
+    return f"CAST('0x' || substr(md5(concat_ws(':', '79', CAST({key} AS VARCHAR), {tag})), 1, 15) AS BIGINT)"
 
 
 def x_votes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from jestframe.functions.rand import draw
+from jestframe.functions.rand import draw, position
 from jestframe.operators import sampling
 from jestframe.sources import fixtures as X
 
@@ -10,9 +10,28 @@ from conftest import SF_MID
 
 def test_draw_matches_known_value(spark):
     assert spark.range(1).select(draw(F.lit(1), "").alias("u")).first().u is not None
-    # md5('79:1') first 32 bits, documented in the survey
-    v = spark.range(1).select(F.conv(F.substring(F.md5(F.lit("79:1")), 1, 8), 16, 10).cast("bigint").alias("u")).first().u
-    assert v == 3522090407
+    import hashlib
+
+    got = spark.range(3).select(draw(F.col("id"), "t").alias("u")).collect()
+    assert [r.u for r in got] == [int(hashlib.md5(f"79:{i}:t".encode()).hexdigest()[:15], 16) for i in range(3)]
+
+
+def test_positions_reach_beyond_32_bits(spark):
+    n = 1 << 33
+    top = spark.range(20_000).select(position(F.lit("s"), F.col("id"), n).alias("p")).agg(F.max("p"), F.min("p")).first()
+    assert top[0] > (1 << 32) * 1.99 and 1 <= top[1] < n // 1000
+
+
+def test_many_classes_resample(spark):
+    """Class sizes never reach the driver, so labels may be as many as rows."""
+    df = spark.range(1_100_000).select("id", F.floor(F.col("id") / 1.00001).alias("score"))
+    classes = df.select("score").distinct().count()
+    assert classes > 1_000_000
+    assert sampling.under_sample(df, "id").count() == classes
+    top = df.groupBy("score").count().agg(F.max("count")).first()[0]
+    small = df.where("id < 3000")
+    assert sampling.over_sample(small, "id").count() == small.select("score").distinct().count() * small.groupBy("score").count().agg(F.max("count")).first()[0]
+    assert top >= 1
 
 
 def test_exact_split_sizes(spark):
@@ -25,7 +44,7 @@ def test_exact_split_sizes(spark):
 
 def test_exact_rank_equals_row_number(spark):
     df = spark.range(5000).withColumn("g", F.col("id") % 3).withColumn("u", draw(F.col("id"), "r"))
-    ranked = sampling.exact_rank(df, "u", "id", by=["g"], bits=6, n_groups=3)
+    ranked = sampling.BucketCounts(df, "u", ["g"], bits=6).ranked("id")
     ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("u", "id")))
     assert ranked.select("id", "rank").exceptAll(ref.select("id", "rank")).count() == 0
     by_order = sampling.exact_rank_by_order(df, "id", by=["g"], blocks=16)
@@ -80,18 +99,27 @@ def test_salted_draws_pick_the_same_rows(spark, monkeypatch):
     assert len(plain[1]) == 3000
 
 
-def test_bucket_counts_refine_big_cells(spark):
-    """Cells above the target are refined to more bits; ranks stay exact."""
-    df = spark.range(6000).withColumn("g", (F.col("id") % 2).cast("int")).withColumn("u", draw(F.col("id"), "bc"))
+def test_bucket_counts_follow_the_rows(spark):
+    """More rows than the target give more bits; ranks stay exact, also for a null group."""
+    group = F.when(F.col("id") % 3 < 2, (F.col("id") % 3).cast("int"))
+    df = spark.range(6000).withColumn("g", group).withColumn("u", draw(F.col("id"), "bc"))
     coarse = sampling.BucketCounts(df, "u", ["g"], bits=2)
-    fine = sampling.BucketCounts(df, "u", ["g"], bits=2, target_rows=50)
-    assert coarse.bits == 2 and fine.bits > 2 and fine.sizes == coarse.sizes == {(0,): 3000, (1,): 3000}
+    fine = sampling.BucketCounts(df, "u", ["g"], target_rows=50)
+    assert coarse.bits == 2 and fine.bits > 6
+    assert {(r.g, r.n) for r in fine.sizes.collect()} == {(0, 2000), (1, 2000), (None, 2000)}
     ref = df.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy("u", "id")))
     for bc in (coarse, fine):
         got = bc.ranked("id").select("id", "rank")
         assert got.exceptAll(ref.select("id", "rank")).count() == 0 and got.count() == 6000
 
 
+def test_key_only_draws_pick_the_same_rows(spark):
+    scored = X.x_scored(spark, SF_MID)
+    whole = sampling.sample_rows(scored, "id", rows=500).select("draw", "id", "text")
+    keyed = sampling.sample_rows(scored, "id", rows=500, unique_key=True).select("draw", "id", "text")
+    assert whole.exceptAll(keyed).count() == 0 and keyed.count() == 500
+
+
 def test_exact_quantiles_match_linear_interpolation(spark):
     import math
 
