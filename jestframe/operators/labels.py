@@ -36,43 +36,36 @@ def resolve_votes(df: DataFrame, votes: list[str] | None = None) -> DataFrame:
     return df.select(*keep, clip(score, 0, 5).cast("int").alias("score"))
 
 
-def annotation_summary(df: DataFrame, min_annotations: int = 4, levels: int = 5,
+def annotation_summary(df: DataFrame, min_annotations: int = 4,
                        id_col: str = "id", text_col: str = "text", value_col: str = "sentiment",
                        order_col: str | None = None) -> DataFrame:
-    """A2+A3+A4+J1 in one aggregate over ``id``.
+    """A2+A3+A4+J1: counts per (id, rating), then one row per id.
 
-    Counts per rating level are plain conditional counts, so the whole thing
-    is a single partial-aggregated shuffle.  Output: id, text, n, zero_count,
-    non_zero_count, rating (majority-or-max over the non-zero ratings).
+    Both aggregations combine map-side, and no set of rating levels is
+    assumed.  Rows without an id are dropped (N12).  Output: id, text, n,
+    zero_count, non_zero_count, rating (majority-or-max over the non-zero
+    ratings).
 
-    ``text`` is the first non-null text in ``order_col`` order (N11); without
-    an order column, the smallest text (the stand-ins repeat one text per id).
-    """
+    ``text`` is the first non-null text in ``order_col`` order (N11; equal
+    orders: the smallest text); without an order column, the smallest text."""
     s = F.col(value_col)
-    nonzero = ~s.eqNullSafe(0)
-    per_level = [F.count_if(s == F.lit(level)).alias(f"_c{level}") for level in range(1, levels + 1)]
-    if order_col:
-        text = F.min_by(F.col(text_col), F.when(F.col(text_col).isNotNull(), F.col(order_col)))
-    else:
-        text = F.min(text_col)
-    g = (
-        df.groupBy(id_col)
-        .agg(
-            text.alias("text"),
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(s == 0).alias("zero_count"),
-            F.count_if(nonzero).alias("non_zero_count"),
-            F.max(F.when(s != 0, s)).alias("_max"),
-            *per_level,
-        )
-        .where(F.col("n") >= F.lit(min_annotations))
-    )
-    counts = F.array(*[F.col(f"_c{level}") for level in range(1, levels + 1)])
-    mode_count = F.array_max(counts)
-    mode = F.array_position(counts, mode_count).cast("int")
+    order = F.col(order_col) if order_col else F.lit(0)
+    first = F.min(F.when(F.col(text_col).isNotNull(), F.struct(order.alias("o"), F.col(text_col).alias("t"))))
+    levels = (df.where(F.col(id_col).isNotNull()).groupBy(id_col, s.alias("_s"))
+              .agg(F.count(F.lit(1)).alias("_n"), first.alias("_first")))
+    level, n = F.col("_s"), F.col("_n")
+    nonzero = F.when(level != 0, level)
+    g = levels.groupBy(id_col).agg(
+        F.min("_first")["t"].alias("text"),
+        F.sum(n).alias("n"),
+        F.coalesce(F.sum(F.when(level == 0, n)), F.lit(0)).alias("zero_count"),
+        F.coalesce(F.sum(F.when(~level.eqNullSafe(0), n)), F.lit(0)).alias("non_zero_count"),
+        F.max(nonzero).alias("_max"),
+        F.max(F.when(level != 0, F.struct(n.alias("c"), level.alias("s")))).alias("_mode"),
+    ).where(F.col("n") >= F.lit(min_annotations))
     rating = (
         F.when(F.col("non_zero_count") == 0, F.lit(0))
-        .when(mode_count * 2 > F.col("non_zero_count"), mode)
+        .when(F.col("_mode.c") * 2 > F.col("non_zero_count"), F.col("_mode.s"))
         .otherwise(F.col("_max"))
     )
     return g.select(id_col, "text", "n", "zero_count", "non_zero_count", rating.cast("int").alias("rating"))

@@ -114,9 +114,10 @@ def view_counts(families: DataFrame) -> DataFrame:
 
 # ---- C7, C8: human annotations -> labels -------------------------------------------
 
-def job_annotations(annotations: DataFrame, min_annotations: int = 4) -> dict[str, DataFrame]:
+def job_annotations(annotations: DataFrame, min_annotations: int = 4,
+                    order_col: str | None = None) -> dict[str, DataFrame]:
     """C7 + C8 from one shared aggregate: {"classification", "detection"}."""
-    summary = labels.annotation_summary(annotations, min_annotations)
+    summary = labels.annotation_summary(annotations, min_annotations, order_col=order_col)
     return {
         "classification": labels.classification_from_summary(summary).select("text", "score"),
         "detection": labels.detection_from_summary(summary).select("text", "score"),

@@ -51,17 +51,19 @@ SELECT id, text, CAST(CASE
 FROM x_votes"""
 
 # C8
-Q["t02_annotation_detection"] = _ctes("x_annot") + """
-, kept AS (SELECT * FROM x_annot WHERE id IN (SELECT id FROM x_annot GROUP BY id HAVING count(*) >= 4))
-SELECT id, min(text) AS text,
+_KEPT = """
+, kept AS (SELECT * FROM x_annot WHERE id IN (SELECT id FROM x_annot WHERE id IS NOT NULL GROUP BY id HAVING count(*) >= 4)),
+firsts AS (SELECT id, text FROM kept WHERE text IS NOT NULL
+           QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord, text) = 1)"""
+Q["t02_annotation_detection"] = _ctes("x_annot") + _KEPT + """
+SELECT k.id, f.text,
   CAST(sum(CASE WHEN sentiment = 0 THEN 1 ELSE 0 END) <= sum(CASE WHEN sentiment IS DISTINCT FROM 0 THEN 1 ELSE 0 END)
        AS BIGINT) AS score
-FROM kept GROUP BY id"""
+FROM kept k LEFT JOIN firsts f ON k.id = f.id GROUP BY k.id, f.text"""
 
 # C7
-Q["t03_annotation_classification"] = _ctes("x_annot") + """
-, kept AS (SELECT * FROM x_annot WHERE id IN (SELECT id FROM x_annot GROUP BY id HAVING count(*) >= 4)),
-g AS (SELECT id, min(text) AS text,
+Q["t03_annotation_classification"] = _ctes("x_annot") + _KEPT + """,
+g AS (SELECT id,
         sum(CASE WHEN sentiment = 0 THEN 1 ELSE 0 END) AS zero_count,
         sum(CASE WHEN sentiment IS DISTINCT FROM 0 THEN 1 ELSE 0 END) AS non_zero_count,
         max(CASE WHEN sentiment <> 0 THEN sentiment END) AS max_s
@@ -69,9 +71,9 @@ g AS (SELECT id, min(text) AS text,
 m AS (SELECT id, sentiment AS s, count(*) AS c,
         row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, sentiment) AS rn
       FROM kept WHERE sentiment <> 0 GROUP BY id, sentiment)
-SELECT g.id, g.text,
+SELECT g.id, f.text,
   CAST(CASE WHEN g.non_zero_count = 0 THEN 0 WHEN m.c * 2 > g.non_zero_count THEN m.s ELSE g.max_s END - 1 AS BIGINT) AS score
-FROM g LEFT JOIN m ON g.id = m.id AND m.rn = 1
+FROM g LEFT JOIN m ON g.id = m.id AND m.rn = 1 LEFT JOIN firsts f ON g.id = f.id
 WHERE g.non_zero_count >= g.zero_count"""
 
 # C4

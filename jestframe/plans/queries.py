@@ -64,7 +64,7 @@ def t01_vote_resolution(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _annotations(spark, d):
-    return labels.annotation_summary(X.x_annot(spark, d))
+    return labels.annotation_summary(X.x_annot(spark, d), order_col="ord")
 
 
 def t02_annotation_detection(spark: SparkSession, d: str) -> DataFrame:

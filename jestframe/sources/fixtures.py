@@ -51,11 +51,15 @@ def x_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x_annot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations: some without an id, texts that differ within an id (in the
+    order ``ord``; equal orders have equal texts), ratings 0..7."""
     li = table(spark, sf_dir, "lineitem")
+    line, part = F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string")
     return li.select(
-        F.col("l_orderkey").alias("id"),
-        F.concat(F.lit("order "), F.col("l_orderkey").cast("string")).alias("text"),
-        (F.floor("l_quantity").cast("int") % 6).alias("sentiment"),
+        F.when(F.col("l_partkey") % 97 != 0, F.col("l_orderkey")).alias("id"),
+        F.concat(F.lit("line "), line, F.lit(" part "), part).alias("text"),
+        (F.floor("l_quantity").cast("int") % 8).alias("sentiment"),
+        (F.col("l_linenumber") * F.lit(1_000_000_000_000) + F.col("l_partkey")).alias("ord"),
     )
 
 
@@ -134,8 +138,10 @@ SQL = {
         u0=u_sql("doc_id", "'0'"),
         votes=", ".join(f"CAST({u_sql('doc_id', repr(str(i)))} % 4 AS INTEGER) AS votes_{i}" for i in range(1, 6)),
     ),
-    "x_annot": "SELECT l_orderkey AS id, concat('order ', CAST(l_orderkey AS VARCHAR)) AS text, "
-    "CAST(floor(l_quantity) AS INTEGER) % 6 AS sentiment FROM lineitem",
+    "x_annot": "SELECT CASE WHEN l_partkey % 97 <> 0 THEN l_orderkey END AS id, "
+    "concat('line ', CAST(l_linenumber AS VARCHAR), ' part ', CAST(l_partkey AS VARCHAR)) AS text, "
+    "CAST(floor(l_quantity) AS INTEGER) % 8 AS sentiment, "
+    "CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey AS ord FROM lineitem",
     "x_rated": "SELECT doc_id AS id, text AS body, "
     "CAST(CASE WHEN length(text) % 3 = 0 THEN length(text) % 11 ELSE doc_id % 11 END AS DOUBLE) / 2 AS rating "
     "FROM documents",

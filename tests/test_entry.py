@@ -56,7 +56,7 @@ def test_scans_read_only_the_columns_they_need(spark):
     from jestframe.plans import queries as Q
 
     expect = {
-        Q.t02_annotation_detection: {frozenset({"l_orderkey", "l_quantity"})},
+        Q.t02_annotation_detection: {frozenset({"l_orderkey", "l_partkey", "l_linenumber", "l_quantity"})},
         Q.t04_rated_items: {frozenset({"doc_id", "text"})},
         Q.t13_sample_rows: {frozenset({"doc_id"})},
         Q.t25_best_step: {frozenset({"event_id", "user_id", "value"})},

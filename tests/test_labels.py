@@ -43,6 +43,16 @@ def test_annotation_classification(spark):
     assert out == {1: 2, 2: 1}
 
 
+def test_annotation_edge_cases(spark):
+    """A null id is no group, the first text follows the order, any rating level counts."""
+    rows = [(None, "n", 1, i) for i in range(5)]
+    rows += [(1, "z", 6, 0), (1, "b", 6, 1), (1, "b", 6, 2), (1, "b", 7, 3)]
+    rows += [(2, None, 9, 0), (2, "y", 9, 1), (2, "x", 8, 2), (2, "x", 0, 3)]
+    df = spark.createDataFrame(rows, "id long, text string, sentiment int, ord int")
+    out = {r.id: (r.text, r.rating) for r in L.annotation_summary(df, order_col="ord").collect()}
+    assert out == {1: ("z", 6), 2: ("y", 9)}
+
+
 def test_rated_items(spark):
     rows = [(1, "a", 2.5), (2, "b", 3.5), (3, "c", 2.4), (4, "c", 2.1), (5, "d", 3.0), (6, "d", 3.0),
             (7, "", 1.0), (8, "x" * 512, 1.0), (9, "y" * 513, 1.0)]
