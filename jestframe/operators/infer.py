@@ -54,30 +54,61 @@ def keyword_scorer(words: list[str]) -> Scorer:
 
 
 def _apply_scorer(df: DataFrame, prompt_col: str, scorer: Scorer, out_col: str) -> DataFrame:
-    """One scorer call per partition; it sees the partition's Arrow batches as
-    a stream of prompt series and answers each in order."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType())])
+    """Every row once, with the scorer's answer and a ``status``: ``ok``,
+    ``refused`` (a null answer), ``missing`` (the scorer answered fewer prompts
+    than it got) or ``error`` (it raised).
+
+    One scorer call per partition sees the partition's Arrow batches as a
+    stream of prompt series and answers each in order.  When it ends or raises
+    early, the batches it took without an answer keep their rows, and a new
+    call gets the batches after them."""
+    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()), T.StructField("status", T.StringType())])
+
+    def answered(frame: pd.DataFrame, answers: list, rest: str) -> pd.DataFrame:
+        answers = list(answers)[:len(frame)]
+        short = len(frame) - len(answers)
+        found = [None if a is None or pd.isna(a) else str(a) for a in answers]
+        return frame.assign(**{
+            out_col: pd.Series(found + [None] * short, index=frame.index, dtype=object),
+            "status": ["refused" if a is None else "ok" for a in found] + [rest] * short,
+        })
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pending: list[pd.DataFrame] = []
-
-        def prompts() -> Iterator[pd.Series]:
-            for frame in frames:
-                pending.append(frame)
-                yield frame[prompt_col]
-
-        for answers in scorer(prompts()):
-            frame = pending.pop(0).copy()
-            frame[out_col] = list(answers)
-            yield frame
+        frames, ended = iter(frames), False
+        while not ended:
+            pending: list[pd.DataFrame] = []
+            taken = 0
+
+            def prompts() -> Iterator[pd.Series]:
+                nonlocal ended, taken
+                for frame in frames:
+                    taken += 1
+                    pending.append(frame)
+                    yield frame[prompt_col]
+                ended = True
+
+            failed = "missing"
+            try:
+                for answers in scorer(prompts()):
+                    if pending:
+                        yield answered(pending.pop(0), answers, "missing")
+            except Exception:  # noqa: BLE001 - a failing client is a status of its rows
+                failed = "error"
+            if not taken and not ended:  # a scorer that takes nothing would never end
+                pending.extend(frames)
+                ended = True
+            for frame in pending:
+                yield answered(frame, [], failed)
 
     return df.mapInPandas(run, schema)
 
 
 def label_with(df: DataFrame, scorer: Scorer, classes: list[str], text: str = "text",
                template: str | None = None, parallelism: int | None = None, materialise: bool = True) -> DataFrame:
-    """I2 + J6: one answer per row; ``labels`` = index of the answer in
-    ``classes`` or -1; probabilities are unknown (null ``score_i``)."""
+    """I2 + J6: one answer and ``status`` per row; ``labels`` = index of the
+    answer in ``classes`` or -1; probabilities are unknown (null ``score_i``).
+    ``parallelism``: number of scorer calls at a time (the partitions as they
+    are without it)."""
     x = df.withColumn("_prompt", apply_template(template, F.col(text)) if template else F.col(text))
     if parallelism:
         x = x.repartition(parallelism)
@@ -85,7 +116,7 @@ def label_with(df: DataFrame, scorer: Scorer, classes: list[str], text: str = "t
     if materialise:
         scored = scored.checkpoint()
     return scored.select(
-        *df.columns, "response",
+        *df.columns, "response", "status",
         *[F.lit(None).cast("double").alias(f"score_{i}") for i in range(len(classes))],
         answer_index(F.col("response"), classes).alias("labels"),
     )
@@ -172,11 +203,16 @@ ITEM = "array<struct<body:string,id:bigint,rating:double>>"
 
 
 def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str | None, str]],
-                       batch_size: int = 32, order: str = "id") -> DataFrame:
+                       batch_size: int = 32, order: str = "id", parallelism: int = 10) -> DataFrame:
     """I3 + W3 + F20: items are packed into batches of ``batch_size`` in
     ``order`` (exact ranks, no single-task window), each batch sent as one
-    JSON payload.  A refused batch is retried item by item; a refused item is
-    reported with its status and no body.  Each id appears exactly once.
+    JSON payload, ``parallelism`` senders at a time.
+
+    Each item leaves exactly once with a status.  Items of a batch that was
+    refused, failed, or whose answer is no JSON, and items that a good answer
+    leaves out, are retried one by one; then ``ok``, the refusal's reason,
+    ``error`` (the sender raised) or ``invalid`` (no answer for the item).
+    Answers for unknown ids are ignored; of several for an id the first counts.
 
     ``batch_scorer(payload) -> (response_json | None, finish_reason)``."""
     ranked = exact_rank_by_order(df, order, rank_col="_rank")
@@ -186,22 +222,30 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
                                lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
         .alias("payload")
     )
-    first = _call_json(payloads, "payload", batch_scorer).checkpoint()
-    ok = first.where(F.col("finish") == "ok").select(F.explode(F.from_json("response", ITEM)).alias("it"))
-    accepted = ok.select(F.col("it.id").alias("id"), F.col("it.body").alias("body"), F.col("it.rating").alias("rating"),
-                         F.lit("ok").alias("status"))
-    # the items of a refused batch are read back from its (written) payload:
-    # no second ranking pass and no join over all items
-    refused = first.where(F.col("finish") != "ok").select(F.explode(F.from_json("payload", ITEM)).alias("it"))
-    singles = refused.select(F.col("it.id").alias("id"), F.to_json(F.array(F.col("it"))).alias("payload"))
-    second = _call_json(singles, "payload", batch_scorer).checkpoint()  # each request once, however often read
-    retried = second.select(
-        "id",
-        F.when(F.col("finish") == "ok", F.element_at(F.from_json("response", ITEM), 1)["body"]).alias("body"),
-        F.when(F.col("finish") == "ok", F.element_at(F.from_json("response", ITEM), 1)["rating"]).alias("rating"),
-        F.col("finish").alias("status"),
-    )
-    return accepted.unionByName(retried)
+    # requests are tiny, so a width by bytes would leave one sender
+    first = _call_json(payloads.repartition(parallelism, "batch"), "payload", batch_scorer).checkpoint()
+    answers = _with_answers(first)
+    good = (F.col("finish") == "ok") & F.col("answer").isNotNull()
+    accepted = answers.where(good).select(F.col("it.id").alias("id"), F.col("answer.body").alias("body"),
+                                          F.col("answer.rating").alias("rating"), F.lit("ok").alias("status"))
+    # the items to retry are read back from their (written) payload: no
+    # second ranking pass and no join over all items
+    singles = answers.where(~good).select(F.to_json(F.array(F.col("it"))).alias("payload"))
+    second = _call_json(singles.repartition(parallelism), "payload", batch_scorer).checkpoint()  # each request once
+    status = F.when(F.col("finish") != "ok", F.col("finish")).when(F.col("answer").isNull(), F.lit("invalid")).otherwise(F.lit("ok"))
+    retried = _with_answers(second).withColumn("status", status)
+    ok = F.col("status") == "ok"
+    return accepted.unionByName(retried.select(
+        F.col("it.id").alias("id"), F.when(ok, F.col("answer.body")).alias("body"),
+        F.when(ok, F.col("answer.rating")).alias("rating"), "status"))
+
+
+def _with_answers(calls: DataFrame) -> DataFrame:
+    """A row per item of each payload with the first answer for its id (or null)."""
+    given = F.coalesce(F.from_json("response", ITEM), F.array().cast(ITEM))
+    read = calls.select("finish", F.from_json("payload", ITEM).alias("items"), given.alias("given"))
+    return read.select("finish", "given", F.explode("items").alias("it")).select(
+        "finish", "it", F.try_element_at(F.filter("given", lambda g: g["id"].eqNullSafe(F.col("it.id"))), F.lit(1)).alias("answer"))
 
 
 def _call_json(df: DataFrame, col: str, batch_scorer) -> DataFrame:
@@ -209,17 +253,36 @@ def _call_json(df: DataFrame, col: str, batch_scorer) -> DataFrame:
         df.schema.fields + [T.StructField("response", T.StringType()), T.StructField("finish", T.StringType())]
     )
 
+    def call(payload: str) -> tuple[str | None, str]:
+        try:
+            response, finish = batch_scorer(payload)
+            return response, finish or "error"
+        except Exception:  # noqa: BLE001 - a failing request is a status
+            return None, "error"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            res = [batch_scorer(p) for p in frame[col]]
-            out = frame.copy()
-            out["response"] = [r[0] for r in res]
-            out["finish"] = [r[1] for r in res]
-            yield out
+            res = [call(p) for p in frame[col]]
+            yield frame.assign(response=pd.Series([r[0] for r in res], index=frame.index, dtype=object),
+                               finish=[r[1] for r in res])
 
     return df.mapInPandas(run, schema)
 
 
+def faulty_stub(payload: str) -> tuple[str | None, str]:
+    """Offline stand-in for an unreliable rewriter, by the md5 of each body:
+    raises if one starts with '0', cuts its JSON short if one starts with '1',
+    leaves out bodies that start with '2', and adds an item nobody sent."""
+    items = json.loads(payload)
+    marks = [hashlib.md5((it.get("body") or "").encode("utf-8")).hexdigest()[0] for it in items]
+    if "0" in marks:
+        raise RuntimeError("no connection")
+    out = [{"body": "[es] " + (it.get("body") or ""), "id": it["id"], "rating": it["rating"]}
+           for it, mark in zip(items, marks, strict=True) if mark != "2"]
+    text = json.dumps([*out, {"body": "x", "id": -1, "rating": 0.0}], ensure_ascii=False)
+    return (text[:len(text) // 2] if "1" in marks else text), "ok"
+
+
 def translate_stub(payload: str) -> tuple[str | None, str]:
     """Offline stand-in for the remote rewriter: refuses (``recitation``) any
     payload holding a body whose md5 starts with '0'; otherwise returns each

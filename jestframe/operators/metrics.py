@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import log_softmax_at
+from ..functions.arrays import IGNORE, log_softmax_at
 from .sampling import join_null_safe, ranged
 
 _METRICS = ("precision", "recall", "f1-score", "support")
@@ -20,7 +20,8 @@ _METRICS = ("precision", "recall", "f1-score", "support")
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred", by: list[str] | None = None) -> DataFrame:
     by = list(by or [])
     return (
-        df.where(F.col(label).isNotNull() & F.col(pred).isNotNull())
+        # a missing prediction is no valid answer (-1); rows without a label have nothing to compare
+        df.where(F.col(label).isNotNull()).withColumn(pred, F.coalesce(F.col(pred), F.lit(-1)))
         .groupBy(*by, F.col(label).alias("_l"), F.col(pred).alias("_p"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -101,20 +102,23 @@ def weighted_cross_entropy(df: DataFrame, logits: str = "logits", label: str = "
     """A10: sum(w_y * nll) / sum(w_y) with nll = logsumexp(x) - x_y.
 
     Classes without a given weight get 0.0 (the reference's default); with no
-    weights at all every class weighs 1.  One global (or per group) sum."""
+    weights at all every class weighs 1.  Rows whose label is null, the ignore
+    label or no position of the logits count nowhere; a weight sum of 0 gives
+    a null loss.  One global (or per group) sum."""
     by = list(by or [])
     y = F.col(label)
-    nll = -log_softmax_at(F.col(logits), y)
+    counted = y.isNotNull() & (y != IGNORE) & (y >= 0) & (y < F.size(logits))
+    nll = F.when(counted, -log_softmax_at(F.col(logits), y))
     if weights is None:
         w = F.lit(1.0)
     else:
         size = k or len(weights)
         full = [float(x) for x in weights] + [0.0] * max(0, size - len(weights))
-        w = F.coalesce(F.try_element_at(F.array(*[F.lit(x) for x in full]), (y + 1).cast("int")), F.lit(0.0))
-    x = df.where(y.isNotNull()).select(*by, w.alias("_w"), nll.alias("_nll"))
+        w = F.coalesce(F.when(counted, F.try_element_at(F.array(*[F.lit(x) for x in full]), (y + 1).cast("int"))), F.lit(0.0))
+    x = df.where(counted).select(*by, w.alias("_w"), nll.alias("_nll"))
     return x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
-        (F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("loss"),
+        F.try_divide(F.sum(F.col("_w") * F.col("_nll")), F.sum("_w")).alias("loss"),
     )
 
 
@@ -131,6 +135,12 @@ def best_rows(df: DataFrame, by: list[str], step: str = "step", metric: str = "m
     return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in cols])
 
 
+def not_nan(col: str, df: DataFrame) -> Column:
+    """The column with NaN as null (Spark ranks NaN above every number)."""
+    c = F.col(col)
+    return F.when(~F.isnan(c), c) if dict(df.dtypes)[col] in ("float", "double") else c
+
+
 def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str = "macro_f1",
                  blocks: int | None = None, start: DataFrame | None = None) -> DataFrame:
     """``is_best`` = metric strictly above every earlier metric of the
@@ -145,11 +155,13 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
     rows is spread over a third of the ranges instead of one task.
 
     ``start`` (columns ``by`` + ``_start``) is each group's best before these
-    rows, e.g. from earlier micro-batches of a stream; a row must beat it too."""
+    rows, e.g. from earlier micro-batches of a stream; a row must beat it too.
+    A NaN metric is no metric: it is never best and beats nothing."""
     keys = [F.col(c) for c in by] + [F.col(step)]
-    x = (ranged(df, keys, blocks).sortWithinPartitions(*keys)
+    value = not_nan(metric, df)
+    x = (ranged(df.withColumn("_m", value), keys, blocks).sortWithinPartitions(*keys)
          .withColumn("_blk", F.spark_partition_id()).checkpoint())
-    bmax = x.groupBy(*by, "_blk").agg(F.max(metric).alias("_bm"))
+    bmax = x.groupBy(*by, "_blk").agg(F.max("_m").alias("_bm"))
     w1 = Window.partitionBy(*by).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     prior = bmax.select(*by, "_blk", F.max("_bm").over(w1).alias("_prior"))
     if start is not None:
@@ -158,10 +170,10 @@ def running_best(df: DataFrame, by: list[str], step: str = "step", metric: str =
             .alias("_prior"))
     joined = join_null_safe(x, prior, [*by, "_blk"])
     w2 = Window.partitionBy(*by, "_blk").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.greatest(F.col("_prior"), F.max(metric).over(w2))
-    m = F.col(metric)
+    prev = F.greatest(F.col("_prior"), F.max("_m").over(w2))
+    m = F.col("_m")
     is_best = m.isNotNull() & (prev.isNull() | (m > prev))
-    return joined.withColumn("is_best", is_best).drop("_blk", "_prior")
+    return joined.withColumn("is_best", is_best).drop("_blk", "_prior", "_m")
 
 
 def curve_series(logs: DataFrame, by: list[str], step: str = "step", series: list[str] | None = None,
@@ -171,7 +183,7 @@ def curve_series(logs: DataFrame, by: list[str], step: str = "step", series: lis
     series = series or [c for c in logs.columns if c not in by and c != step]
     long = logs.unpivot([*by, step], series, "series", "value")
     best = best_rows(logs.select(*by, step, metric), by, step, metric).select(*by, F.col(step).alias("_best"))
-    return long.join(best, by, "left").select(
+    return join_null_safe(long, best, by, "left").select(
         *by, step, "series", F.col("value").cast("double").alias("value"),
         F.coalesce(F.col(step) == F.col("_best"), F.lit(False)).alias("is_best_step"),
     )

@@ -312,7 +312,7 @@ SELECT doc_id, {_template_sql(CLASSIFICATION_TEMPLATE, 'text')} AS classificatio
 
 
 Q["t29_llm_labels"] = _ctes("x_resp") + """
-SELECT id, substr(md5(text), 1, 1) AS response,
+SELECT id, substr(md5(text), 1, 1) AS response, CASE WHEN text IS NULL THEN 'refused' ELSE 'ok' END AS status,
   CAST(CASE substr(md5(text), 1, 1) WHEN '0' THEN 0 WHEN '1' THEN 1 ELSE -1 END AS BIGINT) AS labels FROM x_resp"""
 
 Q["t30_batched_rewrite"] = _ctes("x_rated") + """
@@ -324,6 +324,24 @@ SELECT id,
   CASE WHEN batch_bad AND bad THEN 'recitation' ELSE 'ok' END AS status
 FROM f"""
 
+# a batch with a '0' fails, with a '1' is cut short (all its items go alone), '2' items are left out and go alone;
+# alone, '0' fails, '1' and '2' stay without an answer
+Q["t43_faulty_rewrite"] = _ctes("x_rated") + """
+SELECT id, CASE WHEN m IN ('0', '1', '2') THEN NULL ELSE '[es] ' || body END AS body,
+  CASE WHEN m IN ('0', '1', '2') THEN NULL ELSE rating END AS rating,
+  CASE m WHEN '0' THEN 'error' WHEN '1' THEN 'invalid' WHEN '2' THEN 'invalid' ELSE 'ok' END AS status
+FROM (SELECT *, substr(md5(body), 1, 1) AS m FROM x_rated)"""
+
+Q["t44_cascade_scorers"] = _ctes("x_resp") + """
+, c AS (SELECT id, text, CASE WHEN text IS NULL THEN -1 WHEN contains(text, 'th') THEN 1 ELSE 0 END AS det FROM x_resp),
+r AS (SELECT id, det, CASE WHEN det = 1 THEN
+        CASE WHEN substr(md5(text), 1, 1) IN ('1', '2', '3', '4', '5') THEN CAST(substr(md5(text), 1, 1) AS INTEGER) - 1 ELSE -1 END
+      END AS rating FROM c)
+SELECT id, CAST(det AS BIGINT) AS detection, CAST(rating AS BIGINT) AS rating,
+  CASE WHEN det = -1 THEN 'error' WHEN det <> 1 THEN 'no_humor' WHEN rating IS NULL OR rating = -1 THEN 'humor_unrated'
+       ELSE 'humor_' || CAST(rating + 1 AS VARCHAR) END AS message
+FROM r"""
+
 _mc2 = "greatest(e[1], e[2])"
 _mc5 = "greatest(e[1], e[2], e[3], e[4], e[5])"
 _det = "CASE WHEN e[1] = " + _mc2 + " THEN 0 ELSE 1 END"

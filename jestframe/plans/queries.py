@@ -272,7 +272,7 @@ def t28_prompts(spark: SparkSession, d: str) -> DataFrame:
 
 def t29_llm_labels(spark: SparkSession, d: str) -> DataFrame:
     out = infer.label_with(X.x_resp(spark, d), infer.md5_scorer, ["0", "1"])
-    return out.select("id", "response", _big(F.col("labels")).alias("labels"))
+    return out.select("id", "response", "status", _big(F.col("labels")).alias("labels"))
 
 
 def t30_batched_rewrite(spark: SparkSession, d: str) -> DataFrame:
@@ -280,6 +280,20 @@ def t30_batched_rewrite(spark: SparkSession, d: str) -> DataFrame:
     return out.select("id", "body", "rating", "status")
 
 
+def t43_faulty_rewrite(spark: SparkSession, d: str) -> DataFrame:
+    """I3 with a rewriter that raises, cuts its answers short and leaves items out."""
+    out = infer.rewrite_in_batches(X.x_rated(spark, d), infer.faulty_stub, 32, "id")
+    return out.select("id", "body", "rating", "status")
+
+
+def t44_cascade_scorers(spark: SparkSession, d: str) -> DataFrame:
+    """I4 with scorers: only rows that the detector finds reach the rater."""
+    rows = X.x_resp(spark, d)
+    detector = infer.keyword_scorer(["th"])
+    out = infer.cascade_with(rows, detector, infer.md5_scorer)
+    return out.select("id", _big(F.col("detection")).alias("detection"), _big(F.col("rating")).alias("rating"), "message")
+
+
 def t31_cascade(spark: SparkSession, d: str) -> DataFrame:
     e = io.table(spark, d, "embeddings")
     lg = e.select(

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.metrics import best_rows, running_best
+from ..operators.metrics import best_rows, not_nan, running_best
 
 
 def track_best(stream: DataFrame, by: str = "model", step: str = "step", metric: str = "macro_f1") -> DataFrame:
@@ -67,7 +67,8 @@ def track_best(stream: DataFrame, by: str = "model", step: str = "step", metric:
 def current_best(stream: DataFrame, by: str = "model", step: str = "step", metric: str = "macro_f1") -> DataFrame:
     """Streaming aggregate of the best (metric, first step) per run, for an
     ``update`` / ``complete`` sink; combinable map-side like ``best_rows``."""
-    return stream.where(F.col(metric).isNotNull()).groupBy(by).agg(
+    value = not_nan(metric, stream)
+    return stream.withColumn(metric, value).where(F.col(metric).isNotNull()).groupBy(by).agg(
         F.max_by(F.col(step), F.struct(F.col(metric), -F.col(step))).alias("best_step"),
         F.max(metric).alias("best_" + metric),
     )

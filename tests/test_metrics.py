@@ -30,6 +30,66 @@ def test_weighted_loss_default_zero_weight(spark):
     assert abs(out.loss - (math.log(1 + math.e) - 0.0)) < 1e-12
 
 
+def test_running_best_skips_nan(spark):
+    df = spark.createDataFrame([(1, 1, 0.5), (1, 2, float("nan")), (1, 3, 0.9), (2, 1, float("nan")), (2, 2, 0.1)], "model int, step int, m double")
+    rb = [r.is_best for r in M.running_best(df, ["model"], "step", "m", blocks=2).orderBy("model", "step").collect()]
+    assert rb == [True, False, True, False, True]
+
+
+def test_loss_counts_only_labelled_rows(spark):
+    import math
+
+    rows = [([0.0, 1.0], 0), ([0.0, 1.0], -100), ([0.0, 1.0], -1), ([0.0, 1.0], 2), ([0.0, 1.0], None)]
+    df = spark.createDataFrame(rows, "logits array<double>, label int")
+    out = M.weighted_cross_entropy(df).first()
+    assert out.n == 1 and abs(out.loss - math.log(1 + math.e)) < 1e-12
+    assert M.weighted_cross_entropy(df, weights=[0.0, 1.0]).first().loss is None
+
+
+def test_curve_of_a_null_group_has_its_best(spark):
+    df = spark.createDataFrame([(None, 1, 0.5), (None, 2, 0.7)], "model int, step int, macro_f1 double")
+    out = {r.step: r.is_best_step for r in M.curve_series(df, ["model"]).collect()}
+    assert out == {1: False, 2: True}
+
+
+def test_every_row_leaves_a_scorer_once(spark):
+    """Scorers that stop early, raise, answer short batches or take nothing lose no row."""
+    from jestframe.operators.infer import label_with
+
+    def short(prompts):
+        yield from ([p.iloc[0]] for p, _ in zip(prompts, range(2)))
+
+    def raising(prompts):
+        for p in prompts:
+            if "7" in set(p):
+                raise RuntimeError("gone")
+            yield p
+
+    def idle(prompts):
+        return iter(())
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        df = spark.range(0, 40, numPartitions=2).selectExpr("id", "CAST(id AS STRING) AS text")
+        for scorer, want in ((short, {"ok", "missing"}), (raising, {"ok", "error"}), (idle, {"missing"})):
+            out = label_with(df, scorer, ["1", "2"]).collect()
+            assert sorted(r.id for r in out) == list(range(40)) and {r.status for r in out} == want
+        by_id = {r.id: r.status for r in label_with(df, raising, ["1", "2"]).collect()}
+        assert [i for i in by_id if by_id[i] == "error"] == [5, 6, 7, 8, 9]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_batched_rewrites_use_the_given_width(spark):
+    from jestframe.operators import infer
+
+    df = spark.range(2000).selectExpr("id", "CONCAT('b', id) AS body", "CAST(1 AS DOUBLE) AS rating")
+    first = infer._call_json(df.selectExpr("id AS batch", "body AS payload").repartition(7, "batch"), "payload", lambda p: (None, "ok"))
+    assert first.rdd.getNumPartitions() == 7
+    out = infer.rewrite_in_batches(df, infer.faulty_stub, parallelism=7)
+    assert out.count() == 2000 and out.select("id").distinct().count() == 2000
+
+
 def test_parameter_diff_and_sink(spark):
     df = spark.createDataFrame([({"a": "1", "b": "2", "c": None},)], "p map<string,string>")
     diff = df.select(M.parameter_diff(F.col("p"), {"a": "1", "b": "3"}).alias("d")).first().d
