@@ -106,6 +106,21 @@ def append_label(ids: Column, label_token: Column, end_token: int, max_length: i
     )
 
 
+def append_mask(mask: Column, ids: Column, label_token: Column, end_token: int, max_length: int) -> Column:
+    """F14 for the attention mask: parallel to ``append_label(ids, ...)``; the
+    label's position is attended (1)."""
+    end, one = F.lit(end_token), F.array(F.lit(1))
+    ends_with_end = F.coalesce(F.try_element_at(ids, F.lit(-1)) == end, F.lit(False))
+    without_last = F.slice(mask, 1, F.greatest(F.size(mask) - 1, F.lit(0)))
+    appended = F.concat(mask, one)
+    trimmed = F.when(F.size(appended) > F.lit(max_length), F.slice(appended, 2, max_length)).otherwise(appended)
+    return (
+        F.when(label_token == end, F.when(ends_with_end, without_last).otherwise(mask))
+        .when(ends_with_end, F.concat(without_last, one))
+        .otherwise(trimmed)
+    )
+
+
 def shift_left(labels: Column, ignore: int = IGNORE) -> Column:
     """labels[1:] + [ignore]."""
     return F.concat(F.slice(labels, 2, F.greatest(F.size(labels) - 1, F.lit(0))), F.array(F.lit(ignore)))

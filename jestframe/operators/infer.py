@@ -203,7 +203,8 @@ ITEM = "array<struct<body:string,id:bigint,rating:double>>"
 
 
 def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str | None, str]],
-                       batch_size: int = 32, order: str = "id", parallelism: int = 10) -> DataFrame:
+                       batch_size: int = 32, order: str = "id", parallelism: int = 10,
+                       template: str | None = None) -> DataFrame:
     """I3 + W3 + F20: items are packed into batches of ``batch_size`` in
     ``order`` (exact ranks, no single-task window), each batch sent as one
     JSON payload, ``parallelism`` senders at a time.
@@ -214,7 +215,14 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
     ``error`` (the sender raised) or ``invalid`` (no answer for the item).
     Answers for unknown ids are ignored; of several for an id the first counts.
 
-    ``batch_scorer(payload) -> (response_json | None, finish_reason)``."""
+    ``batch_scorer(prompt) -> (response_json | None, finish_reason)``; the
+    prompt is the payload, or ``template`` with its ``{jokes_batch}`` replaced."""
+    def ask(calls: DataFrame, *key: str) -> DataFrame:
+        prompt = apply_template(template, F.col("payload"), "{jokes_batch}") if template else F.col("payload")
+        # requests are tiny, so a width by bytes would leave one sender
+        sent = calls.withColumn("prompt", prompt).repartition(parallelism, *key)
+        return _call_json(sent, "prompt", batch_scorer).drop("prompt").checkpoint()  # each request once
+
     ranked = exact_rank_by_order(df, order, rank_col="_rank")
     batched = ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / batch_size))
     payloads = batched.groupBy("batch").agg(
@@ -222,8 +230,7 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
                                lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)))
         .alias("payload")
     )
-    # requests are tiny, so a width by bytes would leave one sender
-    first = _call_json(payloads.repartition(parallelism, "batch"), "payload", batch_scorer).checkpoint()
+    first = ask(payloads, "batch")
     answers = _with_answers(first)
     good = (F.col("finish") == "ok") & F.col("answer").isNotNull()
     accepted = answers.where(good).select(F.col("it.id").alias("id"), F.col("answer.body").alias("body"),
@@ -231,7 +238,7 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
     # the items to retry are read back from their (written) payload: no
     # second ranking pass and no join over all items
     singles = answers.where(~good).select(F.to_json(F.array(F.col("it"))).alias("payload"))
-    second = _call_json(singles.repartition(parallelism), "payload", batch_scorer).checkpoint()  # each request once
+    second = ask(singles)
     status = F.when(F.col("finish") != "ok", F.col("finish")).when(F.col("answer").isNull(), F.lit("invalid")).otherwise(F.lit("ok"))
     retried = _with_answers(second).withColumn("status", status)
     ok = F.col("status") == "ok"
@@ -273,7 +280,7 @@ def faulty_stub(payload: str) -> tuple[str | None, str]:
     """Offline stand-in for an unreliable rewriter, by the md5 of each body:
     raises if one starts with '0', cuts its JSON short if one starts with '1',
     leaves out bodies that start with '2', and adds an item nobody sent."""
-    items = json.loads(payload)
+    items = _items_of(payload)
     marks = [hashlib.md5((it.get("body") or "").encode("utf-8")).hexdigest()[0] for it in items]
     if "0" in marks:
         raise RuntimeError("no connection")
@@ -283,11 +290,15 @@ def faulty_stub(payload: str) -> tuple[str | None, str]:
     return (text[:len(text) // 2] if "1" in marks else text), "ok"
 
 
+def _items_of(prompt: str) -> list[dict]:
+    return json.loads(prompt[prompt.index("["):prompt.rindex("]") + 1])
+
+
 def translate_stub(payload: str) -> tuple[str | None, str]:
     """Offline stand-in for the remote rewriter: refuses (``recitation``) any
     payload holding a body whose md5 starts with '0'; otherwise returns each
     item with ``[es] `` put before its body."""
-    items = json.loads(payload)
+    items = _items_of(payload)
     if any(hashlib.md5((it.get("body") or "").encode("utf-8")).hexdigest()[0] == "0" for it in items):
         return None, "recitation"
     out = [{"body": "[es] " + (it.get("body") or ""), "id": it["id"], "rating": it["rating"]} for it in items]

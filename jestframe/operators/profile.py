@@ -1,15 +1,17 @@
 """A dataset profile as one long table (column, stat, value).
 
 All scalar statistics of all columns come from one aggregation pass; exact
-distinct counts are optional (``approx_count_distinct`` otherwise).  Exact
-quartiles of numeric columns come from ranks (``exact_quantiles``), not from
-a value->count map that would hold a unique column whole in one task.  The
-duplicate-row count is one more ``groupBy`` over all columns.
+distinct counts (of 128-bit hashes for strings, so no text is shuffled) are
+optional (``approx_count_distinct`` otherwise).  Exact quartiles of numeric
+columns come from ranks of their distinct values (``exact_quantiles``), so
+neither a unique column nor a constant one ends up in one task.  NaN counts as
+missing in every statistic.  The duplicate-row count groups by a 128-bit hash
+of the row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,12 +29,18 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
         names.append((col, stat))
         aggs.append(expr.cast("double").alias(f"{col}__{stat}"))
 
+    def hashed(*cols) -> F.Column:
+        return F.struct(F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols))
+
     add("*", "rows", F.count(F.lit(1)))
+    df = df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
+                     if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name) for f in df.schema.fields])
     for f in df.schema.fields:
         c = F.col(f.name)
+        key = F.when(c.isNotNull(), hashed(c)) if isinstance(f.dataType, T.StringType) else c
         add(f.name, "count", F.count(c))
         add(f.name, "missing", F.count_if(c.isNull()))
-        add(f.name, "distinct", F.count_distinct(c) if exact_distinct else F.approx_count_distinct(c))
+        add(f.name, "distinct", F.count_distinct(key) if exact_distinct else F.approx_count_distinct(c))
         add(f.name, "any_missing", F.bool_or(c.isNull()))
         if isinstance(f.dataType, _NUMERIC):
             add(f.name, "min", F.min(c))
@@ -53,7 +61,9 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
         ]))
     )
     dup = (
-        df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+        # nulls leave a hash as it is, so their places are part of the key
+        df.groupBy(hashed(*[F.col(c) for c in df.columns]).alias("_h"), F.array(*[F.col(c).isNull() for c in df.columns]).alias("_nulls"))
+        .agg(F.count(F.lit(1)).alias("_n"))
         .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("double").alias("value"))
         .select(F.lit("*").alias("column"), F.lit("duplicate_rows").alias("stat"), "value")
     )
@@ -66,10 +76,12 @@ def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float,
     return out
 
 
-def top_values(df: DataFrame, col: str, k: int = 10) -> DataFrame:
-    """Most frequent values of a column (a top-k report; ties by value)."""
-    return (
-        df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.col("n").desc(), F.col(col).asc_nulls_first())
-        .limit(k)
-    )
+def top_values(df: DataFrame, cols: str | list[str], k: int = 10) -> DataFrame:
+    """The ``k`` most frequent values of each column (a top-k report; ties by
+    value, null first): column, value (as text), n, rank."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    stacked = df.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols])))
+    counts = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    place = Window.partitionBy("column").orderBy(F.desc("n"), F.col("value").asc_nulls_first())
+    return counts.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)

@@ -208,27 +208,36 @@ def exact_quantiles(df: DataFrame, cols: str | list[str], qs: tuple[float, ...]
     ``percentile_cont``) as rows (column, q, value), without a value->count
     map (whose size grows with the number of distinct values).
 
-    The columns are stacked as (column, value) and ranked within each column
-    by range partitioning (``exact_rank_by_order``, one shuffle for all
-    columns; a tie between equal values does not change the value at a rank).
-    Only the two ranks around each q * (n - 1) are read back, through a
-    broadcast of at most 2 * columns * len(qs) target ranks.  Nulls and NaN
-    are skipped; a column without values gets null quantiles."""
+    Values are counted per (column, value) first, which combines map-side, so
+    a hot value is one row.  The distinct values are range-partitioned on
+    (column, value), each range is written once, and running counts within a
+    range plus the counts of the ranges before give the ranks that a value
+    covers.  The ranks around each q * (n - 1) are read back through a broadcast
+    of 2 * columns * len(qs) targets.  Nulls and NaN are skipped; a column
+    without values gets null quantiles."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     spark = df.sparkSession
     stacked = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
     ])))
-    v = stacked.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    ranked = exact_rank_by_order(v, "_v", by=["_col"], rank_col="_r")
+    values = stacked.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    x = (ranged(values, ["_col", "_v"]).sortWithinPartitions("_col", "_v")
+         .withColumn("_blk", F.spark_partition_id()).checkpoint())
+    before = Window.partitionBy("_col").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = x.groupBy("_col", "_blk").agg(F.sum("_c").alias("_n")).select(
+        "_col", "_blk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    upto = Window.partitionBy("_col", "_blk").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = x.withColumn("_last", F.sum("_c").over(upto)).join(blocks, ["_col", "_blk"]).select(
+        "_col", "_v", (F.col("_off") + F.col("_last")).alias("_to"), (F.col("_off") + F.col("_last") - F.col("_c")).alias("_from"))
     counts = spark.createDataFrame([(c,) for c in cols], "_col string").join(
-        ranked.groupBy("_col").agg(F.count(F.lit(1)).alias("_n")), "_col", "left")
+        x.groupBy("_col").agg(F.sum("_c").alias("_n")), "_col", "left")
     targets = counts.select("_col", F.inline(F.array(*[
         F.struct(F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("_n") - 1)).alias("_pos")) for q in qs
     ])))
     targets = targets.select("_col", "q", "_pos", (F.floor("_pos") + 1).alias("_lo"), (F.ceil("_pos") + 1).alias("_hi"))
     need = targets.select("_col", "q", "_pos", "_lo", "_hi", F.explode(F.array("_lo", "_hi")).alias("_r"))
-    picked = ranked.join(F.broadcast(need), ["_col", "_r"])  # at most 2 * columns * len(qs) target rows
+    near = F.broadcast(need.withColumnRenamed("_col", "_c2"))  # 2 * columns * len(qs) target rows
+    picked = ranked.join(near, (F.col("_col") == F.col("_c2")) & (F.col("_r") > F.col("_from")) & (F.col("_r") <= F.col("_to")))
     ends = picked.groupBy("_col", "q", "_pos").agg(
         F.max(F.when(F.col("_r") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_r") == F.col("_hi"), F.col("_v"))).alias("_vhi"),

@@ -15,7 +15,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dedup, generate, labels, sampling
+from ..operators import dedup, generate, labels, profile, sampling
 from ..sources import io
 
 
@@ -161,8 +161,10 @@ def job_repetition(spark: SparkSession, repetition_tokens: list[str], exclusive_
 
 # ---- runners -------------------------------------------------------------------------
 
-def run_job(result: DataFrame | dict[str, DataFrame], out: str, fmt: str = "parquet") -> dict[str, str]:
-    """Write one output (or every named output under ``out``)."""
+def run_job(result: DataFrame | dict[str, DataFrame], out: str, fmt: str = "parquet",
+            report: str | None = None) -> dict[str, str]:
+    """Write one output (or every named output under ``out``); with
+    ``report``, the profile (A11) of each parquet output goes under that folder."""
     items = result.items() if isinstance(result, dict) else [("", result)]
     paths = {}
     for name, df in items:
@@ -171,6 +173,9 @@ def run_job(result: DataFrame | dict[str, DataFrame], out: str, fmt: str = "parq
             io.write_csv(df, path)
         else:
             io.write_table(df, path)
+        if report:
+            written = df if fmt == "csv" else df.sparkSession.read.parquet(path)
+            io.write_table(profile.profile(written), os.path.join(report, name) if name else report)
         paths[name or "out"] = path
     return paths
 

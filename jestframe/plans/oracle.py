@@ -304,11 +304,9 @@ def _template_sql(template: str, col: str) -> str:
 
 
 def _prompts() -> str:
-    from .queries import CLASSIFICATION_TEMPLATE, DETECTION_TEMPLATE
+    from .queries import PROMPTS
 
-    return f"""
-SELECT doc_id, {_template_sql(CLASSIFICATION_TEMPLATE, 'text')} AS classification_prompt,
-  {_template_sql(DETECTION_TEMPLATE, 'text')} AS detection_prompt FROM documents"""
+    return "SELECT doc_id, " + ",\n  ".join(f"{_template_sql(t, 'text')} AS {name}" for name, t in PROMPTS.items()) + " FROM documents"
 
 
 Q["t29_llm_labels"] = _ctes("x_resp") + """
@@ -359,16 +357,25 @@ FROM y"""
 
 _ct = "[" + ", ".join(str(t) for t in CLASS_TOKENS) + "]"
 Q["t32_pack_examples"] = _ctes("x_tokens") + f"""
-, a AS (SELECT id,
+, m AS (SELECT id, tokens, score, list_transform(generate_series(1, len(tokens)), lambda i: CASE WHEN (i - 1) % 3 = 0 THEN 0 ELSE 1 END) AS mask
+        FROM x_tokens),
+a AS (SELECT id,
           CASE WHEN len(tokens) > {MAX_LENGTH} THEN tokens[len(tokens) - {MAX_LENGTH} + 1:] ELSE tokens END AS ids,
-          coalesce({_ct}[score + 1], {END_TOKEN}) AS lab FROM x_tokens),
+          CASE WHEN len(tokens) > {MAX_LENGTH} THEN mask[len(tokens) - {MAX_LENGTH} + 1:] ELSE mask END AS mask,
+          coalesce({_ct}[score + 1], {END_TOKEN}) AS lab FROM m),
 b AS (SELECT id,
         CASE WHEN lab = {END_TOKEN} THEN
                CASE WHEN ids[-1] = {END_TOKEN} THEN ids[1:len(ids) - 1] ELSE ids END
              WHEN ids[-1] = {END_TOKEN} THEN list_concat(ids[1:len(ids) - 1], [lab])
              WHEN len(ids) + 1 > {MAX_LENGTH} THEN list_concat(ids, [lab])[2:]
-             ELSE list_concat(ids, [lab]) END AS input_ids FROM a)
-SELECT id, CAST(len(input_ids) AS BIGINT) AS n_tokens, array_to_string(input_ids, ' ') AS input_ids FROM b"""
+             ELSE list_concat(ids, [lab]) END AS input_ids,
+        CASE WHEN lab = {END_TOKEN} THEN
+               CASE WHEN ids[-1] = {END_TOKEN} THEN mask[1:len(ids) - 1] ELSE mask END
+             WHEN ids[-1] = {END_TOKEN} THEN list_concat(mask[1:len(ids) - 1], [1])
+             WHEN len(ids) + 1 > {MAX_LENGTH} THEN list_concat(mask, [1])[2:]
+             ELSE list_concat(mask, [1]) END AS attention_mask FROM a)
+SELECT id, CAST(len(input_ids) AS BIGINT) AS n_tokens, array_to_string(input_ids, ' ') AS input_ids,
+  array_to_string(attention_mask, ' ') AS attention_mask FROM b"""
 
 _last = "coalesce(list_max(list_transform(generate_series(1, len(labels)), lambda i: CASE WHEN labels[i] <> -100 THEN i - 1 ELSE 0 END)), 0)"
 Q["t33_mask_last_label"] = _ctes("x_tokens") + f"""
@@ -412,6 +419,11 @@ def _profile_sql() -> str:
 
 Q["t35_profile"] = _profile_sql()
 
+_top = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM documents GROUP BY 2"
+                        for c in ("lang", "source", "n_chars"))
+Q["t45_top_values"] = f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value NULLS FIRST) AS rank FROM ({_top})) WHERE rank <= 5"""
+
 Q["t36_param_diff"] = """
 WITH p AS (
   SELECT event_id, 'trainer_optim' AS param, event_type AS value, 'view' AS dflt FROM events

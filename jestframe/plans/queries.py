@@ -12,8 +12,6 @@ blank-joined text.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +37,55 @@ DETECTION_TEMPLATE = """{input}
 Detect if the text is funny 1 or not 0.
 Is the text funny? The text is """
 
+# Templates of the chat experiments; the strict form adds STRICT.
+STRICT = " Do not answer anything else."
+CHAT_CLASSIFICATION_TEMPLATE = """{input}
+========================================
+- Question:
+How funny is this text?{strict}
+1) Slightly
+2) Mildly
+3) Moderately
+4) Very
+5) Incredibly
+The answer is """
+FEW_SHOT_DETECTION_TEMPLATE = """Detect if the following text is funny 1 or not 0 following the provided examples.{strict}
+
+Text: Un piano me caería excelente en estos momentos.
+Score: 1
+
+Text: Ni Jesús te ama.
+Score: 0
+
+Text: Jajajajajajajaj Idiota.
+Score: 0
+
+Text: —¿Qué es eso que traes en tu bolsa?
+—Un AK-47.
+—No, al lado del AK-47.
+—Unos Chettos bolita.
+—¡No puedes entrar al Cine con comida!
+Score: 1
+
+Text: {input}
+Score: """
+# Fixed value: the prompt around a batch of jokes to translate.
+TRANSLATION_TEMPLATE = """Traduce estos chistes al español, para cada objeto del array traduce el texto en la llave body, las demás llaves déjalas intactas.
+Procura usar un lenguaje que resulte familiar en el contexto latinoamericano.
+
+```json
+{jokes_batch}
+```
+"""
+PROMPTS = {
+    "classification_prompt": CLASSIFICATION_TEMPLATE,
+    "detection_prompt": DETECTION_TEMPLATE,
+    "chat_classification_prompt": CHAT_CLASSIFICATION_TEMPLATE.replace("{strict}", ""),
+    "chat_detection_prompt": FEW_SHOT_DETECTION_TEMPLATE.replace("{strict}", ""),
+    "strict_classification_prompt": CHAT_CLASSIFICATION_TEMPLATE.replace("{strict}", STRICT),
+    "strict_detection_prompt": FEW_SHOT_DETECTION_TEMPLATE.replace("{strict}", STRICT),
+}
+
 DETECTION_THRESHOLD = 0.65
 DETECTION_WEIGHTS = [1.05, 1.0]
 CLASSIFICATION_WEIGHTS = [1.0, 1.3, 1.2, 1.75, 4.0]
@@ -263,11 +310,7 @@ def t27_curve_series(spark: SparkSession, d: str) -> DataFrame:
 
 def t28_prompts(spark: SparkSession, d: str) -> DataFrame:
     docs = io.table(spark, d, "documents")
-    return docs.select(
-        "doc_id",
-        apply_template(CLASSIFICATION_TEMPLATE, F.col("text")).alias("classification_prompt"),
-        apply_template(DETECTION_TEMPLATE, F.col("text")).alias("detection_prompt"),
-    )
+    return docs.select("doc_id", *[apply_template(t, F.col("text")).alias(name) for name, t in PROMPTS.items()])
 
 
 def t29_llm_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +319,7 @@ def t29_llm_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t30_batched_rewrite(spark: SparkSession, d: str) -> DataFrame:
-    out = infer.rewrite_in_batches(X.x_rated(spark, d), infer.translate_stub, 32, "id")
+    out = infer.rewrite_in_batches(X.x_rated(spark, d), infer.translate_stub, 32, "id", template=TRANSLATION_TEMPLATE)
     return out.select("id", "body", "rating", "status")
 
 
@@ -313,8 +356,11 @@ def t32_pack_examples(spark: SparkSession, d: str) -> DataFrame:
     ids = A.keep_last(F.col("tokens"), X.MAX_LENGTH)
     label_tok = A.score_to_token(F.col("score"), X.CLASS_TOKENS, X.END_TOKEN)
     packed = A.append_label(ids, label_tok, X.END_TOKEN, X.MAX_LENGTH)
-    out = t.select("id", packed.alias("input_ids"))
-    return out.select("id", _big(F.size("input_ids")).alias("n_tokens"), _ints_text(F.col("input_ids")).alias("input_ids"))
+    # every third position of the stand-in is padding, so the mask shows which position went
+    mask = A.keep_last(F.transform("tokens", lambda x, i: F.when(i % 3 == 0, F.lit(0)).otherwise(F.lit(1))), X.MAX_LENGTH)
+    out = t.select("id", packed.alias("input_ids"), A.append_mask(mask, ids, label_tok, X.END_TOKEN, X.MAX_LENGTH).alias("mask"))
+    return out.select("id", _big(F.size("input_ids")).alias("n_tokens"), _ints_text(F.col("input_ids")).alias("input_ids"),
+                      _ints_text(F.col("mask")).alias("attention_mask"))
 
 
 def t33_mask_last_label(spark: SparkSession, d: str) -> DataFrame:
@@ -347,6 +393,12 @@ def t35_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("column", "stat", _r(F.col("value")).alias("value"))
 
 
+def t45_top_values(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent values of several columns (a top-k report)."""
+    out = profile.top_values(io.table(spark, d, "documents"), ["lang", "source", "n_chars"], 5)
+    return out.select("column", "value", "n", _big(F.col("rank")).alias("rank"))
+
+
 # Defaults the parameter maps are compared with (our own values).
 PARAM_DEFAULTS = {"optim": "view", "per_device_train_batch_size": "50"}
 
@@ -454,4 +506,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return t07_union_unique(spark, d)
 
 
-__all__ = ["QUERIES", "flagship", "os"]
+__all__ = ["QUERIES", "flagship"]

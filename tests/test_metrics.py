@@ -186,7 +186,7 @@ def test_probability_view_missing_gate_and_top_values(spark):
     assert df.agg(any_missing("score_0").alias("x")).first().x is True
     assert df.where("id = 1").agg(any_missing("score_0").alias("x")).first().x is False
     words = spark.createDataFrame([(w,) for w in "b a b c a b".split()], "w string")
-    assert [(r.w, r.n) for r in top_values(words, "w", 2).collect()] == [("b", 3), ("a", 2)]
+    assert [(r.value, r.n) for r in top_values(words, "w", 2).orderBy("rank").collect()] == [("b", 3), ("a", 2)]
 
 
 def test_label_with_template_and_parallelism(spark):
