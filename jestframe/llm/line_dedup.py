@@ -39,8 +39,9 @@ LEAST_WORDS = 3
 NEAR_WORDS = 8
 
 
-def words_col(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(r"\S+"), F.lit(0))
+def plain(raw: Column) -> Column:
+    """A line's lower-cased words, joined by single blanks."""
+    return F.btrim(F.regexp_replace(F.lower(raw), r"\s{2,}|[\t\x0B\f\r]", " "))
 
 
 def place(doc: str = "doc_id", row: str = "_row", pos: str = "pos") -> Column:
@@ -49,19 +50,21 @@ def place(doc: str = "doc_id", row: str = "_row", pos: str = "pos") -> Column:
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """place, line (its words joined by blanks) and words of every line that counts."""
+    """place, line (plain), n words and class hash of every line that counts."""
     return (docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
-            .select(place().alias("place"), words_col(F.col("raw")).alias("words")).where(F.size("words") >= least_words)
-            .select("place", "words", F.array_join("words", " ").alias("line"))
+            .select(place().alias("place"), plain(F.col("raw")).alias("line"))
+            .withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).where((F.col("line") != "") & (F.col("n") >= least_words))
             .select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
 
 
-def halves(words: Column) -> Column:
+def halves() -> Column:
     """Keys of the first and last halves that a line within one edit may share:
     of floor((n-1)/2) up to floor(n/2) words each, n the longer line's size."""
-    n = F.size(words)
-    sizes = F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2)).cast("array<int>"))
-    return F.flatten(F.transform(sizes, lambda h: F.array(F.xxhash64(F.lit(0), h, F.slice(words, 1, h)), F.xxhash64(F.lit(1), h, F.slice(words, n - h + 1, h)))))
+    def keys(h: str) -> list[Column]:
+        return [F.expr(f"xxhash64(0, {h}, substring_index(line, ' ', {h}))"), F.expr(f"xxhash64(1, {h}, substring_index(line, ' ', -({h})))")]
+
+    low, high = "CAST((n - 1) div 2 AS INT)", "CAST(n div 2 AS INT)"
+    return F.when(F.col("n") % 2 == 0, F.array(*keys(low), *keys(high))).otherwise(F.array(*keys(low)))
 
 
 def chained(words: Column) -> Column:
@@ -89,14 +92,22 @@ def within_one_edit(a: Column, b: Column, at: Column) -> Column:
             .when(F.size(b) == F.size(a) + 1, without(b) == a).otherwise(False))
 
 
-def near_classes(classes: DataFrame, lines: DataFrame, near_words: int) -> DataFrame:
+def same_row(id_col: str, text_col: str) -> Column:
+    """Whether a row of documents is the one of a place (last, doc, row)."""
+    return ((F.col(id_col).isNull() == F.col("last")) & (F.coalesce(F.col(id_col), F.lit(0)).cast("long") == F.col("doc")) & (F.xxhash64(text_col) == F.col("row")))
+
+
+def near_classes(classes: DataFrame, docs: DataFrame, near_words: int, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of the classes that an earlier line lies within one edit of."""
     keys = classes.where(F.size("halves") > 0).select("h1", "h2", "first", F.explode("halves").alias("half"))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     some = keys.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
-    # the words of these classes only, from the place of their first occurrence
-    own = lines.select("h1", "h2", "place.*", "line").join(some.select("h1", "h2", "first.*"), ["h1", "h2", "last", "doc", "row", "pos"])
-    some = written(own.select("h1", "h2", F.struct("last", "doc", "row", "pos").alias("first"), "line").dropDuplicates(["h1", "h2"]), "sharing")
+    # the words of these classes only, from the document of their first occurrence
+    places = some.select("h1", "h2", "first.*").groupBy("last", "doc", "row").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("_at"))
+    own = (docs.select(id_col, text_col).join(places, same_row(id_col, text_col))
+           .select("last", "doc", "row", F.split(F.col(text_col), "\n").alias("lines"), F.explode("_at").alias("at"))
+           .select("at.h1", "at.h2", F.struct("last", "doc", "row", "at.pos").alias("first"), plain(F.col("lines")[F.col("at.pos")]).alias("line")))
+    some = written(own.dropDuplicates(["h1", "h2"]), "sharing")
     some = some.withColumn("words", F.split("line", " "))
     arranged = some.repartition("h1").withColumn("before", chained(F.col("words"))).withColumn("after", chained(F.reverse("words")))
     emitted = (arranged.select("h1", "h2", "first", F.explode(neighbourhood(F.col("words"), F.col("before"), F.col("after"))).alias("v"))
@@ -119,10 +130,10 @@ def near_classes(classes: DataFrame, lines: DataFrame, near_words: int) -> DataF
 def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """place of every line that goes: last, doc, row, pos."""
     lines = lines_of(docs, id_col, text_col, least_words)
-    own = F.when(F.size("words") >= near_words - 1, F.array_distinct(halves(F.col("words"))))
+    own = F.when(F.col("n") >= near_words - 1, halves())
     placed = written(lines.select("place", "h1", "h2", own.alias("halves")), "placed")
     classes = written(placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves", ignorenulls=True).alias("halves")), "classes")
-    near = near_classes(classes, lines, near_words).withColumn("near", F.lit(True))
+    near = near_classes(classes, docs, near_words, id_col, text_col).withColumn("near", F.lit(True))
     judged = classes.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
     return (placed.select("place", "h1", "h2").join(judged, ["h1", "h2"])
             .where(F.coalesce(F.col("near"), F.lit(False)) | (F.col("place") > F.col("first"))).select("place.*"))
@@ -131,8 +142,7 @@ def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` less the lines that go, and n_lines, n_dropped."""
     gone = dropped_lines(docs, near_words, least_words, id_col, text_col).groupBy("last", "doc", "row").agg(F.collect_set("pos").alias("_gone"))
-    same = (F.col(id_col).isNull() == F.col("last")) & (F.coalesce(F.col(id_col), F.lit(0)).cast("long") == F.col("doc")) & (F.xxhash64(text_col) == F.col("row"))
     lines = F.split(F.col(text_col), "\n")
     kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return docs.join(gone, same, "left").select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns],
+    return docs.join(gone, same_row(id_col, text_col), "left").select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns],
                                                 F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
