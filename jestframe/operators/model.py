@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import wide
 from .dedup import union_all
 from .metrics import best_rows, classification_report
+from .sampling import over_sample, under_sample
 
 
 def _regression(num_classes: int, threshold: float | None, weighted: bool, max_iter: int) -> LogisticRegression:
@@ -53,14 +54,26 @@ def with_class_weights(df: DataFrame, weights: list[float] | None, label: str =
     return df.withColumn("weight", F.coalesce(F.try_element_at(arr, (F.col(label) + 1).cast("int")), F.lit(0.0)))
 
 
+def training_rows(df: DataFrame, class_weights: list[float] | None = None, sample: str | None = None,
+                  key: str = "id", label: str = "score") -> DataFrame:
+    """The rows that a fit sees, with their ``weight``: rows without a text
+    dropped, then classes balanced (``sample``: ``under``, ``over`` or none)."""
+    rows = df.where(F.col("text").isNotNull())
+    if sample:
+        keys = rows.select(key, label)
+        drawn = under_sample(keys, key, label) if sample == "under" else over_sample(keys, key, label)
+        rows = drawn.drop(label).join(rows, key)  # the texts join last
+    return with_class_weights(rows, class_weights, label)
+
+
 def fit(df: DataFrame, num_classes: int = 2, class_weights: list[float] | None = None,
-        threshold: float | None = None) -> PipelineModel:
-    """K1: feature stages fitted once and their output written once (shared
+        threshold: float | None = None, sample: str | None = None, key: str = "id") -> PipelineModel:
+    """K1: rows balanced if asked (``training_rows``), then feature stages fitted once and their output written once (shared
     checkpoint folder), then the regression fitted on it -- the same model
     as ``text_classifier(...).fit``, without tokenising the texts twice."""
-    data = with_class_weights(df.where(F.col("text").isNotNull()), class_weights).withColumn(
-        "score", F.col("score").cast("double")
-    )
+    data = training_rows(df, class_weights, sample, key).withColumn("score", F.col("score").cast("double"))
+    if sample:
+        data = data.checkpoint()
     features = Pipeline(stages=_feature_stages(1 << 18)).fit(data)
     train_x = features.transform(data).select("features", "score", "weight").checkpoint()
     lr = _regression(num_classes, threshold, class_weights is not None, 20).fit(train_x)

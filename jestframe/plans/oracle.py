@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from ..sources.fixtures import CLASS_TOKENS, END_TOKEN, EXCLUSIVE_HUMOR, EXCLUSIVE_NON_HUMOR, MAX_LENGTH, \
     REPETITION_TOKENS, SQL, u_sql
+from ..sources.experiments import EXPERIMENTS
 from ..sources.registry import registry_sql
 
 NL_T = 429496730  # ceil(0.1 * 2^32): a newline separator with probability 0.1
@@ -484,6 +485,40 @@ SELECT family, view, CAST(score AS BIGINT) AS score, count(*) AS n FROM views GR
 Q["t12_train_family"] = _train_family_sql()
 
 
+Q["t46_train_family_files"] = _ctes("x_scored") + """
+SELECT 'base' AS view, text, CAST(score AS BIGINT) AS score FROM x_scored
+UNION ALL SELECT 'classification', text, CAST(score - 1 AS BIGINT) FROM x_scored WHERE score > 0
+UNION ALL SELECT 'detection', text, CAST(CASE WHEN score IS DISTINCT FROM 0 THEN 1 ELSE 0 END AS BIGINT) FROM x_scored"""
+
+Q["t47_json_arrays"] = _ctes("x_rated") + "SELECT id, body, rating FROM x_rated"
+
+Q["t48_training_logs"] = """
+WITH l AS (SELECT CAST(event_id AS BIGINT) AS step, value / 4 AS macro_f1, 'm' || CAST(user_id % 7 AS VARCHAR) AS model,
+             CASE WHEN user_id % 2 = 0 THEN 'classification' ELSE 'detection' END AS task FROM events)
+SELECT model, task, step AS best_step, round(macro_f1, 6) AS best_macro_f1 FROM l WHERE macro_f1 IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY model, task ORDER BY macro_f1 DESC, step) = 1"""
+
+Q["t49_missing_gate"] = _ctes("x_resp") + """
+SELECT substr(text, 1, 1) AS head, bool_or(text IS NULL OR length(text) % 13 = 0) AS missing, count(*) AS n
+FROM x_resp GROUP BY 1"""
+
+_exp = ", ".join(f"({i}, '{m}', '{t}', '{steps}', '{batch}')"
+                 for i, (m, t, steps, batch, *_) in enumerate(sorted(EXPERIMENTS, key=lambda e: e[:2])))
+Q["t50_changed_arguments"] = f"""
+WITH x AS (SELECT * FROM (VALUES {_exp}) AS v(idx, model, task, steps, batch)),
+a AS (SELECT idx, model, task, 'trainer_max_steps' AS param, steps AS value FROM x WHERE steps <> '-1'
+      UNION ALL SELECT idx, model, task, 'trainer_per_device_train_batch_size', batch FROM x WHERE batch <> '8')
+SELECT e.event_id, a.model, a.task, a.param, a.value FROM events e JOIN a ON e.user_id % 14 = a.idx"""
+
+Q["t51_fixed_test_set"] = _ctes("x_scored") + """
+, d AS (SELECT id, CASE WHEN score IS DISTINCT FROM 0 THEN 1 ELSE 0 END AS score FROM x_scored WHERE text IS NOT NULL),
+c AS (SELECT score, count(*) AS n FROM d WHERE id % 5 <> 0 GROUP BY score),
+m AS (SELECT score, (SELECT min(n) FROM c) AS n, CASE score WHEN 0 THEN 1.05 ELSE 1.0 END AS w FROM c)
+SELECT 'test_' || CAST(score AS VARCHAR) || '_support' AS name, CAST(count(*) AS DOUBLE) AS value FROM d WHERE id % 5 = 0 GROUP BY score
+UNION ALL SELECT 'probabilities_sum_to_1', 1.0
+UNION ALL SELECT 'train_rows_' || CAST(score AS VARCHAR), CAST(n AS DOUBLE) FROM m
+UNION ALL SELECT 'train_weight_' || CAST(score AS VARCHAR), round(CAST(n * w AS DOUBLE), 6) FROM m"""
+
 # K4: five suites, keyword scorer, report per suite
 _KW = "|".join(EXCLUSIVE_HUMOR)
 Q["t42_evaluation_suites"] = _ctes("x_scored") + _contradiction_sql() + ",\n" + _repetition_sql() + f"""

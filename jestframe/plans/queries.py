@@ -12,7 +12,7 @@ blank-joined text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -495,6 +495,83 @@ def t41_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return io.read_json_lines(spark, path, io.RATED)
 
 
+def t46_train_family_files(spark: SparkSession, d: str) -> DataFrame:
+    """S5 + S6 + S4: the base table and its two views written and read back."""
+    from . import jobs
+
+    path = scratch_path(spark, "family")
+    paths = jobs.run_family(spark, X.x_scored(spark, d).select("text", "score"), path)
+    views = [spark.read.parquet(p).select(F.lit(name).alias("view"), "text", _big(F.col("score")).alias("score"))
+             for name, p in paths.items()]
+    return dedup.union_all(*views)
+
+
+def t47_json_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """S3 + S2: files of one JSON array each, found through the dataset registry."""
+    path = scratch_path(spark, "arrays")
+    rated = X.x_rated(spark, d)
+    io.write_json_arrays(rated, path, files=8)
+    registry = io.Registry(spark, path)
+    registry.register("rated", "")
+    return io.read_json_array(spark, registry.path("rated").rstrip("/")).select("id", "body", "rating")
+
+
+def t48_training_logs(spark: SparkSession, d: str) -> DataFrame:
+    """S9 + O1 + A9: logs written per (model, task), read back, best step each."""
+    logs = X.x_train_log(spark, d)
+    path = scratch_path(spark, "logs")
+    io.write_train_logs(logs, path)
+    best = metrics.best_rows(io.read_train_logs(spark, path), ["model", "task"], "step", "macro_f1")
+    return best.select("model", "task", _big(F.col("step")).alias("best_step"), _r(F.col("macro_f1")).alias("best_macro_f1"))
+
+
+def t49_missing_gate(spark: SparkSession, d: str) -> DataFrame:
+    """P11 + C2: whether any value of the text-only rows or the scores is missing."""
+    from . import jobs
+
+    texts = jobs.job_test_text(X.x_resp(spark, d)).withColumn("score", F.length("text").cast("double"))
+    # every 13th length is a NaN
+    value = F.when(F.col("score") % 13 == 0, F.lit(float("nan"))).otherwise(F.col("score"))
+    return texts.select("text", value.alias("value")).groupBy(F.substring("text", 1, 1).alias("head")).agg(
+        infer.any_missing("value").alias("missing"), _big(F.count(F.lit(1))).alias("n"))
+
+
+def t50_changed_arguments(spark: SparkSession, d: str) -> DataFrame:
+    """K6 + F16: the arguments that each logged run changed, by its experiment."""
+    from ..sources.experiments import changed_arguments, experiments_frame
+
+    exp = changed_arguments(experiments_frame(spark))  # fixed 28 rows
+    runs = io.table(spark, d, "events").select("event_id", F.col("user_id").alias("run"))
+    named = exp.select("model", "task", "param", "value", (F.dense_rank().over(Window.orderBy("model", "task")) - 1).alias("idx"))
+    return runs.join(F.broadcast(named), F.col("run") % 14 == F.col("idx")).select("event_id", "model", "task", "param", "value")
+
+
+def t51_fixed_test_set(spark: SparkSession, d: str) -> DataFrame:
+    """K2 + K1: sizes, supports and class weights of a fit judged on a fixed test set.
+
+    The fit itself has no SQL form; what it is given has: training rows by
+    class after under-sampling, their weights, and the test set's classes, as
+    the report of the fitted model counts them."""
+    from ..operators import model as M
+
+    scored = labels.to_detection(X.x_scored(spark, d)).checkpoint()
+    test = scored.where(F.col("id") % 5 == 0)
+    train = scored.where(F.col("id") % 5 != 0)
+    used = M.training_rows(train, DETECTION_WEIGHTS, sample="under")
+    pred = M.predict(M.fit(train, 2, class_weights=DETECTION_WEIGHTS, sample="under"), test, 2)
+    rep = metrics.classification_report(pred, "score", "labels")
+    support = rep.where("metric IN ('0_support', '1_support')").select(
+        F.concat(F.lit("test_"), F.col("metric")).alias("name"), "value")
+    sums = pred.select(F.lit("probabilities_sum_to_1").alias("name"),
+                       F.when(F.abs(F.col("score_0") + F.col("score_1") - 1) < 1e-9, 1.0).otherwise(0.0).alias("value"))
+    sums = sums.groupBy("name").agg(F.min("value").alias("value"))
+    classes = used.groupBy("score").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("weight").alias("w"))
+    given = classes.select(F.inline(F.array(
+        F.struct(F.concat(F.lit("train_rows_"), F.col("score").cast("int").cast("string")).alias("name"), F.col("n").alias("value")),
+        F.struct(F.concat(F.lit("train_weight_"), F.col("score").cast("int").cast("string")).alias("name"), F.col("w").alias("value")))))
+    return dedup.union_all(support, sums, given).select("name", _r(F.col("value")).alias("value"))
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)

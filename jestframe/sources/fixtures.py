@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import gather
 from ..functions.rand import draw
-from .io import table
+from .io import TRAIN_LOG, table
 
 # Our own vocabularies (not taken from the reference, whose
 # vocabularies are arguments without values).
@@ -101,6 +101,17 @@ def x_log(spark: SparkSession, sf_dir: str, with_loss: bool = False) -> DataFram
     return ev.select(*cols)
 
 
+def x_train_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training logs of 7 models and 2 tasks, every metric from the events."""
+    ev = table(spark, sf_dir, "events")
+    v = F.col("value")
+    return ev.select(
+        F.col("event_id").cast("int").alias("step"), *[(v / n).alias(c) for n, c in enumerate(TRAIN_LOG.fieldNames()[1:], 1)],
+        F.concat(F.lit("m"), (F.col("user_id") % 7).cast("string")).alias("model"),
+        F.when(F.col("user_id") % 2 == 0, F.lit("classification")).otherwise(F.lit("detection")).alias("task"),
+    )
+
+
 def x_resp(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")

@@ -54,51 +54,28 @@ TABLE_KEYS = {
 }
 
 
-# (application, path, split size) -> (schema, scan partitions): what a
-# metastore would hold.  Without it every read infers the schema again (a
-# footer-reading job) and plans the scan again to count its splits.
-_CATALOG: dict[tuple[str, str, str], tuple[T.StructType, int]] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the driver's parquet tables (see ``spread``)."""
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")), TABLE_KEYS.get(name))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables, spread over the cluster's task
-    slots when the scan alone would use fewer (see ``spread``)."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    entry = (spark.sparkContext.applicationId, path, spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    known = _CATALOG.get(entry)
-    if known is None:
-        df = spark.read.parquet(path)
-        known = _CATALOG[entry] = (df.schema, df.rdd.getNumPartitions())
-    else:
-        df = spark.read.schema(known[0]).parquet(path)
-    return spread(df, TABLE_KEYS.get(name), known[1])
-
-
-def spread(df: DataFrame, key: str | None, partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, key: str | None) -> DataFrame:
     """Hash-repartition a scan on ``key`` when it has fewer partitions than
-    the cluster has task slots.
+    there are task slots; only where ``jestframe.spread=true`` asks for it
+    (a laptop reading small files).
 
     Per-row work here is CPU-heavy (keyed md5 draws, whole-text token
     arrays), and a file written as one row group is read by one task however
-    many cores wait.  Large inputs arrive in far more splits than slots, so
-    this adds no exchange at scale; planning the scan to count its splits
-    runs no job.  Disable with ``jestframe.spread=false``."""
+    many cores wait.  Planning the scan to count its splits runs no job."""
     spark = df.sparkSession
-    if key is None or spark.conf.get("jestframe.spread", "true") != "true":
+    if key is None or spark.conf.get("jestframe.spread", "false") != "true":
         return df
     slots = spark.sparkContext.defaultParallelism
-    if (partitions if partitions is not None else df.rdd.getNumPartitions()) >= slots:
+    if df.rdd.getNumPartitions() >= slots:
         return df
     return df.repartition(slots, key)
 
 
-def register_tables(spark: SparkSession, sf_dir: str) -> None:
-    for name in TABLES:
-        path = os.path.join(sf_dir, f"{name}.parquet")
-        if os.path.exists(path):
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, na_tokens: list[str] | None = None) -> DataFrame:
     """S1.  ``na_tokens`` turns pandas' NA strings into nulls (N3, off by default)."""
     df = spark.read.schema(schema).options(**CSV_READ).csv(path)
@@ -120,6 +97,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[
     _ordered(df, order_by).write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
+def write_json_arrays(df: DataFrame, path: str, files: int) -> None:
+    """S3 sink: ``files`` files of one JSON array each.  Such a file is read by
+    one task, so give enough files that an array fits a task's memory."""
+    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files)).alias("part")
+    (df.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("value"))
+     .write.mode("overwrite").partitionBy("part").text(path))
+
+
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = RATED) -> DataFrame:
     """S3: a file holding one JSON array of objects; each element is a row."""
     return spark.read.schema(schema).option("multiLine", "true").json(path)
