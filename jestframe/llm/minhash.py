@@ -44,7 +44,7 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32  # signature positions compared at once
 MISS = 1e-6
-PIVOTS = 8  # per bucket in every round but the first
+PIVOTS = 64  # per bucket in every round but the first, at most
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier (2^64 over the golden ratio)
 
 
