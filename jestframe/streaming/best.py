@@ -4,66 +4,21 @@ The reference keeps the best evaluation of a training run inside the
 trainer's log callback: each new evaluation is compared with the best so far
 (strict ``>``) and becomes the new best when it is higher.  Here evaluation
 logs arrive as a stream (files dropped by training jobs, a message bus, ...)
-and a stateful operator per run keeps that best; every evaluation row leaves
-with its ``is_best`` flag, so the output equals the batch ``running_best``
-when each run's logs arrive in step order.
-
-State per key is two numbers (best metric, its step), held in Spark's state
-store and checkpointed with the query, so a restarted query resumes where it
-stopped.
+and each micro-batch runs the batch ``running_best`` seeded with every run's best so
+far; every evaluation row leaves with its ``is_best`` flag, so the output equals
+the batch flags when each run's logs arrive in step order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.metrics import best_rows, not_nan, running_best
 
 
-def track_best(stream: DataFrame, by: str = "model", step: str = "step", metric: str = "macro_f1") -> DataFrame:
-    """Stream of (by, step, metric, is_best, best_step) from a stream of logs."""
-    key_type = stream.schema[by].dataType
-    step_type = stream.schema[step].dataType
-    out_schema = T.StructType([
-        T.StructField(by, key_type),
-        T.StructField(step, step_type),
-        T.StructField(metric, T.DoubleType()),
-        T.StructField("is_best", T.BooleanType()),
-        T.StructField("best_step", step_type),
-    ])
-    state_schema = T.StructType([T.StructField("best", T.DoubleType()), T.StructField("best_step", step_type)])
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, best_step = (state.get if state.exists else (None, None))
-        frames = [b for b in batches]
-        rows = pd.concat(frames, ignore_index=True).sort_values(step, kind="stable")
-        flags, steps = [], []
-        for s, m in zip(rows[step].tolist(), rows[metric].tolist()):
-            ok = m is not None and not pd.isna(m) and (best is None or m > best)
-            if ok:
-                best, best_step = float(m), s
-            flags.append(ok)
-            steps.append(best_step)
-        if best is not None:
-            state.update((best, best_step))
-        yield pd.DataFrame({
-            by: [key[0]] * len(rows), step: rows[step].tolist(),
-            metric: rows[metric].astype("float64").tolist(), "is_best": flags, "best_step": steps,
-        })
-
-    return stream.select(by, step, stream[metric].cast("double").alias(metric)).groupBy(by).applyInPandasWithState(
-        update, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def current_best(stream: DataFrame, by: str = "model", step: str = "step", metric: str = "macro_f1") -> DataFrame:
     """Streaming aggregate of the best (metric, first step) per run, for an
     ``update`` / ``complete`` sink; combinable map-side like ``best_rows``."""
@@ -76,9 +31,9 @@ def current_best(stream: DataFrame, by: str = "model", step: str = "step", metri
 
 def track_best_batches(stream: DataFrame, out: str, state: str, by: str = "model", step: str = "step",
                        metric: str = "macro_f1") -> DataStreamWriter:
-    """The same flags as ``track_best``, skew-safe: each micro-batch runs the
-    batch ``running_best`` (range-partitioned, so a run holding a third of a
-    batch is spread over many tasks), seeded with every run's best so far.
+    """Flags of a stream of logs (by, step, metric, is_best): each micro-batch
+    runs the batch ``running_best`` (range-partitioned, so a run holding a third
+    of a batch is spread over many tasks), seeded with every run's best so far.
 
     The best so far is a small table (one row per run) in the shared folder
     ``state``, one version per batch id (``v=<id>``).  Batch ``i`` reads the

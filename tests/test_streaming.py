@@ -5,30 +5,11 @@ from pyspark.sql import functions as F
 from jestframe.operators.metrics import running_best
 from jestframe.session import scratch_path
 from jestframe.sources import fixtures as X
-from jestframe.streaming.best import current_best, track_best
+from jestframe.streaming.best import current_best
 
 from conftest import SF_SMALL
 
 
-def test_stream_matches_batch_running_best(spark):
-    logs = X.x_log(spark, SF_SMALL)
-    mid = logs.approxQuantile("step", [0.5], 0.0)[0]
-    src = scratch_path(spark, "stream_src")
-    # two drops of one log file each: every run's steps arrive in order
-    logs.where(F.col("step") < mid).coalesce(1).write.parquet(os.path.join(src, "part=1"))
-    logs.where(F.col("step") >= mid).coalesce(1).write.parquet(os.path.join(src, "part=2"))
-    stream = (spark.readStream.schema(logs.schema).option("maxFilesPerTrigger", 1)
-              .option("recursiveFileLookup", "true").parquet(src))
-    out, ckpt = scratch_path(spark, "stream_out"), scratch_path(spark, "stream_ckpt")
-    q = (track_best(stream).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(300)
-    got = spark.read.parquet(out).select("model", "step", "is_best")
-    want = running_best(logs, ["model"], "step", "macro_f1").select("model", "step", "is_best")
-    assert got.count() == want.count() == logs.count()
-    assert got.exceptAll(want).count() == 0
-
-
 def test_current_best_aggregate(spark):
     logs = X.x_log(spark, SF_SMALL)
     src = scratch_path(spark, "stream_src2")
