@@ -5,7 +5,7 @@ GRAM-word grams are hashed and winnowed (the smallest hash of each run of RUN
 grams), into an inverted index fingerprint -> (template, position).  All grams
 of a whole document are looked up in it, so a shared run of GRAM + RUN - 1 words
 is never missed; hits of a template on nearby diagonals make a candidate, which
-a banded local alignment (BAND words to either side) turns into a span with its
+a banded local alignment (up to BAND words to either side) turns into a span with its
 matched words.  ``coverage`` is matched words / words of the template.  Of
 overlapping spans the one with more matched words stays (then more coverage,
 then the template's name).
@@ -65,14 +65,19 @@ def winnowed(hashes: list[int]) -> set[int]:
     return {min(range(i, min(i + RUN, len(hashes))), key=lambda j: (hashes[j], -j)) for i in runs}
 
 
+def band_of(size: int) -> int:
+    """Words a template of ``size`` words may shift within a span."""
+    return min(BAND, max(1, size // 4))
+
+
 def aligned(template: list[str], words: list[str], start: int, stop: int, diagonal: int) -> tuple[int, int, int]:
     """(matched words, first, last word matched) of the best local alignment of
     the template with words[start:stop] near the diagonal (document position
     less template position): match 2, replaced, left out or inserted word -1."""
-    best, before = (0, 0, 0, 0), {}
+    best, before, band = (0, 0, 0, 0), {}, band_of(len(template))
     for i in range(start, stop):
         row = {}
-        for j in range(max(0, i - diagonal - BAND), min(len(template), i - diagonal + BAND + 1)):
+        for j in range(max(0, i - diagonal - band), min(len(template), i - diagonal + band + 1)):
             score, matched, first, last = before.get(j - 1, (0, 0, i, i))
             if words[i] == template[j]:
                 cell = (score + 2, matched + 1, first if matched else i, i)
@@ -116,16 +121,17 @@ class TemplateIndex:
         for name, own in hits.items():
             own.sort(key=lambda h: (h[1], h[0]))
             size = len(self.templates[name])
+            band = band_of(size)
             groups: list[list[tuple[int, int]]] = []
             for diagonal, at in own:
-                group = next((g for g in reversed(groups[-4:]) if abs(g[-1][0] - diagonal) <= BAND and at - g[0][1] <= size + BAND), None)
+                group = next((g for g in reversed(groups[-4:]) if abs(g[-1][0] - diagonal) <= band and at - g[0][1] <= size + band), None)
                 if group is None:
                     groups.append([(diagonal, at)])
                 else:
                     group.append((diagonal, at))
             for group in groups:
                 diagonal = sorted(d for d, _ in group)[len(group) // 2]
-                matched, first, last = aligned(self.templates[name], words, max(0, diagonal - BAND), min(len(words), diagonal + size + BAND), diagonal)
+                matched, first, last = aligned(self.templates[name], words, max(0, diagonal - band), min(len(words), diagonal + size + band), diagonal)
                 if matched >= min(LEAST_MATCHED, size) and matched >= least_coverage * size:
                     found.append((matched, matched / size, name, first, last))
         found.sort(key=lambda f: (-f[0], -f[1], f[2], f[3]))
