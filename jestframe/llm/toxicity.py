@@ -5,11 +5,11 @@ The lexicon is learned from labelled rows: whole words, and word beginnings of
 in toxic documents; each has a log-odds weight.  The entries form a trie, which
 is intersected with the Levenshtein automaton of each distinct document word:
 one edit is allowed for entries of 5 letters or more and two from 10 letters, at
-a discount, except for words that non-toxic sample documents use, and look-alike signs (0 1 3 4 5 7 @ $) are read as letters first.  An occurrence is
-scored by its window of WINDOW words on either side: quotation (quotation marks
+a discount, except for words that non-toxic sample documents use, and look-
+alike signs (0 1 3 4 5 7 @ $) are read as letters first.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
 around it, words of reporting) lowers it, direct address raises it.  A logistic
-regression on the document's features (sums and maxima of abusive and quoted
-occurrences, their share, fuzzy ones) gives the score.
+regression on the document's features (sum, maximum, number and density of these
+scores, the quoted share, misspellings) gives the score.
 
 At most FIT_ROWS labelled rows (a keyed sample; half for the lexicon, half for
 the regression) are learned from; the driver sees counts of at most LEXICON
@@ -42,12 +42,12 @@ LEAST_DOCS = 3  # toxic sample documents that an entry occurs in
 LEAST_ODDS = 3.0  # natural log
 WINDOW = 6
 CACHE = 1 << 18
-FEATURES = 8
+FEATURES = 7
 TOKEN = re.compile(r"[^\W_]+(?:[@$*'’][^\W_]+)*|[\"“”«»„‟]")
 # Signs read as letters, words of reporting, words of direct address.
 LOOKALIKE = str.maketrans("013457@$", "oieastas")
-REPORTING = {"quote", "quoted", "quotes", "said", "says", "called", "wrote", "word", "words", "term", "reported", "cited", "so-called", "alleged", "citation", "cité", "zitat", "sagte", "dijo", "dit"}
-ADDRESS = {"you", "your", "you're", "youre", "u", "ur", "du", "dich", "dein", "tu", "te", "toi", "vous", "usted", "eres", "es"}
+REPORTING = {"quote", "quoted", "quotes", "quoting", "said", "says", "called", "wrote", "reported", "cited", "alleged", "citation", "cité", "zitat", "sagte", "dijo"}
+ADDRESS = {"you", "your", "you're", "youre", "yourself", "dich", "dein", "toi", "vous", "usted", "eres"}
 Model = tuple[dict[str, float], frozenset[str], np.ndarray | None]
 QUOTES = set("\"“”«»„‟")
 
@@ -113,9 +113,9 @@ class Lexicon:
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
-    """Sums and maxima over the text's occurrences of lexicon entries."""
+    """What the regression sees of a text's occurrences of lexicon entries."""
     words = tokens(text)
-    abusive, quoted, fuzzy = [], [], 0
+    scores, quoted, fuzzy = [], 0.0, 0
     inside = False  # between an odd and an even quotation mark
     for i, word in enumerate(words):
         if word in QUOTES:
@@ -125,29 +125,39 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         if not weight:
             continue
         window = words[max(0, i - WINDOW):i + WINDOW + 1]
-        marked = inside and any(w in QUOTES for w in words[i + 1:i + 8 * WINDOW])
+        marked = inside and not QUOTES.isdisjoint(words[i + 1:i + 8 * WINDOW])
         report = not REPORTING.isdisjoint(window)
-        address = not ADDRESS.isdisjoint(window)
-        score = weight * (1.25 if address else 1.0) * (0.3 if marked and report else 0.6 if marked or report else 1.0)
-        (quoted if marked or report else abusive).append(score)
+        score = weight * (0.3 if marked and report else 0.6 if marked or report else 1.0 if ADDRESS.isdisjoint(window) else 1.25)
+        scores.append(score)
+        quoted += score if marked or report else 0.0
         fuzzy += edited
-    n = max(1, len(words))
-    return [math.log1p(sum(abusive)), max(abusive, default=0.0), math.log1p(sum(quoted)), max(quoted, default=0.0), math.log1p(len(abusive)), math.log1p(fuzzy),
-            100 * sum(abusive) / n if n >= 50 else 2 * sum(abusive), float(bool(abusive or quoted))]
+    total = sum(scores)
+    return [math.log1p(total), max(scores, default=0.0), math.log1p(len(scores)), math.log1p(100 * total / max(50, len(words))), float(bool(scores)),
+            quoted / total if total else 0.0, math.log1p(fuzzy)]
 
 
-def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
-    """Weights (last: intercept) of a ridge logistic regression, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
+    """Weights (last: intercept) of a ridge logistic regression on features
+    scaled by their deviation, by Newton steps that are halved until they help."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    x = np.hstack([x / scale, np.ones((len(x), 1))])
+    penalty = np.r_[np.full(x.shape[1] - 1, ridge), 1e-3]
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        penalty = ridge * len(x) / 100 * np.r_[np.ones(len(w) - 1), 1e-3]
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty + 1e-9), x.T @ (y - p) - penalty * w)
-        w += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-6:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > loss(w):
+            size /= 2
+        w += size * step
+        if np.abs(size * step).max() < 1e-7:
             break
-    return w
+    return np.r_[w[:-1] / scale, w[-1]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:

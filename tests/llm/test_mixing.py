@@ -59,9 +59,10 @@ def test_shards_are_multinomial(spark):
     per = {}
     for r in counts:
         per.setdefault(r.shard, {})[r.key] = r["count"]
-    assert len(per) == 10  # 1.5 * 100,000 words in blocks of 25 words, 600 slots a shard
+    total = sum(r["count"] for r in counts)
+    assert 6000 <= total <= 6003 and len(per) == -(-total // 600)  # 1.5 * 100,000 words in blocks of 25 words
     for own in per.values():  # weights 3, 1, 2 with s0 capped at twice its size
-        assert abs(sum(own.values()) - 600) < 130 and own["=s0"] > own["=s2"] > own["=s1"] / 2
+        assert abs(sum(own.values()) - total / len(per)) < 130 and own["=s0"] > own["=s2"] > own["=s1"] / 2
 
 
 def test_empty(spark):
