@@ -69,6 +69,12 @@ def axis_scores(x: np.ndarray) -> np.ndarray:
     return np.stack([np.concatenate([y, -y], axis=1) for y in (rotated(x, t) for t in range(TABLES))], axis=1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their largest component: nothing
+    overflows, and no digit changes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None]) if len(x) else x
+
+
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Cosine of each row pair, in an order of operations that only depends on the pair."""
     dot, qq, xx = ((a * b).sum(axis=1) for a, b in ((q, x), (q, q), (x, x)))
@@ -78,6 +84,7 @@ def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, id, score) of each query's k nearest rows, its own id left out."""
     out = []
+    q, x = scaled(q), scaled(x)
     qn = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
     xn = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
     for i in range(0, len(q), 256):
@@ -128,7 +135,7 @@ def fitted_probes(rows: DataFrame, is_query: Column, k: int) -> dict[int, int]:
                     x = matrix(vs.take(pa.array(at)))
                     q, i, s = nearest(*shared.value[d], ids[at], x, k)
                     place = {v: n for n, v in zip(range(len(at)), ids[at], strict=True)}
-                    own = x[[place[v] for v in i]].reshape(len(i), -1)
+                    own = x[np.array([place[v] for v in i], np.int64)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), d), pa.int32()), pa.array(q), pa.array(i), pa.array(s), pa.array(list(own), pa.list_(pa.float64()))],
                                                      names=["dim", "query_id", "vec_id", "score", "v"])
 
