@@ -11,16 +11,17 @@ least ``threshold``; a component is what links connect.
 1. Signatures of BANDS x ROWS minima per class; classes that agree in a band
    share a bucket (a pair at the threshold shares none with probability
    (1 - 0.8^5)^32 = 3e-6).
-2. Pairs are taken in rounds, never all pairs of a bucket: in each round a
-   bucket's pivots (its smallest ids, one in the first round) meet the bucket's
-   other members that are not yet in the pivot's component.  A bucket leaves
-   when its members that were not pivots yet lie in one component.  So a bucket
-   of near copies takes one pair per member, and any other bucket ends up with
-   each pair of its members tested or in one component.
+2. First, each bucket's smallest id meets its other members.  Then each bucket
+   whose members do not lie in one component yet is compared in blocks: parts of
+   at most about PART_ROWS members, every part of the members outside the
+   bucket's largest component against every part.  A task gets one block and
+   passes on links only, at most as many as it has members, so no bucket is
+   expanded into pairs; a bucket of near copies takes one pair per member.
 3. A pair's signatures are compared in batches; after each batch it is dropped
    if the posterior probability (uniform prior) that its similarity reaches the
    threshold is below ``miss``.
-4. Survivors are verified on their full sets.
+4. Survivors are verified on their full sets.  (A pair whose members were just
+   linked through others needs no test.)
 
 Shingles are 64-bit hashes.  Defined results: a row with a null id is its own
 document with a null component and kept; rows that repeat an id share its
@@ -35,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jestframe.llm.common import written
@@ -44,7 +45,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 BATCH = 32  # signature positions compared at once
 MISS = 1e-6
-PIVOTS = 64  # per bucket in every round but the first, at most
+PART_ROWS = 512
+PART_BYTES = 1 << 24  # of shingle sets
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed value: odd multiplier (2^64 over the golden ratio)
 
 
@@ -141,46 +143,117 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def pruned(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) -> DataFrame:
+def still_possible(x: np.ndarray, y: np.ndarray, least: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the paired signatures that no batch rules out, and their matches."""
+    alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for n, m in least.items():
+        matches[alive] += (x[alive, n - BATCH:n] == y[alive, n - BATCH:n]).sum(axis=1)
+        alive = alive[matches[alive] >= m]
+    return alive, matches[alive]
+
+
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def as_signatures(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, HASHES)
+
+
+def pruned(pairs: DataFrame, sigs: DataFrame, least: dict[int, int]) -> DataFrame:
     """Pairs (a, b) that no batch of signature positions rules out."""
-    least = least_matches(threshold, miss)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
-            alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for n, m in least.items():
-                matches[alive] += (x[alive, n - BATCH:n] == y[alive, n - BATCH:n]).sum(axis=1)
-                alive = alive[matches[alive] >= m]
+            alive, _ = still_possible(as_signatures(batch.column("sig_a")), as_signatures(batch.column("sig_b")), least)
             yield batch.select(["a", "b"]).take(pa.array(alive))
 
     return (pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
             .select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: float) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    percent = round(threshold * 100)
+def full_sets(texts: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """rep, shingles (its whole set as bytes) of the given representatives."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([shingle_set(t, shingle).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], names=["rep", "shingles"])
 
+    return written(texts.join(reps.distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, shingles binary"), "sets")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the threshold."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            sets = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sets]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    own = written(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, shingles binary"), "sets")
+    own = full_sets(texts, pairs.select(F.explode(F.array("a", "b")).alias("rep")), shingle)
     return (pairs.join(own.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a")), "a").join(own.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b")), "b")
             .select("a", "b", "set_a", "set_b").mapInArrow(compare, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, miss: float = MISS) -> DataFrame:
+def links_in_block(sigs: np.ndarray, sets: list[np.ndarray], comps: list[int], left: np.ndarray, right: np.ndarray, least: dict[int, int], percent: int) -> list[tuple[int, int]]:
+    """Links between ``left`` and ``right`` rows that join different components."""
+    parent = {c: c for c in comps}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out, label = [], np.array(comps)
+    for i in left:
+        others = right[label[right] != label[i]]
+        alive, matches = still_possible(np.broadcast_to(sigs[i], (len(others), HASHES)), sigs[others], least)
+        for j in others[alive[np.argsort(-matches, kind="stable")]]:
+            if root(comps[i]) != root(comps[j]) and linked(sets[i], sets[j], percent):
+                parent[root(comps[i])] = root(comps[j])
+                out.append((i, j))
+    return out
+
+
+def links_of_buckets(members: DataFrame, sigs: DataFrame, texts: DataFrame, shingle: int, percent: int, least: dict[int, int], part_rows: int) -> DataFrame:
+    """Links (a, b) that join the components of each bucket's members (bucket,
+    rep, comp), found block by block."""
+    sets = full_sets(texts, members.select("rep"), shingle)
+    rows = members.join(sets, "rep").join(sigs, "rep")
+    of_comp = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles")).alias("bytes"))
+    most = F.struct("n", "comp")
+    plan = of_comp.groupBy("bucket").agg(F.max_by("comp", most).alias("main"), F.max("n").alias("main_n"), F.max_by("bytes", most).alias("main_bytes"), F.sum("n").alias("all_n"), F.sum("bytes").alias("all_bytes"))
+
+    def parts(n: Column, size: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(n / part_rows), F.ceil(size / PART_BYTES)).cast("int")
+
+    plan = plan.select("bucket", "main", parts(F.col("main_n"), F.col("main_bytes")).alias("main_parts"),
+                       parts(F.col("all_n") - F.col("main_n"), F.col("all_bytes") - F.col("main_bytes")).alias("rest_parts"))
+    rows = rows.join(plan, "bucket").withColumn("rest", F.col("comp") != F.col("main"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rest_parts")).otherwise(F.col("main_parts"))).cast("int"))
+    each_rest, each_main = F.sequence(F.lit(0), F.col("rest_parts") - 1), F.sequence(F.lit(0), F.col("main_parts") - 1)
+    among = F.transform(each_rest, lambda q: F.struct(F.lit(False).alias("to_main"), F.least("part", q).alias("lo"), F.greatest("part", q).alias("hi")))
+    outward = F.transform(each_main, lambda q: F.struct(F.lit(True).alias("to_main"), F.col("part").alias("lo"), q.alias("hi")))
+    inward = F.transform(each_rest, lambda q: F.struct(F.lit(True).alias("to_main"), q.alias("lo"), F.col("part").alias("hi")))
+    blocks = rows.withColumn("block", F.explode(F.when(F.col("rest"), F.concat(among, outward)).otherwise(inward)))
+    blocks = blocks.select("bucket", "block.to_main", "block.lo", "block.hi", "rep", "comp", "rest", "part", "sig", "shingles")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, rest, part = as_signatures(table.column("sig")), np.array(table.column("rest").to_pylist(), bool), table.column("part").to_numpy()
+        to_main, lo, hi = (table.column(c)[0].as_py() for c in ("to_main", "lo", "hi"))
+        left, right = (rest, ~rest) if to_main else (part == lo, part == hi)
+        reps = table.column("rep").to_pylist()
+        found = links_in_block(own, [np.frombuffer(b, np.uint64) for b in table.column("shingles").to_pylist()], table.column("comp").to_pylist(), np.flatnonzero(left), np.flatnonzero(right), least, percent)
+        return pa.table({"a": pa.array([reps[i] for i, _ in found], pa.int64()), "b": pa.array([reps[j] for _, j in found], pa.int64())})
+
+    return blocks.groupBy("bucket", "to_main", "lo", "hi").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, miss: float = MISS,
+                    part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     rows = written(signatures(docs, id_col, text_col, shingle), "signatures")
     classes = rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min_by("sig", "doc_id").alias("sig"),
@@ -202,22 +275,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).where("rep IS NOT NULL")
     sigs = classes.select("rep", "sig")
 
+    least, percent = least_matches(threshold, miss), round(threshold * 100)
     pairs = members.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
-    members = members.where("rep <> lo").select("bucket", "rep")
-    while True:
-        survivors = written(pruned(pairs, sigs, threshold, miss), "survivors")
-        new = verified(survivors, texts, shingle, threshold)
-        edges = written(edges.unionByName(new).distinct(), "edges")
-        comps = components(edges)
-        labelled = (members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")))
-        open_buckets = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
-        members = written(labelled.join(open_buckets, "bucket", "left_semi"), "members")
-        if members.isEmpty():
-            break
-        pivots = written(members.groupBy("bucket", F.pmod(F.xxhash64("rep"), F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct("rep", "comp")).alias("p"))
-                         .select("bucket", F.col("p.rep").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "pivots")
-        pairs = (members.join(pivots, "bucket").where("comp <> pivot_comp AND rep <> pivot")
-                 .select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct())
-        members = members.join(pivots.select("bucket", F.col("pivot").alias("rep")), ["bucket", "rep"], "left_anti").select("bucket", "rep")
+    survivors = written(pruned(pairs, sigs, least), "survivors")
+    edges = written(edges.unionByName(verified(survivors, texts, shingle, percent)).distinct(), "edges")
+    comps = components(edges)
+
+    # buckets whose members lie in several components
+    labelled = members.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+    several = labelled.groupBy("bucket").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bucket")
+    unsettled = written(labelled.join(several, "bucket", "left_semi"), "members")
+    new = written(links_of_buckets(unsettled, sigs, texts, shingle, percent, least, part_rows).distinct(), "links")
+    if not new.isEmpty():
+        comps = components(edges.unionByName(new))
     out = of_class.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("comp", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -56,15 +56,16 @@ def test_null_ids_and_empty(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_a_bucket_needs_several_rounds(spark, monkeypatch):
-    """With one band of one row everything similar shares buckets; all links are still found."""
+def test_a_bucket_of_several_components(spark):
+    """Documents that share most words share buckets whether they are linked or not; blocks find all links."""
     rng = random.Random(9)
     core = [f"c{i}" for i in range(60)]
     docs = [(i, " ".join(core + [f"t{g}x{k}" for k in range(30)] + [f"n{i}"])) for i, g in enumerate(rng.choices(range(6), k=60))]
-    monkeypatch.setattr(minhash, "PIVOTS", 2)
-    out = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()
     want = by_rule(docs, 2)
-    assert {r.doc_id: r.component_id for r in out} == {i: c for i, (c, _) in want.items()}
+    assert len({c for c, _ in want.values()}) == 6
+    for part_rows in (7, 512):
+        out = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, part_rows=part_rows).collect()
+        assert {r.doc_id: r.component_id for r in out} == {i: c for i, (c, _) in want.items()}
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
