@@ -11,8 +11,9 @@ always stay.
 1. Equal lines are one class with its first occurrence.
 2. Two lines within one edit agree on their first or their last half, so only
    classes that share a half with another class go on; no link is lost.
-3. Deletion neighbourhood: such a class emits, for each word i, a hashed key of
-   the line without word i, and for each gap i a key of the line as it is; a key
+3. Deletion neighbourhood: such a class emits, for each word i outside a half that
+   it shares, a hashed key of the line without word i, and for each gap i there a
+   key of the line as it is; a key
    is the hash of (hash of the words before i, hash of those after).  Equal
    deletion keys at the same i are lines that differ in that word; a deletion
    key equal to a gap key is a line with one word more.  Equal keys meet in one
@@ -73,13 +74,14 @@ def chained(words: Column) -> Column:
     return F.aggregate(words, start, lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
 
 
-def neighbourhood(words: Column, before: Column, after: Column) -> Column:
-    """(key, deleted, at): the line without each word, and with a gap at each place.
+def neighbourhood(words: Column, before: Column, after: Column, start: Column, stop: Column) -> Column:
+    """(key, deleted, at) for the places from ``start`` to ``stop``: the line
+    without a word, and with a gap.
 
     before[i]: hash of the first i words; after[j]: hash of the last j words."""
     n = F.size(words)
-    without = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(before[i], after[n - 1 - i], n - 1).alias("key"), F.lit(True).alias("deleted"), i.alias("at")))
-    gaps = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.xxhash64(before[i], after[n - i], n).alias("key"), F.lit(False).alias("deleted"), i.alias("at")))
+    without = F.transform(F.sequence(start, stop - 1), lambda i: F.struct(F.xxhash64(before[i], after[n - 1 - i], n - 1).alias("key"), F.lit(True).alias("deleted"), i.alias("at")))
+    gaps = F.transform(F.sequence(start, stop), lambda i: F.struct(F.xxhash64(before[i], after[n - i], n).alias("key"), F.lit(False).alias("deleted"), i.alias("at")))
     return F.concat(without, gaps)
 
 
@@ -99,18 +101,23 @@ def same_row(id_col: str, text_col: str) -> Column:
 
 def near_classes(classes: DataFrame, docs: DataFrame, near_words: int, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of the classes that an earlier line lies within one edit of."""
-    keys = classes.where(F.size("halves") > 0).select("h1", "h2", "first", F.explode("halves").alias("half"))
+    keys = classes.where(F.size("halves") > 0).select("h1", "h2", "first", "words_n", F.posexplode("halves").alias("k", "half"))
     shared = keys.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    some = keys.join(shared, "half", "left_semi").select("h1", "h2", "first").distinct()
+    # what a line shares with another is not where they differ: first halves have even k
+    size = F.when(F.col("k") < 2, F.floor((F.col("words_n") - 1) / 2)).otherwise(F.floor(F.col("words_n") / 2)).cast("int")
+    ends = (keys.join(shared, "half", "left_semi").groupBy("h1", "h2", "first", "words_n")
+            .agg(F.min(F.when(F.col("k") % 2 == 0, size)).alias("head"), F.min(F.when(F.col("k") % 2 == 1, size)).alias("tail")))
+    some = written(ends.select("h1", "h2", "first", F.when(F.col("tail").isNull(), F.col("head")).otherwise(F.lit(0)).alias("start"),
+                               F.when(F.col("head").isNull(), F.col("words_n") - F.col("tail")).otherwise(F.col("words_n")).cast("int").alias("stop")), "sharing")
     # the words of these classes only, from the document of their first occurrence
-    places = some.select("h1", "h2", "first.*").groupBy("last", "doc", "row").agg(F.collect_list(F.struct("pos", "h1", "h2")).alias("_at"))
+    places = some.select("h1", "h2", "start", "stop", "first.*").groupBy("last", "doc", "row").agg(F.collect_list(F.struct("pos", "h1", "h2", "start", "stop")).alias("_at"))
     own = (docs.select(id_col, text_col).join(places, same_row(id_col, text_col))
            .select("last", "doc", "row", F.split(F.col(text_col), "\n").alias("lines"), F.explode("_at").alias("at"))
-           .select("at.h1", "at.h2", F.struct("last", "doc", "row", "at.pos").alias("first"), plain(F.col("lines")[F.col("at.pos")]).alias("line")))
+           .select("at.h1", "at.h2", "at.start", "at.stop", F.struct("last", "doc", "row", "at.pos").alias("first"), plain(F.col("lines")[F.col("at.pos")]).alias("line")))
     some = written(own.dropDuplicates(["h1", "h2"]), "sharing")
     some = some.withColumn("words", F.split("line", " "))
     arranged = some.repartition("h1").withColumn("before", chained(F.col("words"))).withColumn("after", chained(F.reverse("words")))
-    emitted = (arranged.select("h1", "h2", "first", F.explode(neighbourhood(F.col("words"), F.col("before"), F.col("after"))).alias("v"))
+    emitted = (arranged.select("h1", "h2", "first", F.explode(neighbourhood(*map(F.col, ("words", "before", "after", "start", "stop")))).alias("v"))
                .select("h1", "h2", "first", "v.*"))
     # of equal (key, at), deletions differ in that word; a deletion and a gap differ by it
     earliest = emitted.groupBy("key", "at").agg(F.min(F.when(F.col("deleted"), F.struct("first", "h1", "h2"))).alias("del"),
@@ -131,8 +138,8 @@ def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
     """place of every line that goes: last, doc, row, pos."""
     lines = lines_of(docs, id_col, text_col, least_words)
     own = F.when(F.col("n") >= near_words - 1, halves())
-    placed = written(lines.select("place", "h1", "h2", own.alias("halves")), "placed")
-    classes = written(placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("halves", ignorenulls=True).alias("halves")), "classes")
+    placed = written(lines.select("place", "h1", "h2", F.col("n").alias("words_n"), own.alias("halves")), "placed")
+    classes = written(placed.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"), F.first("words_n").alias("words_n"), F.first("halves", ignorenulls=True).alias("halves")), "classes")
     near = near_classes(classes, docs, near_words, id_col, text_col).withColumn("near", F.lit(True))
     judged = classes.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 OR near")
     return (placed.select("place", "h1", "h2").join(judged, ["h1", "h2"])
