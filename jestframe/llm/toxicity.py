@@ -4,9 +4,9 @@ The lexicon is learned from labelled rows: whole words, and word beginnings of
 4 to 6 letters (so inflected forms of a term are one entry), that occur mostly
 in toxic documents; each has a log-odds weight.  The entries form a trie, which
 is intersected with the Levenshtein automaton of each distinct document word:
-one edit is allowed for entries of 5 letters or more and two from 10 letters, at
-a discount, except for words that non-toxic sample documents use, and look-
-alike signs (0 1 3 4 5 7 @ $) are read as letters first.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
+one edit is allowed for entries of 5 letters or more, at a discount, except for
+words that non-toxic sample documents use, and look-alike signs (0 1 3 4 5 7 @ $)
+are read as letters first.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
 around it, words of reporting) lowers it, direct address raises it.  A logistic
 regression on the document's features (sum, maximum, number and density of these
 scores, the quoted share, misspellings) gives the score.
@@ -34,12 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jestframe.llm.common import sampled
+from jestframe.llm.common import sampled, written
 
 FIT_ROWS = 20_000
 LEXICON = 5_000
 LEAST_DOCS = 3  # toxic sample documents that an entry occurs in
 LEAST_ODDS = 3.0  # natural log
+LEAST_SHARE = 0.005  # of the toxic sample documents
 WINDOW = 6
 CACHE = 1 << 18
 FEATURES = 7
@@ -67,6 +68,7 @@ class Lexicon:
     def __init__(self, weights: dict[str, float], clean: frozenset[str] = frozenset()):
         self.trie: dict = {}
         self.clean = clean  # words that are no misspellings
+        self.heads, self.tails = {e[:2] for e in weights}, {e[:-1][-2:] for e in weights if e.endswith("$")}
         for entry, weight in weights.items():
             node = self.trie
             for ch in entry.removesuffix("$"):
@@ -81,21 +83,28 @@ class Lexicon:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             plain = word.translate(LOOKALIKE)
-            found = self.search(word) or (self.search(plain) if plain != word else None) or (0.0, False)
+            found = self.search(word) if self.possible(word) else None
+            if found is None and plain != word and self.possible(plain):
+                found = self.search(plain)
+            found = found or (0.0, False)
             if found[1] and word in self.clean:
                 found = (0.0, False)
             self.cache[word] = found
         return found
 
+    def possible(self, word: str) -> bool:
+        """One edit leaves an entry's first or its last two letters as they are."""
+        return word[:2] in self.heads or word[-2:] in self.tails
+
     def search(self, word: str) -> tuple[float, bool] | None:
-        bound = (len(word) >= 5) + (len(word) >= 10)
+        bound = int(len(word) >= 5)
         best: tuple[float, bool] | None = None
         # automaton state: the row of edit distances between the trie path and the word's beginnings
         stack = [(self.trie, list(range(len(word) + 1)), 0)]
         while stack:
             node, row, depth = stack.pop()
             edits = []
-            if "whole" in node and row[-1] <= min(bound, (depth >= 5) + (depth >= 10)):
+            if "whole" in node and row[-1] <= min(bound, depth >= 5):
                 edits.append((node["whole"], row[-1]))
             if "start" in node and len(word) > depth and row[depth] == 0:
                 edits.append((node["start"], 0))
@@ -160,6 +169,32 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50
     return np.r_[w[:-1] / scale, w[-1]]
 
 
+def distinct_entries(odds: dict[str, float], support: dict[str, int], toxic: int) -> dict[str, float]:
+    """Of entries that stand for the same occurrences one each: a beginning whose
+    words are many, else the whole word; entries of a fair share of the toxic
+    documents only.  ``support``: toxic documents that an entry occurs in."""
+    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
+    whole, longer = {}, {}  # the best support among a beginning's words, and one letter on
+    for term, n in support.items():
+        word = term.removesuffix("$")
+        for k in range(4, min(len(word), 6) + 1):
+            side = whole if term.endswith("$") else longer if k == len(word) - 1 else {}
+            side[word[:k]] = max(n, side.get(word[:k], 0))
+    keep = {}
+    for term, n in support.items():
+        word = term.removesuffix("$")
+        above = [support.get(word[:k], 0) for k in (4, 5, 6) if k < len(word)]
+        if n < least:
+            continue
+        if term.endswith("$"):
+            alone = all(m <= 1.5 * n for m in above)
+        else:
+            alone = whole.get(word, 0) < n / 1.5 and longer.get(word, 0) < 0.9 * n and all(m <= 1.1 * n for m in above)
+        if alone:
+            keep[term] = odds[term]
+    return keep
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Lexicon weights, clean words and regression weights from at most about ``fit_rows`` rows."""
     marked = labels.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y_"))
@@ -185,14 +220,15 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str =
         odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1.0))
         terms = (counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_DOCS)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
                  .where("neg * 20 <= pos").orderBy(F.desc("pos"), "term").limit(LEXICON).collect())
-        weights = {r["term"]: float(r["odds"]) for r in terms}
+        weights = distinct_entries({r["term"]: float(r["odds"]) for r in terms}, {r["term"]: r["pos"] for r in terms}, total["pos"])
 
         def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             built = Lexicon(weights)
             for batch in batches:
                 yield batch.filter(pa.array([built.find(t[:-1])[1] for t in batch.column("term").to_pylist()], pa.bool_()))
 
-        clean = counts.where("neg > 0 AND neg * 20 > pos AND term LIKE '%$'").select("term").mapInArrow(misread, "term string").limit(CACHE).collect()
+        clean = counts.where("neg > 0 AND neg * 20 > pos AND term LIKE '%$'").select("term").mapInArrow(misread, "term string").limit(CACHE)
+        clean = written(clean, "clean-words").collect()
         clean = frozenset(r["term"][:-1] for r in clean)
     finally:
         counts.unpersist()

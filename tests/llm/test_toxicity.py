@@ -34,10 +34,11 @@ def test_automaton_equals_edit_distance():
         word = "".join(w)
         best = 0.0
         for i, t in enumerate(terms):
-            bound = min((len(word) >= 5) + (len(word) >= 10), (len(t) >= 5) + (len(t) >= 10))
+            bound = min(len(word) >= 5, len(t) >= 5)
             if (d := distance(word, t)) <= bound:
                 best = max(best, (1.0 + i) * (1 - 0.2 * d))
         assert abs((lexicon.search(word) or (0.0,))[0] - best) < 1e-9, word
+        assert lexicon.possible(word) or not best
 
 
 def test_quotation_scores_lower():
@@ -47,6 +48,12 @@ def test_quotation_scores_lower():
     assert score("an id1ot there") > 0 and score("an idiott there") > 0 and score("an vequxyz there") > 0 and score("an vequ there") == score("nothing") == 0
 
 
+def test_entries_that_mean_the_same():
+    support = {"idiot$": 90, "idio": 90, "scum$": 50, "vequ": 80, "vequa": 30, "vequab$": 10, "vequto$": 9, "rare$": 1, "lowe": 60, "lowei": 60, "loweis": 20}
+    kept = T.distinct_entries(dict.fromkeys(support, 4.0), support, 400)
+    assert set(kept) == {"idiot$", "scum$", "vequ", "lowei"}
+
+
 def test_held_out_quality(spark):
     docs, labels = read_table(spark, SF_MID, "documents"), read_table(spark, SF_MID, "labels")
     model = T.fit(docs, labels, crc_mod("doc_id", 5) != 0)
