@@ -18,7 +18,7 @@ LOCAL_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.driver.memory": "16g",
-    "jestframe.spread": "true",
+    "spark.jestframe.spread": "true",
 }
 
 

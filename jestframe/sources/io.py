@@ -61,14 +61,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def spread(df: DataFrame, key: str | None) -> DataFrame:
     """Hash-repartition a scan on ``key`` when it has fewer partitions than
-    there are task slots; only where ``jestframe.spread=true`` asks for it
+    there are task slots; only where ``spark.jestframe.spread=true`` asks for it
     (a laptop reading small files).
 
     Per-row work here is CPU-heavy (keyed md5 draws, whole-text token
     arrays), and a file written as one row group is read by one task however
     many cores wait.  Planning the scan to count its splits runs no job."""
     spark = df.sparkSession
-    if key is None or spark.conf.get("jestframe.spread", "false") != "true":
+    if key is None or spark.conf.get("spark.jestframe.spread", "false") != "true":
         return df
     slots = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
