@@ -72,7 +72,7 @@ class Lexicon:
         for entry, weight in weights.items():
             node = self.trie
             for ch in entry.removesuffix("$"):
-                node = node.setdefault(ch, {})
+                node = node.setdefault("next", {}).setdefault(ch, {})
             node["whole" if entry.endswith("$") else "start"] = weight
         self.cache: dict[str, tuple[float, bool]] = {}
 
@@ -97,27 +97,27 @@ class Lexicon:
         return word[:2] in self.heads or word[-2:] in self.tails
 
     def search(self, word: str) -> tuple[float, bool] | None:
-        bound = int(len(word) >= 5)
+        n, bound = len(word), int(len(word) >= 5)
         best: tuple[float, bool] | None = None
-        # automaton state: the row of edit distances between the trie path and the word's beginnings
-        stack = [(self.trie, list(range(len(word) + 1)), 0)]
+        # automaton states along the trie: letters of the word read, edits so far, depth of the entry
+        stack = [(self.trie, 0, 0, 0)]
         while stack:
-            node, row, depth = stack.pop()
-            edits = []
-            if "whole" in node and row[-1] <= min(bound, depth >= 5):
-                edits.append((node["whole"], row[-1]))
-            if "start" in node and len(word) > depth and row[depth] == 0:
-                edits.append((node["start"], 0))
-            for weight, edit in edits:
-                if best is None or (weight * (1 - 0.2 * edit), not edit) > (best[0], not best[1]):
-                    best = weight * (1 - 0.2 * edit), edit > 0
-            for ch, child in node.items():
-                if len(ch) == 1:
-                    after = [row[0] + 1]
-                    for i, own in enumerate(word):
-                        after.append(min(row[i] + (own != ch), row[i + 1] + 1, after[i] + 1))
-                    if min(after) <= bound:
-                        stack.append((child, after, depth + 1))
+            node, i, edits, depth = stack.pop()
+            whole, start, after = node.get("whole"), node.get("start"), node.get("next", {})
+            if whole is not None and edits + n - i <= min(bound, depth >= 5):
+                rated = (whole * (1 - 0.2 * (edits + n - i)), edits + n > i)
+                best = rated if best is None or (rated[0], not rated[1]) > (best[0], not best[1]) else best
+            if start is not None and edits == 0 and n > depth:
+                best = (start, False) if best is None or start >= best[0] else best
+            if i < n and word[i] in after:
+                stack.append((after[word[i]], i + 1, edits, depth + 1))
+            if edits < bound:
+                if i < n:
+                    stack.append((node, i + 1, edits + 1, depth))
+                for ch, child in after.items():
+                    stack.append((child, i, edits + 1, depth + 1))
+                    if i < n and ch != word[i]:
+                        stack.append((child, i + 1, edits + 1, depth + 1))
         return best
 
 
