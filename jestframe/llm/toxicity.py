@@ -124,15 +124,18 @@ class Lexicon:
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the regression sees of a text's occurrences of lexicon entries."""
     words = tokens(text)
+    found = {w: f for w in set(words) if w not in QUOTES and (f := lexicon.find(w))[0]}
+    if not found:
+        return [0.0] * FEATURES
     scores, quoted, fuzzy = [], 0.0, 0
     inside = False  # between an odd and an even quotation mark
     for i, word in enumerate(words):
         if word in QUOTES:
             inside = not inside
             continue
-        weight, edited = lexicon.find(word)
-        if not weight:
+        if word not in found:
             continue
+        weight, edited = found[word]
         window = words[max(0, i - WINDOW):i + WINDOW + 1]
         marked = inside and not QUOTES.isdisjoint(words[i + 1:i + 8 * WINDOW])
         report = not REPORTING.isdisjoint(window)
