@@ -4,9 +4,10 @@ The lexicon is learned from labelled rows: whole words, and word beginnings of
 4 to 6 letters (so inflected forms of a term are one entry), that occur mostly
 in toxic documents; each has a log-odds weight.  The entries form a trie, which
 is intersected with the Levenshtein automaton of each distinct document word:
-one edit is allowed for entries of 5 letters or more, at a discount, except for
-words that non-toxic sample documents use, and look-alike signs (0 1 3 4 5 7 @ $)
-are read as letters first.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
+one edit is allowed for entries of 5 letters or more and two from 10 letters, at
+a discount, except for words that non-toxic sample documents use, and look-alike
+signs (0 1 3 4 5 7 @ $) are read as letters first.  The automaton only runs for
+words that share a shortened form with an entry, as all words within its edits do.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
 around it, words of reporting) lowers it, direct address raises it.  A logistic
 regression on the document's features (sum, maximum, number and density of these
 scores, the quoted share, misspellings) gives the score.
@@ -40,7 +41,6 @@ FIT_ROWS = 20_000
 LEXICON = 5_000
 LEAST_DOCS = 3  # toxic sample documents that an entry occurs in
 LEAST_ODDS = 3.0  # natural log
-LEAST_SHARE = 0.005  # of the toxic sample documents
 WINDOW = 6
 CACHE = 1 << 18
 FEATURES = 7
@@ -62,13 +62,29 @@ def entries_of(word: str) -> list[str]:
     return [word + "$", *(word[:k] for k in (4, 5, 6) if len(word) > k)]
 
 
+def allowed(letters: int) -> int:
+    """Edits that a word or an entry of so many letters may have."""
+    return (letters >= 5) + (letters >= 10)
+
+
+def shortened(word: str, most: int) -> set[str]:
+    """The word without up to ``most`` of its letters.  Words within as many edits of each other share one."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Lexicon:
     """Trie of entries; ``find`` runs a word's Levenshtein automaton over it."""
 
     def __init__(self, weights: dict[str, float], clean: frozenset[str] = frozenset()):
         self.trie: dict = {}
         self.clean = clean  # words that are no misspellings
-        self.heads, self.tails = {e[:2] for e in weights}, {e[:-1][-2:] for e in weights if e.endswith("$")}
+        self.whole, self.starts = {e[:-1] for e in weights if e.endswith("$")}, {e for e in weights if not e.endswith("$")}
+        self.longest = max(map(len, self.whole), default=0)
+        self.short = {k: {s for e in self.whole if allowed(len(e)) >= k for s in shortened(e, k)} for k in (1, 2)}
         for entry, weight in weights.items():
             node = self.trie
             for ch in entry.removesuffix("$"):
@@ -83,28 +99,35 @@ class Lexicon:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             plain = word.translate(LOOKALIKE)
-            found = self.search(word) if self.possible(word) else None
-            if found is None and plain != word and self.possible(plain):
-                found = self.search(plain)
+            found = self.search(word, edits) if (edits := self.reach(word)) >= 0 else None
+            if found is None and plain != word and (edits := self.reach(plain)) >= 0:
+                found = self.search(plain, edits)
             found = found or (0.0, False)
             if found[1] and word in self.clean:
                 found = (0.0, False)
             self.cache[word] = found
         return found
 
+    def reach(self, word: str) -> int:
+        """The most edits that may part the word from an entry within its bound; -1: there is none."""
+        for k in range(allowed(len(word)), 0, -1):
+            if len(word) <= self.longest + k and not self.short[k].isdisjoint(shortened(word, k)):
+                return k
+        return 0 if word in self.whole or any(word[:k] in self.starts for k in (4, 5, 6) if len(word) > k) else -1
+
     def possible(self, word: str) -> bool:
-        """One edit leaves an entry's first or its last two letters as they are."""
-        return word[:2] in self.heads or word[-2:] in self.tails
+        return self.reach(word) >= 0
 
-    def search(self, word: str) -> tuple[float, bool] | None:
-        n, bound = len(word), int(len(word) >= 5)
+    def search(self, word: str, edits: int = 1) -> tuple[float, bool] | None:
+        """The best entry within ``edits`` and the bounds of word and entry."""
+        n, bound = len(word), min(edits, allowed(len(word)))
         best: tuple[float, bool] | None = None
         # automaton states along the trie: letters of the word read, edits so far, depth of the entry
         stack = [(self.trie, 0, 0, 0)]
         while stack:
             node, i, edits, depth = stack.pop()
             whole, start, after = node.get("whole"), node.get("start"), node.get("next", {})
-            if whole is not None and edits + n - i <= min(bound, depth >= 5):
+            if whole is not None and edits + n - i <= min(bound, allowed(depth)):
                 rated = (whole * (1 - 0.2 * (edits + n - i)), edits + n > i)
                 best = rated if best is None or (rated[0], not rated[1]) > (best[0], not best[1]) else best
             if start is not None and edits == 0 and n > depth:
@@ -174,9 +197,8 @@ def regression(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50
 
 def distinct_entries(odds: dict[str, float], support: dict[str, int], toxic: int) -> dict[str, float]:
     """Of entries that stand for the same occurrences one each: a beginning whose
-    words are many, else the whole word; entries of a fair share of the toxic
-    documents only.  ``support``: toxic documents that an entry occurs in."""
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
+    words are many, else the whole word.  ``support``: toxic documents that an
+    entry occurs in; how many there are in all (``toxic``) has no say."""
     whole, longer = {}, {}  # the best support among a beginning's words, and one letter on
     for term, n in support.items():
         word = term.removesuffix("$")
@@ -187,7 +209,7 @@ def distinct_entries(odds: dict[str, float], support: dict[str, int], toxic: int
     for term, n in support.items():
         word = term.removesuffix("$")
         above = [support.get(word[:k], 0) for k in (4, 5, 6) if k < len(word)]
-        if n < least:
+        if n < LEAST_DOCS:
             continue
         if term.endswith("$"):
             alone = all(m <= 1.5 * n for m in above)

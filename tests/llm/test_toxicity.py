@@ -41,6 +41,30 @@ def test_automaton_equals_edit_distance():
         assert lexicon.possible(word) or not best
 
 
+def test_two_edits_from_ten_letters():
+    rng = random.Random(7)
+    terms = ["idiot", "worthless", "disgusting", "contemptible"]
+    lexicon, twice = T.Lexicon({t + "$": 1.0 + i for i, t in enumerate(terms)}), 0
+    for _ in range(3000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at + rng.choice([0, 1])] = rng.choice([[], ["x"], ["t"]])
+        word = "".join(w)
+        best = 0.0
+        for i, t in enumerate(terms):
+            bound = min((len(word) >= 5) + (len(word) >= 10), (len(t) >= 5) + (len(t) >= 10))
+            if (d := distance(word, t)) <= bound:
+                best = max(best, (1.0 + i) * (1 - 0.2 * d))
+                twice += d == 2
+        assert abs(lexicon.find(word)[0] - best) < 1e-9, word
+    assert twice > 100 and lexicon.find("disgutsing") == (3.0 * 0.6, True)
+
+
+def test_rare_entries_stay_whatever_the_sample():
+    assert set(T.distinct_entries({"scum$": 4.0, "vile$": 4.0}, {"scum$": 3, "vile$": 2}, 100_000)) == {"scum$"}
+
+
 def test_quotation_scores_lower():
     lexicon = T.Lexicon({"idiot$": 4.0, "vequ": 3.0})
     score = lambda t: T.features(t, lexicon)[0]
