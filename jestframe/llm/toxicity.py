@@ -7,7 +7,9 @@ is intersected with the Levenshtein automaton of each distinct document word:
 one edit is allowed for entries of 5 letters or more and two from 10 letters, at
 a discount, except for words that non-toxic sample documents use, and look-alike
 signs (0 1 3 4 5 7 @ $) are read as letters first.  The automaton only runs for
-words that share a shortened form with an entry, as all words within its edits do.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
+words that share a shortened form with an entry, as all words within its edits do.
+An edit may also lie within a beginning of 5 letters or more, and the whole words
+that a beginning stands for stay entries, so their misspellings are found.  An occurrence is scored by its window of WINDOW words on either side: quotation (quotation marks
 around it, words of reporting) lowers it, direct address raises it.  A logistic
 regression on the document's features (sum, maximum, number and density of these
 scores, the quoted share, misspellings) gives the score.
@@ -76,20 +78,39 @@ def shortened(word: str, most: int) -> set[str]:
     return out
 
 
+def trie_of(weights: dict[str, float]) -> dict:
+    trie: dict = {}
+    for entry, weight in weights.items():
+        node = trie
+        for ch in entry.removesuffix("$"):
+            node = node.setdefault("next", {}).setdefault(ch, {})
+        node["whole" if entry.endswith("$") else "start"] = weight
+    return trie
+
+
+def by_form(words: set[str], k: int) -> dict[str, set[str]]:
+    """The words that may have ``k`` edits, by their shortened forms."""
+    out: dict[str, set[str]] = {}
+    for word in words:
+        for form in shortened(word, k) if allowed(len(word)) >= k else ():
+            out.setdefault(form, set()).add(word)
+    return out
+
+
 class Lexicon:
     """Trie of entries; ``find`` runs a word's Levenshtein automaton over it."""
 
     def __init__(self, weights: dict[str, float], clean: frozenset[str] = frozenset()):
-        self.trie: dict = {}
+        self.weights, self.trie = weights, trie_of(weights)
         self.clean = clean  # words that are no misspellings
         self.whole, self.starts = {e[:-1] for e in weights if e.endswith("$")}, {e for e in weights if not e.endswith("$")}
         self.longest = max(map(len, self.whole), default=0)
-        self.short = {k: {s for e in self.whole if allowed(len(e)) >= k for s in shortened(e, k)} for k in (1, 2)}
-        for entry, weight in weights.items():
-            node = self.trie
-            for ch in entry.removesuffix("$"):
-                node = node.setdefault("next", {}).setdefault(ch, {})
-            node["whole" if entry.endswith("$") else "start"] = weight
+        self.short, self.short_starts = {k: by_form(self.whole, k) for k in (1, 2)}, by_form(self.starts, 1)
+        # disjoint pieces of the entries, one of which so many edits leave as it is
+        self.halves = {(len(e), at, piece) for e in self.whole for h in [len(e) // 2] for at, piece in ((0, e[:h]), (1, e[h:]))}
+        self.thirds = {(len(e), at, piece) for e in self.whole if allowed(len(e)) > 1 for a, b in [(len(e) // 3, 2 * len(e) // 3)] for at, piece in ((0, e[:a]), (1, e[a:b]), (2, e[b:]))}
+        self.start_pieces = {(len(e), at, piece) for e in self.starts if allowed(len(e)) for at, piece in ((0, e[:3]), (1, e[3:]))}
+        self.start_sizes = sorted({k for e in self.starts if allowed(len(e)) for k in (len(e) - 1, len(e), len(e) + 1)})
         self.cache: dict[str, tuple[float, bool]] = {}
 
     def find(self, word: str) -> tuple[float, bool]:
@@ -99,39 +120,59 @@ class Lexicon:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             plain = word.translate(LOOKALIKE)
-            found = self.search(word, edits) if (edits := self.reach(word)) >= 0 else None
-            if found is None and plain != word and (edits := self.reach(plain)) >= 0:
-                found = self.search(plain, edits)
+            found = self.search(word, 2, trie_of(own)) if (own := self.near(word)) else None
+            if found is None and plain != word and (own := self.near(plain)):
+                found = self.search(plain, 2, trie_of(own))
             found = found or (0.0, False)
             if found[1] and word in self.clean:
                 found = (0.0, False)
             self.cache[word] = found
         return found
 
-    def reach(self, word: str) -> int:
-        """The most edits that may part the word from an entry within its bound; -1: there is none."""
-        for k in range(allowed(len(word)), 0, -1):
-            if len(word) <= self.longest + k and not self.short[k].isdisjoint(shortened(word, k)):
-                return k
-        return 0 if word in self.whole or any(word[:k] in self.starts for k in (4, 5, 6) if len(word) > k) else -1
+    def pieced(self, word: str, k: int) -> bool:
+        """Whether a piece of a whole word that ``k`` edits may lead to is in its place (two edits move the middle one by up to 2)."""
+        n = len(word)
+        if k == 1:
+            return any((m, 0, word[:m // 2]) in self.halves or (m, 1, word[n - m + m // 2:]) in self.halves for m in (n - 1, n, n + 1))
+        for m in range(n - 2, n + 3):
+            a, b = m // 3, 2 * m // 3
+            if (m, 0, word[:a]) in self.thirds or (m, 2, word[n - m + b:]) in self.thirds:
+                return True
+            if any((m, 1, word[a + d:b + d]) in self.thirds for d in (-2, -1, 0, 1, 2)):
+                return True
+        return False
+
+    def near(self, word: str) -> dict[str, float]:
+        """The entries that share a shortened form with the word: all within its bound, and few others."""
+        n, out = len(word), {e for e in (word + "$", *(word[:k] for k in (4, 5, 6) if len(word) > k)) if e in self.weights}
+        for k in range(1, allowed(n) + 1):
+            if n <= self.longest + k and self.pieced(word, k):
+                out.update(e + "$" for form in shortened(word, k) for e in self.short[k].get(form, ()))
+        if self.start_pieces and allowed(n) and any((m, 0, word[:3]) in self.start_pieces or any((m, 1, word[i:i + m - 3]) in self.start_pieces for i in (2, 3, 4)) for m in (5, 6)):
+            out.update(e for k in self.start_sizes if n > k for form in shortened(word[:k], 1) for e in self.short_starts.get(form, ()))
+        return {e: self.weights[e] for e in out}
 
     def possible(self, word: str) -> bool:
-        return self.reach(word) >= 0
+        return bool(self.near(word))
 
-    def search(self, word: str, edits: int = 1) -> tuple[float, bool] | None:
-        """The best entry within ``edits`` and the bounds of word and entry."""
+    def search(self, word: str, edits: int = 1, trie: dict | None = None) -> tuple[float, bool] | None:
+        """The best entry (of ``trie``, else of all) within ``edits`` and the bounds of word and entry."""
         n, bound = len(word), min(edits, allowed(len(word)))
         best: tuple[float, bool] | None = None
         # automaton states along the trie: letters of the word read, edits so far, depth of the entry
-        stack = [(self.trie, 0, 0, 0)]
+        stack, seen = [(self.trie if trie is None else trie, 0, 0, 0)], set()
         while stack:
             node, i, edits, depth = stack.pop()
+            if (state := (id(node), i, edits)) in seen:
+                continue
+            seen.add(state)
             whole, start, after = node.get("whole"), node.get("start"), node.get("next", {})
             if whole is not None and edits + n - i <= min(bound, allowed(depth)):
                 rated = (whole * (1 - 0.2 * (edits + n - i)), edits + n > i)
                 best = rated if best is None or (rated[0], not rated[1]) > (best[0], not best[1]) else best
-            if start is not None and edits == 0 and n > depth:
-                best = (start, False) if best is None or start >= best[0] else best
+            if start is not None and edits <= allowed(depth) and n > i:
+                rated = (start * (1 - 0.2 * edits), edits > 0)
+                best = rated if best is None or (rated[0], not rated[1]) > (best[0], not best[1]) else best
             if i < n and word[i] in after:
                 stack.append((after[word[i]], i + 1, edits, depth + 1))
             if edits < bound:
@@ -220,6 +261,12 @@ def distinct_entries(odds: dict[str, float], support: dict[str, int], toxic: int
     return keep
 
 
+def spelled(odds: dict[str, float], support: dict[str, int]) -> dict[str, float]:
+    """Whole words with edits, also those that a beginning stands for: a slip may
+    lie in the beginning itself."""
+    return {term: odds[term] for term, n in support.items() if term.endswith("$") and allowed(len(term) - 1) and n >= LEAST_DOCS}
+
+
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """Lexicon weights, clean words and regression weights from at most about ``fit_rows`` rows."""
     marked = labels.where(learnable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("int").alias("y_"))
@@ -245,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str =
         odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1.0))
         terms = (counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_DOCS)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
                  .where("neg * 20 <= pos").orderBy(F.desc("pos"), "term").limit(LEXICON).collect())
-        weights = distinct_entries({r["term"]: float(r["odds"]) for r in terms}, {r["term"]: r["pos"] for r in terms}, total["pos"])
+        odds, support = {r["term"]: float(r["odds"]) for r in terms}, {r["term"]: r["pos"] for r in terms}
+        weights = distinct_entries(odds, support, total["pos"]) | spelled(odds, support)
 
         def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             built = Lexicon(weights)

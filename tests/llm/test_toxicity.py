@@ -65,6 +65,34 @@ def test_rare_entries_stay_whatever_the_sample():
     assert set(T.distinct_entries({"scum$": 4.0, "vile$": 4.0}, {"scum$": 3, "vile$": 2}, 100_000)) == {"scum$"}
 
 
+def test_slips_in_a_beginning():
+    support = {"idiot$": 50, "idiots$": 25, "idiotic$": 25, "idio": 100, "idiot": 50}
+    odds = dict.fromkeys(support, 4.0)
+    lexicon = T.Lexicon(T.distinct_entries(odds, support, 400) | T.spelled(odds, support))
+    assert all(lexicon.find(w) == (4.0 * 0.8, True) for w in ("idjot", "ediot", "iidiot", "idjots", "ediotic"))
+    assert all(lexicon.find(w) == (4.0, False) for w in ("idiot", "idiots", "idiocy")) and lexicon.find("pilot") == (0.0, False)
+
+
+def test_beginnings_by_edit_distance():
+    rng = random.Random(9)
+    starts = ["vequ", "lowei", "gorkfa"]
+    lexicon, edited = T.Lexicon({s: 1.0 + i for i, s in enumerate(starts)}), 0
+    for _ in range(2000):
+        w = list(rng.choice(starts) + rng.choice(["", "x", "xing", "tableness"]))
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(w) + 1)
+            w[at:at + rng.choice([0, 1])] = rng.choice([[], ["x"], ["t"]])
+        word = "".join(w)
+        best = 0.0
+        for i, s in enumerate(starts):
+            d = min((distance(word[:k], s) for k in range(len(word))), default=9)  # letters are left after the beginning
+            if d <= min(len(word) >= 5, len(s) >= 5):
+                best = max(best, (1.0 + i) * (1 - 0.2 * d))
+                edited += d == 1
+        assert abs(lexicon.find(word)[0] - best) < 1e-9, word
+    assert edited > 100
+
+
 def test_quotation_scores_lower():
     lexicon = T.Lexicon({"idiot$": 4.0, "vequ": 3.0})
     score = lambda t: T.features(t, lexicon)[0]
