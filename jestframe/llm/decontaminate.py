@@ -5,8 +5,10 @@ words) the windows of that size in a document get a 64-bit SimHash of their
 words (weight: letters of the word), at every word position.  Multi-index
 Hamming search: a fingerprint within RADIUS = 11 of an item's lies within 2 in
 at least one of four 16-bit blocks, so the tables of all block values within 2
-of an item's block miss no fingerprint within the radius.  Candidates are
-verified exactly: weighted Jaccard similarity of the ``shingle``-word shingles
+of an item's block miss no fingerprint within the radius.  A window over the
+threshold may lie beyond the radius, so windows whose shared shingles weigh at
+least ``threshold`` of the item are candidates too (a similarity of ``threshold``
+takes as much): none is missed.  Candidates are verified exactly: weighted Jaccard similarity of the ``shingle``-word shingles
 of window and item (as multisets, weight: letters of the shingle) of at least
 ``threshold``.  Windows are only opened where they hold a shingle of some item,
 as no other window can pass the verification.
@@ -89,7 +91,7 @@ class ItemIndex:
     """Gate grams, and per item size the fingerprints and their block tables."""
 
     def __init__(self, items: list[tuple[int, list[str]]], shingle: int):
-        self.shingle, self.gates, self.sizes = shingle, {}, {}
+        self.shingle, self.gates, self.sizes, self.shared = shingle, {}, {}, {}
         by_size: dict[int, list] = {}
         for item_id, words in items:
             by_size.setdefault(len(words), []).append((item_id, words, hashed(words)))
@@ -100,6 +102,9 @@ class ItemIndex:
             tables = np.zeros((4, 1 << 16), bool)
             for k, block in enumerate(prints.view(np.uint16).reshape(-1, 4).T):
                 tables[k, (block[:, None] ^ FLIPS).ravel()] = True
+            pairs = np.unique(np.array([(g, k) for k, (_, _, h) in enumerate(own) for g in grams(h, width).tolist()], np.uint64).reshape(-1, 2), axis=0)
+            weights = np.array([sum(n * sum(map(len, s)) for s, n in shingle_weights(words, shingle).items()) for _, words, _ in own], np.float64)
+            self.shared[size] = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64), weights
             self.sizes[size] = (prints, tables, [(item_id, shingle_weights(words, shingle)) for item_id, words, _ in own])
         self.gates = {w: np.unique(np.concatenate(g)) for w, g in self.gates.items()}
 
@@ -114,15 +119,36 @@ class ItemIndex:
             out += zip(at[i:i + 256][w].tolist(), k.tolist(), strict=True)
         return out
 
+    def sharing(self, own: np.ndarray, hits: np.ndarray, letters: np.ndarray, size: int, window: int, threshold: float) -> list[tuple[int, int]]:
+        """(start, item) of all windows whose shingles (``own``, at ``hits``) shared with an item weigh ``threshold`` of it or more."""
+        keys, items, weights = self.shared[size]
+        width = min(self.shingle, size)
+        left, right = np.searchsorted(keys, own[hits]), np.searchsorted(keys, own[hits], side="right")
+        n = right - left
+        at = np.repeat(hits, n)
+        item = items[np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        ends = np.concatenate([[0], np.cumsum(letters, dtype=np.int64)])
+        weight = ends[at + width] - ends[at]
+        least = weights * threshold * (1 - 1e-9)
+        out = []
+        for k in np.flatnonzero(np.bincount(item, weights=weight, minlength=len(weights)) >= least):
+            mine = item == k
+            sums = np.zeros(len(own) + 1, np.int64)
+            sums[at[mine] + 1] = weight[mine]
+            sums = np.cumsum(sums)
+            starts = np.arange(len(letters) - window + 1)
+            out += [(int(s), int(k)) for s in np.flatnonzero(sums[starts + window - width + 1] - sums[starts] >= least[k])]
+        return out
+
     def matches(self, text: str | None, threshold: float) -> list[dict]:
         """The best window (then the first) of every item that some window matches."""
         words = words_of(text)
         if not words or not self.sizes:
             return []
         hashes = hashed(words)
-        hits = {}
+        hits, every = {}, {}
         for width, gate in self.gates.items():
-            own = grams(hashes, width)
+            own = every[width] = grams(hashes, width)
             at = np.minimum(np.searchsorted(gate, own), len(gate) - 1)
             hits[width] = np.flatnonzero(gate[at] == own)
         if not any(map(len, hits.values())):
@@ -138,11 +164,12 @@ class ItemIndex:
             np.add.at(edge, last + 1, -1)
             starts = np.flatnonzero(np.cumsum(edge) > 0)
             prints, items = fingerprints(hashes, letters, starts, window), self.sizes[size][2]
-            for w, k in self.near(prints, size):
+            near = {(int(starts[w]), k) for w, k in self.near(prints, size)}
+            for start, k in near.union(self.sharing(every[width], hits[width], letters, size, window, threshold)):
                 item_id, weights = items[k]
-                s = similarity(shingle_weights(words[starts[w]:starts[w] + window], self.shingle), weights)
-                if s >= threshold and (s, -starts[w]) > best.get((size, k), ((0, 0), 0))[0]:
-                    best[size, k] = (s, -starts[w]), {"item_id": item_id, "similarity": s, "start_word": int(starts[w]), "n_words": window}
+                s = similarity(shingle_weights(words[start:start + window], self.shingle), weights)
+                if s >= threshold and (s, -start) > best.get((size, k), ((0, 0), 0))[0]:
+                    best[size, k] = (s, -start), {"item_id": item_id, "similarity": s, "start_word": start, "n_words": window}
         return sorted((m for _, m in best.values()), key=lambda m: (m["item_id"] is None, m["item_id"]))
 
 

@@ -67,3 +67,23 @@ def test_blocks_miss_nothing_within_the_radius():
             prints[i] ^= np.uint64(1) << np.uint64(bit)
     want = {(i, k) for i in range(len(prints)) for k in range(40) if bin(int(prints[i] ^ own[k])).count("1") <= D.RADIUS}
     assert set(index.near(prints, 9)) == want
+
+
+def test_edited_short_items_against_every_window():
+    """Edited copies over the threshold, many of them beyond the radius, are all found."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    items = [(k, [rng.choice(vocab) for _ in range(rng.randint(15, 30))]) for k in range(30)]
+    index, docs, far = D.ItemIndex(items, 5), [], 0
+    for i in range(700):
+        item = list(rng.choice(items)[1])
+        for _ in range(rng.randint(1, 2)):
+            item[rng.choice([0, 0, 1, len(item) - 1, len(item) - 1, rng.randrange(len(item))])] = rng.choice(vocab)
+        docs.append((i, " ".join([rng.choice(vocab) for _ in range(rng.randint(0, 9))] + item + [rng.choice(vocab) for _ in range(rng.randint(0, 9))])))
+    want = by_rule(docs, [(k, " ".join(w)) for k, w in items])
+    assert {(i, m["item_id"]) for i, t in docs for m in index.matches(t, 0.8)} == want and len(want) > 200
+    for i, k in want:
+        words, own = D.words_of(docs[i][1]), items[k][1]
+        prints = [D.fingerprints(D.hashed(w), np.array([len(x) for x in w]), np.zeros(1, np.int64), len(own))[0] for w in [own, *(words[s:s + len(own)] for s in range(len(words) - len(own) + 1))]]
+        far += min(int(np.bitwise_count(p ^ prints[0])) for p in prints[1:]) > D.RADIUS
+    assert far
