@@ -510,7 +510,7 @@ def t47_json_arrays(spark: SparkSession, d: str) -> DataFrame:
     """S3 + S2: files of one JSON array each, found through the dataset registry."""
     path = scratch_path(spark, "arrays")
     rated = X.x_rated(spark, d)
-    io.write_json_arrays(rated, path, files=8)
+    io.write_json_arrays(rated, path)
     registry = io.Registry(spark, path)
     registry.register("rated", "")
     return io.read_json_array(spark, registry.path("rated").rstrip("/")).select("id", "body", "rating")

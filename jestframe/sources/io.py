@@ -8,7 +8,9 @@ outer blanks kept (SURVEY N1, N2).
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,8 @@ CSV_WRITE = {
     "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
 }
 
+ARRAY_BYTES = 16 << 20  # of a JSON array file, which one task reads whole
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -97,12 +101,25 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite", order_by: list[
     _ordered(df, order_by).write.mode(mode).options(**CSV_WRITE).csv(path)
 
 
-def write_json_arrays(df: DataFrame, path: str, files: int) -> None:
-    """S3 sink: ``files`` files of one JSON array each.  Such a file is read by
-    one task, so give enough files that an array fits a task's memory."""
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(files)).alias("part")
-    (df.groupBy(part).agg(F.to_json(F.collect_list(F.struct(*df.columns)), {"ignoreNullFields": "false"}).alias("value"))
-     .write.mode("overwrite").partitionBy("part").text(path))
+def write_json_arrays(df: DataFrame, path: str, array_bytes: int = ARRAY_BYTES) -> None:
+    """S3 sink: files of one JSON array each.  Such a file is read by one task,
+    so every task cuts its rows, as they stream, into arrays of ``array_bytes``
+    or, at most, one row more: the number of files grows with the input."""
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for batch in batches:
+            for row in batch.column("value").to_pylist():
+                rows.append(row)
+                size += len(row.encode())
+                if size >= array_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(rows) + "]"], pa.string())], names=["value"])
+                    rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(rows) + "]"], pa.string())], names=["value"])
+
+    (df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).mapInArrow(arrays, "value string")
+     .write.mode("overwrite").option("maxRecordsPerFile", 1).text(path))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.StructType = RATED) -> DataFrame:

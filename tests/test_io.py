@@ -71,3 +71,20 @@ def test_json_array_scan_and_registry(spark, tmp_path):
     by_name = sorted(tuple(r) for r in reg.load("base").collect())
     by_path = sorted(tuple(r) for r in reg.load(os.path.join(str(tmp_path), "base")).collect())
     assert by_name == by_path == [("a b", 1), ("c", 0)]
+
+
+def test_json_arrays_grow_in_number(spark, tmp_path):
+    """Many equal rows too go to files of bounded size."""
+    import glob
+    import json
+
+    rows = [(7, 'the "same" \n row \u00e9', 1.5)] * 3000 + [(i, None if i % 5 == 0 else "x" * (i % 90), None) for i in range(3000)]
+    path = str(tmp_path / "arrays")
+    io.write_json_arrays(spark.createDataFrame(rows, io.RATED), path, array_bytes=20_000)
+    files = glob.glob(f"{path}/part-*")
+    arrays = [open(f, encoding="utf-8").read() for f in files]
+    assert len(files) > 15 and max(map(len, arrays)) < 30_000 and sum(len(json.loads(a)) for a in arrays) == 6000
+    back = io.read_json_array(spark, path).collect()
+    assert sorted(map(repr, map(tuple, back))) == sorted(map(repr, rows))
+    io.write_json_arrays(spark.createDataFrame([], io.RATED), path)
+    assert io.read_json_array(spark, path).count() == 0
