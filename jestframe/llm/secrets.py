@@ -2,7 +2,9 @@
 pyspark.ml only).
 
 Candidates are words of a whole text that hold a run of LEAST_CHARS or more
-letters, digits and + / _ -, with = at its end.  Each gets features: length, character
+letters, digits and + / _ -, with = at its end, and every value, whatever its
+length and signs, that is assigned to or quoted after a credential's word (a
+quoted value may hold blanks; it ends within SPAN words).  Each gets features: length, character
 transitions (changes between lower case, upper case, digits and others, per
 character), shares of digits and capitals, distinct characters, dictionary
 coverage (share of its characters in common words), the path (test, example and
@@ -36,9 +38,13 @@ LEAST_CHARS = 16
 FIT_ROWS = 20_000
 TREES, DEPTH = 30, 6
 NEIGHBOURS = 3
+SPAN = 24
 
 # Words of credentials, of placeholders, and common words of the dictionary.
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth|bearer)"
+NAME = CREDENTIAL + r"[\w.-]*\\*[\"'`\])]*\s*"  # with its end; two groups within
+QUOTED = "(" + NAME + r"(?:[:=,]+>?\s*|(?<=\s))\\*([\"'`]))(\S.*?)\\*\4"
+BARE = "(" + NAME + r"[:=]+>?\s*(?:(?:bearer|basic)\s+)?)([^\s\"'`,;]+)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|your[_-]|changeme|xxxx|test|fake|todo|redacted)"
 TEST_PATH = r"(?i)(test|example|sample|docs?|lock|fixture|demo)"
 DICTIONARY = ("the and for that with this from have are was not you your but all can out use new one her his has who will more about when there which their "
@@ -48,17 +54,41 @@ DICTIONARY = ("the and for that with this from have are was not you your but all
 FEATURES = ["n_chars", "transitions", "digits", "capitals", "distinct", "dictionary", "hex", "in_test_path", "credential_near", "assigned", "quoted", "placeholder_near"]
 
 
+def up_to(text: Column, mark: Column) -> Column:
+    return F.call_function("substring_index", text, mark, F.lit(1))
+
+
+def finding(word_no: Column, value: Column, lead: Column) -> Column:
+    return F.struct(word_no.cast("int").alias("word_no"), value.alias("value"), lead.alias("lead"))
+
+
+def assigned(i: Column) -> Column:
+    """The values named by a credential from word ``i`` on: their word, themselves, and what is before them in that word."""
+    local = F.array_join(F.slice("words", i + 1, F.lit(SPAN)), " ")
+
+    def place(head: Column, value: Column) -> Column:
+        before = F.concat(up_to(local, F.concat(head, value)), head)
+        return finding(i + F.length(before) - F.length(F.replace(before, F.lit(" "), F.lit(""))), value, F.substring_index(before, " ", -1))
+
+    def each(pattern: str, value_group: int) -> Column:
+        return F.zip_with(F.regexp_extract_all(local, F.lit(pattern), F.lit(1)), F.regexp_extract_all(local, F.lit(pattern), F.lit(value_group)), place)
+
+    return F.concat(each(QUOTED, 5), each(BARE, 4))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, word_no, value, before, after, path: a row per candidate."""
     pattern = f"[A-Za-z0-9+/_-]{{{LEAST_CHARS},}}={{0,2}}"
     words = docs.select(F.col(id_col).alias("doc_id"), F.col(path_col).cast("string").alias("path"), F.split(F.col(text_col), r"\s+").alias("words"))
-    found = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(pattern), i)), lambda i: i.isNotNull())
-    at = words.withColumn("word_no", F.explode(found)).withColumn("word", F.col("words")[F.col("word_no")])
-    at = at.withColumn("value", F.explode(F.regexp_extract_all("word", F.lit(pattern), F.lit(0))))
+    run = F.transform("words", lambda w, i: F.transform(F.regexp_extract_all(w, F.lit(pattern), F.lit(0)), lambda v: finding(i, v, up_to(w, v))))
+    named = F.transform(F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CREDENTIAL), i)), lambda i: i.isNotNull()), assigned)
+    both = words.select("doc_id", "path", "words", F.flatten(run).alias("runs"), F.array_distinct(F.flatten(named)).alias("named"))
+    others = F.filter("named", lambda f: ~F.exists("runs", lambda r: (r["word_no"] == f["word_no"]) & (r["value"] == f["value"])))
+    at = both.withColumn("found", F.explode(F.concat("runs", others))).select("doc_id", "path", "words", "found.*").withColumn("word", F.col("words")[F.col("word_no")])
     start = F.greatest(F.col("word_no") - NEIGHBOURS, F.lit(0))
-    rest = F.substr("word", F.expr("instr(word, value)") + F.length("value"))
+    rest = F.substr("word", F.length("lead") + F.length(F.substring_index("value", " ", 1)) + 1)
     return at.select("doc_id", F.col("word_no").cast("long").alias("word_no"), F.coalesce("path", F.lit("")).alias("path"), "value",
-                     F.concat_ws(" ", F.slice("words", start + 1, F.col("word_no") - start), F.expr("substring_index(word, value, 1)")).alias("before"),
+                     F.concat_ws(" ", F.slice("words", start + 1, F.col("word_no") - start), "lead").alias("before"),
                      F.concat_ws(" ", rest, F.slice("words", F.col("word_no") + 2, F.lit(NEIGHBOURS))).alias("after"))
 
 

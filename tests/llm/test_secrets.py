@@ -48,6 +48,18 @@ def test_candidates_and_edge_cases(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_values_of_any_length_after_a_credential(spark):
+    texts = ['the password = "Tr0ub4dor&3" here', "pwd: hunter2!x", '{"api_key": "k9$Qz1", "n": 1}', "passwd='a b c' and", 'passwd "x;y" token:ab12cd34', "db_password=p@ss,w=1 secret = s3",
+             'a password and a token", he said "no" of it', "pwd: x1 pwd: x1", "k=" + "Q1" * 10 + " token=" + "Z9" * 10, 'set("PASSWORD", "q!")']
+    found = secrets.candidates(spark.createDataFrame([(i, t, None, "") for i, t in enumerate(texts)], DOCS)).orderBy("doc_id", "word_no").collect()
+    assert [(r.doc_id, r.word_no, r.value) for r in found] == [
+        (0, 3, "Tr0ub4dor&3"), (1, 1, "hunter2!x"), (2, 1, "k9$Qz1"), (3, 0, "a b c"), (4, 1, "x;y"), (4, 2, "ab12cd34"), (5, 0, "p@ss"), (5, 3, "s3"),
+        (7, 1, "x1"), (7, 3, "x1"), (8, 0, "Q1" * 10), (8, 1, "Z9" * 10), (9, 1, "q!")]
+    assert found[0].before == 'the password = "' and found[0].after == '" here' and found[3].before == "passwd='" and found[6].after == ",w=1 secret = s3"
+    out = secrets.scan(spark.createDataFrame([*corpus(), (9000, texts[0], "src/app.py", "")], DOCS)).where("doc_id = 9000").collect()
+    assert [(r.value, r.is_secret) for r in out] == [("Tr0ub4dor&3", True)]
+
+
 def test_no_python_on_the_main_path(spark):
     plan = secrets.scan(spark.createDataFrame(corpus(40), DOCS))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
