@@ -34,7 +34,7 @@ def _regression(num_classes: int, threshold: float | None, weighted: bool, max_i
 
 def _feature_stages(num_features: int) -> list:
     return [
-        RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", minTokenLength=1),
+        RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"[^\p{L}\p{M}\p{N}_]+", minTokenLength=1),
         HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features", minDocFreq=1),
     ]

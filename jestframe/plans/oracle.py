@@ -537,6 +537,46 @@ x_pred AS (SELECT suite, score AS label,
 SELECT suite, metric, round(CAST(value AS DOUBLE), 6) AS value FROM longs"""
 
 
+# K3: the run restated step by step; a state of 10 classes x (64 + 1) weights, the intercept last
+Q["t52_training_run"] = f"""
+WITH RECURSIVE
+v AS (SELECT vec_id AS id, label AS y, 1 + label % 2 AS wt, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) || [1.0::DOUBLE] AS x FROM embeddings),
+ranked AS (SELECT *, row_number() OVER (ORDER BY {u_sql('id', "'batches'")}, id) - 1 AS rk, count(*) OVER () AS n FROM v WHERE id % 5 <> 0),
+tr AS (SELECT *, rk // ((n + 7) // 8) AS batch FROM ranked),
+nb AS (SELECT max(batch) + 1 AS n FROM tr),
+run(step, w, m, loss) AS (
+  SELECT 0, list_transform(range(650), lambda i: 0.0::DOUBLE), list_transform(range(650), lambda i: 0.0::DOUBLE), 0.0::DOUBLE
+  UNION ALL
+  SELECT step + 1, list(wv - 0.5 * (1 - step / (2.0 * n)) * mv ORDER BY i), list(mv ORDER BY i), any_value(loss)
+  FROM (
+    SELECT step, n, i, any_value(w0) AS wv, 0.9 * any_value(m0) + sum(g) / any_value(sw) AS mv, any_value(sl) / any_value(sw) AS loss
+    FROM (
+      SELECT step, n, unnest(range(650)) AS i, unnest(w) AS w0, unnest(m) AS m0,
+             unnest(list_transform(range(650), lambda i: x[i % 65 + 1] * wt * (p[i // 65 + 1] - CASE WHEN y = i // 65 THEN 1 ELSE 0 END))) AS g, sw, sl
+      FROM (
+        SELECT step, n, w, m, x, y, wt, p, sum(wt) OVER () AS sw, sum(-wt * ln(p[y + 1])) OVER () AS sl
+        FROM (
+          SELECT step, n, w, m, x, y, wt, list_transform(z, lambda a: exp(a - list_max(z)) / list_sum(list_transform(z, lambda b: exp(b - list_max(z))))) AS p
+          FROM (
+            SELECT r.step, nb.n, r.w, r.m, t.x, t.y, t.wt, list_transform(range(10), lambda c: list_dot_product(t.x, r.w[c * 65 + 1:c * 65 + 65])) AS z
+            FROM run r, nb, tr t WHERE t.batch = r.step % nb.n AND r.step < 2 * nb.n))))
+    GROUP BY step, n, i)
+  GROUP BY step, n),
+judged AS (SELECT step, w FROM run, nb WHERE step > 0 AND (step % 4 = 0 OR step = 2 * n)),
+margins AS (SELECT step, y, wt, list_transform(range(10), lambda c: list_dot_product(x, w[c * 65 + 1:c * 65 + 65])) AS z FROM judged, v WHERE id % 5 = 0),
+out AS (SELECT step, y, wt, list_position(z, list_max(z)) - 1 AS guess,
+               ln(list_sum(list_transform(z, lambda b: exp(b - list_max(z))))) + list_max(z) - z[y + 1] AS nll FROM margins),
+cls AS (SELECT step, y AS c FROM out UNION SELECT step, guess FROM out),
+f AS (SELECT c.step, c.c, count(*) FILTER (o.y = c.c) AS support, 2 * count(*) FILTER (o.y = c.c AND o.guess = c.c) / (count(*) FILTER (o.y = c.c) + count(*) FILTER (o.guess = c.c)) AS f1
+      FROM cls c JOIN out o USING (step) GROUP BY ALL),
+fs AS (SELECT step, avg(f1) AS macro_f1, sum(f1 * support) / sum(support) AS weighted_f1 FROM f GROUP BY step),
+os AS (SELECT step, sum(wt * nll) / sum(wt) AS loss, avg(CASE WHEN y = guess THEN 1.0 ELSE 0.0 END) AS accuracy FROM out GROUP BY step),
+tl AS (SELECT j.step, avg(r.loss) AS train_loss FROM judged j JOIN run r ON r.step <= j.step AND r.step > j.step - 4 AND r.step > (j.step - 1) // 4 * 4 GROUP BY j.step)
+SELECT CAST(step AS BIGINT) AS step, round(train_loss, 6) AS train_loss, round(loss, 6) AS loss, round(CAST(accuracy AS DOUBLE), 6) AS accuracy, round(macro_f1, 6) AS macro_f1,
+  round(CAST(weighted_f1 AS DOUBLE), 6) AS weighted_f1, row_number() OVER (ORDER BY macro_f1 DESC, step) = 1 AS is_best
+FROM os JOIN fs USING (step) JOIN tl USING (step)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(Q)
     out["t28_prompts"] = _prompts()

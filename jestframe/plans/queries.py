@@ -572,6 +572,22 @@ def t51_fixed_test_set(spark: SparkSession, d: str) -> DataFrame:
     return dedup.union_all(support, sums, given).select("name", _r(F.col("value")).alias("value"))
 
 
+TRAINING_RUN = {"batches": 8, "epochs": 2, "eval_steps": 4, "learning_rate": 0.5, "momentum": 0.9}
+
+
+def t52_training_run(spark: SparkSession, d: str) -> DataFrame:
+    """K3: the log of one training run over the embeddings (a class each), judged
+    every 4 steps on the fifth of the vectors that is not trained on."""
+    from ..operators import trainer
+
+    e = io.table(spark, d, "embeddings")
+    rows = e.select(F.col("vec_id").alias("id"), *trainer.dense_features(F.col("embedding")), F.col("label").cast("int").alias("score"),
+                    (1 + F.col("label") % 2).cast("double").alias("weight")).checkpoint()
+    dims, classes = rows.agg(F.max(F.size("at")), F.max("score") + 1).first()
+    out = trainer.run(rows.where("id % 5 <> 0"), rows.where("id % 5 = 0"), dims, classes, **TRAINING_RUN)
+    return out.log.select(_big(F.col("step")).alias("step"), *[_r(F.col(c)).alias(c) for c in ("train_loss", "loss", "accuracy", "macro_f1", "weighted_f1")], "is_best")
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)
