@@ -27,6 +27,7 @@ from ..functions.arrays import answer_index, label_from_logits, softmax, wide
 from ..functions.text import apply_template
 from .dedup import union_all
 from .labels import detection_message
+from .ledger import Ledger
 from .metrics import classification_report
 from .sampling import exact_rank_by_order
 
@@ -63,7 +64,11 @@ def _apply_scorer(df: DataFrame, prompt_col: str, scorer: Scorer, out_col: str)
     early, the batches it took without an answer keep their rows, and a new
     call gets the batches after them."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()), T.StructField("status", T.StringType())])
+    return df.mapInPandas(lambda frames: answered_frames(frames, prompt_col, scorer, out_col), schema)
 
+
+def answered_frames(frames: Iterator[pd.DataFrame], prompt_col: str, scorer: Scorer, out_col: str) -> Iterator[pd.DataFrame]:
+    """The frames of a partition with ``out_col`` and ``status`` (see ``_apply_scorer``)."""
     def answered(frame: pd.DataFrame, answers: list, rest: str) -> pd.DataFrame:
         answers = list(answers)[:len(frame)]
         short = len(frame) - len(answers)
@@ -73,46 +78,49 @@ def _apply_scorer(df: DataFrame, prompt_col: str, scorer: Scorer, out_col: str)
             "status": ["refused" if a is None else "ok" for a in found] + [rest] * short,
         })
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames, ended = iter(frames), False
-        while not ended:
-            pending: list[pd.DataFrame] = []
-            taken = 0
-
-            def prompts() -> Iterator[pd.Series]:
-                nonlocal ended, taken
-                for frame in frames:
-                    taken += 1
-                    pending.append(frame)
-                    yield frame[prompt_col]
-                ended = True
-
-            failed = "missing"
-            try:
-                for answers in scorer(prompts()):
-                    if pending:
-                        yield answered(pending.pop(0), answers, "missing")
-            except Exception:  # noqa: BLE001 - a failing client is a status of its rows
-                failed = "error"
-            if not taken and not ended:  # a scorer that takes nothing would never end
-                pending.extend(frames)
-                ended = True
-            for frame in pending:
-                yield answered(frame, [], failed)
-
-    return df.mapInPandas(run, schema)
+    frames, ended = iter(frames), False
+    while not ended:
+        pending: list[pd.DataFrame] = []
+        taken = 0
+
+        def prompts() -> Iterator[pd.Series]:
+            nonlocal ended, taken
+            for frame in frames:
+                taken += 1
+                pending.append(frame)
+                yield frame[prompt_col]
+            ended = True
+
+        failed = "missing"
+        try:
+            for answers in scorer(prompts()):
+                if pending:
+                    yield answered(pending.pop(0), answers, "missing")
+        except Exception:  # noqa: BLE001 - a failing client is a status of its rows
+            failed = "error"
+        if not taken and not ended:  # a scorer that takes nothing would never end
+            pending.extend(frames)
+            ended = True
+        for frame in pending:
+            yield answered(frame, [], failed)
 
 
 def label_with(df: DataFrame, scorer: Scorer, classes: list[str], text: str = "text",
-               template: str | None = None, parallelism: int | None = None, materialise: bool = True) -> DataFrame:
+               template: str | None = None, parallelism: int | None = None, materialise: bool = True,
+               ledger: Ledger | None = None) -> DataFrame:
     """I2 + J6: one answer and ``status`` per row; ``labels`` = index of the
     answer in ``classes`` or -1; probabilities are unknown (null ``score_i``).
     ``parallelism``: number of scorer calls at a time (the partitions as they
-    are without it)."""
+    are without it).  With a ``ledger`` each distinct prompt is sent once, however
+    often it occurs, a task is repeated or the labelling is run again."""
     x = df.withColumn("_prompt", apply_template(template, F.col(text)) if template else F.col(text))
-    if parallelism:
-        x = x.repartition(parallelism)
-    scored = _apply_scorer(x, "_prompt", scorer, "response").drop("_prompt")
+    if ledger is not None:
+        scored = ledger.ask(x, "_prompt", lambda frames: answered_frames(frames, "prompt", scorer, "response"), parallelism).drop("_prompt")
+        materialise = False  # the answers are in the ledger
+    else:
+        if parallelism:
+            x = x.repartition(parallelism)
+        scored = _apply_scorer(x, "_prompt", scorer, "response").drop("_prompt")
     if materialise:
         scored = scored.checkpoint()
     return scored.select(
@@ -204,7 +212,7 @@ ITEM = "array<struct<body:string,id:bigint,rating:double>>"
 
 def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str | None, str]],
                        batch_size: int = 32, order: str = "id", parallelism: int = 10,
-                       template: str | None = None) -> DataFrame:
+                       template: str | None = None, ledger: Ledger | None = None) -> DataFrame:
     """I3 + W3 + F20: items are packed into batches of ``batch_size`` in
     ``order`` (exact ranks, no single-task window), each batch sent as one
     JSON payload, ``parallelism`` senders at a time.
@@ -216,9 +224,13 @@ def rewrite_in_batches(df: DataFrame, batch_scorer: Callable[[str], tuple[str |
     Answers for unknown ids are ignored; of several for an id the first counts.
 
     ``batch_scorer(prompt) -> (response_json | None, finish_reason)``; the
-    prompt is the payload, or ``template`` with its ``{jokes_batch}`` replaced."""
+    prompt is the payload, or ``template`` with its ``{jokes_batch}`` replaced.
+    With a ``ledger`` a payload that was answered before is not sent again."""
     def ask(calls: DataFrame, *key: str) -> DataFrame:
         prompt = apply_template(template, F.col("payload"), "{jokes_batch}") if template else F.col("payload")
+        if ledger is not None:
+            asked = ledger.ask(calls.withColumn("_prompt", prompt), "_prompt", lambda frames: _json_frames(frames, "prompt", batch_scorer, "status"), parallelism)
+            return asked.drop("_prompt").withColumnRenamed("status", "finish").checkpoint()
         # requests are tiny, so a width by bytes would leave one sender
         sent = calls.withColumn("prompt", prompt).repartition(parallelism, *key)
         return _call_json(sent, "prompt", batch_scorer).drop("prompt").checkpoint()  # each request once
@@ -255,11 +267,7 @@ def _with_answers(calls: DataFrame) -> DataFrame:
         "finish", "it", F.try_element_at(F.filter("given", lambda g: g["id"].eqNullSafe(F.col("it.id"))), F.lit(1)).alias("answer"))
 
 
-def _call_json(df: DataFrame, col: str, batch_scorer) -> DataFrame:
-    schema = T.StructType(
-        df.schema.fields + [T.StructField("response", T.StringType()), T.StructField("finish", T.StringType())]
-    )
-
+def _json_frames(frames: Iterator[pd.DataFrame], col: str, batch_scorer, finish_col: str) -> Iterator[pd.DataFrame]:
     def call(payload: str) -> tuple[str | None, str]:
         try:
             response, finish = batch_scorer(payload)
@@ -267,13 +275,16 @@ def _call_json(df: DataFrame, col: str, batch_scorer) -> DataFrame:
         except Exception:  # noqa: BLE001 - a failing request is a status
             return None, "error"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            res = [call(p) for p in frame[col]]
-            yield frame.assign(response=pd.Series([r[0] for r in res], index=frame.index, dtype=object),
-                               finish=[r[1] for r in res])
+    for frame in frames:
+        res = [call(p) for p in frame[col]]
+        yield frame.assign(**{"response": pd.Series([r[0] for r in res], index=frame.index, dtype=object), finish_col: [r[1] for r in res]})
 
-    return df.mapInPandas(run, schema)
+
+def _call_json(df: DataFrame, col: str, batch_scorer) -> DataFrame:
+    schema = T.StructType(
+        df.schema.fields + [T.StructField("response", T.StringType()), T.StructField("finish", T.StringType())]
+    )
+    return df.mapInPandas(lambda frames: _json_frames(frames, col, batch_scorer, "finish"), schema)
 
 
 def faulty_stub(payload: str) -> tuple[str | None, str]:

@@ -577,6 +577,13 @@ SELECT CAST(step AS BIGINT) AS step, round(train_loss, 6) AS train_loss, round(l
 FROM os JOIN fs USING (step) JOIN tl USING (step)"""
 
 
+Q["t53_request_ledger"] = _ctes("x_resp") + """
+SELECT id, substr(md5(text), 1, 1) AS response, CASE WHEN text IS NULL THEN 'refused' ELSE 'ok' END AS status,
+  CAST(CASE substr(md5(text), 1, 1) WHEN '0' THEN 0 WHEN '1' THEN 1 ELSE -1 END AS BIGINT) AS labels,
+  CAST(CASE WHEN text IS NULL THEN NULL WHEN text IN (SELECT text FROM x_resp WHERE id % 2 = 0 AND text IS NOT NULL) THEN 0 ELSE 1 END AS BIGINT) AS call
+FROM x_resp"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(Q)
     out["t28_prompts"] = _prompts()

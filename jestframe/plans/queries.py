@@ -588,6 +588,20 @@ def t52_training_run(spark: SparkSession, d: str) -> DataFrame:
     return out.log.select(_big(F.col("step")).alias("step"), *[_r(F.col(c)).alias(c) for c in ("train_loss", "loss", "accuracy", "macro_f1", "weighted_f1")], "is_best")
 
 
+def t53_request_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """I2 with a ledger: two runs over the same prompts; ``call`` says in which of
+    them (0 or 1) a row's prompt was sent."""
+    from ..operators.ledger import Ledger
+
+    rows = X.x_resp(spark, d)
+    ledger = Ledger(spark, scratch_path(spark, "ledger"), "md5")
+    infer.label_with(rows.where("id % 2 = 0"), infer.md5_scorer, ["0", "1"], ledger=ledger)
+    out = infer.label_with(rows, infer.md5_scorer, ["0", "1"], ledger=ledger)
+    calls = ledger.answers().select("key", _big(F.split_part("call", F.lit("-"), F.lit(1))).alias("call"))
+    return (out.join(calls, F.sha2("text", 256) == F.col("key"), "left")
+            .select("id", "response", "status", _big(F.col("labels")).alias("labels"), "call"))
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)
