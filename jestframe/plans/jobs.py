@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dedup, generate, labels, profile, sampling
+from ..operators.increment import BUCKETS, GrowingCorpus
 from ..sources import io
 
 
@@ -94,6 +95,22 @@ def train_families(base: DataFrame, repetition_train: DataFrame, exclusive_train
     return g.select("text", F.inline(rows)).select("family", "text", "score")
 
 
+def grow_families(spark: SparkSession, path: str, base: DataFrame, repetition_train: DataFrame, exclusive_train: DataFrame,
+                  rated: DataFrame, buckets: int = BUCKETS) -> dict[str, GrowingCorpus]:
+    """C9 + C10 as corpora that grow: ``train`` from the base, repetition and
+    contradiction rows, then ``train_multilingual`` from the written train set
+    and the rated items.  Each source is shuffled once, when it is written; the
+    written ones are read where they lie.  Run again with one source changed,
+    ``write`` that source's batch and ask ``added`` and ``withdrawn``."""
+    train = GrowingCorpus(spark, os.path.join(path, "train"), io.LABELLED, buckets=buckets)
+    for name, rows in (("base", base), ("repetition", repetition_train), ("exclusive", exclusive_train)):
+        train.write(name, rows)
+    multilingual = GrowingCorpus(spark, os.path.join(path, "train_multilingual"), io.LABELLED, buckets=buckets)
+    multilingual.write("train", train.unique())
+    multilingual.write("rated", rated)
+    return {"train": train, "train_multilingual": multilingual}
+
+
 def view_counts(families: DataFrame) -> DataFrame:
     """Rows per (family, view, score) for the base, classification (P5) and
     detection (P4) views, from one pass over the family rows."""

@@ -485,6 +485,8 @@ SELECT family, view, CAST(score AS BIGINT) AS score, count(*) AS n FROM views GR
 Q["t12_train_family"] = _train_family_sql()
 
 
+Q["t54_growing_families"] = Q["t12_train_family"]
+
 Q["t46_train_family_files"] = _ctes("x_scored") + """
 SELECT 'base' AS view, text, CAST(score AS BIGINT) AS score FROM x_scored
 UNION ALL SELECT 'classification', text, CAST(score - 1 AS BIGINT) FROM x_scored WHERE score > 0

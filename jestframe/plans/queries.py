@@ -231,6 +231,13 @@ def t19_over_sample(spark: SparkSession, d: str) -> DataFrame:
     return out.select(_big(F.col("score")).alias("score"), _big(F.col("draw")).alias("draw"), "id")
 
 
+def _family_sources(spark, d):
+    """base, repetition (train half), contradiction and rated rows (text, score)."""
+    scored = _scored_once(spark, d)
+    rep = _repetitions(spark, d).where(F.col("part") == "train")
+    return [x.select("text", "score") for x in (scored, rep, _contradictions(scored), labels.rated_items(X.x_rated(spark, d)))]
+
+
 def t12_train_family(spark: SparkSession, d: str) -> DataFrame:
     """C9 + C10 (+ S5 views): train = base U repetition (train half) U
     contradiction rows, unique; multilingual = train U rated items, unique;
@@ -238,12 +245,7 @@ def t12_train_family(spark: SparkSession, d: str) -> DataFrame:
     Both families come from one shuffle (``jobs.train_families``)."""
     from . import jobs
 
-    scored = _scored_once(spark, d)
-    base = scored.select("text", "score")
-    rep = _repetitions(spark, d).where(F.col("part") == "train").select("text", "score")
-    exc = _contradictions(scored).select("text", "score")
-    rated = labels.rated_items(X.x_rated(spark, d)).select("text", "score")
-    counts = jobs.view_counts(jobs.train_families(base, rep, exc, rated))
+    counts = jobs.view_counts(jobs.train_families(*_family_sources(spark, d)))
     return counts.select("family", "view", _big(F.col("score")).alias("score"), "n")
 
 
@@ -602,6 +604,16 @@ def t53_request_ledger(spark: SparkSession, d: str) -> DataFrame:
             .select("id", "response", "status", _big(F.col("labels")).alias("labels"), "call"))
 
 
+def t54_growing_families(spark: SparkSession, d: str) -> DataFrame:
+    """C9 + C10 + U2 as ``t12``, from corpora that grow batch by batch."""
+    from . import jobs
+
+    grown = jobs.grow_families(spark, scratch_path(spark, "families"), *_family_sources(spark, d), buckets=8)
+    rows = [c.unique().withColumn("family", F.lit(name)) for name, c in grown.items()]
+    counts = jobs.view_counts(dedup.union_all(*rows).select("family", "text", "score"))
+    return counts.select("family", "view", _big(F.col("score")).alias("score"), "n")
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)
