@@ -36,6 +36,8 @@ class GrowingCorpus:
         self.name = f"corpus_{os.urandom(8).hex()}"  # the catalogue's entry; the data is its path
         spark.sql(f"CREATE TABLE {self.name} (digest BINARY, n BIGINT, row {schema.simpleString()}, batch STRING) USING parquet "
                   f"PARTITIONED BY (batch) CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
         spark.catalog.recoverPartitions(self.name)  # the batches of an existing corpus
 
     def table(self) -> DataFrame:

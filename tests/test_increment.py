@@ -51,7 +51,7 @@ def test_nothing_written_is_shuffled(spark, batches, tmp_path):
         assert "Exchange" not in plan and "Bucketed: true" in plan
     plan = corpus.added("b2")._jdf.queryExecution().executedPlan().toString()
     other = next(p for p in plan.split("FileScan") if "NOT (batch" in p)
-    assert "ReadSchema: struct<digest:binary,n:bigint>" in other  # no texts of other batches
+    assert "ReadSchema: struct<digest:binary>" in other  # no texts of other batches
 
 
 def test_files_follow_the_buckets(spark, batches, tmp_path):
