@@ -1,12 +1,19 @@
 """A dataset profile as one long table (column, stat, value).
 
-All scalar statistics of all columns come from one aggregation pass; exact
-distinct counts (of 128-bit hashes for strings, so no text is shuffled) are
-optional (``approx_count_distinct`` otherwise).  Exact quartiles of numeric
-columns come from ranks of their distinct values (``exact_quantiles``), so
-neither a unique column nor a constant one ends up in one task.  NaN counts as
-missing in every statistic.  The duplicate-row count groups by a 128-bit hash
-of the row.
+Counts, extremes, means and lengths of all columns come from one aggregation pass.
+What depends on values (exact distinct counts, quartiles of numeric columns,
+duplicate rows) comes from one long table of (column, 128-bit hash, numeric value)
+with its count: it combines map-side, crosses the network once and is written, and
+distinct counts, quantile ranks and duplicates are read from it.  So no text is
+shuffled, no row is expanded for each distinct count, and neither a unique
+column nor a constant one ends up in one task.  NaN counts as missing in every statistic.
+
+For tables that grow, ``sketches`` keeps one mergeable row for each column of a
+batch (sums, extremes, a HyperLogLog sketch of the values and a KLL sketch of the
+numbers), and ``merged_profile`` makes the profile of any set of batches from
+their rows alone.  Its distinct counts and duplicates are estimates with a relative
+standard error of about 1.04 / sqrt(2 ** HLL_BITS) (0.8 %), its quartiles have a rank
+error of about 1.65 % at KLL_K = 200; all other numbers are exact.
 """
 
 from __future__ import annotations
@@ -15,67 +22,138 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import exact_quantiles
+from .sampling import quantiles_of_counts
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
+HLL_BITS = 14
+KLL_K = 200
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """``df`` with NaN as null."""
+    return df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
+                       if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name) for f in df.schema.fields])
+
+
+def _row_hash(df: DataFrame, seed: int) -> F.Column:
+    # nulls leave a hash as it is, so their places are part of the key
+    return F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns], F.array(*[F.col(c).isNull() for c in df.columns]))
+
+
+def _is_numeric(f: T.StructField) -> bool:
+    return isinstance(f.dataType, _NUMERIC)
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """column, h1, h2 (hash of the value), value (of numeric columns), n: a row for
+    each distinct value, and as column ``*`` for each distinct row."""
+    def entry(name: str, h1: F.Column, h2: F.Column, value: F.Column) -> F.Column:
+        return F.struct(F.lit(name).alias("column"), h1.alias("h1"), h2.alias("h2"), value.cast("double").alias("value"))
+
+    entries = [F.when(F.col(f.name).isNotNull(), entry(f.name, F.xxhash64(f.name), F.xxhash64(F.lit(1), f.name), F.col(f.name) if _is_numeric(f) else F.lit(None)))
+               for f in df.schema.fields]
+    entries.append(entry("*", _row_hash(df, 0), _row_hash(df, 1), F.lit(None)))
+    return df.select(F.inline(F.array_compact(F.array(*entries)))).groupBy("column", "h1", "h2", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(df: DataFrame, exact_distinct: bool = True, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
     aggs: list = []
     names: list[tuple[str, str]] = []
-    numeric: list[str] = []
 
     def add(col: str, stat: str, expr):
         names.append((col, stat))
         aggs.append(expr.cast("double").alias(f"{col}__{stat}"))
 
-    def hashed(*cols) -> F.Column:
-        return F.struct(F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols))
-
     add("*", "rows", F.count(F.lit(1)))
-    df = df.select(*[F.when(~F.isnan(f.name), F.col(f.name)).alias(f.name)
-                     if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f.name) for f in df.schema.fields])
+    df = _plain(df)
+    numeric = [f.name for f in df.schema.fields if _is_numeric(f)]
     for f in df.schema.fields:
         c = F.col(f.name)
-        key = F.when(c.isNotNull(), hashed(c)) if isinstance(f.dataType, T.StringType) else c
         add(f.name, "count", F.count(c))
         add(f.name, "missing", F.count_if(c.isNull()))
-        add(f.name, "distinct", F.count_distinct(key) if exact_distinct else F.approx_count_distinct(c))
+        if not exact_distinct:
+            add(f.name, "distinct", F.approx_count_distinct(c))
         add(f.name, "any_missing", F.bool_or(c.isNull()))
-        if isinstance(f.dataType, _NUMERIC):
+        if f.name in numeric:
             add(f.name, "min", F.min(c))
             add(f.name, "max", F.max(c))
             add(f.name, "mean", F.avg(c))
             add(f.name, "std", F.stddev_samp(c))
-            numeric.append(f.name)
         elif isinstance(f.dataType, T.StringType):
             n = F.length(c)
             add(f.name, "min_length", F.min(n))
             add(f.name, "max_length", F.max(n))
             add(f.name, "mean_length", F.avg(n))
-    wide = df.agg(*aggs)
-    stats = wide.select(
+    out = df.agg(*aggs).select(
         F.inline(F.array(*[
             F.struct(F.lit(col).alias("column"), F.lit(stat).alias("stat"), F.col(f"`{col}__{stat}`").alias("value"))
             for col, stat in names
         ]))
     )
-    dup = (
-        # nulls leave a hash as it is, so their places are part of the key
-        df.groupBy(hashed(*[F.col(c) for c in df.columns]).alias("_h"), F.array(*[F.col(c).isNull() for c in df.columns]).alias("_nulls"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("double").alias("value"))
-        .select(F.lit("*").alias("column"), F.lit("duplicate_rows").alias("stat"), "value")
-    )
-    out = stats.unionByName(dup)
+    counts = value_counts(df).checkpoint()
+    each = df.sparkSession.createDataFrame([(c,) for c in ["*", *df.columns]], "column string")  # the columns' names
+    sums = each.join(counts.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), F.sum(F.col("n") - 1).alias("again")), "column", "left")
+    rows = F.col("column") == "*"
+    seen = sums.select("column", F.when(rows, F.lit("duplicate_rows")).otherwise(F.lit("distinct")).alias("stat"),
+                       F.coalesce(F.when(rows, F.col("again")).otherwise(F.col("distinct")), F.lit(0)).cast("double").alias("value"))
+    out = out.unionByName(seen if exact_distinct else seen.where("column = '*'"))
     if numeric and quantiles:
-        # exact quartiles of every numeric column from one ranking pass
-        label = F.create_map(*[x for q in quantiles for x in (F.lit(float(q)), F.lit(f"p{int(q * 100)}"))])
-        out = out.unionByName(exact_quantiles(df, numeric, quantiles).select(
-            "column", F.element_at(label, F.col("q")).alias("stat"), F.col("value").cast("double").alias("value")))
+        found = quantiles_of_counts(counts.where(F.col("value").isNotNull()), numeric, quantiles)
+        out = out.unionByName(found.select("column", _quantile_name(quantiles).alias("stat"), F.col("value").cast("double").alias("value")))
     return out
 
 
+def _quantile_name(quantiles: tuple[float, ...]) -> F.Column:
+    return F.element_at(F.create_map(*[x for q in quantiles for x in (F.lit(float(q)), F.lit(f"p{int(q * 100)}"))]), F.col("q"))
+
+
+def sketches(df: DataFrame, batch: str) -> DataFrame:
+    """One mergeable row for each column of ``df`` (and ``*`` for its rows): batch,
+    column, kind, rows, count, total, spread (sum of squared distances from the
+    mean), low, high, hll (of value hashes) and kll (of numbers).  For strings,
+    total, low and high are those of their lengths."""
+    df = _plain(df)
+    stacked = [F.struct(F.lit("*").alias("column"), F.lit("rows").alias("kind"), _row_hash(df, 0).alias("h"), F.lit(None).cast("double").alias("v"))]
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        kind, v = ("number", c) if _is_numeric(f) else ("text", F.length(c)) if isinstance(f.dataType, T.StringType) else ("other", F.lit(None))
+        stacked.append(F.struct(F.lit(f.name).alias("column"), F.lit(kind).alias("kind"), F.when(c.isNotNull(), F.xxhash64(c)).alias("h"), v.cast("double").alias("v")))
+    return df.select(F.inline(F.array(*stacked))).groupBy("column", "kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.count("h").alias("count"), F.sum("v").alias("total"),
+        (F.var_pop("v") * F.count("v")).alias("spread"), F.min("v").alias("low"), F.max("v").alias("high"),
+        F.hll_sketch_agg("h", F.lit(HLL_BITS)).alias("hll"), F.kll_sketch_agg_double(F.when(F.col("kind") == "number", F.col("v")), F.lit(KLL_K)).alias("kll"),
+    ).select(F.lit(batch).alias("batch"), "*")
+
+
+def merged_profile(parts: DataFrame, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """The profile (column, stat, value) of all batches whose ``sketches`` are in
+    ``parts``, as ``profile`` names it; a batch's rows count once."""
+    parts = parts.dropDuplicates(["batch", "column"])
+    sums = parts.groupBy("column", "kind").agg(
+        *[F.sum(c).alias(c) for c in ("rows", "count", "total")], F.min("low").alias("low"), F.max("high").alias("high"),
+        F.collect_list(F.struct("count", "total", "spread")).alias("parts"),  # a row for each batch
+        F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("distinct"), F.kll_merge_agg_double("kll").alias("kll"))
+    mean = F.col("total") / F.col("count")
+    spread = F.aggregate(F.filter("parts", lambda p: p["count"] > 0), F.lit(0.0), lambda acc, p: acc + p["spread"] + p["count"] * F.pow(p["total"] / p["count"] - F.col("mean"), F.lit(2)))
+    whole = sums.withColumn("mean", F.when(F.col("count") > 0, mean))
+    number, text = F.col("kind") == "number", F.col("kind") == "text"
+
+    def stat(name: str, when: F.Column, value: F.Column) -> F.Column:
+        return F.when(when, F.struct(F.lit(name).alias("stat"), value.cast("double").alias("value")))
+
+    rows = F.col("kind") == "rows"
+    found = [stat("rows", rows, F.col("rows")), stat("duplicate_rows", rows, F.greatest(F.lit(0), F.col("rows") - F.col("distinct"))),
+             stat("count", ~rows, F.col("count")), stat("missing", ~rows, F.col("rows") - F.col("count")), stat("distinct", ~rows, F.col("distinct")),
+             stat("any_missing", ~rows, F.col("rows") > F.col("count")),
+             stat("min", number, F.col("low")), stat("max", number, F.col("high")), stat("mean", number, F.col("mean")),
+             stat("std", number, F.when(F.col("count") > 1, F.sqrt(spread / (F.col("count") - 1)))),
+             stat("min_length", text, F.col("low")), stat("max_length", text, F.col("high")), stat("mean_length", text, F.col("mean"))]
+    found += [stat(f"p{int(q * 100)}", number, F.when(F.col("count") > 0, F.kll_sketch_get_quantile_double("kll", F.lit(float(q))))) for q in quantiles]
+    return whole.select("column", F.inline(F.array_compact(F.array(*found))))
+
+
 def top_values(df: DataFrame, cols: str | list[str], k: int = 10) -> DataFrame:
     """The ``k`` most frequent values of each column (a top-k report; ties by
     value, null first): column, value (as text), n, rank."""

@@ -20,6 +20,8 @@ from ..functions.rand import U_BITS, draw, position
 
 # A class table is broadcast only after its rows were counted, up to this many.
 BROADCAST_ROWS = 1 << 16
+# Rows of fixed width up to this many are broadcast to the draws of over-sampling.
+HASHED_ROWS = 1 << 16
 TARGET_BUCKET_ROWS = 1 << 19
 DRAW_CHUNK = 1 << 16
 # Draws with replacement: expected draws per picked row above which the
@@ -168,8 +170,10 @@ def over_sample(df: DataFrame, key: str, label: str = "score", tag: str = "over"
     copies = classes.select(label, "_s")
     ranked = bc.ranked(key, rank_col="_rank").drop("_u").join(F.broadcast(copies) if k <= BROADCAST_ROWS else copies, label)
     ranked = _salted(ranked, F.col("_s")).drop("_s")
-    # the planner can't see how many draws a class table explodes to
-    return draws.join(ranked.hint("merge"), [label, "_rank", "_salt"]).drop("_rank", "_salt")
+    # the planner can't see how many draws a class table explodes to; the rows are
+    # counted, so few of them are hashed next to the draws and many are merged
+    few = bc.total <= HASHED_ROWS and not any(t in ("string", "binary") or t.startswith(("array", "map", "struct")) for _, t in ranked.dtypes)
+    return draws.join(F.broadcast(ranked) if few else ranked.hint("merge"), [label, "_rank", "_salt"]).drop("_rank", "_salt")
 
 
 def sample_rows(df: DataFrame, key: str, rows: int | None = None, tag: str = "sample",
@@ -209,18 +213,25 @@ def exact_quantiles(df: DataFrame, cols: str | list[str], qs: tuple[float, ...]
     map (whose size grows with the number of distinct values).
 
     Values are counted per (column, value) first, which combines map-side, so
-    a hot value is one row.  The distinct values are range-partitioned on
-    (column, value), each range is written once, and running counts within a
-    range plus the counts of the ranges before give the ranks that a value
-    covers.  The ranks around each q * (n - 1) are read back through a broadcast
-    of 2 * columns * len(qs) targets.  Nulls and NaN are skipped; a column
-    without values gets null quantiles."""
+    a hot value is one row (``quantiles_of_counts`` does the rest).  Nulls and NaN
+    are skipped; a column without values gets null quantiles."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    spark = df.sparkSession
     stacked = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v")) for c in cols
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols
     ])))
-    values = stacked.where(F.col("_v").isNotNull() & ~F.isnan("_v")).groupBy("_col", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    values = stacked.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return quantiles_of_counts(values, cols, qs)
+
+
+def quantiles_of_counts(counts: DataFrame, cols: list[str], qs: tuple[float, ...] | list[float]) -> DataFrame:
+    """Quantiles (column, q, value) of counted values (column, value, n).
+
+    The distinct values are range-partitioned on (column, value), each range is
+    written once, and running counts within a range plus the counts of the
+    ranges before give the ranks that a value covers.  The ranks around each
+    q * (n - 1) are read back through a broadcast of 2 * columns * len(qs) targets."""
+    spark = counts.sparkSession
+    values = counts.select(F.col("column").alias("_col"), F.col("value").alias("_v"), F.col("n").alias("_c"))
     x = (ranged(values, ["_col", "_v"]).sortWithinPartitions("_col", "_v")
          .withColumn("_blk", F.spark_partition_id()).checkpoint())
     before = Window.partitionBy("_col").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)

@@ -420,6 +420,10 @@ def _profile_sql() -> str:
 
 Q["t35_profile"] = _profile_sql()
 
+Q["t55_merged_profile"] = f"""
+SELECT "column", stat, CASE WHEN stat IN ('distinct', 'duplicate_rows') OR regexp_matches(stat, '^p[0-9]') THEN 1.0 ELSE value END AS value
+FROM ({Q["t35_profile"]})"""
+
 _top = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM documents GROUP BY 2"
                         for c in ("lang", "source", "n_chars"))
 Q["t45_top_values"] = f"""

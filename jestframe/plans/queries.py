@@ -614,6 +614,31 @@ def t54_growing_families(spark: SparkSession, d: str) -> DataFrame:
     return counts.select("family", "view", _big(F.col("score")).alias("score"), "n")
 
 
+def t55_merged_profile(spark: SparkSession, d: str) -> DataFrame:
+    """A11 from the sketches of eight batches, appended one by one: the exact numbers,
+    and for each estimate whether it lies within its stated error."""
+    docs = io.table(spark, d, "documents")
+    path = scratch_path(spark, "sketches")
+    for b in range(8):  # a number of batches, not of rows
+        profile.sketches(docs.where(F.col("doc_id") % 8 == b), f"b{b}").write.mode("append").parquet(path)
+    merged = profile.merged_profile(spark.read.parquet(path))
+    exact = profile.profile(docs).withColumnRenamed("value", "exact")
+    joined = merged.join(exact, ["column", "stat"])
+    rows = docs.count()
+    off = F.abs(F.col("value") - F.col("exact"))
+    # four standard errors; duplicates are rows less distinct rows, so they carry the error of those
+    near = F.when(F.col("stat") == "duplicate_rows", off <= 0.035 * rows).otherwise(off <= 0.035 * F.col("exact"))
+    value = F.when(F.col("stat").isin("distinct", "duplicate_rows"), near.cast("double")).otherwise(F.col("value"))
+    exactly = joined.where(~F.col("stat").rlike("^p[0-9]")).select("column", "stat", _r(value).alias("value"))
+    # a quartile's estimate must have a rank near its own
+    quarters = merged.where("stat RLIKE '^p[0-9]'").withColumn("q", F.substring("stat", 2, 2).cast("double") / 100)
+    numbers = docs.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in ("doc_id", "n_chars")])))
+    ranks = numbers.join(F.broadcast(quarters), "column").groupBy("column", "stat", "q").agg(  # six rows
+        F.avg((F.col("v") < F.col("value")).cast("double")).alias("below"), F.avg((F.col("v") <= F.col("value")).cast("double")).alias("upto"))
+    within = (F.col("below") <= F.col("q") + 0.035) & (F.col("upto") >= F.col("q") - 0.035)
+    return exactly.unionByName(ranks.select("column", "stat", within.cast("double").alias("value")))
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)
