@@ -286,6 +286,8 @@ SELECT model, step, macro_f1,
   macro_f1 IS NOT NULL AND (max(macro_f1) OVER w IS NULL OR macro_f1 > max(macro_f1) OVER w) AS is_best
 FROM x_log WINDOW w AS (PARTITION BY model ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 
+Q["t56_stream_best"] = Q["t26_running_best"]
+
 Q["t27_curve_series"] = _ctes("x_log") + """
 , best AS (SELECT model, step AS best FROM x_log WHERE macro_f1 IS NOT NULL
            QUALIFY row_number() OVER (PARTITION BY model ORDER BY macro_f1 DESC, step) = 1),
@@ -590,6 +592,14 @@ SELECT id, substr(md5(text), 1, 1) AS response, CASE WHEN text IS NULL THEN 'ref
 FROM x_resp"""
 
 
+Q["t57_committed_appends"] = _ctes("x_rated") + """
+SELECT id, body, CASE WHEN rating < 2.5 THEN rating ELSE rating + 100 END AS rating FROM x_rated"""
+
+Q["t58_ordered_files"] = """
+SELECT doc_id, lang, n_chars, TRUE AS in_order FROM documents
+WHERE doc_id BETWEEN (SELECT CAST(trunc(quantile_cont(doc_id, 0.25)) AS BIGINT) FROM documents) AND (SELECT CAST(trunc(quantile_cont(doc_id, 0.75)) AS BIGINT) FROM documents)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(Q)
     out["t28_prompts"] = _prompts()

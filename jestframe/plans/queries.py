@@ -639,6 +639,53 @@ def t55_merged_profile(spark: SparkSession, d: str) -> DataFrame:
     return exactly.unionByName(ranks.select("column", "stat", within.cast("double").alias("value")))
 
 
+def t56_stream_best(spark: SparkSession, d: str) -> DataFrame:
+    """W1 with keyed state over a file stream that is stopped and started again."""
+    from ..streaming.state import track_best
+
+    logs = X.x_log(spark, d)
+    half = logs.agg(F.avg("step")).first()[0] or 0
+    src, out, ckpt = (scratch_path(spark, name) for name in ("logs_in", "flags", "offsets"))
+    for part in ("step <= {half}", "step > {half}"):
+        logs.where(part.format(half=half)).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(logs.schema).parquet(src)
+        query = track_best(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("model", "step", _big(F.col("macro_f1")).alias("macro_f1"), "is_best")
+
+
+def t57_committed_appends(spark: SparkSession, d: str) -> DataFrame:
+    """Appends that are repeated and overlap leave each item once."""
+    from ..sources.commits import CommittedData
+
+    rated = X.x_rated(spark, d)
+    data = CommittedData(spark, scratch_path(spark, "items"), io.RATED)
+    data.append("low", rated.where(F.col("rating") < 2.5), key="id")
+    data.append("low", rated.where(F.col("rating") < 2.5), key="id")  # repeated: nothing happens
+    data.append("all", rated.withColumn("rating", F.col("rating") + 100), key="id")  # only the missing ids
+    return data.read().select("id", "body", "rating")
+
+
+def t58_ordered_files(spark: SparkSession, d: str) -> DataFrame:
+    """O1: files in key order; for each row of a range of keys, whether it follows
+    the row before it."""
+    from ..sources.commits import CommittedData
+
+    docs = io.table(spark, d, "documents").select("doc_id", "lang", "n_chars")
+    data = CommittedData(spark, scratch_path(spark, "ordered"), docs.schema, "parquet")
+    data.append("all", docs, order_by="doc_id")
+    low, high = docs.agg(F.percentile("doc_id", 0.25).cast("bigint"), F.percentile("doc_id", 0.75).cast("bigint")).first()
+    rows = data.in_order(low, high).withColumn("place", F.monotonically_increasing_id())
+    # places grow by 1 in a partition and jump between them: a row follows the one before it in its
+    # partition, and a partition's first row follows the last one of the partition before
+    part = F.shiftright("place", 33)
+    rows = rows.withColumn("part", part).withColumn("before", F.lag("doc_id").over(Window.partitionBy("part").orderBy("place")))
+    ends = rows.groupBy("part").agg(F.max_by("doc_id", "place").alias("last"))  # a row for each file
+    ends = ends.select(F.col("part"), F.lag("last").over(Window.orderBy("part")).alias("end"))
+    follows = F.coalesce(F.coalesce("before", "end") < F.col("doc_id"), F.lit(True))
+    return rows.join(F.broadcast(ends), "part").select("doc_id", "lang", "n_chars", follows.alias("in_order"))
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)
