@@ -600,6 +600,26 @@ SELECT doc_id, lang, n_chars, TRUE AS in_order FROM documents
 WHERE doc_id BETWEEN (SELECT CAST(trunc(quantile_cont(doc_id, 0.25)) AS BIGINT) FROM documents) AND (SELECT CAST(trunc(quantile_cont(doc_id, 0.75)) AS BIGINT) FROM documents)"""
 
 
+Q["t59_registry_load"] = _ctes("x_scored") + """
+SELECT format, text, CAST(score AS BIGINT) AS score FROM x_scored, (VALUES ('csv'), ('json'), ('parquet')) AS f(format)"""
+
+Q["t60_routed_models"] = _ctes("x_resp") + """
+, r AS (SELECT id, text, ['classes', 'words', 'detector', 'none'][id % 4 + 1] AS model, CAST('0x' || substr(md5(text), 1, 2) AS INTEGER) / 255.0 AS p FROM x_resp)
+SELECT id, model,
+  CASE model WHEN 'classes' THEN substr(md5(text), 1, 1) WHEN 'words' THEN CASE WHEN contains(text, 'th') THEN '1' ELSE '0' END
+    WHEN 'detector' THEN CASE WHEN p = 0 THEN '0.0' WHEN p = 1 THEN '1.0' ELSE CAST(CAST(p AS DOUBLE) AS VARCHAR) END END AS response,
+  CASE WHEN model = 'none' THEN 'unrouted' WHEN text IS NULL THEN 'refused' ELSE 'ok' END AS status,
+  CASE WHEN model = 'detector' THEN round(CAST(1 - p AS DOUBLE), 6) END AS score_0, CASE WHEN model = 'detector' THEN round(CAST(p AS DOUBLE), 6) END AS score_1,
+  CAST(CASE WHEN text IS NULL THEN -1 ELSE CASE model
+    WHEN 'classes' THEN CASE substr(md5(text), 1, 1) WHEN 'a' THEN 0 WHEN 'b' THEN 1 WHEN 'c' THEN 2 ELSE -1 END
+    WHEN 'words' THEN CASE WHEN contains(text, 'th') THEN 1 ELSE 0 END
+    WHEN 'detector' THEN CASE WHEN p > 0.65 THEN 1 ELSE 0 END ELSE -1 END END AS BIGINT) AS labels
+FROM r"""
+
+Q["t61_class_probabilities"] = _ctes("x_logits5") + " UNION ALL ".join(
+    f"SELECT CAST(id AS BIGINT) AS id, CAST({i + 1} AS BIGINT) AS class, round({p}, 6) AS p FROM x_logits5" for i, p in enumerate(_p5))
+
+
 def oracle_sql() -> dict[str, str]:
     out = dict(Q)
     out["t28_prompts"] = _prompts()

@@ -514,8 +514,8 @@ def t47_json_arrays(spark: SparkSession, d: str) -> DataFrame:
     rated = X.x_rated(spark, d)
     io.write_json_arrays(rated, path)
     registry = io.Registry(spark, path)
-    registry.register("rated", "")
-    return io.read_json_array(spark, registry.path("rated").rstrip("/")).select("id", "body", "rating")
+    registry.register("rated", "", io.RATED, "json")
+    return registry.load("rated").select("id", "body", "rating")
 
 
 def t48_training_logs(spark: SparkSession, d: str) -> DataFrame:
@@ -686,6 +686,35 @@ def t58_ordered_files(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(F.broadcast(ends), "part").select("doc_id", "lang", "n_chars", follows.alias("in_order"))
 
 
+def t59_registry_load(spark: SparkSession, d: str) -> DataFrame:
+    """The same labelled rows, written in each format and loaded by name."""
+    path = scratch_path(spark, "registry")
+    registry = io.Registry(spark, path)
+    rows = X.x_scored(spark, d).select("text", "score").checkpoint()
+    for name, write in (("train.csv", io.write_csv), ("train.json", io.write_json_arrays), ("train.parquet", io.write_table)):
+        registry.register(name.replace(".", "_"), name)
+        write(rows, registry.path(name.replace(".", "_")))
+    loaded = [registry.load(f"train_{fmt}").select(F.lit(fmt).alias("format"), "text", "score") for fmt in ("csv", "json", "parquet")]
+    return dedup.union_all(*loaded).select("format", "text", _big(F.col("score")).alias("score"))
+
+
+def t60_routed_models(spark: SparkSession, d: str) -> DataFrame:
+    """I4 + S12 + J7: each row scored by the model of its task."""
+    rows = X.x_resp(spark, d)
+    routes = {"classes": infer.Route(infer.md5_scorer, 2, classes=("a", "b", "c")), "words": infer.Route(infer.keyword_scorer(["th"]), 1),
+              "detector": infer.Route(infer.probability_scorer, 3, threshold=DETECTION_THRESHOLD)}
+    task = F.element_at(F.array(*map(F.lit, ("classes", "words", "detector", "none"))), (F.col("id") % 4 + 1).cast("int"))
+    out = infer.route(rows, task, routes)
+    return out.select("id", "model", "response", "status", *[_r(F.col(c)).alias(c) for c in ("score_0", "score_1")], _big(F.col("labels")).alias("labels"))
+
+
+def t61_class_probabilities(spark: SparkSession, d: str) -> DataFrame:
+    """F19 + P12: the probabilities of five classes as one row each."""
+    scored = infer.score_logits(X.x_logits(spark, d, 5), "logits", 5)
+    out = infer.class_probabilities(scored, "id")
+    return out.select(_big(F.col("id")).alias("id"), _big(F.col("class")).alias("class"), _r(F.col("p")).alias("p"))
+
+
 QUERIES = {
     name: fn for name, fn in sorted(globals().items())
     if name[:1] == "t" and name[1:3].isdigit() and callable(fn)

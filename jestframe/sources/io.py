@@ -180,23 +180,30 @@ def read_named_logs(spark: SparkSession, pattern: str) -> DataFrame:
 
 # --- S2: dataset registry ------------------------------------------------------
 class Registry:
-    """Dataset name -> (path, schema).  ``load`` accepts a name or a path."""
+    """Dataset name -> (path, schema, format).  ``load`` accepts a name or a path."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
-        self.entries: dict[str, tuple[str, T.StructType]] = {}
+        self.entries: dict[str, tuple[str, T.StructType, str]] = {}
 
-    def register(self, name: str, relative: str, schema: T.StructType = LABELLED) -> None:
-        self.entries[name] = (os.path.join(self.root, relative), schema)
+    def register(self, name: str, relative: str, schema: T.StructType = LABELLED, fmt: str | None = None) -> None:
+        """``fmt``: csv, json (files of one array each) or parquet; by the path's
+        ending without it."""
+        self.entries[name] = (os.path.join(self.root, relative), schema, fmt or self._ending(relative))
+
+    @staticmethod
+    def _ending(path: str) -> str:
+        path = path.rstrip("/")
+        return next((fmt for fmt in ("parquet", "json") if path.endswith("." + fmt)), "csv")
 
     def path(self, name: str) -> str:
         return self.entries[name][0]
 
     def load(self, name_or_path: str, schema: T.StructType | None = None) -> DataFrame:
-        if name_or_path in self.entries:
-            path, sch = self.entries[name_or_path]
-            return self.spark.read.parquet(path) if path.endswith(".parquet") else read_csv(self.spark, path, sch)
-        if name_or_path.endswith(".parquet"):
-            return self.spark.read.parquet(name_or_path)
-        return read_csv(self.spark, name_or_path, schema or LABELLED)
+        """A registered data set in its format, with its schema; or a path, read by
+        its ending with ``schema``."""
+        path, own, fmt = self.entries.get(name_or_path) or (name_or_path, schema or LABELLED, self._ending(name_or_path))
+        if fmt == "parquet":
+            return self.spark.read.parquet(path)
+        return read_json_array(self.spark, path, own) if fmt == "json" else read_csv(self.spark, path, own)

@@ -246,3 +246,35 @@ def test_cascade_with_scorers(spark):
     got = {r.id: (r.detection, r.rating, r.message) for r in cascade_with(df, detector, rater).collect()}
     assert got == {1: (1, 3, "humor_4"), 2: (1, -1, "humor_unrated"), 3: (0, None, "no_humor"),
                    4: (-1, None, "error")}
+
+
+def test_each_model_sees_only_its_rows(spark, tmp_path):
+    """I4: rows are routed in one shuffle; a model is called by at most ``width`` tasks."""
+    import os
+
+    from pyspark import TaskContext
+
+    from jestframe.operators.infer import Route, route
+
+    folder = str(tmp_path)
+
+    def stub(name):
+        def score(batches):
+            for batch in batches:
+                if any(not p.startswith(name) for p in batch):
+                    raise ValueError("a row of another model")
+                open(f"{folder}/{name}-{TaskContext.get().partitionId()}", "w").close()
+                yield batch.map(lambda p: "0.9" if p.endswith("1") else "x")
+        return score
+
+    df = spark.range(300, numPartitions=6).selectExpr("id", "CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN 'mid' WHEN id < 290 THEN 'rare' END AS task", "concat(CASE WHEN id % 10 < 7 THEN 'hot' WHEN id % 10 < 9 THEN 'mid' ELSE 'rare' END, ' ', id) AS text")
+    routes = {"hot": Route(stub("hot"), 4, threshold=0.65), "mid": Route(stub("mid"), 2, threshold=0.95), "rare": Route(stub("Q: rare"), 1, classes=("x",), template="Q: {input}")}
+    out = route(df, F.col("task"), routes)
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 300 and {r.status for r in got.values()} == {"ok", "unrouted"}
+    calls = sorted(os.listdir(folder))
+    assert len([c for c in calls if c.startswith("hot")]) == 4 and len([c for c in calls if c.startswith("mid")]) == 2 and len([c for c in calls if c.startswith("Q")]) == 1
+    for r in got.values():
+        one = r.text.endswith("1")
+        assert r.labels == {"hot": 1 if one else -1, "mid": 0 if one else -1, "rare": -1 if one else 0, None: -1}[r.task]
+        assert r.score_1 == (0.9 if one and r.task in ("hot", "mid") else None)
