@@ -25,8 +25,10 @@ Defined results: null and empty texts have no lines that count and stay as they
 are; a document whose lines all go becomes an empty text; a null id comes last;
 rows that repeat an id are ordered by a hash of their text, and rows that repeat
 id and text are one document (each keeps the same lines); an empty table gives
-an empty result; the other columns are handed through.  A neighbourhood's cost is
-square in the words of its line (8 bytes each), with no limit on its length.
+an empty result; the other columns are handed through, except that n_lines and
+n_dropped are the operator's.  A line's neighbourhood costs its words times
+CHUNK (the size of the pieces that prefix hashes are chained in), with no limit
+on its length.
 """
 
 from __future__ import annotations
@@ -34,27 +36,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jestframe.llm.common import written
+from jestframe.llm.common import bound, free_name, others, written
 
 LEAST_WORDS = 3
 NEAR_WORDS = 8
+CHUNK = 256
 
 
 def plain(raw: Column) -> Column:
     """A line's lower-cased words, joined by single blanks."""
-    return F.btrim(F.regexp_replace(F.lower(raw), r"\s{2,}|[\t\x0B\f\r]", " "))
+    odd = F.contains(raw, F.lit("  "))
+    for c in "\t\x0B\f\r":
+        odd = odd | F.contains(raw, F.lit(c))
+    low = F.lower(raw)
+    return F.btrim(F.when(odd, F.regexp_replace(low, r"\s{2,}|[\t\x0B\f\r]", " ")).otherwise(low))
 
 
-def place(doc: str = "doc_id", row: str = "_row", pos: str = "pos") -> Column:
-    """Order of lines: document id (null last), row, position."""
-    return F.struct(F.col(doc).isNull().alias("last"), F.coalesce(F.col(doc), F.lit(0)).cast("long").alias("doc"), F.col(row).alias("row"), F.col(pos).alias("pos"))
+def row_place(id_col: str, text_col: str) -> Column:
+    """A row's place: document id (null last), then a hash of its text."""
+    return F.struct(F.col(id_col).isNull().alias("last"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, least_words: int) -> DataFrame:
-    """place, line (plain), n words and class hash of every line that counts."""
-    return (docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("_row"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "raw"))
-            .select(place().alias("place"), plain(F.col("raw")).alias("line"))
-            .withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1).where((F.col("line") != "") & (F.col("n") >= least_words))
+    """place (row place and position), line (plain), n words and class hash of
+    every line that counts."""
+    # lines are made plain before they are exploded: a filter on what follows can't repeat it
+    lines = F.transform(F.split(F.col(text_col), "\n"), plain)
+    rows = docs.select(row_place(id_col, text_col).alias("r"), F.posexplode(lines).alias("pos", "line"))
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "))) + 1
+    return (rows.select(F.struct("r.last", "r.doc", "r.row", "pos").alias("place"), "line", n.alias("n")).where((F.col("line") != "") & (F.col("n") >= least_words))
             .select("*", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
 
 
@@ -68,10 +78,26 @@ def halves() -> Column:
     return F.when(F.col("n") % 2 == 0, F.array(*keys(low), *keys(high))).otherwise(F.array(*keys(low)))
 
 
-def chained(words: Column) -> Column:
-    """Hashes of all prefixes of ``words``, the empty one first."""
+def chained(values: Column) -> Column:
+    """Hashes of all prefixes of ``values``, the empty one first."""
     start = F.array(F.lit(7).cast("long"))
-    return F.aggregate(words, start, lambda acc, w: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), w))))
+    return F.aggregate(values, start, lambda acc, v: F.concat(acc, F.array(F.xxhash64(F.element_at(acc, -1), v))))
+
+
+def prefixes(words: Column) -> Column:
+    """As ``chained``, in chunks: a prefix is hashed from the chunks before it and
+    its part of its own chunk, so the cost doesn't grow with the square."""
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / CHUNK).cast("int")), lambda c: chained(F.slice(words, c * CHUNK + 1, F.lit(CHUNK))))
+
+    def joined(inner: Column) -> Column:
+        def all_of(before: Column) -> Column:
+            # a chunk's last prefix is the next one's first
+            own = F.transform(inner, lambda a, c: F.transform(F.slice(a, F.lit(1), F.when(c + 1 < F.size(inner), F.size(a) - 1).otherwise(F.size(a))), lambda h: F.xxhash64(F.get(before, c), h)))
+            return F.flatten(own)
+
+        return bound(chained(F.transform(inner, lambda a: F.element_at(a, -1))), all_of)
+
+    return bound(chunks, joined)
 
 
 def neighbourhood(words: Column, before: Column, after: Column, start: Column, stop: Column) -> Column:
@@ -94,11 +120,6 @@ def within_one_edit(a: Column, b: Column, at: Column) -> Column:
             .when(F.size(b) == F.size(a) + 1, without(b) == a).otherwise(False))
 
 
-def same_row(id_col: str, text_col: str) -> Column:
-    """Whether a row of documents is the one of a place (last, doc, row)."""
-    return ((F.col(id_col).isNull() == F.col("last")) & (F.coalesce(F.col(id_col), F.lit(0)).cast("long") == F.col("doc")) & (F.xxhash64(text_col) == F.col("row")))
-
-
 def near_classes(classes: DataFrame, docs: DataFrame, near_words: int, id_col: str, text_col: str) -> DataFrame:
     """h1, h2 of the classes that an earlier line lies within one edit of."""
     keys = classes.where(F.size("halves") > 0).select("h1", "h2", "first", "words_n", F.posexplode("halves").alias("k", "half"))
@@ -110,15 +131,19 @@ def near_classes(classes: DataFrame, docs: DataFrame, near_words: int, id_col: s
     some = written(ends.select("h1", "h2", "first", F.when(F.col("tail").isNull(), F.col("head")).otherwise(F.lit(0)).alias("start"),
                                F.when(F.col("head").isNull(), F.col("words_n") - F.col("tail")).otherwise(F.col("words_n")).cast("int").alias("stop")), "sharing")
     # the words of these classes only, from the document of their first occurrence
-    places = some.select("h1", "h2", "start", "stop", "first.*").groupBy("last", "doc", "row").agg(F.collect_list(F.struct("pos", "h1", "h2", "start", "stop")).alias("_at"))
-    own = (docs.select(id_col, text_col).join(places, same_row(id_col, text_col))
-           .select("last", "doc", "row", F.split(F.col(text_col), "\n").alias("lines"), F.explode("_at").alias("at"))
-           .select("at.h1", "at.h2", "at.start", "at.stop", F.struct("last", "doc", "row", "at.pos").alias("first"), plain(F.col("lines")[F.col("at.pos")]).alias("line")))
+    places = (some.select("h1", "h2", "start", "stop", F.struct("first.last", "first.doc", "first.row").alias("at_row"), "first.pos")
+              .groupBy("at_row").agg(F.collect_list(F.struct("pos", "h1", "h2", "start", "stop")).alias("at")))
+    texts = docs.select(row_place(id_col, text_col).alias("own_row"), F.col(text_col).alias("own_text"))
+    own = (texts.join(places, F.col("own_row") == F.col("at_row")).select("at_row", F.split("own_text", "\n").alias("lines"), "at")
+           .select("at_row", F.explode(F.transform("at", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"), x["start"].alias("start"), x["stop"].alias("stop"),
+                                                                            x["pos"].alias("pos"), plain(F.get(F.col("lines"), x["pos"])).alias("line")))).alias("x"))
+           .select("x.h1", "x.h2", "x.start", "x.stop", F.struct("at_row.*", "x.pos").alias("first"), "x.line"))
     some = written(own.dropDuplicates(["h1", "h2"]), "sharing")
     some = some.withColumn("words", F.split("line", " "))
-    arranged = some.repartition("h1").withColumn("before", chained(F.col("words"))).withColumn("after", chained(F.reverse("words")))
+    arranged = some.repartition("h1").withColumn("before", prefixes(F.col("words"))).withColumn("after", prefixes(F.reverse("words")))
     emitted = (arranged.select("h1", "h2", "first", F.explode(neighbourhood(*map(F.col, ("words", "before", "after", "start", "stop")))).alias("v"))
                .select("h1", "h2", "first", "v.*"))
+    emitted = written(emitted, "variants")  # read twice: for the earliest line of each key, and to meet it
     # of equal (key, at), deletions differ in that word; a deletion and a gap differ by it
     earliest = emitted.groupBy("key", "at").agg(F.min(F.when(F.col("deleted"), F.struct("first", "h1", "h2"))).alias("del"),
                                                 F.min(F.when(~F.col("deleted"), F.struct("first", "h1", "h2"))).alias("gap"))
@@ -148,8 +173,10 @@ def dropped_lines(docs: DataFrame, near_words: int = NEAR_WORDS, least_words: in
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", near_words: int = NEAR_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with ``text_col`` less the lines that go, and n_lines, n_dropped."""
-    gone = dropped_lines(docs, near_words, least_words, id_col, text_col).groupBy("last", "doc", "row").agg(F.collect_set("pos").alias("_gone"))
+    at, drop = free_name(docs, "gone_at"), free_name(docs, "gone")
+    gone = dropped_lines(docs, near_words, least_words, id_col, text_col).groupBy(F.struct("last", "doc", "row").alias(at)).agg(F.collect_set("pos").alias(drop))
     lines = F.split(F.col(text_col), "\n")
-    kept = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"))
-    return docs.join(gone, same_row(id_col, text_col), "left").select(*[kept.alias(c) if c == text_col else docs[c] for c in docs.columns],
-                                                F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    kept = F.when(F.col(drop).isNull(), F.col(text_col)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(drop), i)), "\n"))
+    return docs.join(gone, row_place(id_col, text_col) == F.col(at), "left").select(
+        *[kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in others(docs.columns, ["n_lines", "n_dropped"])],
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(drop), F.lit(0)).cast("long").alias("n_dropped"))
