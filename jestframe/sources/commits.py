@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_path
+from ..functions.bloom import bitmap, hashes, may_hold
 from ..operators.dedup import union_all
+from ..session import scratch_path
 
 BLOOM_BITS = 1 << 23  # 1 MiB; about 1 % of new keys are compared at 900,000 keys
-BLOOM_HASHES = 4
 
 
 class CommittedData:
@@ -100,7 +100,7 @@ class CommittedData:
         stored = self._frame([folder])
         commit = {"batch": batch, "files": self._file_table(stored, folder, order_by), "order_by": order_by, "key": key, "bloom": None}
         if key is not None and all(c["key"] == key for c in commits):
-            bits = _bits(stored, key)
+            bits = bitmap(stored, key, BLOOM_BITS)
             if commits:
                 bits |= self._bloom(commits[-1]["bloom"])
             commit["bloom"] = f"{folder}-keys"
@@ -171,33 +171,13 @@ class CommittedData:
         return union_all(*[self._frame([f["name"]]).where(self._between(low, high)) for f in files])
 
 
-def _hashes(key: str) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(s), F.col(key).cast("string")), F.lit(BLOOM_BITS)) for s in range(BLOOM_HASHES)]
-
-
-def _bits(rows: DataFrame, key: str) -> np.ndarray:
-    """Bloom filter of the keys as 64-bit words: combined map-side, one row a word at most."""
-    each = rows.where(F.col(key).isNotNull()).select(F.explode(F.array(*_hashes(key))).alias("bit"))
-    words = each.groupBy(F.expr("bit div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("v")).toArrow()
-    out = np.zeros(BLOOM_BITS // 64, np.uint64)
-    out[words.column("w").to_numpy()] = words.column("v").to_numpy().view(np.uint64)
-    return out
-
-
 def marked(rows: DataFrame, key: str, bits: np.ndarray) -> DataFrame:
     """``rows`` with ``_may``: whether the filter may hold the row's key."""
     shared = rows.sparkSession.sparkContext.broadcast(bits)  # BLOOM_BITS / 8 bytes
     n = len(rows.columns)
-    names = [f"_h{s}" for s in range(BLOOM_HASHES)]
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            may = np.ones(batch.num_rows, bool)
-            for h in names:
-                column = batch.column(h)
-                at = column.fill_null(0).to_numpy()
-                may &= (shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool) & column.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(may)], names=[*batch.schema.names[:n], "_may"])
-
-    hashed = rows.select("*", *[F.when(F.col(key).isNotNull(), h).alias(name) for h, name in zip(_hashes(key), names, strict=True)])
-    return hashed.mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField("_may", T.BooleanType())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(may_hold(batch, shared.value))], names=[*batch.schema.names[:n], "_may"])
+
+    return rows.select("*", *hashes(key, len(bits) * 64)).mapInArrow(mark, T.StructType([*rows.schema.fields, T.StructField("_may", T.BooleanType())]))

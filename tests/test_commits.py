@@ -70,7 +70,7 @@ def test_present_keys_with_and_without_a_filter(spark, tmp_path, monkeypatch):
 
 
 def test_the_filter_clears_new_keys(spark):
-    bits = commits._bits(items(spark, *range(2000)), "id")
+    bits = commits.bitmap(items(spark, *range(2000)), "id", commits.BLOOM_BITS)
     marked = commits.marked(items(spark, *range(1000, 12000), None), "id", bits)
     got = {r._may: r["count"] for r in marked.where("id >= 2000").groupBy("_may").count().collect()}
     assert got.get(True, 0) < 10 and marked.where("id < 2000 AND NOT _may").count() == 0 and marked.where("id IS NULL AND _may").count() == 0
