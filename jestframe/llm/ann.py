@@ -6,8 +6,10 @@ transform each); in each table a vector's bucket is its nearest signed axis.
 A query probes its ``probes`` best (table, axis) pairs, those with the largest
 coordinate over all tables.  ``probes`` is fitted: the true neighbours of a
 bounded, keyed sample of queries are found against all rows, and the smallest
-number of probes that would have found SAMPLE_RECALL of them is used (all
-buckets of one table at most, which finds everything).  Every row is indexed.
+number of probes that would have found SAMPLE_RECALL of them is used.  Every row
+is indexed.  Queries that found fewer rows than they may (``k``, or all candidates
+if those are fewer) search again with WIDER times as many probes, and those still short
+search all axes of one table, which hold every row.
 
 Buckets are split into parts of about PART_ROWS rows (from counts per bucket:
 TABLES x axes rows), so a hot bucket becomes many groups; each group ranks its
@@ -39,6 +41,8 @@ ROUNDS = 3
 PART_ROWS = 2048
 SAMPLE_QUERIES = 200
 SAMPLE_RECALL = 0.97
+WIDER = 8
+EVERY = 1 << 62  # probes: all axes of a table
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -160,7 +164,8 @@ def fitted_probes(rows: DataFrame, is_query: Column, k: int) -> dict[int, int]:
 
 def with_buckets(rows: DataFrame, probes) -> DataFrame:
     """vec_id, dim, v, bucket: a row's own bucket in each table or, with
-    ``probes`` (broadcast), the buckets that it probes as a query."""
+    ``probes`` (broadcast), the buckets that it probes as a query: so many, or all
+    axes of the first table if that is no more."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,7 +179,8 @@ def with_buckets(rows: DataFrame, probes) -> DataFrame:
                     if probes is None:
                         at = scores.argmax(axis=2) + np.arange(TABLES) * axes
                     else:
-                        at = np.argsort(-flat, axis=1, kind="stable")[:, :probes.value[int(d)]]
+                        n = probes.value[int(d)]
+                        at = np.argsort(-flat, axis=1, kind="stable")[:, :n] if n < axes else np.tile(np.arange(axes), (len(flat), 1))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * at.shape[1], pa.int32()), pa.array(at.ravel().astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("dim"), part.column("v"), lists], names=["vec_id", "dim", "v", "at"])
 
@@ -187,15 +193,34 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, *, id_col: str = "v
     """query_id, rank, vec_id, score of the ``k`` nearest rows found for the rows
     that ``is_query`` (an expression over vec_id) selects."""
     rows = written(usable(vectors, id_col, vec_col), "vectors")
-    probes = rows.sparkSession.sparkContext.broadcast(fitted_probes(rows, is_query, k))
+    fitted = fitted_probes(rows, is_query, k)
     index = written(with_buckets(rows, None), "index")
-    asked = written(with_buckets(rows.where(is_query), probes).withColumnRenamed("vec_id", "query_id"), "probes")
+    left, out = rows.where(is_query), None
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    for probes in (fitted, {d: WIDER * n for d, n in fitted.items()}, dict.fromkeys(fitted, EVERY)):
+        found = written(search(index, left, rows.sparkSession.sparkContext.broadcast(probes), k, part_rows), "found")
+        counts = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"))
+        short = (left.join(sizes, "dim").join(counts, F.col("vec_id") == F.col("query_id"), "left")
+                 .where(F.coalesce("found", F.lit(0)) < F.least(F.lit(k), F.col("n") - 1)).select("vec_id", "v", "dim"))
+        if probes is not fitted:  # the rows of these queries take the place of the former ones
+            out = out.join(left.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(found)
+        else:
+            out = found
+        left = written(short, "short")
+        if left.isEmpty():
+            break
+    return out
+
+
+def search(index: DataFrame, queries: DataFrame, probes, k: int, part_rows: int) -> DataFrame:
+    """query_id, rank, vec_id, score of the nearest indexed rows in the probed buckets."""
+    asked = written(with_buckets(queries, probes).withColumnRenamed("vec_id", "query_id"), "probes")
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("dim", "bucket").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias(name))
 
-    # at most TABLES x axes rows for each vector length
-    plan = F.broadcast(parts(index, "parts").join(parts(asked, "q_parts"), ["dim", "bucket"]))
+    # TABLES x axes rows at most for each vector length: the planner broadcasts them if they are few
+    plan = written(parts(index, "parts").join(parts(asked, "q_parts"), ["dim", "bucket"]), "parts")
     here = (index.join(plan, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
             .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1))).select("dim", "bucket", "part", "q_part", "vec_id", "v"))
     there = (asked.join(plan, ["dim", "bucket"]).withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts")).cast("int"))

@@ -55,3 +55,21 @@ def test_unusable_rows(spark):
     assert ann.nearest_neighbours(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     big = spark.createDataFrame([(0, [1e200, 1.0], ""), (1, [1e200, 1.0], "")], "vec_id long, embedding array<double>, rank string")
     assert ann.nearest_neighbours(big, F.col("vec_id") % 50 == 0).count() == 1
+
+
+def test_lone_vectors_beside_a_dense_cluster(spark):
+    """Few probes are fitted to the cluster; lone vectors still get all their rows."""
+    rng = np.random.default_rng(7)
+    center = rng.normal(size=16)
+    x = np.vstack([center + 0.02 * rng.normal(size=(3000, 16)), 3 * rng.normal(size=(40, 16))]).astype(np.float32)
+    rows = [(i, [float(c) for c in v], "") for i, v in enumerate(x)] + [(9000, [1.0, 2.0], ""), (9001, [2.0, 1.0], "")]
+    out = ann.nearest_neighbours(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    queries = [i for i, _, _ in rows if i % 20 == 0]
+    assert set(got) == set(queries) and len(out) == 5 * (len(queries) - 1) + 1
+    assert all(sorted(own) == [1, 2, 3, 4, 5] for q, own in got.items() if q != 9000) and got[9000] == {1: 9001}
+    ids = np.arange(len(x))
+    want = {q: ids[np.lexsort((ids, -ann.cosines(np.broadcast_to(x[q].astype(float), x.shape), x.astype(float)) + 9 * (ids == q)))][:5] for q in queries if q < 9000}
+    assert sum(len(set(want[q].tolist()) & set(got[q].values())) for q in want) >= 0.9 * 5 * len(want)
