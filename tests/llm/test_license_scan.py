@@ -40,5 +40,22 @@ def test_every_template_is_found_in_noise(spark):
 
 
 def test_empty(spark):
-    assert L.scan(spark.createDataFrame([], DOCS), keep=["doc_id", "license"] [:1]).count() == 0
+    assert L.scan(spark.createDataFrame([], DOCS), keep=["doc_id", "license"]).count() == 0
     assert L.scan(spark.createDataFrame([(1, "MIT License", "")], DOCS), {}, keep=["doc_id"]).count() == 0
+
+
+def test_cut_texts_report_their_coverage(spark):
+    """A part of a licence is a span with its coverage and no complete one."""
+    words = L.TEMPLATES["MIT"].split()
+    rows = [(p, "so it says: " + " ".join(words[:len(words) * p // 100]) + " and that is all", "") for p in (20, 50, 70, 79, 90)]
+    out = L.scan(spark.createDataFrame(rows, DOCS), keep=["doc_id", "license"]).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.license, r.complete) for r in out] == [(p, "MIT", p >= 80) for p in (20, 50, 70, 79, 90)]
+    assert all(abs(r.coverage - r.doc_id / 100) < 0.03 for r in out)
+
+
+def test_licences_that_share_most_words(spark):
+    names = ["GPL header", "LGPL header", "AGPL header", "BSD-2-Clause", "BSD-3-Clause"]
+    rows = [(i, "İİİİ " + L.TEMPLATES[n], "") for i, n in enumerate(names)]
+    out = L.scan(spark.createDataFrame(rows, DOCS), keep=["doc_id"]).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.license, r.coverage) for r in out] == [(i, n, 1.0) for i, n in enumerate(names)]
+    assert all(rows[r.doc_id][1][r.span_start:r.span_end] == L.TEMPLATES[r.license].rstrip(".") for r in out)  # in the text itself
