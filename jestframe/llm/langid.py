@@ -11,7 +11,9 @@ language name).  ``score`` is the winner's posterior under equal priors.
 Defined results: a text that is null, empty or without any letter gets
 ``und`` and score 0; so does every text if no row can be learned from.  Rows
 with a null language, text or id are not learned from; a null id is not held
-out.  Repeated rows are scored each.  Long texts are scored whole.
+out.  Repeated rows are scored each.  Long texts are scored whole; they are learned
+from in pieces, so a language with long texts only is learned too.  Kept columns
+called lang_pred, score or bits give way to the operator's.
 """
 
 from __future__ import annotations
@@ -21,12 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jestframe.llm.common import free_name, others
+
 ORDER = 3
 SAMPLE_BYTES = 4_000_000  # of training text for each language, about
-LONGEST = 200_000  # bytes of a text that may be learned from
+PIECE = 200_000  # bytes of a long text that are sampled together
 CHUNK = 1 << 22  # bytes scored at once
 
 
@@ -108,27 +113,37 @@ class ContextTrees:
 
 def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         sample_bytes: int = SAMPLE_BYTES) -> ContextTrees | None:
-    """Count the grams of about ``sample_bytes`` of text per language (a keyed
-    sample of the learnable rows); at most that many counts reach the driver."""
-    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()
-                      & (F.octet_length(text_col) <= LONGEST))
+    """Count the grams of about ``sample_bytes`` of text per language: a keyed
+    sample of the learnable rows, and of the pieces of texts over PIECE bytes; at
+    most that many counts reach the driver."""
+    rows = docs.where(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.sum(F.octet_length(text_col)).alias("n")).collect()}
     if not any(sizes.values()):
         return None
     share = F.coalesce(*[F.when(F.col(lang_col) == lang, F.lit(min(1.0, sample_bytes / max(n, 1)))) for lang, n in sizes.items()])
     keyed = F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1_000_003)) < share * 1_000_003
 
+    def pieces(key: str, text: str, part: float) -> list[bytes]:
+        """A text that was sampled whole, or the sampled pieces of a long one."""
+        data = lower_bytes(text)
+        if len(text.encode("utf-8", "replace")) <= PIECE:
+            return [data]
+        return [data[i:i + PIECE] for i in range(0, len(data), PIECE) if xxhash.xxh64_intdigest(f"{key}:{i}") % 1_000_003 < part * 1_000_003]
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                by_lang.setdefault(lang, []).append(lower_bytes(text))
+            for key, lang, text, part in zip(*(batch.column(c).to_pylist() for c in ("id", "lang", "text", "share")), strict=True):
+                by_lang.setdefault(lang, []).extend(pieces(key, text, part))
             for lang, texts in by_lang.items():
+                if not any(texts):
+                    continue
                 data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts], np.int64)
                 codes, keys = pd.factorize(grams(data, np.cumsum(size) - size))
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(np.bincount(codes, minlength=len(keys)), pa.int64())], names=["lang", "gram", "n"])
 
-    counts = (rows.where(keyed).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    chosen = keyed | (F.octet_length(text_col) > PIECE)
+    counts = (rows.where(chosen).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), share.alias("share"))
               .mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
     return ContextTrees(counts) if len(counts) else None
 
@@ -136,10 +151,11 @@ def fit(docs: DataFrame, learnable: Column, *, id_col: str = "doc_id", text_col:
 def predict(docs: DataFrame, model: ContextTrees | None, *, text_col: str = "text", keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row with lang_pred, score and bits."""
     trees = docs.sparkSession.sparkContext.broadcast(model)
+    keep = others(keep, ["lang_pred", "score", "bits"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text_").to_pylist()
+            texts = batch.column(len(keep)).to_pylist()
             usable = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool) & (trees.value is not None)
             pred, conf, bits = np.full(len(texts), "und", object), np.zeros(len(texts)), np.full(len(texts), np.nan)
             if usable.any():
@@ -148,8 +164,8 @@ def predict(docs: DataFrame, model: ContextTrees | None, *, text_col: str = "tex
                 pred[usable] = np.array(trees.value.langs, object)[lengths.argmin(axis=1)]
                 conf[usable] = 1 / np.exp2(np.maximum(least[:, None] - lengths, -1000)).sum(axis=1)
                 bits[usable] = least
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(conf), pa.array(bits)],
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(pred, pa.string()), pa.array(conf), pa.array(bits)],
                                              names=[*keep, "lang_pred", "score", "bits"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, F.col(text_col).alias("text_")).mapInArrow(score, f"{schema}, lang_pred string, score double, bits double")
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes)
+    return docs.select(*keep, F.col(text_col).alias(free_name(docs, "text_"))).mapInArrow(score, f"{schema}lang_pred string, score double, bits double")

@@ -53,6 +53,16 @@ def test_held_out_accuracy(spark):
     assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.98
 
 
+def test_a_language_of_long_texts_only_is_learned(spark):
+    rows = [(i, "the cat sat on the mat and the dog sat by it " * 8000, "en", "") for i in range(3)] + [(9, "der Hund und die Katze sitzen auf der Matte", "de", "")]
+    model = langid.fit(spark.createDataFrame(rows, DOCS), F.lit(True), sample_bytes=300_000)
+    assert model.langs == ["de", "en"]
+    held = spark.createDataFrame([(20, "the dog sat on the mat", None, "x", 1.0, "y"), (21, "ein Hund", None, "x", 1.0, "y")], "doc_id long, text string, lang string, score string, bits double, text_ string")
+    out = langid.predict(held, model, keep=["doc_id", "score", "bits", "text_"])
+    assert out.columns == ["doc_id", "text_", "lang_pred", "score", "bits"]  # the operator's names win
+    assert sorted((r.doc_id, r.text_, r.lang_pred) for r in out.collect()) == [(20, "y", "en"), (21, "y", "de")] and dict(out.dtypes)["score"] == "double"
+
+
 def test_edge_cases(spark):
     rows = [(1, "hello there friend", "en", "clash"), (2, "guten tag mein freund", "de", ""), (3, None, "en", ""), (4, "", "de", ""), (5, "12 -- 7", "en", ""), (None, "hello", None, ""), (1, "hello there", "en", "")]
     docs = spark.createDataFrame(rows, DOCS)
