@@ -22,7 +22,7 @@ Defined results: null and empty texts have no occurrences and get the score of
 a text without any; without labelled rows of both kinds the lexicon is empty and
 every score 0; several labels of a document count as toxic if one is; a null id
 is not held out.  Repeated rows are each scored; an empty table gives an empty
-result.
+result; kept columns called score or predicted give way to the operator's.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jestframe.llm.common import sampled, written
+from jestframe.llm.common import free_name, others, sampled, written
 
 FIT_ROWS = 20_000
 LEXICON = 5_000
@@ -273,7 +273,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str =
     n = marked.count()
     own = marked.where(sampled(F.col(id_col), fit_rows / max(n, 1))).limit(2 * fit_rows)  # the limit only makes the bound certain
     chosen = F.broadcast(own.select(F.col(id_col).alias("id_"), "y_", sampled(F.col(id_col), 0.5, 5).alias("half_")))
-    rows = docs.join(chosen, F.col(id_col) == F.col("id_")).select("y_", "half_", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts.join(chosen, F.col("doc_") == F.col("id_")).select("y_", "half_", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,27 +285,24 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[0][t] for t in terms], pa.int64()), pa.array([seen[1][t] for t in terms], pa.int64())], names=["term", "neg", "pos"])
 
     counts = rows.where("half_").select("y_", "text").mapInArrow(count, "term string, neg long, pos long").groupBy("term").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = counts.cache()
-    try:
-        total = counts.where("term = ''").first()
-        if total is None or not total["pos"] or not total["neg"]:
-            return {}, frozenset(), None
-        odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1.0))
-        terms = (counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_DOCS)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-                 .where("neg * 20 <= pos").orderBy(F.desc("pos"), "term").limit(LEXICON).collect())
-        odds, support = {r["term"]: float(r["odds"]) for r in terms}, {r["term"]: r["pos"] for r in terms}
-        weights = distinct_entries(odds, support, total["pos"]) | spelled(odds, support)
-
-        def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            built = Lexicon(weights)
-            for batch in batches:
-                yield batch.filter(pa.array([built.find(t[:-1])[1] for t in batch.column("term").to_pylist()], pa.bool_()))
-
-        clean = counts.where("neg > 0 AND neg * 20 > pos AND term LIKE '%$'").select("term").mapInArrow(misread, "term string").limit(CACHE)
-        clean = written(clean, "clean-words").collect()
-        clean = frozenset(r["term"][:-1] for r in clean)
-    finally:
-        counts.unpersist()
+    counts = written(counts, "lexicon-counts")
+    total = counts.where("term = ''").first()
+    if total is None or not total["pos"] or not total["neg"]:
+        return {}, frozenset(), None
+    odds = F.log((F.col("pos") + 0.5) / (total["pos"] + 1.0)) - F.log((F.col("neg") + 0.5) / (total["neg"] + 1.0))
+    terms = (counts.where((F.col("term") != "") & (F.col("pos") >= LEAST_DOCS)).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
+             .where("neg * 20 <= pos").orderBy(F.desc("pos"), "term").limit(LEXICON).collect())
+    odds, support = {r["term"]: float(r["odds"]) for r in terms}, {r["term"]: r["pos"] for r in terms}
+    weights = distinct_entries(odds, support, total["pos"]) | spelled(odds, support)
+
+    def misread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = Lexicon(weights)
+        for batch in batches:
+            yield batch.filter(pa.array([built.find(t[:-1])[1] for t in batch.column("term").to_pylist()], pa.bool_()))
+
+    clean = counts.where("neg > 0 AND neg * 20 > pos AND term LIKE '%$'").select("term").mapInArrow(misread, "term string")
+    clean = written(clean, "clean-words").collect()
+    clean = frozenset(r["term"][:-1] for r in clean)
     sc = docs.sparkSession.sparkContext
     lexicon = sc.broadcast((weights, clean))
 
@@ -323,14 +321,15 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str =
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row with score and predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = others(keep, ["score", "predicted"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, clean, coefs = shared.value
         built = Lexicon(weights, clean)
         for batch in batches:
-            x = np.array([features(t, built) for t in batch.column("text_").to_pylist()]).reshape(-1, FEATURES)
+            x = np.array([features(t, built) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, FEATURES)
             s = np.zeros(len(x)) if coefs is None else 1 / (1 + np.exp(-np.clip(x @ coefs[:-1] + coefs[-1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
-    return docs.select(*keep, F.col(text_col).alias("text_")).mapInArrow(judge, f"{schema}, score double, predicted int")
+    schema = "".join(f"`{c}` {t}, " for c, t in docs.select(*keep).dtypes)
+    return docs.select(*keep, F.col(text_col).alias(free_name(docs, "text_"))).mapInArrow(judge, f"{schema}score double, predicted int")

@@ -8,7 +8,7 @@ from jestframe.llm.common import crc_mod, read_table
 
 from conftest import SF_MID
 
-DOCS = "doc_id long, text string, score string"
+DOCS = "doc_id long, text string, score string, y_ int, half_ int, id_ int, text_ string"
 LABELS = "doc_id long, toxic int, text string"
 
 
@@ -118,6 +118,7 @@ def test_edge_cases(spark):
     rows = [(i, "plain words of text " + ("you vile gorkface" if i % 4 == 0 else "and more"), "clash") for i in range(400)]
     rows += [(900, None, ""), (901, "", ""), (902, "word " * 30_000 + "gorkface", ""), (None, "gorkface", ""), (0, "gorkface you", ""), (903, "what a gorkfase", "")]
     labels = [(i, int(i % 4 == 0), "") for i in range(400)] + [(1, None, ""), (None, 1, ""), (4, 0, ""), (5000, 1, "")]
+    rows = [(*r, 1, 2, 3, "t") for r in rows]
     docs, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS)
     model = T.fit(docs, marks, F.lit(True))
     out = T.score(docs, model, keep=["doc_id"]).collect()
@@ -126,6 +127,8 @@ def test_edge_cases(spark):
     for r in out:
         predicted.setdefault(r.doc_id, []).append(r.predicted)
     assert predicted[0] == [1, 1] and predicted[8] == [1] and predicted[1] == [0] and predicted[900] == predicted[901] == [0] and predicted[903] == [1]
+    wide = T.score(docs, model, keep=docs.columns)
+    assert wide.columns == ["doc_id", "text", "y_", "half_", "id_", "text_", "score", "predicted"] and wide.where("text_ = 't' AND y_ = 1").count() == len(rows)
     none = T.score(docs, T.fit(docs, marks.limit(0), F.lit(True)), keep=["doc_id"]).collect()
     assert {(r.score, r.predicted) for r in none} == {(0.0, 0)}
     assert T.score(docs.limit(0), model, keep=["doc_id"]).count() == 0
