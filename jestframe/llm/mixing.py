@@ -18,6 +18,10 @@ above two passes no document is taken more than twice.
 Defined results: null and empty texts have size 0 and take nothing; a source
 of size 0 has target 0; repeated rows and repeated ids are separate rows; an
 empty table gives an empty result.  Only the three named columns are read.
+
+Blocks and slots are worked out on slim rows (ids, sizes, a hash of the text).  With
+texts, the pieces of a row are brought together and meet its text once; the text
+crosses the network once, as it is, and is cut into its pieces after that.
 """
 
 from __future__ import annotations
@@ -112,11 +116,10 @@ def draw_slots(quota: DataFrame, shards: Column, block: int = BLOCK) -> DataFram
         F.when(F.col("slot") == F.col("slots") - 1, F.col("last_take")).otherwise(block).alias("take"))
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, with_text: bool) -> DataFrame:
-    """One row per row of ``docs``: key, source, size and keyed order."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"),
-                       word_count(F.col(text_col)).alias("size"), drawn_from(F.col(id_col)).alias("order"), F.col(text_col).alias("text"))
-    return rows if with_text else rows.drop("text")
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One slim row per row of ``docs``: key, source, size, keyed order and text hash."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), source_key(F.col(source_col)).alias("key"),
+                       word_count(F.col(text_col)).alias("size"), drawn_from(F.col(id_col)).alias("order"), F.xxhash64(text_col).alias("text_hash"))
 
 
 def pack(rows: DataFrame, n_rows: int, block: int = BLOCK) -> DataFrame:
@@ -130,24 +133,45 @@ def pack(rows: DataFrame, n_rows: int, block: int = BLOCK) -> DataFrame:
     upto = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (rows.groupBy("key", "bucket").agg(F.sum("size").alias("n"))
               .select("key", "bucket", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("base")))
-    inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size", *(["text"] if "text" in rows.columns else []))
+    inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", "size", "text_hash")
     placed = (rows.withColumn("row_no", F.row_number().over(inside))
               .withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
               .join(starts, ["key", "bucket"])
               .withColumn("start", F.col("base") + F.col("upto") - F.col("size")))
-    if "text" in rows.columns:
-        placed = placed.withColumn("all_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     spans = F.when(F.col("size") > 0, F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}")))
     pieces = (placed.withColumn("block_no", F.explode_outer(spans))
               .withColumn("from", F.greatest(F.col("start"), F.col("block_no") * block))
               .withColumn("first_word", F.col("from") - F.col("start"))
               .withColumn("at", F.col("from") % block)
               .withColumn("words", F.least(F.col("start") + F.col("size"), (F.col("block_no") + 1) * block) - F.col("from")))
-    out = ["key", "bucket", "row_no", "doc_id", "source", "size", "block_no", "first_word", "at", "words"]
-    if "text" in rows.columns:
-        pieces = pieces.withColumn("piece", F.slice("all_words", F.col("first_word").cast("int") + 1, F.col("words").cast("int")))
-        out.append("piece")
-    return pieces.select(*out)
+    return pieces.select("key", "bucket", "row_no", "doc_id", "source", "size", "text_hash", "block_no", "first_word", "at", "words")
+
+
+def texts_by_hash(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """text_id, text_hash, text: one row for each id and text of ``docs`` with words.
+    Only texts of rows that repeat both are grouped."""
+    again = written(rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")), "repeated")
+    texts = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).withColumn("text_hash", F.xxhash64("text"))
+    same = F.col("text_id").eqNullSafe(F.col("again_id")) & (F.col("text_hash") == F.col("again_hash"))
+    return (texts.join(again, same, "left_anti").select("text_id", "text_hash", "text")
+            .unionByName(texts.join(again, same, "left_semi").groupBy("text_id", "text_hash").agg(F.min("text").alias("text"))))
+
+
+def with_texts(mixed: DataFrame, texts: DataFrame) -> DataFrame:
+    """``mixed`` with the text of each row's words.
+
+    A row's pieces meet its text together; the text is cut into words once, bound
+    as a lambda's argument, which the optimizer can't move into the pieces."""
+    row = ["key", "bucket", "row_no", "doc_id", "source", "size", "source_size", "target", "text_hash"]
+    own = ["shard", "slot", "block_no", "first_word", "words"]
+    rows = mixed.groupBy(*row).agg(F.collect_list(F.struct(*own)).alias("pieces"))
+    rows = rows.join(texts.withColumnRenamed("text_hash", "of_hash"), F.col("doc_id").eqNullSafe(F.col("text_id")) & (F.col("text_hash") == F.col("of_hash")), "left")
+
+    def cut(words: Column) -> Column:
+        return F.transform("pieces", lambda p: F.struct(*[p[c].alias(c) for c in own], F.coalesce(F.array_join(F.slice(words, p["first_word"].cast("int") + 1, p["words"].cast("int")), " "), F.lit("")).alias("text")))
+
+    pieces = F.get(F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), cut), F.lit(0))
+    return rows.select(*row, F.explode(pieces).alias("p")).select(*row, "p.*")
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS,
@@ -156,7 +180,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     source, size, source_size, target, first_word, words (taken) and, unless
     ``with_text`` is off, the text of those words.  Pieces that no slot takes
     stay as rows with words 0 and no slot."""
-    rows = written(sized(docs, id_col, text_col, source_col, with_text), "mix-rows")
+    rows = written(sized(docs, id_col, text_col, source_col), "mix-rows")
     sources = written(fill_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), weights, share, most), "mix-sources")
     quota = quotas(sources, block)
     # two numbers of the whole input: rows, and slots for the number of shards
@@ -169,7 +193,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
              .join(sources.select(source_key(F.col("source")).alias("key"), "source_size", "target"), "key"))
     out = ["shard", "slot", "key", "bucket", "row_no", "doc_id", "source", "size", "source_size", "target", "block_no", "first_word", "words"]
     if with_text:
-        mixed = mixed.withColumn("text", F.concat_ws(" ", F.slice("piece", 1, F.col("words").cast("int"))))
+        mixed = with_texts(mixed, texts_by_hash(docs, rows, id_col, text_col))
         out.append("text")
     return mixed.select(*out)
 
