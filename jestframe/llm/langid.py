@@ -32,7 +32,7 @@ from jestframe.llm.common import free_name, others
 ORDER = 3
 SAMPLE_BYTES = 4_000_000  # of training text for each language, about
 PIECE = 200_000  # bytes of a long text that are sampled together
-CHUNK = 1 << 22  # bytes scored at once
+CHUNK = 1 << 19  # bytes scored at once: a worker's arrays take about a hundred times that
 
 
 def lower_bytes(text: str) -> bytes:
@@ -99,6 +99,14 @@ class ContextTrees:
         sizes = np.array([len(t) for t in texts], np.int64)
         i = 0
         while i < len(texts):
+            if sizes[i] > CHUNK:  # a long text in parts, each after the bytes before it
+                for at in range(0, sizes[i], CHUNK):
+                    back = min(at, ORDER)
+                    own = np.frombuffer(texts[i][at - back:at + CHUNK], np.uint8)
+                    codes, keys = pd.factorize(grams(own, np.zeros(int(at == 0), np.int64))[back:])
+                    total[i] += self.bits(keys) @ np.bincount(codes, minlength=len(keys))
+                i += 1
+                continue
             j = max(i + 1, i + int(np.searchsorted(np.cumsum(sizes[i:]), CHUNK, side="right")))
             data = np.frombuffer(b"".join(texts[i:j]), np.uint8)
             if len(data):

@@ -47,6 +47,15 @@ def test_code_lengths_are_exact(spark):
     assert np.allclose(got, want)
 
 
+def test_long_texts_in_parts(spark, monkeypatch):
+    model = langid.fit(spark.createDataFrame([(1, "the cat sat on the mat", "en", ""), (2, "der Hund und die Katze", "de", "")], DOCS), F.lit(True))
+    texts = [langid.lower_bytes(t) for t in ("the cat and the hound " * 40, "x", "die Katze" * 30, "", "mat")]
+    whole = model.lengths(texts)
+    for chunk in (1, 2, 3, 7, 64):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert np.allclose(model.lengths(texts), whole)
+
+
 def test_held_out_accuracy(spark):
     docs = read_table(spark, SF_MID, "documents")
     out = langid.predict(docs, langid.fit(docs, crc_mod("doc_id", 4) != 2), keep=["doc_id", "lang"]).where(crc_mod("doc_id", 4) == 2)
