@@ -3,6 +3,10 @@
 Each stage is (name, function of (spark, docs, sf_dir)); its result is written
 as Parquet and reread as the next one's docs.  All but the last return the
 columns of documents, for every row that the stage keeps.
+
+Defined results: rows that repeat an id are judged each, and the near-dedup stage
+leaves one of them; an empty table gives an empty result; of the documents only the
+five named columns are read, so columns with other names can't clash.
 """
 
 from __future__ import annotations
@@ -33,13 +37,13 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near copies stays;
     of rows that repeat an id, one (the smallest in all columns)."""
-    kept = minhash.near_duplicates(docs, shingle=5).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    # written, so that the planner knows how few they are and leaves the texts where they lie
+    gone = written(minhash.near_duplicates(docs, shingle=5).where("NOT kept").select("doc_id").distinct(), "copies")
+    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated-ids")
     one = F.min(F.struct(*[c for c in docs.columns if c != "doc_id"]))
-    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    first = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*").select(*docs.columns)
-    single = docs.join(again, "doc_id", "left_anti")
-    both = single.unionByName(first)
-    return both.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    left = docs.join(gone, "doc_id", "left_anti")
+    first = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(one.alias("r")).select("doc_id", "r.*").select(*docs.columns)
+    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
