@@ -28,6 +28,7 @@ result; kept columns called score or predicted give way to the operator's.
 from __future__ import annotations
 
 import math
+import os
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -44,7 +45,7 @@ LEXICON = 5_000
 LEAST_DOCS = 3  # toxic sample documents that an entry occurs in
 LEAST_ODDS = 3.0  # natural log
 WINDOW = 6
-CACHE = 1 << 18
+CACHE = 1 << 19  # looked-up words that a worker keeps
 FEATURES = 7
 TOKEN = re.compile(r"[^\W_]+(?:[@$*'’][^\W_]+)*|[\"“”«»„‟]")
 # Signs read as letters, words of reporting, words of direct address.
@@ -185,6 +186,18 @@ class Lexicon:
         return best
 
 
+_BUILT: dict[str, Lexicon] = {}
+
+
+def built_once(token: str, weights: dict[str, float], clean: frozenset[str]) -> Lexicon:
+    """The lexicon of a model (``token``) in this worker, with the words that its
+    earlier tasks have looked up."""
+    if token not in _BUILT:
+        _BUILT.clear()  # one model at a time
+        _BUILT[token] = Lexicon(weights, clean)
+    return _BUILT[token]
+
+
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the regression sees of a text's occurrences of lexicon entries."""
     words = tokens(text)
@@ -320,12 +333,12 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, *, id_col: str =
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every row with score and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, token = docs.sparkSession.sparkContext.broadcast(model), os.urandom(8).hex()
     keep = others(keep, ["score", "predicted"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, clean, coefs = shared.value
-        built = Lexicon(weights, clean)
+        built = built_once(token, weights, clean)
         for batch in batches:
             x = np.array([features(t, built) for t in batch.column(len(keep)).to_pylist()]).reshape(-1, FEATURES)
             s = np.zeros(len(x)) if coefs is None else 1 / (1 + np.exp(-np.clip(x @ coefs[:-1] + coefs[-1], -30, 30)))
