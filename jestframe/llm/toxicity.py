@@ -113,6 +113,7 @@ class Lexicon:
         self.start_pieces = {(len(e), at, piece) for e in self.starts if allowed(len(e)) for at, piece in ((0, e[:3]), (1, e[3:]))}
         self.start_sizes = sorted({k for e in self.starts if allowed(len(e)) for k in (len(e) - 1, len(e), len(e) + 1)})
         self.cache: dict[str, tuple[float, bool]] = {}
+        self.start_cache: dict[str, tuple[str, ...]] = {}
 
     def find(self, word: str) -> tuple[float, bool]:
         """(weight of the best entry, whether it took an edit); weight 0: none."""
@@ -150,9 +151,20 @@ class Lexicon:
             if n <= self.longest + k and self.pieced(word, k):
                 out.update(e + "$" for form in shortened(word, k) for e in self.short[k].get(form, ()))
         if self.start_pieces and allowed(n) and any((m, 0, word[:3]) in self.start_pieces or any((m, 1, word[i:i + m - 3]) in self.start_pieces for i in (2, 3, 4)) for m in (5, 6)):
-            out.update(e for k in self.start_sizes if n > k for form in shortened(word[:k], 1) for e in self.short_starts.get(form, ()))
+            for k in self.start_sizes:
+                if n > k:
+                    out.update(self.starts_near(word[:k]))
         return {e: self.weights[e] for e in out}
 
+    def starts_near(self, start: str) -> tuple[str, ...]:
+        """The beginnings that share a shortened form with a word's (many words have it in common)."""
+        found = self.start_cache.get(start)
+        if found is None:
+            if len(self.start_cache) >= CACHE:
+                self.start_cache.clear()
+            found = self.start_cache[start] = tuple({e for form in shortened(start, 1) for e in self.short_starts.get(form, ())})
+        return found
+
     def possible(self, word: str) -> bool:
         return bool(self.near(word))
 
