@@ -2,6 +2,7 @@ import random
 import time
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from jestframe.llm import line_dedup, queries
@@ -20,15 +21,15 @@ def within_one(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1:] == b for i in range(len(a)))
 
 
-def by_rule(docs):
+def by_rule(docs, near_words=NEAR_WORDS, least_words=LEAST_WORDS):
     """Every line against every earlier line."""
     earlier, out = [], {}
     for i, text in sorted(docs.items()):
         kept = []
         for line in (text or "").split("\n"):
             w = line.lower().split()
-            gone = len(w) >= LEAST_WORDS and any(w == e or (max(len(w), len(e)) >= NEAR_WORDS and within_one(w, e)) for e in earlier)
-            if len(w) >= LEAST_WORDS:
+            gone = len(w) >= least_words and any(w == e or (max(len(w), len(e)) >= near_words and within_one(w, e)) for e in earlier)
+            if len(w) >= least_words:
                 earlier.append(w)
             if not gone:
                 kept.append(line)
@@ -56,6 +57,16 @@ def test_against_every_pair(spark):
     assert any(r.n_dropped for r in out)
 
 
+@pytest.mark.parametrize("near_words, least_words", [(3, 3), (2, 1), (5, 2)])
+def test_short_lines_by_parameter(spark, near_words, least_words):
+    """Edits in lines of any size, held against every pair."""
+    rng = random.Random(near_words)
+    docs = {i: "\n".join(" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz"[:30 - 4 * near_words]) for _ in range(rng.choice([1, 2, 3, 3, 4, 5, 6, 7, 9]))) for _ in range(4)) for i in range(60)}
+    out = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "clash") for i, t in docs.items()], DOCS), near_words=near_words, least_words=least_words).collect()
+    wanted = by_rule(docs, near_words, least_words)
+    assert {r.doc_id: r.text for r in out} == wanted and wanted != by_rule(docs, 100, least_words)
+
+
 def test_edge_cases(spark):
     line = "one two three four five six seven eight"
     rows = [(2, line, "a"), (1, line + "\nother words here", "b"), (None, line, "c"), (3, "new line that is here", "d"), (3, "new line that is here", "e"), (3, "x\n" + line.replace("five", "5"), "f")]
