@@ -21,11 +21,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.arrays import answer_index, label_from_logits, softmax, wide
+from ..functions.batches import pieces, with_strings
 from ..functions.text import apply_template
 from .dedup import union_all
 from .labels import detection_message
@@ -333,16 +335,23 @@ def _with_answers(calls: DataFrame) -> DataFrame:
         "finish", "it", F.try_element_at(F.filter("given", lambda g: g["id"].eqNullSafe(F.col("it.id"))), F.lit(1)).alias("answer"))
 
 
-def _json_frames(frames: Iterator[pd.DataFrame], col: str, batch_scorer, finish_col: str) -> Iterator[pd.DataFrame]:
-    def call(payload: str) -> tuple[str | None, str]:
-        try:
-            response, finish = batch_scorer(payload)
-            return response, finish or "error"
-        except Exception:  # noqa: BLE001 - a failing request is a status
-            return None, "error"
+def _asked(batch_scorer, payload: str) -> tuple[str | None, str]:
+    try:
+        response, finish = batch_scorer(payload)
+        return response, finish or "error"
+    except Exception:  # noqa: BLE001 - a failing request is a status
+        return None, "error"
+
 
+def _json_batches(batches: Iterator[pa.RecordBatch], col: str, batch_scorer, finish_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, col):
+        res = [_asked(batch_scorer, p) for p in batch.column(col).to_pylist()]
+        yield with_strings(batch, **{"response": [r[0] for r in res], finish_col: [r[1] for r in res]})
+
+
+def _json_frames(frames: Iterator[pd.DataFrame], col: str, batch_scorer, finish_col: str) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        res = [call(p) for p in frame[col]]
+        res = [_asked(batch_scorer, p) for p in frame[col]]
         yield frame.assign(**{"response": pd.Series([r[0] for r in res], index=frame.index, dtype=object), finish_col: [r[1] for r in res]})
 
 
@@ -350,7 +359,7 @@ def _call_json(df: DataFrame, col: str, batch_scorer) -> DataFrame:
     schema = T.StructType(
         df.schema.fields + [T.StructField("response", T.StringType()), T.StructField("finish", T.StringType())]
     )
-    return df.mapInPandas(lambda frames: _json_frames(frames, col, batch_scorer, "finish"), schema)
+    return df.mapInArrow(lambda batches: _json_batches(batches, col, batch_scorer, "finish"), schema)
 
 
 def faulty_stub(payload: str) -> tuple[str | None, str]:
