@@ -2,8 +2,10 @@
 
 A *scorer* is any function ``Iterator[pandas.Series[str]] -> Iterator[
 pandas.Series[str]]`` (one answer per prompt, same order).  It runs inside
-``mapInPandas``: Arrow batches in, Arrow batches out, one client per
-partition, width = number of partitions.  Everything after the answer (label
+``mapInArrow``: Arrow batches in, Arrow batches out, one client per
+partition, width = number of partitions.  Prompts become Python strings a few
+MB at a time (``functions.batches``); the other columns pass through as they
+are.  Everything after the answer (label
 lookup, probabilities, reports) is ordinary column code in the JVM.
 
 Scorers may be remote and costly, so their output is materialised once
@@ -64,35 +66,47 @@ def _apply_scorer(df: DataFrame, prompt_col: str, scorer: Scorer, out_col: str)
     than it got) or ``error`` (it raised).
 
     One scorer call per partition sees the partition's Arrow batches as a
-    stream of prompt series and answers each in order.  When it ends or raises
-    early, the batches it took without an answer keep their rows, and a new
-    call gets the batches after them."""
+    stream of prompt series (long batches in pieces) and answers each in order.
+    When it ends or raises early, the series it took without an answer keep their
+    rows, and a new call gets the ones after them."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.StringType()), T.StructField("status", T.StringType())])
-    return df.mapInPandas(lambda frames: answered_frames(frames, prompt_col, scorer, out_col), schema)
+    return df.mapInArrow(lambda batches: answered_batches(batches, prompt_col, scorer, out_col), schema)
+
+
+def answered_batches(batches: Iterator[pa.RecordBatch], prompt_col: str, scorer: Scorer, out_col: str) -> Iterator[pa.RecordBatch]:
+    """The batches of a partition, in pieces, with ``out_col`` and ``status`` (see ``_apply_scorer``)."""
+    def series(batch: pa.RecordBatch) -> pd.Series:
+        return batch.column(prompt_col).to_pandas().rename(prompt_col)
+
+    for batch, found, status in _answered(pieces(batches, prompt_col), series, scorer):
+        yield with_strings(batch, **{out_col: found, "status": status})
 
 
 def answered_frames(frames: Iterator[pd.DataFrame], prompt_col: str, scorer: Scorer, out_col: str) -> Iterator[pd.DataFrame]:
     """The frames of a partition with ``out_col`` and ``status`` (see ``_apply_scorer``)."""
-    def answered(frame: pd.DataFrame, answers: list, rest: str) -> pd.DataFrame:
-        answers = list(answers)[:len(frame)]
-        short = len(frame) - len(answers)
+    for frame, found, status in _answered(frames, lambda f: f[prompt_col], scorer):
+        yield frame.assign(**{out_col: pd.Series(found, index=frame.index, dtype=object), "status": status})
+
+
+def _answered(parts: Iterator, prompts_of: Callable, scorer: Scorer) -> Iterator[tuple]:
+    """Each part (a frame or batch) with the answers and statuses of its rows."""
+    def answered(part, answers: list, rest: str) -> tuple:
+        answers = list(answers)[:len(part)]
+        short = len(part) - len(answers)
         found = [None if a is None or pd.isna(a) else str(a) for a in answers]
-        return frame.assign(**{
-            out_col: pd.Series(found + [None] * short, index=frame.index, dtype=object),
-            "status": ["refused" if a is None else "ok" for a in found] + [rest] * short,
-        })
+        return part, found + [None] * short, ["refused" if a is None else "ok" for a in found] + [rest] * short
 
-    frames, ended = iter(frames), False
+    parts, ended = iter(parts), False
     while not ended:
-        pending: list[pd.DataFrame] = []
+        pending: list = []
         taken = 0
 
         def prompts() -> Iterator[pd.Series]:
             nonlocal ended, taken
-            for frame in frames:
+            for part in parts:
                 taken += 1
-                pending.append(frame)
-                yield frame[prompt_col]
+                pending.append(part)
+                yield prompts_of(part)
             ended = True
 
         failed = "missing"
@@ -103,10 +117,11 @@ def answered_frames(frames: Iterator[pd.DataFrame], prompt_col: str, scorer: Sco
         except Exception:  # noqa: BLE001 - a failing client is a status of its rows
             failed = "error"
         if not taken and not ended:  # a scorer that takes nothing would never end
-            pending.extend(frames)
+            for part in parts:
+                yield answered(part, [], failed)
             ended = True
-        for frame in pending:
-            yield answered(frame, [], failed)
+        for part in pending:
+            yield answered(part, [], failed)
 
 
 def label_with(df: DataFrame, scorer: Scorer, classes: list[str], text: str = "text",
@@ -235,20 +250,21 @@ def route(df: DataFrame, model: F.Column, routes: dict[str, Route], key: str = "
     x = x.repartitionById(1 + sum(r.width for r in routes.values()), part.cast("int"))
     schema = T.StructType(x.schema.fields + [T.StructField("response", T.StringType()), T.StructField("status", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = iter(frames)
-        head = next(frames, None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = iter(batches)
+        head = next(batches, None)
         if head is None:
             return
-        whole = itertools.chain([head], frames)
-        own = routes.get(head["model"].iloc[0]) if len(head) else None  # a partition holds one model's rows
+        whole = itertools.chain([head], batches)
+        own = routes.get(head.column("model")[0].as_py()) if head.num_rows else None  # a partition holds one model's rows
+        del head
         if own is None:
-            for frame in whole:
-                yield frame.assign(response=pd.Series([None] * len(frame), index=frame.index, dtype=object), status="unrouted")
+            for batch in whole:
+                yield with_strings(batch, response=[None] * batch.num_rows, status=["unrouted"] * batch.num_rows)
         else:
-            yield from answered_frames(whole, "_prompt", own.scorer, "response")
+            yield from answered_batches(whole, "_prompt", own.scorer, "response")
 
-    scored = x.mapInPandas(run, schema).drop("_prompt").checkpoint()
+    scored = x.mapInArrow(run, schema).drop("_prompt").checkpoint()
     return scored.withColumn("score_1", p1).withColumn("score_0", 1 - F.col("score_1")).withColumn("labels", label)
 
 

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
 from ..session import scratch_path
 
 ANSWER = "key string, prompt string, response string, status string, call string"
@@ -87,7 +88,7 @@ class Ledger:
         calls[0].create_dir(calls[1])
         call = f"{len(calls[0].get_file_info(pafs.FileSelector(calls[1]))):06d}-{os.urandom(4).hex()}"
 
-        def send(frames: Frames) -> Frames:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             files, root = pafs.FileSystem.from_uri(uri)
             own = f"{root}/{call}/{TaskContext.get().partitionId()}"
             files.create_dir(own)
@@ -99,7 +100,8 @@ class Ledger:
                     done |= {k for k, s in zip(told["key"], told["status"], strict=True) if s not in OPEN}
 
             def open_ones() -> Frames:
-                for frame in frames:
+                for batch in pieces(batches, "prompt"):
+                    frame = batch.to_pandas()
                     left = frame[~frame["key"].isin(done)]
                     for i in range(0, len(left), rows):
                         yield left.iloc[i:i + rows].reset_index(drop=True)
@@ -111,7 +113,7 @@ class Ledger:
                 pq.write_table(table, f"{name}.tmp", filesystem=files)
                 files.move(f"{name}.tmp", f"{name}.parquet")  # whole or not at all
                 sent += len(told)
-            yield pd.DataFrame({"sent": [sent]})
+            yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], names=["sent"])
 
         spread = prompts.repartition(parallelism, "key") if parallelism else prompts
-        return spread.mapInPandas(send, "sent long").agg(F.sum("sent")).first()[0] or 0
+        return spread.mapInArrow(send, "sent long").agg(F.sum("sent")).first()[0] or 0

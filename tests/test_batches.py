@@ -34,3 +34,19 @@ def test_requests_hold_a_piece(spark):
     out = infer._call_json(df, "payload", sender).selectExpr("id", "response = REPLACE(payload, 'a', 'b') AS same", "finish").collect()
     assert sorted(r.id for r in out) == list(range(rows)) and all(r.same for r in out)
     assert max(int(r.finish) for r in out) < 16e6
+
+
+def test_scorers_get_pieces(spark):
+    """A scorer gets some MB of prompts at a time; other columns stay as they are."""
+    def sizes(prompts):
+        for p in prompts:
+            yield [str(p.str.len().sum())] * len(p)
+
+    big = 2**60 + 1  # no double
+    df = spark.range(0, 200, numPartitions=1).selectExpr("id", "REPEAT('a', 100000) AS text", f"IF(id % 2 = 0, id + {big}, NULL) AS n", "ARRAY(id, NULL) AS a")
+    routed = infer.route(df, infer.F.lit("m"), {"m": infer.Route(sizes, 1)})
+    for out in (infer.label_with(df, sizes, ["0"]).select("id", "response", "status"), routed):
+        got = out.select("id", "response", "status").collect()
+        assert sorted(r.id for r in got) == list(range(200)) and {r.status for r in got} == {"ok"}
+        assert max(int(float(r.response)) for r in got) <= 5e6
+    assert sorted((r.id, r.n, r.a) for r in routed.collect()) == [(i, None if i % 2 else i + big, [i, None]) for i in range(200)]
